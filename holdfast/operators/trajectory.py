@@ -223,3 +223,53 @@ def delay_bounds(cells: DataFrame, observed: Column) -> DataFrame:
         stable_delay(F.col("_lo"), steps, d).alias("lower"), stable_delay(F.col("_hi"), steps, d).alias("upper"),
         stable_delay(F.col("_fine"), steps, d).alias("fine"),
     )
+
+
+def full_clip_answers(manifest: DataFrame, answers: DataFrame, systems: list[str], fine: float, j_min: int, j_max: int) -> DataFrame:
+    """Answer of the longest stored prefix that still ends inside the clip."""
+    step = F.floor((F.col("duration_s") - F.col("anchor_s")) / fine + TOL).cast("int")
+    step = F.greatest(F.least(step, F.lit(j_max)), F.lit(j_min))
+    p = with_answers(manifest, answers, systems).withColumn("full_j", step)
+    return p.withColumn("full_pred", F.coalesce(_at(F.col("full_j")).getField("pred"), F.lit(BOT))).drop("cells")
+
+
+def per_clip_end(open_cells: DataFrame, h: float) -> DataFrame:
+    """The convention that lets points past a clip's own end pass: stable from here to its own end."""
+    off = F.col("j") * F.col("delta_s")
+    inside = off <= F.col("post_anchor_length_s") + TOL
+    g = open_cells.groupBy("system_id", "video_id", "post_anchor_length_s", "delta_s", "steps").agg(
+        F.coalesce(F.max(F.when(inside & ~F.col("ok"), F.col("j"))), F.lit(-1)).alias("lw"))
+    t = F.when(F.col("lw") < F.col("steps"), (F.col("lw") + 1) * F.col("delta_s"))
+    return g.withColumn("time_to_stable", t).withColumn(
+        "t_cens", F.coalesce(F.least(F.col("time_to_stable"), F.lit(float(h))), F.lit(float(h))))
+
+
+def dynamic_curve(open_cells: DataFrame, h: float) -> DataFrame:
+    """Stable and instantaneous accuracy on the risk set of clips that still run at each point."""
+    off = F.col("j") * F.col("delta_s")
+    alive = off <= F.col("post_anchor_length_s") + TOL
+    judged = alive & (off <= h + TOL)
+    last_bad = F.coalesce(F.max(F.when(judged & ~F.col("ok"), F.col("j"))), F.lit(-1))
+    lw = open_cells.groupBy("system_id", "video_id").agg(
+        last_bad.alias("lw"), F.collect_list(F.struct(
+            "j", F.col("ok").alias("ok"), alias_bool(alive, "alive"), alias_bool(judged, "judged"), "delta_s")).alias("pts"))
+    c = lw.select("system_id", "lw", F.explode("pts").alias("p")).select("system_id", "lw", "p.*")
+    return c.groupBy("system_id", "j", "delta_s").agg(
+        F.sum(F.col("judged").cast("bigint")).alias("risk_set"),
+        F.sum(F.col("alive").cast("bigint")).alias("alive"),
+        mean_ratio(F.sum((F.col("judged") & (F.col("j") > F.col("lw"))).cast("int")), F.sum(F.col("judged").cast("int"))).alias("s_dyn"),
+        mean_ratio(F.sum((F.col("alive") & F.col("ok")).cast("int")), F.sum(F.col("alive").cast("int"))).alias("acc"),
+    )
+
+
+def alias_bool(c: Column, name: str) -> Column:
+    return F.coalesce(c, F.lit(False)).alias(name)
+
+
+def length_gap(df: DataFrame, value: str, length: str, out: str) -> DataFrame:
+    """Mean of the long half minus mean of the short half, split at the median length; null below 4 clips."""
+    ok = df.filter(F.col(value).isNotNull() & F.col(length).isNotNull())
+    cut = ok.groupBy("system_id").agg(F.percentile(length, F.lit(0.5)).alias("_cut"), F.count(F.lit(1)).alias("_n"))
+    long_, short = F.col(length) > F.col("_cut"), F.col(length) <= F.col("_cut")
+    return ok.join(cut, "system_id").groupBy("system_id").agg(
+        F.when(F.max("_n") >= 4, F.avg(F.when(long_, F.col(value))) - F.avg(F.when(short, F.col(value)))).alias(out))

@@ -1,20 +1,55 @@
-"""The derived inputs as the registered queries use them."""
+"""The derived inputs and stored stages as the registered queries use them."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from holdfast.operators import trajectory as T
 from holdfast.operators.protocol import Protocol, reference
+from holdfast.plans.stages import stage
 from holdfast.sources import derive as D
 
 
+def raw_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    return stage(spark, sf, "manifest", lambda: D.raw_manifest(spark, sf))
+
+
+def manifest(spark: SparkSession, sf: str, split: str | None = None) -> DataFrame:
+    return D.clean(raw_manifest(spark, sf), split)
+
+
+def answers(spark: SparkSession, sf: str) -> DataFrame:
+    return stage(spark, sf, "answers", lambda: D.answers(spark, sf))
+
+
 def cells(spark: SparkSession, sf: str, h: float = 3.0, split: str | None = "test", **kw) -> DataFrame:
-    return T.read_grid(D.manifest(spark, sf, split), D.answers(spark, sf), D.SYSTEM_IDS, [reference(h)], D.DELTA, **kw)
+    return T.read_grid(manifest(spark, sf, split), answers(spark, sf), D.SYSTEM_IDS, [reference(h)], D.DELTA, **kw)
+
+
+def _all_clips(spark: SparkSession, sf: str) -> DataFrame:
+    m = manifest(spark, sf)
+    refs = [reference(h) for h in D.HORIZONS]
+    c = T.clip_table(T.read_grid(m, answers(spark, sf), D.SYSTEM_IDS, refs, D.DELTA))
+    return c.join(m.select("video_id", "split"), "video_id")
 
 
-def clips(spark: SparkSession, sf: str, h: float = 3.0, split: str | None = "test") -> DataFrame:
-    return T.clip_table(cells(spark, sf, h, split))
+def clips(spark: SparkSession, sf: str, h: float | None = 3.0, split: str | None = "test") -> DataFrame:
+    """The clip table at the reference protocols; horizon and split reach the scan as filters."""
+    c = stage(spark, sf, "clips", lambda: _all_clips(spark, sf))
+    if h is not None:
+        c = c.filter(F.col("h_s") == h)
+    return c if split is None else c.filter(F.col("split") == split)
 
 
 def clips_for(spark: SparkSession, sf: str, protocols: list[Protocol], split: str | None = "test") -> DataFrame:
-    return T.clips_at(D.manifest(spark, sf, split), D.answers(spark, sf), D.SYSTEM_IDS, protocols, D.DELTA)
+    return T.clips_at(manifest(spark, sf, split), answers(spark, sf), D.SYSTEM_IDS, protocols, D.DELTA)
+
+
+def open_cells(spark: SparkSession, sf: str, split: str | None = "test") -> DataFrame:
+    """Every stored grid point after the anchor for every clip, cohort or not."""
+    def build():
+        m = manifest(spark, sf)
+        c = T.read_grid(m, answers(spark, sf), D.SYSTEM_IDS, [reference(3.0)], D.DELTA, cohort=False, span=D.GRID_MAX)
+        return c.join(m.select("video_id", "split"), "video_id")
+    c = stage(spark, sf, "open_cells", build)
+    return c if split is None else c.filter(F.col("split") == split)

@@ -16,7 +16,7 @@ ev AS (SELECT user_id, event_id, ts, value,
     row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS rn FROM events),
 ps AS (SELECT 'u'||user_id||'_'||((rn//12)//1000)||'_'||((rn//12)%1000) AS video_id, user_id, ts, (rn%12)::INT AS pos, seen, value FROM ev),
 cl AS (SELECT video_id, user_id, count(*) AS n FROM ps GROUP BY ALL),
-at AS (SELECT video_id, user_id,
+attr AS (SELECT video_id, user_id,
     least(n, 12 - floor(5*{u("'clip|'||video_id")}*{u("'clip|'||video_id")}))::INT AS n_keep,
     0.5::DOUBLE + 0.5::DOUBLE*floor({u("'clip|'||video_id", 2)}*4) AS anchor_s,
     (CASE WHEN {u("'clip|'||video_id", 3)} < 0.25 THEN floor({u("'clip|'||video_id", 4)}*5) ELSE floor({u("'user|'||user_id")}*5) END)::INT AS class_code,
@@ -26,7 +26,7 @@ raw AS (SELECT video_id, 'u'||user_id AS source_cluster_id, user_id, anchor_s, 2
     anchor_s + (n_keep-4)*0.5::DOUBLE AS duration_s, (n_keep-4)*0.5::DOUBLE AS post_anchor_length_s,
     ((anchor_s + (n_keep-4)*0.5::DOUBLE)*20)::BIGINT AS n_frames, class_code, split,
     CASE WHEN lk < 0.03 THEN 'train' ELSE split END AS split_raw,
-    CASE WHEN dc < 0.02 THEN 'false' WHEN u3 < 0.5 THEN 'True' ELSE '1' END AS decode_ok, n_keep FROM at),
+    CASE WHEN dc < 0.02 THEN 'false' WHEN u3 < 0.5 THEN 'True' ELSE '1' END AS decode_ok, n_keep FROM attr),
 man AS (SELECT * FROM raw WHERE lower(decode_ok) IN ('true','1','yes') AND post_anchor_length_s >= 0),
 sys(system_id, eta, slope) AS (VALUES {_SYSTEMS}),
 cell AS (SELECT s.system_id, p.video_id, p.pos - 3 AS j, p.seen, p.ts, r.class_code, s.eta, s.slope,
@@ -73,3 +73,49 @@ def grid(h: float = 3.0, split: str | None = "test", name: str = "g") -> str:
 def with_base(*parts: str) -> str:
     """``WITH`` clause of the base tables plus further named parts."""
     return "WITH " + ",\n".join([BASE.strip(), *[p.strip() for p in parts]])
+
+
+def open_grid(split: str | None = "test", name: str = "o") -> str:
+    """Cells 0..8 of every clip, cohort or not, with a flag for points inside the clip."""
+    where = f"WHERE m.split = '{split}'" if split else ""
+    return f"""
+{name} AS (SELECT s.system_id, m.video_id, m.source_cluster_id, m.class_code AS y, m.post_anchor_length_s AS len, x.j::INT AS j,
+    coalesce(a.pred, -1) AS pred, (a.pred IS NOT NULL) AS present, (coalesce(a.pred, -1) = m.class_code) AS ok,
+    (x.j*0.5::DOUBLE <= m.post_anchor_length_s + 1e-9) AS inside
+    FROM man m, sys s, range(0, 9) x(j)
+    LEFT JOIN ans a ON a.system_id = s.system_id AND a.video_id = m.video_id AND a.j = x.j {where})
+"""
+
+
+def pgrid(protocols, split: str | None = "test", name: str = "pg", systems: str = "sys", answers: str = "ans") -> str:
+    """Cells and clip rows of every protocol, read by absolute time."""
+    vals = ", ".join(
+        f"('{p.pi_hash}', {p.eps_sys_s}::DOUBLE, {p.eps_jit_sd_s}::DOUBLE, {p.delta_s}::DOUBLE, {p.h_s}::DOUBLE, {p.jit_seed}::BIGINT, {str(p.in_plaus).lower()})"
+        for p in protocols)
+    where = f"AND m.split = '{split}'" if split else ""
+    draw = f"sqrt(-2.0::DOUBLE*ln({u('jit_seed||chr(124)||video_id', 1)}+1.0::DOUBLE/4294967296.0::DOUBLE))*cos(2.0::DOUBLE*pi()*{u('jit_seed||chr(124)||video_id', 2)})"
+    return f"""
+{name}p(pi_hash, eps_sys_s, eps_jit_sd_s, delta_s, h_s, jit_seed, in_plaus) AS (VALUES {vals}),
+{name}j AS (SELECT m.*, p.*, CASE WHEN eps_jit_sd_s > 0 THEN {draw}*eps_jit_sd_s ELSE 0.0::DOUBLE END AS jitter_s FROM man m, {name}p p WHERE true {where}),
+{name}e AS (SELECT *, least(greatest(anchor_s+eps_sys_s+jitter_s, 0.0::DOUBLE), duration_s) AS anchor_s_eff,
+    abs(least(greatest(anchor_s+eps_sys_s+jitter_s, 0.0::DOUBLE), duration_s) - (anchor_s+eps_sys_s+jitter_s)) > 1e-9 AS anchor_clipped,
+    duration_s - least(greatest(anchor_s+eps_sys_s+jitter_s, 0.0::DOUBLE), duration_s) AS leff FROM {name}j),
+{name}g AS (SELECT e.*, floor(h_s/delta_s+1e-9)::INT AS steps, unnest(range(0, floor(h_s/delta_s+1e-9)::BIGINT+1))::INT AS j FROM {name}e e WHERE leff >= h_s - 1e-9),
+{name}l AS (SELECT *, round_even((anchor_s_eff + j*delta_s - anchor_s)/0.5::DOUBLE, 0)::INT AS base_j FROM {name}g),
+{name} AS (SELECT s.system_id, g.*, g.class_code AS y, coalesce(a.pred,-1) AS pred, (a.pred IS NOT NULL) AS present, (coalesce(a.pred,-1)=g.class_code) AS ok,
+    CASE WHEN g.j IN (0, g.steps) THEN g.delta_s/2 ELSE g.delta_s END AS w
+    FROM {name}l g CROSS JOIN {systems} s LEFT JOIN {answers} a ON a.system_id=s.system_id AND a.video_id=g.video_id AND a.j=g.base_j),
+{name}s AS (SELECT *, min(ok::INT) OVER (PARTITION BY pi_hash, system_id, video_id ORDER BY j ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS stable,
+    lag(pred) OVER (PARTITION BY pi_hash, system_id, video_id ORDER BY j) AS prev FROM {name}),
+{name}c AS (SELECT pi_hash, system_id, video_id, any_value(eps_sys_s) AS eps_sys_s, any_value(eps_jit_sd_s) AS eps_jit_sd_s, any_value(delta_s) AS delta_s,
+    any_value(h_s) AS h_s, any_value(in_plaus) AS in_plaus, any_value(source_cluster_id) AS source_cluster_id, any_value(y) AS y, any_value(steps) AS steps,
+    sum(w*(1-stable)) AS delay, sum(w*(1-ok::INT)) AS err, max(CASE WHEN j=steps THEN ok::INT END) AS endok,
+    CASE WHEN any_value(h_s) >= 1.0-1e-9 AND any_value(steps) >= round_even(1.0::DOUBLE/any_value(delta_s),0) THEN max(CASE WHEN j=round_even(1.0::DOUBLE/delta_s,0) THEN stable END) END AS s1,
+    CASE WHEN any_value(h_s) >= 3.0-1e-9 AND any_value(steps) >= round_even(3.0::DOUBLE/any_value(delta_s),0) THEN max(CASE WHEN j=round_even(3.0::DOUBLE/delta_s,0) THEN stable END) END AS s3,
+    sum(CASE WHEN prev IS NOT NULL AND prev<>pred THEN 1 ELSE 0 END)::BIGINT AS flips, sum((NOT present)::INT)::BIGINT AS missing
+    FROM {name}s GROUP BY pi_hash, system_id, video_id),
+{name}m AS (SELECT pi_hash, system_id, avg(a) AS end_macro_acc FROM (SELECT pi_hash, system_id, y, avg(endok) AS a FROM {name}c GROUP BY ALL) GROUP BY ALL),
+{name}f AS (SELECT c.pi_hash, c.system_id, any_value(eps_sys_s) AS eps_sys_s, any_value(eps_jit_sd_s) AS eps_jit_sd_s, any_value(delta_s) AS delta_s, any_value(h_s) AS h_s,
+    any_value(in_plaus) AS in_plaus, count(*)::BIGINT AS n_clips, avg(delay) AS rmscd, avg(s1) AS s_at_1, avg(s3) AS s_at_3, median(flips)::DOUBLE AS median_flips,
+    any_value(m.end_macro_acc) AS end_macro_acc, sum(missing)::BIGINT AS n_missing FROM {name}c c JOIN {name}m m ON m.pi_hash=c.pi_hash AND m.system_id=c.system_id GROUP BY c.pi_hash, c.system_id)
+"""

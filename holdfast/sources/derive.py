@@ -47,15 +47,16 @@ def event_class(c: Column) -> Column:
     return (F.array_position(F.array(*[F.lit(x) for x in EVENT_CLASSES]), c) - 1).cast("int")
 
 
-def clip_rows(events: DataFrame, bucket_seconds: int = 60) -> DataFrame:
+def clip_rows(events: DataFrame, bucket_chars: int = 16) -> DataFrame:
     """Number each user's events in time order, cut them into clips, attach the clip attributes.
 
     Users are ranked in time buckets, so a user holding a third of all events is spread over many
-    tasks; a clip itself never has more than twelve rows.
+    tasks; a clip itself never has more than twelve rows. A bucket is a prefix of the ISO time
+    (16 characters: one minute), which orders like the time and depends on no time zone.
     """
     e = events.select("user_id", "event_id", "ts", event_class(F.col("event_type")).alias("seen"), "value")
     ranked = bucketed_running(
-        e, ["user_id"], F.floor(F.unix_micros("ts") / (bucket_seconds * 1000000)),
+        e, ["user_id"], F.substring(F.col("ts").cast("string"), 1, bucket_chars),
         [F.col("ts"), F.col("event_id")], "rank",
     )
     rn = F.col("rank") - 1
@@ -98,9 +99,9 @@ def raw_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def manifest(spark: SparkSession, sf_dir: str, split: str | None = None) -> DataFrame:
+def clean(raw: DataFrame, split: str | None = None) -> DataFrame:
     """The clean manifest: readable clips with a valid anchor, optionally one split."""
-    m = raw_manifest(spark, sf_dir).filter(
+    m = raw.filter(
         F.lower("decode_ok").isin("true", "1", "yes") & (F.col("post_anchor_length_s") >= 0)
     ).drop("split_raw", "decode_ok")
     return m if split is None else m.filter(F.col("split") == split)
