@@ -4,8 +4,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from holdfast.operators import arms as R
 from holdfast.operators import trajectory as T
-from holdfast.operators.protocol import Protocol, reference
+from holdfast.operators.protocol import Protocol, axis_scan, neighbour_grid, plausible_grid, reference
 from holdfast.plans.stages import stage
 from holdfast.sources import derive as D
 
@@ -53,3 +54,30 @@ def open_cells(spark: SparkSession, sf: str, split: str | None = "test") -> Data
         return c.join(m.select("video_id", "split"), "video_id")
     c = stage(spark, sf, "open_cells", build)
     return c if split is None else c.filter(F.col("split") == split)
+
+
+def scan_protocols() -> list[Protocol]:
+    """Union of the plausible grid and, per horizon, the axis walk and the neighbour product."""
+    every = plausible_grid()
+    for h in D.HORIZONS:
+        every = every + axis_scan(h) + neighbour_grid(h)
+    return list({p.pi_hash: p for p in every}.values())
+
+
+def family(spark: SparkSession, sf: str) -> DataFrame:
+    """The frozen metric family of every (system, protocol) on the test split, controls included."""
+    def build():
+        m = manifest(spark, sf, "test")
+        lib = answers(spark, sf).select("system_id", "video_id", "j", "pred", "committed")
+        ctl = R.control_answers(m, R.CONTROLS, D.DELTA, D.J_MIN, D.J_MAX).select("system_id", "video_id", "j", "pred", "committed")
+        ids = D.SYSTEM_IDS + [c.system_id for c in R.CONTROLS]
+        c = T.clips_at(m, lib.unionByName(ctl), ids, scan_protocols(), D.DELTA)
+        f = T.frozen_family(c, ["system_id", *T.PI])
+        miss = c.groupBy("system_id", "pi_hash").agg(F.sum("n_missing").alias("n_missing"))
+        return f.join(miss, ["system_id", "pi_hash"]).withColumn("is_block", F.col("system_id").startswith("block__"))
+    return stage(spark, sf, "family", build)
+
+
+def scan(spark: SparkSession, sf: str) -> DataFrame:
+    """The scan table: (system, is_block, protocol knobs, metric, value)."""
+    return T.long_metrics(family(spark, sf), ["system_id", "is_block", *T.PI])
