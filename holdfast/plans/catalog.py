@@ -1,3 +1,3 @@
 """All registered queries."""
-from holdfast.plans import queries_a, queries_d, queries_f  # noqa: F401
+from holdfast.plans import queries_a, queries_b, queries_c, queries_d, queries_f  # noqa: F401
 from holdfast.plans.registry import ORACLES, QUERIES  # noqa: F401
