@@ -5,8 +5,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from holdfast.operators import arms as R
+from holdfast.operators import inference as G
 from holdfast.operators import trajectory as T
-from holdfast.operators.protocol import Protocol, axis_scan, neighbour_grid, plausible_grid, reference
+from holdfast.operators.protocol import Protocol, axis_scan, eligible, neighbour_grid, plausible_grid, reference
 from holdfast.plans.stages import stage
 from holdfast.sources import derive as D
 
@@ -81,3 +82,26 @@ def family(spark: SparkSession, sf: str) -> DataFrame:
 def scan(spark: SparkSession, sf: str) -> DataFrame:
     """The scan table: (system, is_block, protocol knobs, metric, value)."""
     return T.long_metrics(family(spark, sf), ["system_id", "is_block", *T.PI])
+
+
+# Replicates and seed of the registered bootstrap queries.
+N_BOOT = 200
+SEED = 20260903
+
+
+def draws(spark: SparkSession, sf: str) -> DataFrame:
+    """Shared cluster draws of the reference cohort."""
+    def build():
+        m = manifest(spark, sf, "test").filter(eligible(F.col("post_anchor_length_s"), D.H_REF))
+        return G.cluster_draws(m, N_BOOT, SEED)
+    return stage(spark, sf, "draws", build)
+
+
+def samples(spark: SparkSession, sf: str) -> DataFrame:
+    """The frozen family of every system in every replicate."""
+    return stage(spark, sf, "samples", lambda: G.family_samples(clips(spark, sf), draws(spark, sf)))
+
+
+def points(spark: SparkSession, sf: str) -> DataFrame:
+    """The frozen family of every system at the reference protocol: (system_id, metric, value)."""
+    return stage(spark, sf, "points", lambda: T.long_metrics(T.frozen_family(clips(spark, sf), ["system_id", "h_s"]), ["system_id"]))
