@@ -116,3 +116,8 @@ def source_cluster(video_id: Column) -> Column:
 def mean_ratio(num: Column, den: Column) -> Column:
     """Quotient, null where the denominator is zero: undefined is not zero."""
     return F.when(den != 0, num / den)
+
+
+def correlation(x: Column, y: Column) -> Column:
+    """Pearson correlation as an aggregate; null where a side does not vary, instead of an error."""
+    return mean_ratio(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from holdfast.functions.exprs import TIE, mean_ratio, sign_tol
+from holdfast.functions.exprs import TIE, correlation, mean_ratio, sign_tol
 
 
 def sweep_choice(summary: DataFrame) -> DataFrame:
@@ -87,4 +87,4 @@ def spearman(df: DataFrame, by: list[str], x: str, y: str, out: str) -> DataFram
     d = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
     d = d.withColumn("_x", average_rank(by, x)).withColumn("_y", average_rank(by, y))
     varies = (F.max(x) > F.min(x)) & (F.max(y) > F.min(y)) & (F.count(F.lit(1)) > 1)
-    return d.groupBy(*by).agg(F.when(varies, F.corr("_x", "_y")).alias(out))
+    return d.groupBy(*by).agg(F.when(varies, correlation(F.col("_x"), F.col("_y"))).alias(out))

@@ -17,7 +17,7 @@ ev AS (SELECT user_id, event_id, ts, value,
 ps AS (SELECT 'u'||user_id||'_'||((rn//12)//1000)||'_'||((rn//12)%1000) AS video_id, user_id, ts, (rn%12)::INT AS pos, seen, value FROM ev),
 cl AS (SELECT video_id, user_id, count(*) AS n FROM ps GROUP BY ALL),
 attr AS (SELECT video_id, user_id,
-    least(n, 12 - floor(5*{u("'clip|'||video_id")}*{u("'clip|'||video_id")}))::INT AS n_keep,
+    least(n, 12 - floor(5*{u("'clip|'||video_id")}))::INT AS n_keep,
     0.5::DOUBLE + 0.5::DOUBLE*floor({u("'clip|'||video_id", 2)}*4) AS anchor_s,
     (CASE WHEN {u("'clip|'||video_id", 3)} < 0.25 THEN floor({u("'clip|'||video_id", 4)}*5) ELSE floor({u("'user|'||user_id")}*5) END)::INT AS class_code,
     CASE WHEN {u("'user|'||user_id", 2)} < 0.2 THEN 'dev' WHEN {u("'user|'||user_id", 2)} < 0.4 THEN 'train' ELSE 'test' END AS split,

@@ -77,7 +77,7 @@ def clip_rows(events: DataFrame, bucket_chars: int = 16) -> DataFrame:
     own = F.floor(uniform(clip, 4) * N_CLASSES)
     split = F.when(part < 0.2, "dev").when(part < 0.4, "train").otherwise("test")
     return (
-        rows.withColumn("n_keep", F.least(n, 12 - F.floor(5 * uniform(clip, 1) * uniform(clip, 1))).cast("int"))
+        rows.withColumn("n_keep", F.least(n, 12 - F.floor(5 * uniform(clip, 1))).cast("int"))
         .withColumn("anchor_s", 0.5 + 0.5 * F.floor(uniform(clip, 2) * 4))
         .withColumn("post_anchor_length_s", (F.col("n_keep") - 4) * F.lit(DELTA))
         .withColumn("class_code", F.when(uniform(clip, 3) < 0.25, own).otherwise(label).cast("int"))
