@@ -21,10 +21,10 @@ def validate_track(obs: DataFrame) -> DataFrame:
     """Counts of what must not happen: duplicates, uneven cohorts, clips whose cluster or class differ, values outside [0, 1]."""
     cell = obs.groupBy("system_id", "video_id").agg(F.count(F.lit(1)).alias("n"))
     dup = cell.agg(F.sum((F.col("n") > 1).cast("bigint")).alias("n")).select(F.lit("duplicate_observation").alias("rule"), "n")
-    n_sys = obs.select("system_id").distinct().agg(F.count(F.lit(1)).alias("_s"))
+    n_sys = obs.select("system_id").distinct().agg(F.count(F.lit(1))).scalar()
     per = obs.groupBy("video_id").agg(
         F.count_distinct("system_id").alias("n_sys"), (F.min("source_cluster_id") != F.max("source_cluster_id")).alias("_c"), (F.min("class_code") != F.max("class_code")).alias("_k"))
-    uneven = per.join(F.broadcast(n_sys)).agg(F.sum((F.col("n_sys") != F.col("_s")).cast("bigint")).alias("n")).select(F.lit("uneven_cohort").alias("rule"), "n")  # one row, from a global aggregate
+    uneven = per.withColumn("_off", F.col("n_sys") != n_sys).agg(F.sum(F.col("_off").cast("bigint")).alias("n")).select(F.lit("uneven_cohort").alias("rule"), "n")
     meta = per.agg(F.sum((F.col("_c") | F.col("_k")).cast("bigint")).alias("n")).select(F.lit("inconsistent_clip").alias("rule"), "n")
     value = obs.agg(F.sum((F.col("value").isNull() | ~F.col("value").between(0, 1)).cast("bigint")).alias("n")).select(F.lit("value_outside").alias("rule"), "n")
     return dup.unionByName(uneven).unionByName(meta).unionByName(value)

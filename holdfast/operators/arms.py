@@ -144,12 +144,12 @@ def consecutive_accept(steps: DataFrame, reliable: Column, v: int) -> DataFrame:
 def baseline_answers(manifest: DataFrame, fine: float, j_min: int, j_max: int) -> DataFrame:
     """Train-majority, random, truth and never-answer tables on the real clip axis."""
     counts = manifest.filter("split = 'train'").groupBy("class_code").agg(F.count(F.lit(1)).alias("n"))
-    top = counts.agg(F.min_by("class_code", F.struct(-F.col("n"), "class_code")).alias("majority"))
+    top = counts.agg(F.min_by("class_code", F.struct(-F.col("n"), "class_code"))).scalar()
     grid = manifest.select("video_id", "class_code", F.explode(F.sequence(F.lit(j_min), F.lit(j_max))).alias("j"))
     kinds = F.array(*[F.lit(k) for k in ("majority", "random", "oracle", "constbot")])
-    g = grid.withColumn("kind", F.explode(kinds)).join(F.broadcast(top))  # one row, from a global aggregate
+    g = grid.withColumn("kind", F.explode(kinds))
     draw = F.floor(uniform(F.concat_ws("|", F.lit("random"), "video_id", "j")) * N_CLASSES)
-    pred = (F.when(F.col("kind") == "majority", F.col("majority")).when(F.col("kind") == "random", draw)
+    pred = (F.when(F.col("kind") == "majority", top).when(F.col("kind") == "random", draw)
             .when(F.col("kind") == "oracle", F.col("class_code")).otherwise(BOT).cast("int"))
     return g.select(F.concat(F.lit("trivial__"), "kind").alias("system_id"), "video_id", "j", F.lit(fine).alias("delta_s"),
                     pred.alias("pred"), F.lit(False).alias("committed"))

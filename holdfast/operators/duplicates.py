@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from holdfast.operators.ranking import salted_join
 from holdfast.session import cut
 
 NEAR = 8
@@ -52,7 +53,7 @@ def identical_groups(items: DataFrame, key: str, digest: list[str]) -> DataFrame
 def star_edges(items: DataFrame, key: str, digest: list[str]) -> DataFrame:
     """One edge from every member to its group's representative."""
     rep = items.groupBy(*digest).agg(F.min(key).alias("a"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    return items.join(rep, digest).filter(F.col(key) != F.col("a")).select("a", F.col(key).alias("b")).distinct()
+    return salted_join(items, rep, digest).filter(F.col(key) != F.col("a")).select("a", F.col(key).alias("b")).distinct()
 
 
 def same_fingerprint(items: DataFrame, key: str, digest: str) -> DataFrame:
@@ -135,18 +136,6 @@ def longest_equal_run(pairs: DataFrame, frames: DataFrame) -> DataFrame:
         "leakage_candidate", temporal | (exact & (F.col("distinct_contents") >= 3)))
 
 
-def salted_join(edges: DataFrame, lookup: DataFrame, key: str, hot_rows: int = 1_000_000, salts: int = 64) -> DataFrame:
-    """Join edges to a table with one row per key, spreading keys with more than ``hot_rows`` edges.
-
-    The list of hot keys has at most rows / hot_rows entries, so its size is bounded by construction.
-    """
-    hot = edges.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows).select(key, F.lit(True).alias("_hot"))
-    other = [c for c in edges.columns if c != key]
-    e = edges.join(F.broadcast(hot), key, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.hash(*other), F.lit(salts))).otherwise(F.lit(0)))
-    l = lookup.join(F.broadcast(hot), key, "left").withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
-    return e.drop("_hot").join(l.drop("_hot"), [key, "_salt"]).drop("_salt")
-
-
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components: every node with the smallest node of its component.
 
@@ -158,11 +147,11 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     both = cut(both, "edges")
     labels = both.select(F.col("u").alias("node")).distinct().withColumn("label", F.col("node"))
     for _ in range(max_rounds):
-        near = salted_join(both.withColumnRenamed("v", "node"), labels, "node").groupBy(F.col("u").alias("node")).agg(F.min("label").alias("_near"))
+        near = salted_join(both.withColumnRenamed("v", "node"), labels, ["node"]).groupBy(F.col("u").alias("node")).agg(F.min("label").alias("_near"))
         step = labels.join(near, "node").select("node", "label", F.least("label", "_near").alias("_new"))
         step = cut(step, "labels")
         jump = step.select(F.col("node").alias("_new"), F.col("_new").alias("_far"))
-        nxt = salted_join(step, jump.withColumnRenamed("_far", "_to"), "_new").select("node", F.col("label").alias("_old"), F.least("_new", "_to").alias("label"))
+        nxt = salted_join(step, jump.withColumnRenamed("_far", "_to"), ["_new"]).select("node", F.col("label").alias("_old"), F.least("_new", "_to").alias("label"))
         nxt = cut(nxt, "labels")
         if nxt.filter("_old <> label").isEmpty():
             return nxt.select("node", F.col("label").alias("component"))
@@ -201,7 +190,8 @@ def guard_components(members: DataFrame, partition: str, source: str) -> DataFra
     """Quarantine every component that crosses a partition or a source, before any other filter."""
     g = members.groupBy("component").agg(
         (F.min(partition) != F.max(partition)).alias("_p"), (F.min(source) != F.max(source)).alias("_s"), F.count(F.lit(1)).alias("component_size"))
-    return members.join(g.select("component", "component_size", (F.coalesce("_p", F.lit(False)) | F.coalesce("_s", F.lit(False))).alias("quarantined")), "component")
+    flags = g.select("component", "component_size", (F.coalesce("_p", F.lit(False)) | F.coalesce("_s", F.lit(False))).alias("quarantined"))
+    return salted_join(members, flags, ["component"])
 
 
 def runs_with_gaps(matches: DataFrame, keys: list[str], order: str, gap: int) -> DataFrame:

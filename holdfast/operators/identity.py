@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from holdfast.functions.exprs import source_cluster
-from holdfast.operators.ranking import bucketed_running, hash_rank
+from holdfast.operators.ranking import bucketed_running, hash_rank, salted_join
 
 
 def cluster_mismatches(manifest: DataFrame) -> DataFrame:
@@ -34,7 +34,7 @@ def repair_leaks(manifest: DataFrame, split: str) -> DataFrame:
     """
     t = manifest.groupBy("source_cluster_id").agg(
         F.max((F.col(split) == "dev").cast("int")).alias("_dev"), (F.min(split) != F.max(split)).alias("_many"))
-    m = manifest.join(t, "source_cluster_id")
+    m = salted_join(manifest, t, ["source_cluster_id"])
     new = F.when(~F.col("_many"), F.col(split)).when(F.col("_dev") == 1, "dev").otherwise("train")
     return m.withColumn("split_new", new).withColumn("moved", new != F.col(split)).drop("_dev", "_many")
 
@@ -44,9 +44,8 @@ def carve_out(manifest: DataFrame, frac: float, seed: int) -> DataFrame:
     sizes = manifest.groupBy("source_cluster_id").agg(F.count(F.lit(1)).alias("n"))
     h = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("source_cluster_id")))
     run = bucketed_running(sizes.withColumn("_h", h), [], F.substring("_h", 1, 3), [F.col("_h"), F.col("source_cluster_id")], "_sum", F.col("n"))
-    total = sizes.agg(F.round(F.sum("n") * F.lit(frac)).alias("_target"))
-    run = run.join(F.broadcast(total))  # one row, from a global aggregate
-    return run.withColumn("chosen", F.col("_sum") - F.col("n") < F.col("_target")).select("source_cluster_id", "n", "chosen")
+    target = sizes.agg(F.round(F.sum("n") * F.lit(frac))).scalar()
+    return run.withColumn("chosen", F.col("_sum") - F.col("n") < target).select("source_cluster_id", "n", "chosen")
 
 
 def cluster_class(manifest: DataFrame) -> DataFrame:

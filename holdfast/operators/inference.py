@@ -22,19 +22,19 @@ def cluster_draws(clusters: DataFrame, n_boot: int, seed: int | str) -> DataFram
     """
     idx = hash_rank(clusters.select("source_cluster_id").distinct(), [], F.col("source_cluster_id"), [F.col("source_cluster_id")], "_i")
     idx = idx.withColumn("_i", F.col("_i") - 1)
-    k = idx.agg(F.count(F.lit(1)).alias("_k"))
-    slots = idx.join(F.broadcast(k)).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))  # one row, from a global aggregate
+    k = idx.agg(F.count(F.lit(1))).scalar()
+    slots = idx.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
     u = uniform(F.concat_ws("|", F.lit(f"boot{seed}"), "b", "_i"))
-    picks = slots.groupBy("b", F.floor(u * F.col("_k")).alias("_i")).agg(F.count(F.lit(1)).alias("w"))
+    picks = slots.groupBy("b", F.floor(u * k).alias("_i")).agg(F.count(F.lit(1)).alias("w"))
     return picks.join(idx, "_i").select("b", "source_cluster_id", "w")
 
 
 def supported_draws(draws: DataFrame, cluster_classes: DataFrame, n_boot: int) -> DataFrame:
     """The first ``n_boot`` replicates in which every class has a drawn cluster, and how many were passed over."""
-    classes = cluster_classes.select("class_code").distinct().agg(F.count(F.lit(1)).alias("_all"))
+    classes = cluster_classes.select("class_code").distinct().agg(F.count(F.lit(1))).scalar()
     seen = draws.select("b", "source_cluster_id").join(cluster_classes.select("source_cluster_id", "class_code"), "source_cluster_id")
     seen = seen.groupBy("b", "class_code").agg(F.count(F.lit(1)).alias("n")).groupBy("b").agg(F.count(F.lit(1)).alias("_c"))
-    s = seen.join(F.broadcast(classes)).withColumn("ok", F.col("_c") == F.col("_all"))  # one row, from a global aggregate
+    s = seen.withColumn("ok", F.col("_c") == classes)
     order = Window.partitionBy(F.lit(0)).orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
     s = s.withColumn("_r", F.sum(F.col("ok").cast("int")).over(order)).withColumn("_bad", F.sum((~F.col("ok")).cast("int")).over(order))
     return s.filter(F.col("ok") & (F.col("_r") <= n_boot)).select("b", (F.col("_r") - 1).alias("rep"), F.col("_bad").alias("rejected_before"))
@@ -181,9 +181,9 @@ def simultaneous_band(points: DataFrame, reps: DataFrame, keys: list[str], alpha
     s = points.join(se, keys).withColumn("zero_variance", F.col("se") < 1e-12)
     scale = F.when(F.col("zero_variance"), 1.0).otherwise(F.col("se"))
     z = reps.withColumnRenamed("value", "_rep").join(s, keys).withColumn("_z", F.abs((F.col("_rep") - F.col("value")) / scale))
-    top = z.groupBy("b").agg(F.max("_z").alias("_z")).agg(F.percentile("_z", F.lit(1 - alpha)).alias("bootstrap_critical"))
-    size = s.agg(F.count(F.lit(1)).alias("n_coordinates"))
-    band = s.join(F.broadcast(top)).join(F.broadcast(size))  # one row each, from global aggregates
+    top = z.groupBy("b").agg(F.max("_z").alias("_z")).agg(F.percentile("_z", F.lit(1 - alpha))).scalar()
+    size = points.agg(F.count(F.lit(1))).scalar()
+    band = s.withColumn("bootstrap_critical", top).withColumn("n_coordinates", size)
     guard = F.lit(0.0) if df is None else student_upper(F.lit(alpha) / (2 * F.col("n_coordinates")), df)
     band = band.withColumn("guard", guard).withColumn("critical", F.greatest("bootstrap_critical", "guard"))
     radius = F.col("critical") * F.when(F.col("zero_variance"), 0.0).otherwise(F.col("se"))
@@ -199,5 +199,6 @@ def robust_status(lo_min: Column, lo_max: Column, hi_min: Column, hi_max: Column
 
 def with_terciles(df: DataFrame, cuts: DataFrame, length: str) -> DataFrame:
     """Stratum 0, 1 or 2 by two cuts (one row); a value on a cut belongs to the lower stratum."""
-    x = F.col(length)
-    return df.join(F.broadcast(cuts)).withColumn("stratum", F.when(x <= F.col("c1"), 0).when(x <= F.col("c2"), 1).otherwise(2)).drop("c1", "c2")
+    x, c = F.col(length), cuts.select(F.struct("c1", "c2")).scalar()
+    d = df.withColumn("_cut", c)
+    return d.withColumn("stratum", F.when(x <= F.col("_cut.c1"), 0).when(x <= F.col("_cut.c2"), 1).otherwise(2)).drop("_cut")

@@ -50,3 +50,19 @@ def hash_rank(df: DataFrame, group: list[str], key: Column, tie: list[Column], o
     return bucketed_running(
         hashed, group, F.substring("_h", 1, 3), [F.col("_h"), *tie], out
     ).drop("_h")
+
+
+def salted_join(rows: DataFrame, lookup: DataFrame, keys: list[str], how: str = "inner", hot_rows: int = 1_000_000, salts: int = 64) -> DataFrame:
+    """Join rows to a table with one row per key, spreading keys held by more than ``hot_rows`` rows.
+
+    Rows of a hot key get one of ``salts`` numbers and the key's single lookup row is repeated for each
+    of them. There are at most rows / hot_rows hot keys, so the list sent to all tasks is bounded by
+    construction.
+    """
+    hot = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows).select(*keys, F.lit(True).alias("_hot"))
+    other = [c for c in rows.columns if c not in keys]
+    r = rows.join(F.broadcast(hot), keys, "left")
+    r = r.withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*other), F.lit(salts))).otherwise(F.lit(0)).cast("int")).drop("_hot")
+    spread = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    l = lookup.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.explode(spread)).drop("_hot")
+    return r.join(l, [*keys, "_salt"], how).drop("_salt")

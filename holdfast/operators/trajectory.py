@@ -267,9 +267,12 @@ def alias_bool(c: Column, name: str) -> Column:
 
 
 def length_gap(df: DataFrame, value: str, length: str, out: str) -> DataFrame:
-    """Mean of the long half minus mean of the short half, split at the median length; null below 4 clips."""
+    """Mean of the long half minus mean of the short half, split at the median length; null below 4 clips.
+
+    The cuts are one row per registered system, so sending them to all tasks is bounded.
+    """
     ok = df.filter(F.col(value).isNotNull() & F.col(length).isNotNull())
     cut = ok.groupBy("system_id").agg(F.percentile(length, F.lit(0.5)).alias("_cut"), F.count(F.lit(1)).alias("_n"))
     long_, short = F.col(length) > F.col("_cut"), F.col(length) <= F.col("_cut")
-    return ok.join(cut, "system_id").groupBy("system_id").agg(
+    return ok.join(F.broadcast(cut), "system_id").groupBy("system_id").agg(
         F.when(F.max("_n") >= 4, F.avg(F.when(long_, F.col(value))) - F.avg(F.when(short, F.col(value)))).alias(out))

@@ -182,10 +182,9 @@ def c18(spark, sf):
 @query("c19_horizon_candidates", with_base() + ", q AS (SELECT unnest([0.25,0.5,0.75]::DOUBLE[]) AS p, unnest(quantile_cont(post_anchor_length_s, [0.25,0.5,0.75])) AS h FROM man WHERE split='dev') SELECT p AS quantile, round(h,6) AS horizon_s, sum((post_anchor_length_s>=h-1e-9 AND split='dev')::INT)::BIGINT AS n_dev, sum((post_anchor_length_s>=h-1e-9 AND split='test')::INT)::BIGINT AS n_test FROM q, man GROUP BY p, h")
 def c19(spark, sf):
     """Quantiles of development lengths only; each horizon's cohort is then counted."""
-    q = manifest(spark, sf, "dev").agg(F.percentile("post_anchor_length_s", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    q = manifest(spark, sf, "dev").agg(F.percentile("post_anchor_length_s", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))).scalar()
     tally = manifest(spark, sf).groupBy("split", "post_anchor_length_s").agg(F.count(F.lit(1)).alias("n"))
-    h = q.select(F.posexplode("q").alias("i", "h"))
-    j = tally.join(F.broadcast(h), F.col("post_anchor_length_s") >= F.col("h") - TOL)  # three rows
+    j = tally.select("*", F.posexplode(q).alias("i", "h")).filter(F.col("post_anchor_length_s") >= F.col("h") - TOL)
     return j.groupBy("i", "h").agg(
         F.sum(F.when(F.col("split") == "dev", F.col("n")).otherwise(0)).alias("n_dev"), F.sum(F.when(F.col("split") == "test", F.col("n")).otherwise(0)).alias("n_test")).select(
         ((F.col("i") + 1) * 0.25).alias("quantile"), r6("h").alias("horizon_s"), "n_dev", "n_test")

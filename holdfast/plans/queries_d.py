@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from holdfast.functions.exprs import TOL, mean_ratio, r6, stable_delay
 from holdfast.operators import trajectory as T
 from holdfast.operators.protocol import Protocol, reference
+from holdfast.operators.ranking import salted_join
 from holdfast.plans.common import answers, cells, clips, clips_for, manifest, open_cells
 from holdfast.plans.oracle import grid, open_grid, pgrid, with_base
 from holdfast.plans.registry import query
@@ -371,7 +372,7 @@ def d28(spark, sf):
     """Means with clip weights (here one unit per source cluster) and with equal class mass."""
     c = clips(spark, sf)
     size = c.groupBy("system_id", "source_cluster_id").agg((1.0 / F.count(F.lit(1))).alias("wt"))
-    c = c.join(size, ["system_id", "source_cluster_id"])
+    c = salted_join(c, size, ["system_id", "source_cluster_id"])
     d, e = T.weighted_mean(c, ["system_id"], "delay", "wt", "delay"), T.weighted_mean(c, ["system_id"], "end_ok", "wt", "end")
     j = d.join(e, "system_id")
     return j.select("system_id", *[r6(x).alias(x) for x in ("delay_micro", "delay_macro", "end_micro", "end_macro")],

@@ -38,13 +38,28 @@ def f01(spark, sf):
     return steps(spark, sf).groupBy("system_id", "j", F.col("base").alias("pred")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _ema_sql(alpha):
-    return f"""WITH RECURSIVE {BASE[5:]}, e(system_id, video_id, j, q) AS (SELECT system_id, video_id, j, probs FROM dn WHERE j=-3 UNION ALL
- SELECT d.system_id, d.video_id, d.j, CASE WHEN d.probs IS NULL THEN e.q WHEN e.q IS NULL THEN d.probs ELSE [{alpha}::DOUBLE*d.probs[1]+{1.0 - alpha}::DOUBLE*e.q[1], {alpha}::DOUBLE*d.probs[2]+{1.0 - alpha}::DOUBLE*e.q[2], {alpha}::DOUBLE*d.probs[3]+{1.0 - alpha}::DOUBLE*e.q[3], {alpha}::DOUBLE*d.probs[4]+{1.0 - alpha}::DOUBLE*e.q[4], {alpha}::DOUBLE*d.probs[5]+{1.0 - alpha}::DOUBLE*e.q[5]] END
- FROM e JOIN dn d ON d.system_id=e.system_id AND d.video_id=e.video_id AND d.j=e.j+1)"""
+RECURSIVE = "WITH RECURSIVE " + BASE[5:]
+_NEXT = "JOIN dn d ON d.system_id=e.system_id AND d.video_id=e.video_id AND d.j=e.j+1"
 
 
-@query("f02_ema", _ema_sql(0.35) + " SELECT system_id, video_id, j, (CASE WHEN q IS NULL THEN -1 ELSE list_position(q, list_max(q))-1 END)::INT AS pred, round(list_max(q),6) AS top FROM e")
+def ema_cte(name, alpha):
+    blend = ", ".join(f"{alpha}::DOUBLE*d.probs[{k}]+{1.0 - alpha}::DOUBLE*e.q[{k}]" for k in range(1, 6))
+    return f""", {name}(system_id, video_id, j, q) AS (SELECT system_id, video_id, j, probs FROM dn WHERE j=-3 UNION ALL
+ SELECT d.system_id, d.video_id, d.j, CASE WHEN d.probs IS NULL THEN e.q WHEN e.q IS NULL THEN d.probs ELSE [{blend}] END FROM {name} e {_NEXT})"""
+
+
+def hysteresis_cte(name, margin):
+    return f""", {name}(system_id, video_id, j, cur) AS (SELECT system_id, video_id, j, base FROM dn WHERE j=-3 UNION ALL
+ SELECT d.system_id, d.video_id, d.j, (CASE WHEN d.base<>-1 AND (e.cur=-1 OR (d.base<>e.cur AND coalesce(d.probs[d.base+1],0)-coalesce(d.probs[e.cur+1],0) > {margin}::DOUBLE)) THEN d.base ELSE e.cur END)::INT FROM {name} e {_NEXT})"""
+
+
+def patience_cte(name, n):
+    run = "(CASE WHEN d.base=e.cand THEN e.run+1 ELSE 1 END)"
+    return f""", {name}(system_id, video_id, j, cur, cand, run) AS (SELECT system_id, video_id, j, base, -1, 0 FROM dn WHERE j=-3 UNION ALL
+ SELECT d.system_id, d.video_id, d.j, (CASE WHEN d.base<>-1 AND (e.cur=-1 OR (d.base<>e.cur AND {run}>={n})) THEN d.base ELSE e.cur END)::INT, d.base, {run} FROM {name} e {_NEXT})"""
+
+
+@query("f02_ema", RECURSIVE + ema_cte("e", 0.35) + " SELECT system_id, video_id, j, (CASE WHEN q IS NULL THEN -1 ELSE list_position(q, list_max(q))-1 END)::INT AS pred, round(list_max(q),6) AS top FROM e")
 def f02(spark, sf):
     return R.ema(dense(spark, sf), 0.35).select("system_id", "video_id", "j", "pred", r6(F.array_max("probs")).alias("top"))
 
@@ -60,20 +75,12 @@ def f03(spark, sf):
     return m.select("system_id", "video_id", "j", "pred", r6(F.array_max("probs")).alias("top_share"))
 
 
-_HYST = f"""WITH RECURSIVE {BASE[5:]}, e(system_id, video_id, j, cur) AS (SELECT system_id, video_id, j, base FROM dn WHERE j=-3 UNION ALL
- SELECT d.system_id, d.video_id, d.j, (CASE WHEN d.base<>-1 AND (e.cur=-1 OR (d.base<>e.cur AND coalesce(d.probs[d.base+1],0)-coalesce(d.probs[e.cur+1],0) > 0.2::DOUBLE)) THEN d.base ELSE e.cur END)::INT FROM e JOIN dn d ON d.system_id=e.system_id AND d.video_id=e.video_id AND d.j=e.j+1)"""
-
-
-@query("f04_hysteresis", _HYST + " SELECT system_id, video_id, j, cur AS pred FROM e")
+@query("f04_hysteresis", RECURSIVE + hysteresis_cte("e", 0.2) + " SELECT system_id, video_id, j, cur AS pred FROM e")
 def f04(spark, sf):
     return R.hysteresis(dense(spark, sf), 0.2)
 
 
-_PAT = f"""WITH RECURSIVE {BASE[5:]}, e(system_id, video_id, j, cur, cand, run) AS (SELECT system_id, video_id, j, base, -1, 0 FROM dn WHERE j=-3 UNION ALL
- SELECT d.system_id, d.video_id, d.j, (CASE WHEN d.base<>-1 AND (e.cur=-1 OR (d.base<>e.cur AND (CASE WHEN d.base=e.cand THEN e.run+1 ELSE 1 END)>=2)) THEN d.base ELSE e.cur END)::INT, d.base, CASE WHEN d.base=e.cand THEN e.run+1 ELSE 1 END FROM e JOIN dn d ON d.system_id=e.system_id AND d.video_id=e.video_id AND d.j=e.j+1)"""
-
-
-@query("f05_patience", _PAT + " SELECT system_id, video_id, j, cur AS pred FROM e")
+@query("f05_patience", RECURSIVE + patience_cte("e", 2) + " SELECT system_id, video_id, j, cur AS pred FROM e")
 def f05(spark, sf):
     return R.patience(steps(spark, sf), 2)
 

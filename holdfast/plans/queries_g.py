@@ -179,9 +179,7 @@ def contrast_band(spark, sf, guard):
     reps = G.melt(G.replicate_means(sums, draws(spark, sf), keys, G.CONTRASTS), [*keys, "b"], {k: f"{k}_micro" for k in G.CONTRASTS}, "contrast", "value")
     df = None
     if guard:
-        k = clips(spark, sf).select("source_cluster_id").distinct().agg((F.count(F.lit(1)) - 1).cast("double").alias("df"))
-        pts = pts.join(F.broadcast(k))  # one row, from a global aggregate
-        df = F.col("df")
+        df = clips(spark, sf).select("source_cluster_id").distinct().agg((F.count(F.lit(1)) - 1).cast("double")).scalar()
     return G.simultaneous_band(pts, reps, [*keys, "contrast"], df=df)
 
 
@@ -223,8 +221,8 @@ def g17(spark, sf):
     pts = p.groupBy(*keys).agg(F.avg("adv").alias("value"))
     w = G.cluster_draws(p.select("source_cluster_id"), N_BOOT, SEED)
     reps = G.replicate_means(G.cluster_sums(p, keys, {"adv": F.col("adv")}), w, keys, ["adv"]).select(*keys, "b", F.col("adv_micro").alias("value"))
-    df = p.select("source_cluster_id").distinct().agg((F.count(F.lit(1)) - 1).cast("double").alias("df"))
-    band = G.simultaneous_band(pts.join(F.broadcast(df)), reps, keys, df=F.col("df"))  # one row, from a global aggregate
+    df = p.select("source_cluster_id").distinct().agg((F.count(F.lit(1)) - 1).cast("double")).scalar()
+    band = G.simultaneous_band(pts, reps, keys, df=df)
     g = band.groupBy("system_a", "system_b").agg(
         F.min("lower").alias("lo_min"), F.max("lower").alias("lo_max"), F.min("upper").alias("hi_min"), F.max("upper").alias("hi_max"), F.min("value").alias("v_min"), F.max("value").alias("v_max"))
     g = g.withColumn("margin", F.explode(F.array(F.lit(0.0), F.lit(0.125), F.lit(0.25))))

@@ -258,8 +258,8 @@ def h16c(spark, sf):
     iv = G.percentile_interval(reps, ["system_id", "kind"], floor=0.0).join(point, ["system_id", "kind"])
     def side(k):
         return iv.filter(F.col("kind") == k).select("system_id", F.col("gap").alias(f"{k}_gap"), F.col("ci_lo").alias(f"{k}_lo"), F.col("ci_hi").alias(f"{k}_hi"))
-    cal = calibrated(spark, sf).filter("metric = 'rmscd'").select("mrd", "ruler")
-    j = side("own").join(side("fixed"), "system_id").join(F.broadcast(cal))  # one row: the delay metric
+    cal = calibrated(spark, sf).filter("metric = 'rmscd'").select(F.struct("mrd", "ruler")).scalar()
+    j = side("own").join(side("fixed"), "system_id").withColumn("_cal", cal).select("*", "_cal.mrd", "_cal.ruler").drop("_cal")
     cons = H.consequence(*[F.col(x) for x in ("own_gap", "own_lo", "own_hi", "fixed_gap", "fixed_lo", "fixed_hi", "mrd", "ruler")])
     return j.withColumn("consequence", cons).withColumn("negative_control", H.negative_control(F.col("own_gap"), F.col("fixed_gap"), F.col("ruler")))
 

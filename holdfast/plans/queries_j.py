@@ -8,7 +8,7 @@ from holdfast.functions.exprs import r6
 from holdfast.operators import agreement as A
 from holdfast.operators import duplicates as U
 from holdfast.operators import inference as G
-from holdfast.operators.ranking import hash_rank
+from holdfast.operators.ranking import hash_rank, salted_join
 from holdfast.plans.common import N_BOOT, SEED, clips
 from holdfast.plans.oracle import grid, u, with_base
 from holdfast.plans.registry import query
@@ -121,11 +121,12 @@ def g20(spark, sf):
 def j06(spark, sf):
     """Preconditions that are not met are listed; a verdict is possible only when there are none."""
     f = A.match_families(cards(track(spark, sf, "a")), cards(track(spark, sf, "b")), 2).agg(F.sum((F.col("status") == "matched").cast("bigint")).alias("n_families"))
-    s = outcomes(spark, sf).agg(F.count(F.lit(1)).alias("n_pairs"))
+    s = outcomes(spark, sf).agg(F.count(F.lit(1))).scalar()
     b = track(spark, sf, "b")
-    k = b.select("source_cluster_id").distinct().agg(F.count(F.lit(1)).alias("n_clusters"))
-    c = b.select("class_code", "video_id").distinct().groupBy("class_code").agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)).alias("n_classes"), F.min("n").alias("least"))
-    j = f.join(s).join(k).join(c)  # four rows, each from a global aggregate
+    k = b.select("source_cluster_id").distinct().agg(F.count(F.lit(1))).scalar()
+    c = b.select("class_code", "video_id").distinct().groupBy("class_code").agg(F.count(F.lit(1)).alias("n"))
+    c = c.agg(F.struct(F.count(F.lit(1)).alias("n_classes"), F.min("n").alias("least"))).scalar()
+    j = f.withColumn("n_pairs", s).withColumn("n_clusters", k).withColumn("_c", c).select("*", "_c.*").drop("_c")
     unmet = F.array_compact(F.array(*[F.when(t, F.lit(n)) for n, t in (
         ("min_matched_families", F.col("n_families") < 3), ("min_selected_pairs", F.col("n_pairs") < 4), ("min_clusters_track_b", F.col("n_clusters") < 20),
         ("min_populated_classes_track_b", F.col("n_classes") < 5), ("min_videos_per_class_track_b", F.col("least") < 30))]))
@@ -189,7 +190,7 @@ def ledger(spark, sf):
     p = prints(spark, sf)
     labels = D.table(spark, sf, "labels").withColumn("has", F.lit(True))
     dup = U.identical_groups(p, "doc_id", ["digest"]).select("digest", F.lit(True).alias("dup"))
-    j = p.join(labels, "doc_id", "left").join(dup, "digest", "left")
+    j = salted_join(p.join(labels, "doc_id", "left"), dup, ["digest"], "left")
     rules = {"not_labelled": F.col("has").isNull(), "low_quality": F.col("quality") == 0, "toxic": F.col("toxic") == 1, "too_short": F.col("n_chars") < 20, "shares_identical_content": F.col("dup").isNotNull()}
     return j.withColumn("why", F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in rules.items()])))
 
@@ -324,7 +325,7 @@ def j18(spark, sf):
     e = U.star_edges(p, "doc_id", ["fp_hi", "fp_lo"]).unionByName(n.select("a", "b"))
     for s in ("a", "b"):
         look = m.select(F.col("node").alias(s), F.struct("source", "split", "quality").alias(f"m{s}"))
-        e = U.salted_join(e, look, s)
+        e = salted_join(e, look, [s])
     pair = F.concat(F.least("ma.source", "mb.source"), F.lit("/"), F.greatest("ma.source", "mb.source"))
     return e.groupBy(pair.alias("sources")).agg(
         F.count(F.lit(1)).alias("n_edges"), F.sum((F.col("ma.split") != F.col("mb.split")).cast("bigint")).alias("n_cross_split"),

@@ -44,7 +44,10 @@ def feed(spark, sf):
 _ELIG = "JOIN (SELECT video_id, class_code FROM man WHERE split='test' AND post_anchor_length_s>=3.0-1e-9) m USING (video_id)"
 
 
-@query("k01_live_smoothing", QF._ema_sql(0.35) + ", " + QF._HYST.split("+1 FROM e")[0][:0] + QF._HYST[len("WITH RECURSIVE " + QF.BASE[5:]) + 2:].replace("e(system_id", "hy(system_id", 1).replace("FROM e JOIN dn d ON d.system_id=e.system_id AND d.video_id=e.video_id AND d.j=e.j+1", "FROM hy e JOIN dn d ON d.system_id=e.system_id AND d.video_id=e.video_id AND d.j=e.j+1") + ", " + QF._PAT[len("WITH RECURSIVE " + QF.BASE[5:]) + 2:].replace("e(system_id", "pa(system_id", 1).replace("FROM e JOIN dn d ON d.system_id=e.system_id AND d.video_id=e.video_id AND d.j=e.j+1", "FROM pa e JOIN dn d ON d.system_id=e.system_id AND d.video_id=e.video_id AND d.j=e.j+1") + f" SELECT a.system_id, a.video_id, a.j, (CASE WHEN e.q IS NULL THEN -1 ELSE list_position(e.q, list_max(e.q))-1 END)::INT AS ema_pred, hy.cur AS hysteresis_pred, pa.cur AS patience_pred FROM ans a {_ELIG} JOIN e ON e.system_id=a.system_id AND e.video_id=a.video_id AND e.j=a.j JOIN hy ON hy.system_id=a.system_id AND hy.video_id=a.video_id AND hy.j=a.j JOIN pa ON pa.system_id=a.system_id AND pa.video_id=a.video_id AND pa.j=a.j")
+_ON = "{0}.system_id=a.system_id AND {0}.video_id=a.video_id AND {0}.j=a.j"
+
+
+@query("k01_live_smoothing", QF.RECURSIVE + QF.ema_cte("em", 0.35) + QF.hysteresis_cte("hy", 0.2) + QF.patience_cte("pa", 2) + f" SELECT a.system_id, a.video_id, a.j, (CASE WHEN em.q IS NULL THEN -1 ELSE list_position(em.q, list_max(em.q))-1 END)::INT AS ema_pred, hy.cur AS hysteresis_pred, pa.cur AS patience_pred FROM ans a {_ELIG} " + " ".join(f"JOIN {t} ON {_ON.format(t)}" for t in ("em", "hy", "pa")))
 def k01(spark, sf):
     """Smoothing, hysteresis and patience on the live feed of the base systems."""
     f = feed(spark, sf).filter(F.col("system_id").startswith("prefix"))
