@@ -31,12 +31,12 @@ def offsets_and_spread(scan: DataFrame, ref: str) -> DataFrame:
 
 
 def pair_differences(scan: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Difference of every listed pair at every protocol; an undefined value leaves a null difference."""
+    """Difference of every listed pair at every protocol, noise below 1e-12 read as zero; an undefined value leaves a null."""
     on = [k for k in ("metric",) if k in pairs.columns]
     a = scan.select("system_id", *PI, "metric", F.col("value").alias("va")).withColumnRenamed("system_id", "system_a")
     b = scan.select("pi_hash", "metric", F.col("system_id").alias("system_b"), F.col("value").alias("vb"))
     p = pairs.join(a, [*on, "system_a"]).join(b, ["pi_hash", "metric", "system_b"], "left")
-    return p.withColumn("d", F.col("va") - F.col("vb"))
+    return p.withColumn("d", F.round(F.col("va") - F.col("vb"), 12))
 
 
 def with_reference(diffs: DataFrame, ref: str) -> DataFrame:

@@ -87,9 +87,10 @@ def percentile_interval(df: DataFrame, by: list[str], value: str = "value", floo
 
 
 def pair_samples(samples: DataFrame) -> DataFrame:
+    """Differences of every pair in every replicate; below 1e-12 they are summation noise and read as zero."""
     a = samples.select("metric", "b", F.col("system_id").alias("system_a"), F.col("value").alias("va"))
     b = samples.select("metric", "b", F.col("system_id").alias("system_b"), F.col("value").alias("vb"))
-    return a.join(b, ["metric", "b"]).filter("system_a < system_b").withColumn("d", F.col("va") - F.col("vb")).drop("va", "vb")
+    return a.join(b, ["metric", "b"]).filter("system_a < system_b").withColumn("d", F.round(F.col("va") - F.col("vb"), 12)).drop("va", "vb")
 
 
 def pair_tests(points: DataFrame, samples: DataFrame, normal: bool = False) -> DataFrame:
@@ -105,7 +106,7 @@ def pair_tests(points: DataFrame, samples: DataFrame, normal: bool = False) -> D
         q.alias("_q"), F.stddev_samp("d").alias("se"), F.count("d").alias("n_boot"),
         F.avg((F.col("d") <= 0).cast("int")).alias("_le"), F.avg((F.col("d") >= 0).cast("int")).alias("_ge"))
     t = g.join(pa, ["metric", "system_a"]).join(pb, ["metric", "system_b"])
-    t = t.withColumn("diff", F.col("pa") - F.col("pb"))
+    t = t.withColumn("diff", F.round(F.col("pa") - F.col("pb"), 12))
     p = F.least(F.lit(1.0), F.greatest(2 * F.least("_le", "_ge"), 1.0 / F.col("n_boot")))
     out = t.select(*keys, "diff", F.get("_q", F.lit(0)).alias("ci_lo"), F.get("_q", F.lit(1)).alias("ci_hi"), "se", "n_boot",
                    p.alias("p_percentile"), F.when(F.col("se") > 0, F.abs("diff") / F.col("se")).alias("z"))

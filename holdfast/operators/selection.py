@@ -84,7 +84,7 @@ def average_rank(by: list[str], c: str) -> Column:
 
 def spearman(df: DataFrame, by: list[str], x: str, y: str, out: str) -> DataFrame:
     """Correlation of mean ranks; null when either side is constant."""
-    d = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+    d = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn(x, F.round(x, 12)).withColumn(y, F.round(y, 12))
     d = d.withColumn("_x", average_rank(by, x)).withColumn("_y", average_rank(by, y))
     varies = (F.max(x) > F.min(x)) & (F.max(y) > F.min(y)) & (F.count(F.lit(1)) > 1)
     return d.groupBy(*by).agg(F.when(varies, correlation(F.col("_x"), F.col("_y"))).alias(out))

@@ -30,8 +30,8 @@ ea AS (SELECT system_id, avg(a) AS end_macro_acc FROM (SELECT system_id, y, avg(
 pw AS (SELECT gc.system_id, avg(delay) AS rmscd, avg((onset IS NOT NULL AND onset<=2)::INT) AS s_at_1, avg((onset IS NOT NULL AND onset<=6)::INT) AS s_at_3, any_value(ea.end_macro_acc) AS end_macro_acc, median(flips)::DOUBLE AS median_flips FROM gc JOIN ea ON ea.system_id=gc.system_id GROUP BY gc.system_id),
 pt AS (SELECT * FROM pw UNPIVOT (value FOR metric IN (rmscd, s_at_1, s_at_3, end_macro_acc, median_flips)))"""
 TESTS = """,
-pd AS (SELECT a.metric, a.system_id AS system_a, b.system_id AS system_b, a.b, a.value-b.value AS d FROM sl a JOIN sl b ON a.metric=b.metric AND a.b=b.b AND a.system_id<b.system_id),
-ts AS (SELECT pd.metric, system_a, system_b, any_value(p.value-q.value) AS diff, quantile_cont(d,0.025) AS ci_lo, quantile_cont(d,0.975) AS ci_hi, stddev_samp(d) AS se, least(1.0::DOUBLE, greatest(2*least(avg((d<=0)::INT), avg((d>=0)::INT)), 1.0::DOUBLE/count(*))) AS p
+pd AS (SELECT a.metric, a.system_id AS system_a, b.system_id AS system_b, a.b, round(a.value-b.value,12) AS d FROM sl a JOIN sl b ON a.metric=b.metric AND a.b=b.b AND a.system_id<b.system_id),
+ts AS (SELECT pd.metric, system_a, system_b, any_value(round(p.value-q.value,12)) AS diff, quantile_cont(d,0.025) AS ci_lo, quantile_cont(d,0.975) AS ci_hi, stddev_samp(d) AS se, least(1.0::DOUBLE, greatest(2*least(avg((d<=0)::INT), avg((d>=0)::INT)), 1.0::DOUBLE/count(*))) AS p
  FROM pd JOIN pt p ON p.metric=pd.metric AND p.system_id=system_a JOIN pt q ON q.metric=pd.metric AND q.system_id=system_b GROUP BY ALL)"""
 S = with_base(grid(3.0), SAMPLES)
 ST = S + TESTS

@@ -25,7 +25,7 @@ _LONG = """, sc AS (SELECT pi_hash, eps_sys_s, eps_jit_sd_s, delta_s, h_s, in_pl
 _SHIFT = f", sh AS (SELECT a.*, b.h_s AS h0, a.value-b.value AS shift FROM sc a JOIN sc b ON b.pi_hash='{REF.pi_hash}' AND b.system_id=a.system_id AND b.metric=a.metric)"
 # Pairs separated at the reference by their bootstrap interval.
 _PAIRS = QG.TESTS.lstrip().lstrip(",") + ", sp AS (SELECT metric, system_a, system_b FROM ts WHERE ci_lo>0 OR ci_hi<0)"
-_RANK = f""", df AS (SELECT a.pi_hash, a.eps_sys_s, a.eps_jit_sd_s, a.delta_s, a.h_s, a.in_plaus, sp.*, a.value-b.value AS d FROM sp JOIN sc a ON a.metric=sp.metric AND a.system_id=sp.system_a LEFT JOIN sc b ON b.pi_hash=a.pi_hash AND b.metric=sp.metric AND b.system_id=sp.system_b),
+_RANK = f""", df AS (SELECT a.pi_hash, a.eps_sys_s, a.eps_jit_sd_s, a.delta_s, a.h_s, a.in_plaus, sp.*, round(a.value-b.value,12) AS d FROM sp JOIN sc a ON a.metric=sp.metric AND a.system_id=sp.system_a LEFT JOIN sc b ON b.pi_hash=a.pi_hash AND b.metric=sp.metric AND b.system_id=sp.system_b),
 dz AS (SELECT x.*, y.d AS d0 FROM df x JOIN df y ON y.pi_hash='{REF.pi_hash}' AND y.metric=x.metric AND y.system_a=x.system_a AND y.system_b=x.system_b),
 rk AS (SELECT pi_hash, eps_sys_s, eps_jit_sd_s, delta_s, h_s, in_plaus, metric, sum((coalesce(sign(d0),0)<>0)::INT)::BIGINT AS n_pairs, sum((coalesce(sign(d0),0)<>0 AND coalesce(sign(d),0)=sign(d0))::INT)::DOUBLE/nullif(sum((coalesce(sign(d0),0)<>0)::INT),0) AS r_m FROM dz GROUP BY ALL)"""
 
@@ -173,7 +173,7 @@ def h12b(spark, sf):
 _SPEAR = """, sr AS (SELECT pi_hash, metric, value-0 AS x, value-shift AS y FROM sh WHERE shift IS NOT NULL),
 sk AS (SELECT *, rank() OVER (PARTITION BY pi_hash, metric ORDER BY x) + (count(*) OVER (PARTITION BY pi_hash, metric, x)-1)/2.0 AS rx, rank() OVER (PARTITION BY pi_hash, metric ORDER BY y) + (count(*) OVER (PARTITION BY pi_hash, metric, y)-1)/2.0 AS ry FROM sr2),
 sv AS (SELECT pi_hash, metric, CASE WHEN max(x)>min(x) AND max(y)>min(y) THEN corr(rx,ry) END AS rho FROM sk GROUP BY ALL)""".replace("sr AS (SELECT pi_hash, metric, value-0 AS x, value-shift AS y FROM sh WHERE shift IS NOT NULL)",
-    f"sr2 AS (SELECT a.pi_hash, a.metric, a.value AS x, b.value AS y FROM sc a JOIN sc b ON b.pi_hash='{REF.pi_hash}' AND b.system_id=a.system_id AND b.metric=a.metric WHERE a.value IS NOT NULL AND b.value IS NOT NULL)")
+    f"sr2 AS (SELECT a.pi_hash, a.metric, round(a.value,12) AS x, round(b.value,12) AS y FROM sc a JOIN sc b ON b.pi_hash='{REF.pi_hash}' AND b.system_id=a.system_id AND b.metric=a.metric WHERE a.value IS NOT NULL AND b.value IS NOT NULL)")
 
 
 def _spearman_by_pi(spark, sf):
@@ -191,7 +191,7 @@ def h13(spark, sf):
     return r.groupBy("metric").agg(F.count(F.lit(1)).alias("n_pi"), n(a).alias("n_r"), n(b).alias("n_rho"), n(b & ~a).alias("added"), n(a & ~b).alias("removed"), r6(F.min("rho")).alias("min_rho"))
 
 
-@query("h14_jitter_mechanism", scan_sql(axis_scan(3.0)) + """, o AS (SELECT metric, eps_jit_sd_s AS x, stddev_samp(shift) AS y FROM sh WHERE eps_sys_s=0 AND delta_s=0.5 AND h_s=3.0 GROUP BY ALL),
+@query("h14_jitter_mechanism", scan_sql(axis_scan(3.0)) + """, o AS (SELECT metric, eps_jit_sd_s AS x, round(stddev_samp(shift),12) AS y FROM sh WHERE eps_sys_s=0 AND delta_s=0.5 AND h_s=3.0 GROUP BY ALL),
 k AS (SELECT *, rank() OVER (PARTITION BY metric ORDER BY x)+(count(*) OVER (PARTITION BY metric, x)-1)/2.0 AS rx, rank() OVER (PARTITION BY metric ORDER BY y)+(count(*) OVER (PARTITION BY metric, y)-1)/2.0 AS ry FROM o WHERE y IS NOT NULL) SELECT metric, round(CASE WHEN max(y)>min(y) THEN corr(rx,ry) END,6) AS t_b FROM k GROUP BY ALL""")
 def h14(spark, sf):
     """Does the spread of shifts across systems grow with the jitter?"""
