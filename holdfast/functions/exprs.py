@@ -38,8 +38,12 @@ def uniform(key: Column, slot: int = 1) -> Column:
     A draw depends on its key alone, so it is the same whatever the row order, the partitioning or
     the subset of rows, and a lost task recomputes the same value.
     """
-    word = F.substring(F.md5(key), 8 * (slot - 1) + 1, 8)
-    return F.conv(word, 16, 10).cast("double") / F.lit(4294967296.0)
+    return word(F.md5(key), slot)
+
+
+def word(digest: Column, slot: int) -> Column:
+    """The same draw from a digest that is already a column, where several words of it are wanted."""
+    return F.conv(F.substring(digest, 8 * (slot - 1) + 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
 def gaussian(key: Column) -> Column:

@@ -27,9 +27,13 @@ def pack(answers: DataFrame, extra: list[str] | None = None) -> DataFrame:
 
 
 def with_answers(manifest: DataFrame, answers: DataFrame, systems: list[str], extra: list[str] | None = None) -> DataFrame:
-    """Every clip for every registered system; clips a system never answered keep an empty map."""
+    """Every clip for every registered system; clips a system never answered keep an empty map.
+
+    ``answers`` may be the long table or one already packed.
+    """
     m = manifest.withColumn("system_id", F.explode(F.array(*[F.lit(s) for s in systems])))
-    return m.join(pack(answers, extra), ["system_id", "video_id"], "left")
+    packed = answers if "cells" in answers.columns else pack(answers, extra)
+    return m.join(packed, ["system_id", "video_id"], "left")
 
 
 def _at(step: Column) -> Column:

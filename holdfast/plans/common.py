@@ -24,14 +24,20 @@ def answers(spark: SparkSession, sf: str) -> DataFrame:
     return stage(spark, sf, "answers", lambda: D.answers(spark, sf))
 
 
-def cells(spark: SparkSession, sf: str, h: float = 3.0, split: str | None = "test", **kw) -> DataFrame:
-    return T.read_grid(manifest(spark, sf, split), answers(spark, sf), D.SYSTEM_IDS, [reference(h)], D.DELTA, **kw)
+def packed(spark: SparkSession, sf: str) -> DataFrame:
+    """Answers packed per (system, clip); every reading of the grid is then a lookup."""
+    return stage(spark, sf, "packed", lambda: T.pack(answers(spark, sf)))
+
+
+def cells(spark: SparkSession, sf: str, h: float = 3.0, split: str | None = "test", probs: bool = False) -> DataFrame:
+    a = answers(spark, sf) if probs else packed(spark, sf)
+    return T.read_grid(manifest(spark, sf, split), a, D.SYSTEM_IDS, [reference(h)], D.DELTA, probs=probs)
 
 
 def _all_clips(spark: SparkSession, sf: str) -> DataFrame:
     m = manifest(spark, sf)
     refs = [reference(h) for h in D.HORIZONS]
-    c = T.clip_table(T.read_grid(m, answers(spark, sf), D.SYSTEM_IDS, refs, D.DELTA))
+    c = T.clip_table(T.read_grid(m, packed(spark, sf), D.SYSTEM_IDS, refs, D.DELTA))
     return c.join(m.select("video_id", "split"), "video_id")
 
 
@@ -44,14 +50,14 @@ def clips(spark: SparkSession, sf: str, h: float | None = 3.0, split: str | None
 
 
 def clips_for(spark: SparkSession, sf: str, protocols: list[Protocol], split: str | None = "test") -> DataFrame:
-    return T.clips_at(manifest(spark, sf, split), answers(spark, sf), D.SYSTEM_IDS, protocols, D.DELTA)
+    return T.clips_at(manifest(spark, sf, split), packed(spark, sf), D.SYSTEM_IDS, protocols, D.DELTA)
 
 
 def open_cells(spark: SparkSession, sf: str, split: str | None = "test") -> DataFrame:
     """Every stored grid point after the anchor for every clip, cohort or not."""
     def build():
         m = manifest(spark, sf)
-        c = T.read_grid(m, answers(spark, sf), D.SYSTEM_IDS, [reference(3.0)], D.DELTA, cohort=False, span=D.GRID_MAX)
+        c = T.read_grid(m, packed(spark, sf), D.SYSTEM_IDS, [reference(3.0)], D.DELTA, cohort=False, span=D.GRID_MAX)
         return c.join(m.select("video_id", "split"), "video_id")
     c = stage(spark, sf, "open_cells", build)
     return c if split is None else c.filter(F.col("split") == split)
@@ -69,10 +75,9 @@ def family(spark: SparkSession, sf: str) -> DataFrame:
     """The frozen metric family of every (system, protocol) on the test split, controls included."""
     def build():
         m = manifest(spark, sf, "test")
-        lib = answers(spark, sf).select("system_id", "video_id", "j", "pred", "committed")
-        ctl = R.control_answers(m, R.CONTROLS, D.DELTA, D.J_MIN, D.J_MAX).select("system_id", "video_id", "j", "pred", "committed")
+        ctl = T.pack(R.control_answers(m, R.CONTROLS, D.DELTA, D.J_MIN, D.J_MAX))
         ids = D.SYSTEM_IDS + [c.system_id for c in R.CONTROLS]
-        c = T.clips_at(m, lib.unionByName(ctl), ids, scan_protocols(), D.DELTA)
+        c = T.clips_at(m, packed(spark, sf).unionByName(ctl), ids, scan_protocols(), D.DELTA)
         f = T.frozen_family(c, ["system_id", *T.PI])
         miss = c.groupBy("system_id", "pi_hash").agg(F.sum("n_missing").alias("n_missing"))
         return f.join(miss, ["system_id", "pi_hash"]).withColumn("is_block", F.col("system_id").startswith("block__"))

@@ -8,7 +8,7 @@ from holdfast.operators import protocol as P
 from holdfast.operators import trajectory as T
 from holdfast.operators.asof import asof_hold
 from holdfast.operators.protocol import Protocol, eligible
-from holdfast.plans.common import answers, manifest, open_cells, raw_manifest
+from holdfast.plans.common import answers, manifest, open_cells, packed, raw_manifest
 from holdfast.plans.oracle import grid, open_grid, pgrid, u, with_base
 from holdfast.plans.registry import query
 from holdfast.sources import derive as D
@@ -104,7 +104,7 @@ C11 = [Protocol(-0.5, 0.0, 0.5, 3.0), Protocol(0.25, 0.25, 0.25, 2.0), Protocol(
 
 @query("c11_absolute_time_lookup", with_base(pgrid(C11)) + " SELECT pi_hash, system_id, count(*)::BIGINT AS n_cells, sum((NOT present)::INT)::BIGINT AS n_missing, round(avg((NOT present)::INT),6) AS missing_rate, sum(pred)::BIGINT AS pred_sum, sum(ok::INT)::BIGINT AS n_correct FROM pg GROUP BY ALL")
 def c11(spark, sf):
-    c = T.read_grid(manifest(spark, sf, "test"), answers(spark, sf), D.SYSTEM_IDS, C11, D.DELTA)
+    c = T.read_grid(manifest(spark, sf, "test"), packed(spark, sf), D.SYSTEM_IDS, C11, D.DELTA)
     miss = (~F.col("present")).cast("bigint")
     return c.groupBy("pi_hash", "system_id").agg(F.count(F.lit(1)).alias("n_cells"), F.sum(miss).alias("n_missing"), r6(F.avg(miss)).alias("missing_rate"), F.sum("pred").alias("pred_sum"), F.sum(F.col("ok").cast("bigint")).alias("n_correct"))
 
@@ -132,13 +132,13 @@ def c13(spark, sf):
 
 @query("c14_full_clip_answer", with_base() + " SELECT s.system_id, greatest(least(floor((m.duration_s-m.anchor_s)/0.5::DOUBLE+1e-9)::INT,8),-3) AS full_j, coalesce(a.pred,-1) AS full_pred, count(*)::BIGINT AS n FROM man m CROSS JOIN sys s LEFT JOIN ans a ON a.system_id=s.system_id AND a.video_id=m.video_id AND a.j=greatest(least(floor((m.duration_s-m.anchor_s)/0.5::DOUBLE+1e-9)::INT,8),-3) GROUP BY ALL")
 def c14(spark, sf):
-    f = T.full_clip_answers(manifest(spark, sf), answers(spark, sf), D.SYSTEM_IDS, D.DELTA, D.J_MIN, D.J_MAX)
+    f = T.full_clip_answers(manifest(spark, sf), packed(spark, sf), D.SYSTEM_IDS, D.DELTA, D.J_MIN, D.J_MAX)
     return f.groupBy("system_id", "full_j", "full_pred").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("c15_pre_anchor_lookup", with_base() + " SELECT s.system_id, x.j::INT AS j, count(*)::BIGINT AS n, sum((a.pred IS NOT NULL)::INT)::BIGINT AS available, sum((a.pred>=0)::INT)::BIGINT AS answered FROM man m CROSS JOIN sys s, range(-3,0) x(j) LEFT JOIN ans a ON a.system_id=s.system_id AND a.video_id=m.video_id AND a.j=x.j WHERE m.split='test' GROUP BY ALL")
 def c15(spark, sf):
-    p = T.with_answers(manifest(spark, sf, "test"), answers(spark, sf), D.SYSTEM_IDS)
+    p = T.with_answers(manifest(spark, sf, "test"), packed(spark, sf), D.SYSTEM_IDS)
     p = p.withColumn("j", F.explode(F.sequence(F.lit(-3), F.lit(-1)))).withColumn("pred", F.try_element_at("cells", F.col("j")).getField("pred"))
     return p.groupBy("system_id", "j").agg(F.count(F.lit(1)).alias("n"), F.count("pred").alias("available"), F.sum(F.coalesce(F.col("pred") > BOT, F.lit(False)).cast("bigint")).alias("answered"))
 

@@ -8,7 +8,7 @@ from holdfast.functions.exprs import TOL, mean_ratio, r6, stable_delay
 from holdfast.operators import trajectory as T
 from holdfast.operators.protocol import Protocol, reference
 from holdfast.operators.ranking import salted_join
-from holdfast.plans.common import answers, cells, clips, clips_for, manifest, open_cells
+from holdfast.plans.common import answers, cells, clips, clips_for, manifest, open_cells, packed
 from holdfast.plans.oracle import grid, open_grid, pgrid, with_base
 from holdfast.plans.registry import query
 from holdfast.sources import derive as D
@@ -99,7 +99,7 @@ f AS (SELECT s.system_id, m.video_id, m.class_code AS y, (coalesce(a.pred,-1)=m.
 SELECT system_id, round(avg(a),6) AS full_clip_macro_acc, round(sum(s)::DOUBLE/sum(n),6) AS full_clip_micro_acc FROM (SELECT system_id, y, avg(ok) AS a, sum(ok) AS s, count(*) AS n FROM f GROUP BY ALL) GROUP BY ALL""")
 def d09(spark, sf):
     m = manifest(spark, sf, "test").filter(F.col("post_anchor_length_s") >= 3.0 - TOL)
-    f = T.full_clip_answers(m, answers(spark, sf), D.SYSTEM_IDS, D.DELTA, D.J_MIN, D.J_MAX)
+    f = T.full_clip_answers(m, packed(spark, sf), D.SYSTEM_IDS, D.DELTA, D.J_MIN, D.J_MAX)
     ok = (F.col("full_pred") == F.col("class_code")).cast("int")
     per = f.groupBy("system_id", "class_code").agg(F.avg(ok).alias("a"), F.sum(ok).alias("s"), F.count(F.lit(1)).alias("n"))
     return per.groupBy("system_id").agg(r6(F.avg("a")).alias("full_clip_macro_acc"), r6(F.sum("s") / F.sum("n")).alias("full_clip_micro_acc"))

@@ -10,10 +10,12 @@ from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from holdfast.session import fresh_path
 
 _PATHS: dict[tuple[str, str, str], str] = {}
+_SCHEMAS: dict[str, StructType] = {}
 
 
 def stage(spark: SparkSession, sf: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
@@ -21,13 +23,14 @@ def stage(spark: SparkSession, sf: str, name: str, build: Callable[[], DataFrame
     key = (spark.sparkContext.applicationId, sf, name)
     if key in _PATHS:
         try:
-            return spark.read.parquet(_PATHS[key])
+            return spark.read.schema(_SCHEMAS[_PATHS[key]]).parquet(_PATHS[key])
         except AnalysisException:
             del _PATHS[key]
     path = fresh_path(spark, name)
-    build().write.parquet(path)
-    _PATHS[key] = path
-    return spark.read.parquet(path)
+    df = build()
+    df.write.parquet(path)
+    _PATHS[key], _SCHEMAS[path] = path, df.schema
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def forget(spark: SparkSession, sf: str) -> None:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from holdfast.functions.exprs import BOT, N_CLASSES, source_cluster, uniform
+from holdfast.functions.exprs import BOT, N_CLASSES, source_cluster, word
 from holdfast.operators.ranking import bucketed_running
 
 # Fixed values of the derived tables: rows per clip, steps before the anchor, step, frames per second.
@@ -69,23 +69,21 @@ def clip_rows(events: DataFrame, bucket_chars: int = 16) -> DataFrame:
         "user_id", "ts", F.pmod(rn, F.lit(CLIP_ROWS)).cast("int").alias("pos"), "seen", "value",
     )
     n = F.count(F.lit(1)).over(Window.partitionBy("video_id"))
-    clip = F.concat(F.lit("clip|"), F.col("video_id"))
-    user = F.concat(F.lit("user|"), F.col("user_id"))
-    part = uniform(user, 2)
-    leak = uniform(F.concat(F.lit("leak|"), F.col("video_id")))
-    label = F.floor(uniform(user, 1) * N_CLASSES)
-    own = F.floor(uniform(clip, 4) * N_CLASSES)
+    rows = rows.withColumn("_n", n).withColumns({
+        "_c": F.md5(F.concat(F.lit("clip|"), "video_id")), "_u": F.md5(F.concat(F.lit("user|"), "user_id")),
+        "_l": F.md5(F.concat(F.lit("leak|"), "video_id")), "_d": F.md5(F.concat(F.lit("decode|"), "video_id"))})
+    clip, user = F.col("_c"), F.col("_u")
+    part = word(user, 2)
     split = F.when(part < 0.2, "dev").when(part < 0.4, "train").otherwise("test")
-    return (
-        rows.withColumn("n_keep", F.least(n, 12 - F.floor(5 * uniform(clip, 1))).cast("int"))
-        .withColumn("anchor_s", 0.5 + 0.5 * F.floor(uniform(clip, 2) * 4))
-        .withColumn("post_anchor_length_s", (F.col("n_keep") - 4) * F.lit(DELTA))
-        .withColumn("class_code", F.when(uniform(clip, 3) < 0.25, own).otherwise(label).cast("int"))
-        .withColumn("split", split)
-        .withColumn("split_raw", F.when(leak < 0.03, "train").otherwise(split))
-        .withColumn("decode_ok", F.when(uniform(F.concat(F.lit("decode|"), F.col("video_id"))) < 0.02, "false")
-                    .when(uniform(clip, 3) < 0.5, "True").otherwise("1"))
-    )
+    own, label = F.floor(word(clip, 4) * N_CLASSES), F.floor(word(user, 1) * N_CLASSES)
+    return rows.select(
+        "video_id", "user_id", "ts", "pos", "seen", "value",
+        F.least("_n", 12 - F.floor(5 * word(clip, 1))).cast("int").alias("n_keep"),
+        (0.5 + 0.5 * F.floor(word(clip, 2) * 4)).alias("anchor_s"),
+        F.when(word(clip, 3) < 0.25, own).otherwise(label).cast("int").alias("class_code"),
+        split.alias("split"), F.when(word(F.col("_l"), 1) < 0.03, "train").otherwise(split).alias("split_raw"),
+        F.when(word(F.col("_d"), 1) < 0.02, "false").when(word(clip, 3) < 0.5, "True").otherwise("1").alias("decode_ok"),
+    ).withColumn("post_anchor_length_s", (F.col("n_keep") - 4) * F.lit(DELTA))
 
 
 def raw_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,25 +113,21 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
         for s, eta, slope in SYSTEMS
     ])
     c = c.withColumn("s", F.explode(systems)).withColumn("j", F.col("pos") - PRE_STEPS)
-    key = F.concat_ws("|", F.lit("ans"), F.col("s.id"), F.col("video_id"), F.col("j"))
-    pair = F.concat_ws("|", F.lit("commit"), F.col("s.id"), F.col("video_id"))
+    c = c.withColumn("_k", F.md5(F.concat_ws("|", F.lit("ans"), "s.id", "video_id", "j")))
+    c = c.filter(word(F.col("_k"), 2) >= 0.02)
+    c = c.withColumn("_p", F.md5(F.concat_ws("|", F.lit("commit"), "s.id", "video_id")))
+    key, pair = F.col("_k"), F.col("_p")
     is_commit = F.col("s.id").startswith("commit")
-    start = F.floor(uniform(pair, 1) * 8)
-    right = uniform(key, 1) < F.col("s.eta") + F.col("s.slope") * F.greatest(F.col("j"), F.lit(0))
-    frozen = F.when(uniform(pair, 2) < F.col("s.eta"), F.col("class_code")).otherwise(
+    right = word(key, 1) < F.col("s.eta") + F.col("s.slope") * F.greatest(F.col("j"), F.lit(0))
+    frozen = F.when(word(pair, 2) < F.col("s.eta"), F.col("class_code")).otherwise(
         F.pmod(F.col("class_code") + 1, F.lit(N_CLASSES)))
-    free = F.when(uniform(key, 3) < 0.03, BOT).when(right, F.col("class_code")).otherwise(F.col("seen"))
-    c = (
-        c.withColumn("committed", is_commit & (F.col("j") >= start))
-        .withColumn("gone", uniform(key, 2) < 0.02)
-        .withColumn("conf", 0.30 + 0.69 * uniform(key, 4))
-        .withColumn("pred", F.when(F.col("committed"), frozen)
-                    .when(is_commit & (F.col("j") >= 0), BOT).otherwise(free).cast("int"))
-    )
+    free = F.when(word(key, 3) < 0.03, BOT).when(right, F.col("class_code")).otherwise(F.col("seen"))
+    c = c.withColumn("committed", is_commit & (F.col("j") >= F.floor(word(pair, 1) * 8))).withColumn("conf", 0.30 + 0.69 * word(key, 4))
+    c = c.withColumn("pred", F.when(F.col("committed"), frozen).when(is_commit & (F.col("j") >= 0), BOT).otherwise(free).cast("int"))
     rest = (1.0 - F.col("conf")) / 4.0
     probs = F.when(F.col("pred") >= 0, F.array(*[
         F.when(F.col("pred") == k, F.col("conf")).otherwise(rest) for k in range(N_CLASSES)]))
-    return c.filter(~F.col("gone")).select(
+    return c.select(
         F.col("s.id").alias("system_id"), "video_id", "j", F.lit(DELTA).alias("delta_s"), "pred",
         probs.alias("probs"), "committed", "ts",
     )

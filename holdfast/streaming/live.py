@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from holdfast.functions.exprs import BOT
+from holdfast.functions.exprs import BOT, stable_delay
 from holdfast.session import fresh_path
 
 FEED = ("system_id string, video_id string, class_code int, j int, pred int, prev int, probs array<double>, "
@@ -86,70 +86,32 @@ def live_smoothing(feed: DataFrame, j_min: int, alpha: float = 0.35, margin: flo
         "q array<double>, hyst int, pat int, cand int, run int, last int", "append", GroupStateTimeout.NoTimeout)
 
 
-def commitment(threshold: float, steps: int, delta: float):
-    """Freeze the first confident answer after the anchor; say so once, when the clip closes."""
-    def process(key, batches, state: GroupState):
-        if state.hasTimedOut:
-            j, label = state.get
-            state.remove()
-            done = j >= 0
-            yield pd.DataFrame([(*key, done, label if done else None, (j if done else steps) * delta)], columns=[*KEYS, "committed", "label", "tau_s"]).astype({"label": "Int32"})
-            return
-        j0, label = state.get if state.exists else (-1, BOT)
-        close = None
-        for pdf in batches:
-            close = pdf["close_time"].max() if close is None else max(close, pdf["close_time"].max())
-            for j, p in zip(pdf["j"], pdf["probs"]):
-                if 0 <= j <= steps and p is not None and max(p) >= threshold and (j0 < 0 or j < j0):
-                    j0, label = int(j), top(list(p))
-        state.update((j0, label))
-        state.setTimeoutTimestamp(max(int(close.timestamp() * 1000), state.getCurrentWatermarkMs() + 1))
-    return process
-
-
 def live_commitment(feed: DataFrame, threshold: float, steps: int, delta: float, delay: str = "10 minutes") -> DataFrame:
     """One row per clip after its close time: committed or not, frozen label, delay censored at the horizon.
 
-    Rows of one step may arrive in any order before the clip closes; rows behind the watermark are
-    dropped, so nothing can change a label that was given out.
+    The earliest confident step wins whatever the order of arrival. A clip is given out once, when the
+    watermark on close times passes it, and its state is dropped; rows after that are dropped too, so
+    nothing can change a label that was given out. The whole rule is a built-in aggregation.
     """
-    return feed.withWatermark("event_time", delay).groupBy(*KEYS).applyInPandasWithState(
-        commitment(threshold, steps, delta), "system_id string, video_id string, committed boolean, label int, tau_s double",
-        "j int, label int", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def closure(steps: int, delta: float):
-    """Collect a clip's answers and score it when it closes; steps not seen by then are wrong."""
-    def process(key, batches, state: GroupState):
-        if state.hasTimedOut:
-            y, preds = state.get
-            state.remove()
-            seen = [p for p in preds]
-            wrong = [j for j, p in enumerate(seen) if p != y]
-            last = wrong[-1] if wrong else -1
-            delay = 0.0 if last < 0 else steps * delta if last >= steps else (last + 0.5) * delta
-            said = [BOT if p == BOT - 1 else p for p in seen]
-            flips = sum(a != b for a, b in zip(said, said[1:]))
-            yield pd.DataFrame([(*key, delay, flips, sum(p == BOT - 1 for p in seen), last < steps)], columns=[*KEYS, "delay", "flips", "n_missing", "end_ok"])
-            return
-        y, preds = state.get if state.exists else (None, [BOT - 1] * (steps + 1))
-        preds, close = list(preds), None
-        for pdf in batches:
-            close = pdf["close_time"].max() if close is None else max(close, pdf["close_time"].max())
-            y = int(pdf["class_code"].iloc[0])
-            for j, p in zip(pdf["j"], pdf["pred"]):
-                if 0 <= j <= steps:
-                    preds[int(j)] = int(p)
-        state.update((y, preds))
-        state.setTimeoutTimestamp(max(int(close.timestamp() * 1000), state.getCurrentWatermarkMs() + 1))
-    return process
+    label = F.array_position("probs", F.array_max("probs")).cast("int") - 1
+    fires = F.when(F.col("j").between(0, steps) & (F.array_max("probs") >= threshold), F.col("j"))
+    g = feed.withWatermark("close_time", delay).groupBy(*KEYS, "close_time").agg(F.min(fires).alias("_j"), F.min_by(label, fires).alias("label"))
+    return g.select(*KEYS, F.col("_j").isNotNull().alias("committed"), "label", (F.coalesce("_j", F.lit(steps)) * delta).alias("tau_s"))
 
 
 def live_closure(feed: DataFrame, steps: int, delta: float, delay: str = "10 minutes") -> DataFrame:
-    """Final metrics of a clip once the watermark passes its close time; stability needs the window's end."""
-    return feed.withWatermark("event_time", delay).groupBy(*KEYS).applyInPandasWithState(
-        closure(steps, delta), "system_id string, video_id string, delay double, flips int, n_missing int, end_ok boolean",
-        "y int, preds array<int>", "append", GroupStateTimeout.EventTimeTimeout)
+    """Final metrics of a clip once the watermark passes its close time; stability needs the window's end.
+
+    Steps not seen by then are wrong. The first answer to a step counts. State is one number per step.
+    """
+    at = [F.min_by("pred", F.when(F.col("j") == k, F.col("event_time"))).alias(f"_{k}") for k in range(steps + 1)]
+    g = feed.withWatermark("close_time", delay).groupBy(*KEYS, "class_code", "close_time").agg(*at)
+    wrong = F.array_max(F.array(*[F.when(F.coalesce(F.col(f"_{k}") != F.col("class_code"), F.lit(True)), F.lit(k)) for k in range(steps + 1)]))
+    said = [F.coalesce(F.col(f"_{k}"), F.lit(BOT)) for k in range(steps + 1)]
+    flips = sum((a != b).cast("int") for a, b in zip(said, said[1:]))
+    missing = sum(F.col(f"_{k}").isNull().cast("int") for k in range(steps + 1))
+    lw = F.coalesce(wrong, F.lit(-1))
+    return g.select(*KEYS, stable_delay(lw, F.lit(steps), F.lit(delta)).alias("delay"), flips.alias("flips"), missing.alias("n_missing"), (lw < steps).alias("end_ok"))
 
 
 def live_health(feed: DataFrame, width: str = "1 day", delay: str = "10 minutes") -> DataFrame:
