@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from holdfast.functions.exprs import BOT, N_CLASSES, TOL, uniform, wrong_class
-from holdfast.operators.trajectory import pack
+from holdfast.operators.trajectory import pack, stored
 
 # Parameters swept for each arm.
 SWEEPS = {"ema": [0.2, 0.35, 0.5, 0.7], "majority": [2, 3, 5, 7, 9], "hysteresis": [0.05, 0.10, 0.20, 0.30], "patience": [2, 3, 4, 6]}
@@ -35,7 +35,7 @@ def argmax(probs: Column) -> Column:
 def dense_steps(answers: DataFrame, j_min: int, j_max: int) -> DataFrame:
     """Every stored step of every trajectory as one array, absent cells with null probabilities."""
     def step(j):
-        return F.struct(j.alias("j"), F.try_element_at(F.col("cells"), j).getField("probs").alias("probs"))
+        return F.struct(j.alias("j"), stored(j).getField("probs").alias("probs"))
     return pack(answers, ["probs"]).select(*CLIP, F.transform(F.sequence(F.lit(j_min), F.lit(j_max)), step).alias("steps"))
 
 

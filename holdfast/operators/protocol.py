@@ -95,16 +95,28 @@ def digest(*knobs: Column, seed: Column) -> Column:
     return F.substring(F.sha2(F.concat_ws("|", *parts, seed.cast("string")), 256), 1, 12)
 
 
+def with_draw(manifest: DataFrame, protocols: list[Protocol]) -> DataFrame:
+    """Add each clip's standard normal draw, once per clip and before anything multiplies the rows.
+
+    All protocols of one reading share the seed of the jitter.
+    """
+    seeds = {p.jit_seed for p in protocols}
+    if len(seeds) > 1:
+        raise ValueError("read protocols of different jitter seeds separately")
+    if all(p.eps_jit_sd_s <= 0 for p in protocols):
+        return manifest.withColumn("_z", F.lit(0.0))
+    return manifest.withColumn("_z", gaussian(F.concat_ws("|", F.lit(str(seeds.pop())), F.col("video_id"))))
+
+
 def with_protocols(manifest: DataFrame, protocols: list[Protocol]) -> DataFrame:
     """Manifest rows times protocols, each with its perturbed anchor and remaining length.
 
     The shift is common to all clips, the jitter is drawn per clip from (seed, clip) alone; anchors
     are clipped to the recording. The cohort is later taken from the perturbed length.
     """
-    m = manifest.withColumn("_p", F.explode(protocol_array(protocols)))
-    m = m.select("*", "_p.*").drop("_p")
-    draw = gaussian(F.concat_ws("|", F.col("jit_seed"), F.col("video_id")))
-    m = m.withColumn("jitter_s", F.when(F.col("eps_jit_sd_s") > 0, draw * F.col("eps_jit_sd_s")).otherwise(0.0))
+    m = manifest if "_z" in manifest.columns else with_draw(manifest, protocols)
+    m = m.withColumn("_p", F.explode(protocol_array(protocols))).select("*", "_p.*")
+    m = m.withColumn("jitter_s", F.col("_z") * F.col("eps_jit_sd_s")).drop("_p", "_z")
     wanted = F.col("anchor_s") + F.col("eps_sys_s") + F.col("jitter_s")
     m = m.withColumn("_wanted", wanted).withColumn("anchor_s_eff", F.least(F.greatest("_wanted", F.lit(0.0)), "duration_s"))
     return (

@@ -1,8 +1,8 @@
 """Per-clip trajectories and the metrics read from them.
 
-The answers of one (system, clip) are packed into a map keyed by stored step. Its size is bounded
-by the stored grid, and it turns every perturbed reading into a lookup: a scan over many protocols
-shuffles the answers once instead of once per protocol. All per-clip quantities then come from one
+The answers of one (system, clip) are packed into an array over the stored steps. Its size is bounded
+by the stored grid, and it turns every perturbed reading into an indexed lookup: a scan over many
+protocols shuffles the answers once instead of once per protocol. All per-clip quantities then come from one
 hash aggregation, because an answer is stable exactly when it lies beyond the last wrong step, so
 neither a sort nor a running window is needed.
 """
@@ -12,32 +12,41 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from holdfast.functions.exprs import BOT, N_CLASSES, TOL, grid_steps, mean_ratio, stable_delay, trapezoid_weight
-from holdfast.operators.protocol import Protocol, base_step, eligible, with_protocols
+from holdfast.operators.protocol import Protocol, base_step, eligible, with_draw, with_protocols
 
 PI = ["pi_hash", "eps_sys_s", "eps_jit_sd_s", "delta_s", "h_s", "in_plaus"]
 CLIP = ["source_cluster_id", "class_code", "post_anchor_length_s"]
 
 
 def pack(answers: DataFrame, extra: list[str] | None = None) -> DataFrame:
-    """One row per (system, clip): stored step -> answer. A duplicate cell raises in the map builder."""
+    """One row per (system, clip): an array of answers from the first stored step ``j0`` to the last.
+
+    Steps without an answer are null; a duplicate cell raises in the map that orders the answers.
+    """
     value = F.struct("pred", "committed", *(extra or []))
-    return answers.groupBy("system_id", "video_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("j", value))).alias("cells"),
-    )
+    g = answers.groupBy("system_id", "video_id").agg(
+        F.map_from_entries(F.collect_list(F.struct("j", value))).alias("_m"), F.min("j").alias("j0"), F.max("j").alias("_j1"))
+    cells = F.transform(F.sequence("j0", "_j1"), lambda j: F.try_element_at(F.col("_m"), j))
+    return g.select("system_id", "video_id", "j0", cells.alias("cells"))
 
 
-def with_answers(manifest: DataFrame, answers: DataFrame, systems: list[str], extra: list[str] | None = None) -> DataFrame:
+def with_answers(manifest: DataFrame, answers: DataFrame, systems: list[str], extra: list[str] | None = None, spread: bool = False) -> DataFrame:
     """Every clip for every registered system; clips a system never answered keep an empty map.
 
-    ``answers`` may be the long table or one already packed.
+    ``answers`` may be the long table or one already packed. ``spread`` fixes the number of partitions
+    before many protocols multiply the rows; a sort-merge join uses that same partitioning.
     """
     m = manifest.withColumn("system_id", F.explode(F.array(*[F.lit(s) for s in systems])))
+    if spread:
+        n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        m = m.repartition(n, "system_id", "video_id")
     packed = answers if "cells" in answers.columns else pack(answers, extra)
     return m.join(packed, ["system_id", "video_id"], "left")
 
 
-def _at(step: Column) -> Column:
-    return F.try_element_at(F.col("cells"), step)
+def stored(step: Column) -> Column:
+    """Answer at a stored step of a packed row; null where there is none."""
+    return F.get(F.col("cells"), step - F.col("j0"))
 
 
 def read_grid(
@@ -55,7 +64,7 @@ def read_grid(
     A cell that was never stored reads as no answer, hence wrong; it stays in the denominator.
     ``span`` reads a fixed range instead of the horizon; ``cohort=False`` keeps short clips.
     """
-    packed = with_answers(manifest, answers, systems, ["probs"] if probs else None)
+    packed = with_answers(with_draw(manifest, protocols), answers, systems, ["probs"] if probs else None, spread=len(protocols) > 2)
     p = with_protocols(packed, protocols)
     if cohort:
         p = p.filter(eligible(F.col("post_anchor_length_s_eff"), F.col("h_s")))
@@ -64,12 +73,12 @@ def read_grid(
     def no_answer(c):
         return F.coalesce(c, F.lit(BOT))
 
-    term = no_answer(_at(base_step(a_eff, a, F.col("steps"), d, fine)).getField("pred"))
+    term = no_answer(stored(base_step(a_eff, a, F.col("steps"), d, fine)).getField("pred"))
     first_after = F.floor((F.col("duration_s") - a) / fine + TOL).cast("int")
     p = p.withColumn("term", term).withColumn("full_step", first_after)
     p = p.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("steps"))))
-    cell = _at(base_step(a_eff, a, F.col("j"), d, fine))
-    before = _at(base_step(a_eff, a, F.col("j") - 1, d, fine))
+    cell = stored(base_step(a_eff, a, F.col("j"), d, fine))
+    before = stored(base_step(a_eff, a, F.col("j") - 1, d, fine))
     p = p.withColumn("_c", cell).withColumn("prev", F.when(F.col("j") > 0, no_answer(before.getField("pred"))))
     cols = [
         "system_id", "video_id", *CLIP, *PI, "post_anchor_length_s_eff", "anchor_s", "duration_s", "steps", "j", "prev", "term",
@@ -157,7 +166,7 @@ def frozen_family(clips: DataFrame, by: list[str], offsets: tuple[float, ...] =
         inside = (F.lit(k) <= F.col("h_s") + TOL) & (step <= F.col("steps"))
         s_cols.append(F.avg(F.when(inside, (F.col("lw") < step).cast("double"))).alias(f"s_at_{k:g}"))
     whole = clips.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n_clips"), F.avg("delay").alias("rmscd"), *s_cols,
+        F.count(F.lit(1)).alias("n_clips"), F.sum("n_missing").alias("n_missing"), F.avg("delay").alias("rmscd"), *s_cols,
         F.percentile("flips", F.lit(0.5)).alias("median_flips"),
         *[F.avg(F.when(F.col("class_code") == c, F.col("end_ok"))).alias(f"_a{c}") for c in range(N_CLASSES)],
     )
@@ -234,7 +243,7 @@ def full_clip_answers(manifest: DataFrame, answers: DataFrame, systems: list[str
     step = F.floor((F.col("duration_s") - F.col("anchor_s")) / fine + TOL).cast("int")
     step = F.greatest(F.least(step, F.lit(j_max)), F.lit(j_min))
     p = with_answers(manifest, answers, systems).withColumn("full_j", step)
-    return p.withColumn("full_pred", F.coalesce(_at(F.col("full_j")).getField("pred"), F.lit(BOT))).drop("cells")
+    return p.withColumn("full_pred", F.coalesce(stored(F.col("full_j")).getField("pred"), F.lit(BOT))).drop("cells", "j0")
 
 
 def per_clip_end(open_cells: DataFrame, h: float) -> DataFrame:

@@ -78,9 +78,7 @@ def family(spark: SparkSession, sf: str) -> DataFrame:
         ctl = T.pack(R.control_answers(m, R.CONTROLS, D.DELTA, D.J_MIN, D.J_MAX))
         ids = D.SYSTEM_IDS + [c.system_id for c in R.CONTROLS]
         c = T.clips_at(m, packed(spark, sf).unionByName(ctl), ids, scan_protocols(), D.DELTA)
-        f = T.frozen_family(c, ["system_id", *T.PI])
-        miss = c.groupBy("system_id", "pi_hash").agg(F.sum("n_missing").alias("n_missing"))
-        return f.join(miss, ["system_id", "pi_hash"]).withColumn("is_block", F.col("system_id").startswith("block__"))
+        return T.frozen_family(c, ["system_id", *T.PI]).withColumn("is_block", F.col("system_id").startswith("block__"))
     return stage(spark, sf, "family", build)
 
 

@@ -139,7 +139,7 @@ def c14(spark, sf):
 @query("c15_pre_anchor_lookup", with_base() + " SELECT s.system_id, x.j::INT AS j, count(*)::BIGINT AS n, sum((a.pred IS NOT NULL)::INT)::BIGINT AS available, sum((a.pred>=0)::INT)::BIGINT AS answered FROM man m CROSS JOIN sys s, range(-3,0) x(j) LEFT JOIN ans a ON a.system_id=s.system_id AND a.video_id=m.video_id AND a.j=x.j WHERE m.split='test' GROUP BY ALL")
 def c15(spark, sf):
     p = T.with_answers(manifest(spark, sf, "test"), packed(spark, sf), D.SYSTEM_IDS)
-    p = p.withColumn("j", F.explode(F.sequence(F.lit(-3), F.lit(-1)))).withColumn("pred", F.try_element_at("cells", F.col("j")).getField("pred"))
+    p = p.withColumn("j", F.explode(F.sequence(F.lit(-3), F.lit(-1)))).withColumn("pred", T.stored(F.col("j")).getField("pred"))
     return p.groupBy("system_id", "j").agg(F.count(F.lit(1)).alias("n"), F.count("pred").alias("available"), F.sum(F.coalesce(F.col("pred") > BOT, F.lit(False)).cast("bigint")).alias("answered"))
 
 

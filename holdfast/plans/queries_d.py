@@ -150,9 +150,7 @@ def d14(spark, sf):
     """Perturb, fix the cohort, lay the grid, look answers up by absolute time, compute."""
     c = clips_for(spark, sf, SHIFTED)
     keys = ["pi_hash", "system_id", "eps_sys_s", "eps_jit_sd_s", "delta_s", "h_s"]
-    f = T.frozen_family(c, keys)
-    miss = c.groupBy("pi_hash", "system_id").agg(F.sum("n_missing").alias("n_missing"))
-    return f.join(miss, ["pi_hash", "system_id"]).select(
+    return T.frozen_family(c, keys).select(
         *keys, "n_clips", "n_missing", r6("rmscd").alias("rmscd"), r6("s_at_1").alias("s_at_1"), "median_flips", r6("end_macro_acc").alias("end_macro_acc"))
 
 
