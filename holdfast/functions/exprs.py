@@ -53,8 +53,8 @@ def gaussian(key: Column) -> Column:
 
 
 def r6(c: Column | str) -> Column:
-    """Rounded for reports; adding 0.0 turns -0.0 into 0.0."""
-    return F.round(F.col(c) if isinstance(c, str) else c, 6) + F.lit(0.0)
+    """Rounded for reports, first to twelve places so that noise cannot decide a half; 0.0 is never -0.0."""
+    return F.round(F.round(F.col(c) if isinstance(c, str) else c, 12), 6) + F.lit(0.0)
 
 
 def sign_tol(c: Column, tol: float = ZERO) -> Column:
