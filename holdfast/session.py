@@ -1,12 +1,15 @@
-"""Session helpers: a local builder for tests and the shared-folder rule for checkpoints."""
+"""Session helpers: a local builder for tests, the shared-folder rule for checkpoints, the package for workers."""
 from __future__ import annotations
 
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+_SHIPPED: set[str] = set()
+
 
 def local_session(cpus: int | str = 8, app: str = "holdfast") -> SparkSession:
     """A session for tests and the bench; a cluster brings its own."""
@@ -24,6 +27,23 @@ def local_session(cpus: int | str = 8, app: str = "holdfast") -> SparkSession:
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once for each application."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="spark-"), "holdfast.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(root):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.join("holdfast", os.path.relpath(full, root)))
+    spark.sparkContext.addPyFile(path)
+    _SHIPPED.add(app)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder for checkpoints and cut-off tables.
 
