@@ -53,3 +53,26 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS te
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     from holdfast.llm.exact_copies import exact_copies
     return exact_copies(table(spark, sf, "documents"))
+
+
+@query("op1_embedding_near_dedup", """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+r(x, c) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT l.y, r.c FROM r JOIN l ON l.x = r.x),
+c AS (SELECT x, min(c) AS component_id FROM r GROUP BY x), n AS (SELECT x, count(*) AS n FROM l GROUP BY x)
+SELECT e.vec_id, coalesce(n.n, 0) AS n_links, c.component_id, e.vec_id = c.component_id AS kept FROM embeddings e JOIN c ON c.x = e.vec_id LEFT JOIN n ON n.x = e.vec_id""")
+def op1(spark: SparkSession, sf: str) -> DataFrame:
+    from holdfast.llm.embedding_links import embedding_links
+    return embedding_links(table(spark, sf, "embeddings"))
+
+
+@query("op2_warc_normaliser", """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, octet_length(b) AS payload_bytes, sha1(b) AS h, sha256(b) AS s FROM p),
+r AS (SELECT *, min(page_id) OVER (PARTITION BY s, payload_bytes) AS first FROM d)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_sum(list_transform(range(5), lambda k: substr(unhex(h)::BIT::VARCHAR, 5 * i + k + 1, 1)::INT * (16 >> k::INT)))::INT, 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM r""")
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    from holdfast.llm.warc import archive_pages
+    return archive_pages(table(spark, sf, "pages"))
