@@ -84,20 +84,21 @@ def forest(hit: np.ndarray) -> list[tuple[int, int]]:
     i, j = np.nonzero(hit)
     if len(i) <= sum(hit.shape):
         return list(zip(i.tolist(), j.tolist()))
-    parent = list(range(sum(hit.shape)))
-
-    def root(v: int) -> int:
-        while parent[v] != v:
-            parent[v] = parent[parent[v]]
-            v = parent[v]
-        return v
+    # Dense: breadth first, a whole level of rows or columns at a time.
     out = []
-    # One link of each row first, then only links that join two different trees.
-    for a, b in zip(i.tolist(), j.tolist()):
-        u, v = root(a), root(hit.shape[0] + b)
-        if u != v:
-            parent[u] = v
-            out.append((a, b))
+    rows_left, cols_left = hit.any(axis=1), hit.any(axis=0)
+    while rows_left.any():
+        level = np.array([rows_left.argmax()])
+        rows_left[level] = False
+        while len(level):
+            part = hit[level] & cols_left
+            cols = np.flatnonzero(part.any(axis=0))
+            out += zip(level[part[:, cols].argmax(axis=0)].tolist(), cols.tolist())
+            cols_left[cols] = False
+            part = hit[:, cols] & rows_left[:, None]
+            level = np.flatnonzero(part.any(axis=1))
+            out += zip(level.tolist(), cols[part[level].argmax(axis=1)].tolist())
+            rows_left[level] = False
     return out
 
 
