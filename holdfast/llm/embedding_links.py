@@ -93,10 +93,14 @@ def forest(hit: np.ndarray) -> list[tuple[int, int]]:
         while len(level):
             part = hit[level] & cols_left
             cols = np.flatnonzero(part.any(axis=0))
+            if not len(cols):
+                break
             out += zip(level[part[:, cols].argmax(axis=0)].tolist(), cols.tolist())
             cols_left[cols] = False
             part = hit[:, cols] & rows_left[:, None]
             level = np.flatnonzero(part.any(axis=1))
+            if not len(level):
+                break
             out += zip(level.tolist(), cols[part[level].argmax(axis=1)].tolist())
             rows_left[level] = False
     return out
