@@ -90,3 +90,18 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, d.doc_id = c.co
 def op7(spark: SparkSession, sf: str) -> DataFrame:
     from holdfast.llm.minmax import near_copies
     return near_copies(table(spark, sf, "documents"), k=4)
+
+
+@query("op5_suffix_sort_dedup", """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, octet_length(encode(coalesce(text, '')))::BIGINT AS n_bytes FROM documents),
+p AS (SELECT doc_id, unnest(range(n_bytes - 199)) AS i, x FROM d WHERE n_bytes >= 200),
+w AS (SELECT doc_id, i, md5(substr(x, 2 * i + 1, 400)) AS w FROM p),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY w) AS k FROM w) WHERE k > 1),
+e AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200 THEN 0 ELSE 1 END AS new FROM r),
+s AS (SELECT doc_id, run, min(i) AS a, max(i) + 200 AS z FROM (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM e) GROUP BY doc_id, run),
+k AS (SELECT s.doc_id, s.a, s.z, lag(s.z, 1, 0) OVER (PARTITION BY s.doc_id ORDER BY s.a) AS prev, d.x FROM s JOIN d ON d.doc_id = s.doc_id),
+t AS (SELECT doc_id, sum(z - a)::BIGINT AS n_removed, count(*) AS n_spans, string_agg(substr(x, 2 * prev + 1, 2 * (a - prev)), '' ORDER BY a) || substr(any_value(x), 2 * max(z) + 1) AS kept FROM k GROUP BY doc_id)
+SELECT d.doc_id, d.n_bytes, coalesce(t.n_removed, 0) AS n_removed, coalesce(t.n_spans, 0) AS n_spans, sha256(unhex(coalesce(t.kept, d.x))) AS kept_sha256 FROM d LEFT JOIN t ON t.doc_id = d.doc_id""")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    from holdfast.llm.suffix_sort import remove_repeated_bytes
+    return remove_repeated_bytes(table(spark, sf, "documents"))
