@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from holdfast.llm.bpe import token_digests
 from holdfast.llm.exact_copies import exact_copies
+from holdfast.llm.minmax import near_copies
 from holdfast.llm.mix_sources import balanced_mix
 from holdfast.llm.quality import accepted
 from holdfast.llm.text import table
@@ -25,6 +26,13 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
 
 
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies (five words, similarity 0.8) stays."""
+    ship_package(spark)
+    dropped = near_copies(docs).where(~F.col("kept")).select("doc_id")
+    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+
+
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix holds it: not at all, once or twice."""
     ship_package(spark)
@@ -38,7 +46,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return token_digests(docs)
 
 
-STAGES = [("quality", quality), ("exact_copies", exact), ("mix", mixing), ("tokens", tokens)]
+STAGES = [("quality", quality), ("exact_copies", exact), ("near_copies", near), ("mix", mixing), ("tokens", tokens)]
 ORACLE_SQL = None
 
 

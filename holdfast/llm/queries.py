@@ -105,3 +105,18 @@ SELECT d.doc_id, d.n_bytes, coalesce(t.n_removed, 0) AS n_removed, coalesce(t.n_
 def op5(spark: SparkSession, sf: str) -> DataFrame:
     from holdfast.llm.suffix_sort import remove_repeated_bytes
     return remove_repeated_bytes(table(spark, sf, "documents"))
+
+
+@query("op9_suffix_automaton_dedup", r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, unnest(range(1, len(w) - 33)) AS i, w FROM d WHERE len(w) >= 35),
+h AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 34], ' ')) AS h FROM p),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY h) AS k FROM h) WHERE k > 1),
+e AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 35 THEN 0 ELSE 1 END AS new FROM r),
+s AS (SELECT doc_id, run, min(i) AS a, max(i) + 35 AS z FROM (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM e) GROUP BY doc_id, run),
+k AS (SELECT s.doc_id, s.a, s.z, lag(s.z, 1, 1) OVER (PARTITION BY s.doc_id ORDER BY s.a) AS prev, d.w FROM s JOIN d ON d.doc_id = s.doc_id),
+t AS (SELECT doc_id, sum(z - a)::BIGINT AS n_removed, flatten(list(w[prev:a - 1] ORDER BY a)) || any_value(w)[max(z):] AS kept FROM k GROUP BY doc_id)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(t.n_removed, 0) AS n_removed, sha256(array_to_string(coalesce(t.kept, d.w), ' ')) AS kept_sha256 FROM d LEFT JOIN t ON t.doc_id = d.doc_id""")
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    from holdfast.llm.suffix_automata import remove_repeated_words
+    return remove_repeated_words(table(spark, sf, "documents"))
