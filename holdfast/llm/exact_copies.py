@@ -113,7 +113,7 @@ def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b["entry"], pa.array(head, pa.int64()), b["n_rows"], b["best_points"], b["best_doc"]], ["entry", "head", "n_rows", "best_points", "best_doc"])
 
 
-def exact_copies(docs: DataFrame, capacity: int = 4096) -> DataFrame:
+def exact_copies(docs: DataFrame, capacity: int = 1024) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 of every row; texts are equal when they are without white space.
 
     The row of the most code points stays, among those the smallest doc_id. Null counts as empty, and all
@@ -129,13 +129,13 @@ def exact_copies(docs: DataFrame, capacity: int = 4096) -> DataFrame:
     spark = docs.sparkSession
     tasks = max(1, min(len(buckets), int(spark.conf.get("spark.sql.shuffle.partitions"))))
     if deep <= 20:
-        # The directory proper: one cell for each value of the leading bits, at most 2 ** 20 of them.
+        # The directory proper: one cell for each value of the leading bits, at most 2 ** 20 of them (16 MB), so it is broadcast.
         cell = {}
         for i, (d, p) in enumerate(buckets):
             for c in range(p << (deep - d), (p + 1) << (deep - d)):
                 cell[c] = i
         table = spark.createDataFrame(list(cell.items()) or [(0, 0)], "cell long, bucket int")
-        placed = heads.withColumn("cell", F.shiftrightunsigned("key", 64 - deep) if deep else F.lit(0).cast("long")).join(table, "cell")
+        placed = heads.withColumn("cell", F.shiftrightunsigned("key", 64 - deep) if deep else F.lit(0).cast("long")).join(F.broadcast(table), "cell")
     else:
         bounds = np.array(sorted(s for _, s in starts), np.int64)
         placed = heads.withColumn("bucket", _bucket_of(bounds)("key"))
