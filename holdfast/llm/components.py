@@ -1,7 +1,7 @@
-"""Connected components of an edge table by alternating large and small stars."""
+"""Connected components of an edge table by hooking to the smallest neighbour and jumping over parents."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from holdfast.session import cut
@@ -10,25 +10,20 @@ from holdfast.session import cut
 def components(edges: DataFrame) -> DataFrame:
     """``node, component``: the smallest node reachable, for each node of ``edges (a, b)`` (longs; loops and repeats allowed).
 
-    Nodes without edges aren't listed. Each round hangs all neighbours of a node on the smallest one among them;
-    rounds go on until nothing changes, about log of the diameter. Neighbours are never collected: a round is an aggregation
-    with map-side combining and a join, whose large keys adaptive execution splits.
+    Nodes without edges aren't listed. Edges point from the larger to the smaller node. In each round a node keeps the
+    edge to its smallest neighbour, its parent, and hands the others on to that parent; all edges then skip over the
+    parent of their lower end, so paths halve. Rounds go on until every edge ends in a root. A round is two shuffles of
+    the edges; the many edges that end in one root are parted by adaptive execution.
     """
-    e = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    e = cut(e, "edges")
-    seen = None
+    e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "edges")
     while True:
-        # large star: every neighbour above u is hung on the smallest of u and its neighbours
-        both = e.union(e.select("b", "a"))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        # small star: u and its smaller neighbours are hung on the smallest of them
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a")
-        small = small.select("b", "m").where("b <> m").union(low.select("a", "m")).distinct().toDF("a", "b")
-        e = cut(small, "edges")
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        if now == seen:
+        w = e.select("a", "b").repartition("a").distinct().withColumn("p", F.min("b").over(Window.partitionBy("a")))
+        parent = w.where("b = p").select(F.col("a").alias("y"), F.col("p").alias("up"))
+        own = F.col("b") == F.col("p")
+        hooked = w.select(F.when(own, F.col("a")).otherwise(F.col("b")).alias("x"), F.col("p").alias("y"), (~own).alias("moved"))
+        e = hooked.join(parent, "y", "left").select(F.col("x").alias("a"), F.coalesce("up", "y").alias("b"), (F.col("moved") | F.col("up").isNotNull()).alias("moved"))
+        e = cut(e, "edges")
+        if e.where("moved").isEmpty():
             break
-        seen = now
-    return e.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("node"), "component").union(e.select(F.col("b"), F.col("b")).distinct())
+    hung = e.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("node"), "component")
+    return hung.union(e.select("b", "b").distinct())

@@ -2,10 +2,10 @@
 
 Each permutation gives two values, so 70 of them make 140 for 28 bands of 5: two documents of similarity 0.8 share no band with a
 chance of 1.5e-5, of 0.9 with 1e-11. Documents of equal shingle sets first become one. In each bucket the others are paired
-with its head; pairs are confirmed by exact intersection of the full sets, and links join components. Buckets that then
-still hold several components are taken again with other heads, and in the end by all pairs across components that
-remain, so nothing in a bucket stays untested. A pair of that last step is tested in full only when at most ``far`` of
-140 one-bit samples differ (14 are expected at 0.8; the chance of more than 34 is below 1e-7).
+with its head; pairs are confirmed by exact intersection of the full sets, and links join components. In buckets that then
+still hold several components the pairs across them follow, so nothing in a bucket stays untested. Such a pair is
+tested in full only when at most ``far`` of 140 one-bit samples differ (14 are expected at 0.8; the chance of more
+than 34 is below 1e-7). A bucket whose members are all near its head costs one test per member.
 """
 from __future__ import annotations
 
@@ -99,7 +99,8 @@ def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
             yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in good], pa.int64()), pa.array([g[1] for g in good], pa.int64())], ["a", "b"])
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    # dealt by b first, where equal pairs meet too
+    return pairs.repartition("b").distinct().join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
 def near_copies(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 28, rows: int = 5, far: int = 34, seed: int = 1) -> DataFrame:
@@ -107,49 +108,37 @@ def near_copies(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 28,
 
     A-Z are lower-cased. A null or empty text or one without words has an empty set and is a group of its own; a text of
     fewer than k words is one shingle; rows that repeat a doc_id and text are one document and get equal results; rows that repeat a
-    doc_id with other texts are linked as documents are, by doc_id; a null doc_id is a group of its own with null as its id; an
+    doc_id with other texts each follow their own text; a null doc_id is a group of its own with null as its id; an
     empty table gives an empty result; other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     sig = cut(signatures(docs, k, bands, rows, seed), "minmax")
-    named = sig.where("n_shingles > 0 and doc_id is not null")
-    reps = named.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    ids = cut(named.select("doc_id", "d1", "d2", "n_shingles").join(reps, ["d1", "d2", "n_shingles"]).select("doc_id", "rep"), "minmax-reps")
-    only = ids.where("doc_id = rep").select(F.col("doc_id").alias("u")).distinct()
-    rep_rows = named.join(reps, ["d1", "d2", "n_shingles"]).where("doc_id = rep")
-    bucket = rep_rows.select(F.explode("keys").alias("key"), F.col("doc_id").alias("u")).distinct()
-    shared = bucket.groupBy("key").agg(F.count("*").alias("n"), F.min("u").alias("head")).where("n > 1")
+    some = F.col("n_shingles") > 0
+    reps = sig.where(some & F.col("doc_id").isNotNull()).groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"))
+    first = F.col("doc_id") == F.col("rep")
+    named = sig.join(reps, ["d1", "d2", "n_shingles"], "left").select(
+        "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull() & some, F.col("rep")).alias("rep"), F.when(first, F.col("keys")).alias("keys"), F.when(first, F.col("bits")).alias("bits"))
+    named = cut(named, "minmax-reps")
+    bucket = named.where("keys is not null").select(F.explode("keys").alias("key"), F.col("doc_id").alias("u"))
+    shared = bucket.groupBy("key").agg(F.min("u").alias("head"), F.max("u").alias("_last")).where("head < _last").select("key", "head")
     bucket = cut(bucket.join(shared, "key").select("key", "u", "head"), "minmax-buckets")
-    members = bucket.select("u").distinct()
-    texts = cut(docs.withColumnRenamed("doc_id", "id").join(members.withColumnRenamed("u", "id"), "id", "left_semi").join(only.withColumnRenamed("u", "id"), "id", "left_semi"), "minmax-texts")
-    pairs = bucket.where("u <> head").select(F.col("head").alias("a"), F.col("u").alias("b")).distinct()
-    links = cut(confirm(pairs, texts, k, percent), "minmax-links")
-    # rows of one set, and rows that repeat an id, hang together from the start
-    same = cut(ids.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")), "minmax-same")
-    turn = 0
-    while True:
-        turn += 1
-        groups = cut(components(same.union(links)), "minmax-groups")
-        open_ = bucket.select("key", "u").join(groups.withColumnRenamed("node", "u"), "u", "left").select("key", "u", F.coalesce("component", "u").alias("c"))
-        mixed = open_.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n"), F.min(F.struct(F.xxhash64(F.lit(turn), "u").alias("h"), "u", "c")).alias("top")).where("lo < hi")
-        open_ = cut(open_.join(mixed.select("key", "n", F.col("top.u").alias("head"), F.col("top.c").alias("head_c")), "key"), "minmax-open")
-        load = open_.agg(F.sum(F.col("n")).alias("pairs"), F.count("*").alias("rows")).first()
-        if not load["rows"]:
-            break
-        last = turn > 3 or load["pairs"] <= 16 * load["rows"]
-        if last:
-            bits = rep_rows.select(F.col("doc_id").alias("u"), "bits").distinct()
-            side = cut(open_.select("key", "u", "c").join(bits, "u"), "minmax-last")
-            x, y = side.select("key", *[F.col(c).alias(f"{c}_a") for c in ("u", "c", "bits")]), side.select("key", *[F.col(c).alias(f"{c}_b") for c in ("u", "c", "bits")])
-            words_ = -(-bands * rows // 64)
-            apart = sum((F.bit_count(F.element_at("bits_a", i + 1).bitwiseXOR(F.element_at("bits_b", i + 1))) for i in range(words_)), F.lit(0))
-            pairs = x.join(y, (x["key"] == y["key"]) & (F.col("c_a") < F.col("c_b")) & (apart <= far)).select(F.col("u_a").alias("a"), F.col("u_b").alias("b")).distinct()
-        else:
-            pairs = open_.where("c <> head_c").select(F.col("head").alias("a"), F.col("u").alias("b")).distinct()
-        links = cut(links.union(confirm(pairs, texts, k, percent)), "minmax-links")
-        if last:
-            groups = cut(components(same.union(links)), "minmax-groups")
-            break
-    known = sig.select("doc_id", "n_shingles").join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    component = F.coalesce("component", "doc_id")
+    members = bucket.select(F.col("u").alias("id")).distinct()
+    texts = cut(docs.withColumnRenamed("doc_id", "id").join(members, "id", "left_semi"), "minmax-texts")
+    links = cut(confirm(bucket.where("u <> head").select(F.col("head").alias("a"), F.col("u").alias("b")), texts, k, percent), "minmax-links")
+    groups = components(links)
+    open_ = bucket.select("key", "u").join(groups.withColumnRenamed("node", "u"), "u", "left").select("key", "u", F.coalesce("component", "u").alias("c"))
+    open_ = cut(open_, "minmax-open")
+    mixed = open_.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
+    bits = named.where("bits is not null").select(F.col("doc_id").alias("u"), "bits")
+    side = cut(open_.join(mixed, "key", "left_semi").join(bits, "u"), "minmax-mixed")
+    if not side.isEmpty():
+        x, y = (side.select(F.col("key").alias(f"key_{t}"), *[F.col(c).alias(f"{c}_{t}") for c in ("u", "c", "bits")]) for t in "ab")
+        apart = sum((F.bit_count(F.element_at("bits_a", i + 1).bitwiseXOR(F.element_at("bits_b", i + 1))) for i in range(-(-bands * rows // 64))), F.lit(0))
+        pairs = x.join(y, (F.col("key_a") == F.col("key_b")) & (F.col("c_a") < F.col("c_b")) & (apart <= far)).select(F.col("u_a").alias("a"), F.col("u_b").alias("b"))
+        more = cut(confirm(pairs, texts, k, percent), "minmax-links")
+        # what is new joins components, so only their names and the new links are needed
+        names = groups.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        groups = components(names.union(more))
+    known = named.select("doc_id", "n_shingles", "rep").join(groups.withColumnRenamed("node", "rep"), "rep", "left")
+    component = F.coalesce("component", "rep", "doc_id")
     return known.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
