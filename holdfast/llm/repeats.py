@@ -175,7 +175,7 @@ def _windows(rule: Rule):
     import hashlib
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (whole.slice(i, 256) for whole in batches for i in range(0, whole.num_rows, 256)):
             rows, keys, at = [], [], []
             for k, (ctx, begin) in enumerate(zip(b["ctx"].to_pylist(), b["begin"].to_pylist())):
                 units = ctx if rule.units.__name__ == "byte_units" else ctx.split()
@@ -191,7 +191,7 @@ def _windows(rule: Rule):
 
 def _rebuilt(rule: Rule):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (whole.slice(i, 64) for whole in batches for i in range(0, whole.num_rows, 64)):
             removed, spans, sha = [], [], []
             for text, marks in zip(b["text"].to_pylist(), b["spans"].to_pylist()):
                 merged: list[list[int]] = []
@@ -220,12 +220,14 @@ def spans(docs: DataFrame, rule: Rule, hot: int = 20_000, chunk_bytes: int = 1 <
     twice = one.select("*", F.count("*").over(Window.partitionBy("h")).cast("int").alias("n")).where("n > 1")
     by_doc = twice.groupBy("doc_id", "th").agg(F.collect_list(F.struct("h", "pos", "lo", "hi", "n")).alias("anchors"))
     texts = cut(docs.join(by_doc, ["doc_id", "th"]).select("doc_id", "th", "text", "anchors"), "repeat-texts")
-    contexts = texts.mapInArrow(_contexts(rule), CONTEXT)
+    def contexts(which) -> DataFrame:
+        chosen = texts.select("doc_id", "th", "text", F.filter("anchors", which).alias("anchors")).where(F.size("anchors") > 0)
+        return chosen.mapInArrow(_contexts(rule), CONTEXT)
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    calm = contexts.where(F.col("n") <= hot).repartition(tasks, "h").sortWithinPartitions("h").mapInArrow(_groups(rule, chunk_bytes), "doc_id long, th long, a int, z int")
+    calm = contexts(lambda x: x["n"] <= hot).repartition(tasks, "h").sortWithinPartitions("h").mapInArrow(_groups(rule, chunk_bytes), "doc_id long, th long, a int, z int")
     marks = cut(calm, "repeat-spans")
     if texts.where(F.exists("anchors", lambda x: x["n"] > hot)).limit(1).count():
-        each = cut(contexts.where(F.col("n") > hot).mapInArrow(_windows(rule), "doc_id long, th long, a int, w binary"), "repeat-windows")
+        each = cut(contexts(lambda x: x["n"] > hot).mapInArrow(_windows(rule), "doc_id long, th long, a int, w binary"), "repeat-windows")
         again = each.groupBy("w").agg(F.count("*").alias("k")).where("k > 1").select("w")
         marks = marks.union(cut(each.join(again, "w", "left_semi").select("doc_id", "th", "a", (F.col("a") + rule.length).cast("int").alias("z")), "repeat-hot"))
     return marks, texts
