@@ -71,17 +71,22 @@ def hysteresis(dense: DataFrame, margin: float) -> DataFrame:
     return out.select(*CLIP, "s.j", "s.pred")
 
 
-def majority(steps: DataFrame, width: int) -> DataFrame:
-    """Vote over the last ``width`` steps; a tie goes to the current label, else to the lowest class."""
+def majority(steps: DataFrame, width: int, n_classes: int = N_CLASSES) -> DataFrame:
+    """Vote over the last ``width`` steps; a tie goes to the current label, else to the lowest class.
+
+    Votes are counted over the labels in the window, whatever their codes; ``probs`` covers at least ``n_classes`` of them.
+    """
     frame = by_clip().rowsBetween(-(width - 1), 0)
-    votes = F.array(*[F.sum(F.when(F.col("base") == c, 1).otherwise(0)).over(frame) for c in range(N_CLASSES)])
-    s = steps.withColumn("votes", votes).withColumn("best", F.array_max("votes"))
-    total = F.aggregate("votes", F.lit(0).cast("bigint"), lambda a, b: a + b)
-    kept = F.get("votes", F.greatest(F.col("base"), F.lit(0))) == F.col("best")
-    pick = F.array_position("votes", F.col("best")).cast("int") - 1
-    pred = F.when(F.col("base") == BOT, BOT).when(kept, F.col("base")).otherwise(pick)
-    freq = F.when((pred != BOT) & (total > 0), F.transform("votes", lambda v: v / total))
-    return s.select(*CLIP, "j", pred.alias("pred"), freq.alias("probs"))
+    s = steps.withColumn("_in", F.collect_list(F.when(F.col("base") != BOT, F.col("base"))).over(frame))
+    def count(c):
+        return F.size(F.filter("_in", lambda x: x == c))
+    s = s.withColumn("_votes", F.transform(F.array_sort(F.array_distinct("_in")), lambda c: F.struct(count(c).alias("n"), c.alias("c"))))
+    s = s.withColumn("_best", F.array_max(F.transform("_votes", lambda v: v["n"])))
+    pick = F.get(F.filter("_votes", lambda v: v["n"] == F.col("_best")), F.lit(0))["c"]
+    pred = F.when(F.col("base") == BOT, BOT).when(count(F.col("base")) == F.col("_best"), F.col("base")).otherwise(pick)
+    top = F.greatest(F.lit(n_classes - 1), F.array_max("_in"))
+    freq = F.when((pred != BOT) & (F.size("_in") > 0), F.transform(F.sequence(F.lit(0), top), lambda c: count(c) / F.size("_in")))
+    return s.select(*CLIP, "j", pred.cast("int").alias("pred"), freq.alias("probs"))
 
 
 def patience(steps: DataFrame, n: int) -> DataFrame:

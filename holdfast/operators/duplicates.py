@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from holdfast.operators.ranking import salted_join
+from holdfast.operators.ranking import hot_join
 from holdfast.session import cut
 
 NEAR = 8
@@ -53,7 +53,7 @@ def identical_groups(items: DataFrame, key: str, digest: list[str]) -> DataFrame
 def star_edges(items: DataFrame, key: str, digest: list[str]) -> DataFrame:
     """One edge from every member to its group's representative."""
     rep = items.groupBy(*digest).agg(F.min(key).alias("a"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    return salted_join(items, rep, digest).filter(F.col(key) != F.col("a")).select("a", F.col(key).alias("b")).distinct()
+    return hot_join(items, rep, digest).filter(F.col(key) != F.col("a")).select("a", F.col(key).alias("b")).distinct()
 
 
 def same_fingerprint(items: DataFrame, key: str, digest: str) -> DataFrame:
@@ -136,27 +136,26 @@ def longest_equal_run(pairs: DataFrame, frames: DataFrame) -> DataFrame:
         "leakage_candidate", temporal | (exact & (F.col("distinct_contents") >= 3)))
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components: every node with the smallest node of its component.
 
     Each round takes the least label among neighbours and then the label's own label, so labels
     travel in doubling steps. A round ends in a table in the shared folder; the loop stops when no
-    label has changed.
+    label has changed, which the number of nodes bounds.
     """
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct()
     both = cut(both, "edges")
     labels = both.select(F.col("u").alias("node")).distinct().withColumn("label", F.col("node"))
-    for _ in range(max_rounds):
-        near = salted_join(both.withColumnRenamed("v", "node"), labels, ["node"]).groupBy(F.col("u").alias("node")).agg(F.min("label").alias("_near"))
+    while True:
+        near = hot_join(both.withColumnRenamed("v", "node"), labels, ["node"]).groupBy(F.col("u").alias("node")).agg(F.min("label").alias("_near"))
         step = labels.join(near, "node").select("node", "label", F.least("label", "_near").alias("_new"))
         step = cut(step, "labels")
         jump = step.select(F.col("node").alias("_new"), F.col("_new").alias("_far"))
-        nxt = salted_join(step, jump.withColumnRenamed("_far", "_to"), ["_new"]).select("node", F.col("label").alias("_old"), F.least("_new", "_to").alias("label"))
+        nxt = hot_join(step, jump.withColumnRenamed("_far", "_to"), ["_new"]).select("node", F.col("label").alias("_old"), F.least("_new", "_to").alias("label"))
         nxt = cut(nxt, "labels")
         if nxt.filter("_old <> label").isEmpty():
             return nxt.select("node", F.col("label").alias("component"))
         labels = nxt.select("node", "label")
-    raise RuntimeError("components did not settle")
 
 
 def content_components(members: DataFrame, fields: list[str], splits: str) -> DataFrame:
@@ -191,7 +190,7 @@ def guard_components(members: DataFrame, partition: str, source: str) -> DataFra
     g = members.groupBy("component").agg(
         (F.min(partition) != F.max(partition)).alias("_p"), (F.min(source) != F.max(source)).alias("_s"), F.count(F.lit(1)).alias("component_size"))
     flags = g.select("component", "component_size", (F.coalesce("_p", F.lit(False)) | F.coalesce("_s", F.lit(False))).alias("quarantined"))
-    return salted_join(members, flags, ["component"])
+    return hot_join(members, flags, ["component"])
 
 
 def runs_with_gaps(matches: DataFrame, keys: list[str], order: str, gap: int) -> DataFrame:

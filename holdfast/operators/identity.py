@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from holdfast.functions.exprs import source_cluster
-from holdfast.operators.ranking import bucketed_running, hash_rank, salted_join
+from holdfast.operators.ranking import bucketed_running, hash_rank, hot_join
+from holdfast.session import cut
 
 
 def cluster_mismatches(manifest: DataFrame) -> DataFrame:
@@ -34,7 +35,7 @@ def repair_leaks(manifest: DataFrame, split: str) -> DataFrame:
     """
     t = manifest.groupBy("source_cluster_id").agg(
         F.max((F.col(split) == "dev").cast("int")).alias("_dev"), (F.min(split) != F.max(split)).alias("_many"))
-    m = salted_join(manifest, t, ["source_cluster_id"])
+    m = hot_join(manifest, t, ["source_cluster_id"])
     new = F.when(~F.col("_many"), F.col(split)).when(F.col("_dev") == 1, "dev").otherwise("train")
     return m.withColumn("split_new", new).withColumn("moved", new != F.col(split)).drop("_dev", "_many")
 
@@ -105,17 +106,29 @@ def parse_system(df: DataFrame, column: str = "system_id") -> DataFrame:
     })
 
 
-def root_of(cards: DataFrame, max_depth: int = 8) -> DataFrame:
-    """Follow parents to the root. A chain longer than ``max_depth`` is a cycle and gets a null root.
+def root_of(cards: DataFrame) -> DataFrame:
+    """Follow parents to the root, chains of any length; a system whose chain runs into a cycle gets a null root and depth.
 
-    The registry of systems is a small dimension, and every round is one join of it with itself.
+    Pointers are doubled: after r rounds each system points 2 ** r parents up, so the rounds are bounded by the log of the
+    number of systems, and one that then still has a parent above it can only be in a cycle. The registry is a small dimension.
     """
-    up = cards.select(F.col("system_id").alias("_c"), F.col("parent").alias("_p"))
-    cur = cards.select("system_id", F.col("system_id").alias("root"), F.lit(0).alias("depth"))
-    for _ in range(max_depth):
-        cur = cur.join(up, cur["root"] == up["_c"], "left").select(
-            "system_id", F.coalesce("_p", "root").alias("root"), (F.col("depth") + F.col("_p").isNotNull().cast("int")).alias("depth"))
-    return cur.select("system_id", F.when(F.col("depth") < max_depth, F.col("root")).alias("root"), "depth")
+    up = cards.select("system_id", F.col("parent").alias("anc"))
+    at = up.select("system_id", F.coalesce("anc", "system_id").alias("root"), F.col("anc").isNotNull().cast("bigint").alias("depth"))
+    for _ in range(max(1, cards.count()).bit_length()):
+        above = at.select(F.col("system_id").alias("root"), F.col("root").alias("_far"), F.col("depth").alias("_more"))
+        at = cut(at.join(above, "root", "left").select("system_id", F.coalesce("_far", "root").alias("root"), (F.col("depth") + F.coalesce("_more", F.lit(0))).alias("depth")), "roots")
+    open_ = up.where("anc is not null").select(F.col("system_id").alias("root"), F.lit(True).alias("_cycle"))
+    out = at.join(open_, "root", "left")
+    return out.select("system_id", F.when(F.col("_cycle").isNull(), F.col("root")).alias("root"), F.when(F.col("_cycle").isNull(), F.col("depth")).cast("int").alias("depth"))
+
+
+def restrict_split(manifest: DataFrame, split: str) -> DataFrame:
+    """The clips of one split; an unknown or empty split is refused, never read as an empty table."""
+    part = manifest.filter(F.col("split") == split)
+    if part.isEmpty():
+        known = sorted(r[0] for r in manifest.select("split").distinct().collect() if r[0] is not None)
+        raise ValueError(f"split {split!r} has no clips; there are {known}")
+    return part
 
 
 def seed_groups(parsed: DataFrame, required: list[str]) -> DataFrame:

@@ -10,9 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from holdfast.functions.exprs import mean_ratio, uniform
+from holdfast.functions.exprs import TOL, mean_ratio, uniform
 from holdfast.functions.tails import normal_two_sided, normal_upper, student_upper
 from holdfast.operators.ranking import hash_rank
+from holdfast.session import cut
 
 
 def cluster_draws(clusters: DataFrame, n_boot: int, seed: int | str) -> DataFrame:
@@ -40,6 +41,18 @@ def supported_draws(draws: DataFrame, cluster_classes: DataFrame, n_boot: int) -
     return s.filter(F.col("ok") & (F.col("_r") <= n_boot)).select("b", (F.col("_r") - 1).alias("rep"), F.col("_bad").alias("rejected_before"))
 
 
+def draw_supported(clusters: DataFrame, cluster_classes: DataFrame, n_boot: int, seed: int | str) -> DataFrame:
+    """Exactly ``n_boot`` supported replicates: further candidates are drawn by index until there are enough."""
+    if cluster_classes.join(clusters.select("source_cluster_id"), "source_cluster_id", "left_semi").select("class_code").distinct().count() < cluster_classes.select("class_code").distinct().count():
+        raise ValueError("a class has no cluster among those drawn from, so no replicate can support it")
+    n = n_boot
+    while True:
+        n = n + n // 2 + 1
+        got = cut(supported_draws(cluster_draws(clusters, n, seed), cluster_classes, n_boot), "supported")
+        if got.count() >= n_boot:
+            return got
+
+
 def cluster_sums(clips: DataFrame, keys: list[str], values: dict[str, Column]) -> DataFrame:
     return clips.groupBy(*keys, "source_cluster_id", "class_code").agg(
         F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(k) for k, c in values.items()])
@@ -69,8 +82,11 @@ def replicate_median(clips: DataFrame, draws: DataFrame, keys: list[str], value:
 def family_samples(clips: DataFrame, draws: DataFrame) -> DataFrame:
     """The frozen family in every replicate, as rows (system_id, metric, b, value)."""
     d = F.col("delta_s")
+    def at(k):  # null outside the window, as in the point values
+        step = F.rint(F.lit(k) / d)
+        return F.when((F.lit(k) <= F.col("h_s") + TOL) & (step <= F.col("steps")), (F.col("lw") < step).cast("int"))
     sums = cluster_sums(clips, ["system_id"], {
-        "delay": F.col("delay"), "s1": (F.col("lw") < F.rint(1.0 / d)).cast("int"), "s3": (F.col("lw") < F.rint(3.0 / d)).cast("int"), "end_ok": F.col("end_ok")})
+        "delay": F.col("delay"), "s1": at(1.0), "s3": at(3.0), "end_ok": F.col("end_ok")})
     m = replicate_means(sums, draws, ["system_id"], ["delay", "s1", "s3", "end_ok"])
     m = m.join(replicate_median(clips, draws, ["system_id"], "flips", "med"), ["system_id", "b"])
     cols = {"rmscd": "delay_micro", "s_at_1": "s1_micro", "s_at_3": "s3_micro", "end_macro_acc": "end_ok_macro", "median_flips": "med"}

@@ -52,17 +52,28 @@ def hash_rank(df: DataFrame, group: list[str], key: Column, tie: list[Column], o
     ).drop("_h")
 
 
-def salted_join(rows: DataFrame, lookup: DataFrame, keys: list[str], how: str = "inner", hot_rows: int = 1_000_000, salts: int = 64) -> DataFrame:
-    """Join rows to a table with one row per key, spreading keys held by more than ``hot_rows`` rows.
+def exact_quantiles(df: DataFrame, by: list[str], value: str, qs: list[float], width: float = 1.0) -> DataFrame:
+    """Exact interpolated quantiles per group: ``by``, the array ``q`` in the order of ``qs``, and the number ``n`` of values.
 
-    Rows of a hot key get one of ``salts`` numbers and the key's single lookup row is repeated for each
-    of them. There are at most rows / hot_rows hot keys, so the list sent to all tasks is bounded by
-    construction.
+    Values are tallied first and the tally's running counts are taken in buckets of ``width``, so neither a group nor its
+    distinct values meet in one task; the values at the two ranks around each quantile are then plain minima. Nulls don't count.
     """
-    hot = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows).select(*keys, F.lit(True).alias("_hot"))
-    other = [c for c in rows.columns if c not in keys]
-    r = rows.join(F.broadcast(hot), keys, "left")
-    r = r.withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*other), F.lit(salts))).otherwise(F.lit(0)).cast("int")).drop("_hot")
-    spread = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    l = lookup.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.explode(spread)).drop("_hot")
-    return r.join(l, [*keys, "_salt"], how).drop("_salt")
+    tally = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
+    run = bucketed_running(tally, by, F.floor(F.col(value) / width), [F.col(value)], "_cum", F.col("_c"))
+    total = tally.groupBy(*by).agg(F.sum("_c").alias("n"))
+    run = run.join(total, by) if by else run.crossJoin(F.broadcast(total))  # one row without groups
+    def at(rank):
+        return F.min(F.when(F.col("_cum") > rank, F.col(value)))
+    def one(q):
+        place = (F.col("n") - 1) * F.lit(float(q))
+        lo, hi = at(F.floor(place)), at(F.ceil(place))
+        return lo + (hi - lo) * F.max(place - F.floor(place))
+    return run.groupBy(*by).agg(F.array(*[one(q) for q in qs]).alias("q"), F.max("n").alias("n"))
+
+
+def hot_join(rows: DataFrame, lookup: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join rows to a table with one row per key where a key may hold a third of all rows.
+
+    A plain join: adaptive execution splits the partitions of hot keys and repeats the lookup rows for each part.
+    """
+    return rows.join(lookup, keys, how)

@@ -11,8 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from holdfast.functions.exprs import BOT, N_CLASSES, TOL, grid_steps, mean_ratio, stable_delay, trapezoid_weight
+from holdfast.functions.exprs import BOT, TOL, grid_steps, mean_ratio, stable_delay, trapezoid_weight
 from holdfast.operators.protocol import Protocol, base_step, eligible, with_draw, with_protocols
+from holdfast.operators.ranking import exact_quantiles
 
 PI = ["pi_hash", "eps_sys_s", "eps_jit_sd_s", "delta_s", "h_s", "in_plaus"]
 CLIP = ["source_cluster_id", "class_code", "post_anchor_length_s"]
@@ -155,25 +156,23 @@ def delay_summary(clips: DataFrame, by: list[str]) -> DataFrame:
 
 
 def frozen_family(clips: DataFrame, by: list[str], offsets: tuple[float, ...] = (1.0, 3.0)) -> DataFrame:
-    """The metric family of the scan, one aggregation over the clip table plus the class average.
+    """The metric family of the scan: one tally by class and flip count, read twice for totals and for the class average.
 
-    Per-class partial results carry the flip counts as an exact percentile over few distinct values;
-    an offset outside the window or off its grid is null.
+    Classes are those of the clips, however many. An offset is read at the nearest grid point; one outside the window is null.
     """
-    s_cols = []
+    sums = {"n_clips": F.count(F.lit(1)), "n_missing": F.sum("n_missing"), "_delay": F.sum("delay"), "_end": F.sum("end_ok")}
     for k in offsets:
         step = F.rint(F.lit(k) / F.col("delta_s"))
         inside = (F.lit(k) <= F.col("h_s") + TOL) & (step <= F.col("steps"))
-        s_cols.append(F.avg(F.when(inside, (F.col("lw") < step).cast("double"))).alias(f"s_at_{k:g}"))
-    whole = clips.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n_clips"), F.sum("n_missing").alias("n_missing"), F.avg("delay").alias("rmscd"), *s_cols,
-        F.percentile("flips", F.lit(0.5)).alias("median_flips"),
-        *[F.avg(F.when(F.col("class_code") == c, F.col("end_ok"))).alias(f"_a{c}") for c in range(N_CLASSES)],
-    )
-    accs = F.filter(F.array(*[F.col(f"_a{c}") for c in range(N_CLASSES)]), lambda a: a.isNotNull())
-    return whole.withColumn(
-        "end_macro_acc", mean_ratio(F.aggregate(accs, F.lit(0.0), lambda s, a: s + a), F.size(accs))
-    ).drop(*[f"_a{c}" for c in range(N_CLASSES)])
+        sums[f"_s{k:g}"] = F.sum(F.when(inside, (F.col("lw") < step).cast("double")))
+        sums[f"_n{k:g}"] = F.count(F.when(inside, 1))
+    tally = clips.groupBy(*by, "class_code", "flips").agg(*[c.alias(n) for n, c in sums.items()])
+    whole = tally.groupBy(*by).agg(
+        F.sum("n_clips").alias("n_clips"), F.sum("n_missing").alias("n_missing"), (F.sum("_delay") / F.sum("n_clips")).alias("rmscd"),
+        *[mean_ratio(F.sum(f"_s{k:g}"), F.sum(f"_n{k:g}")).alias(f"s_at_{k:g}") for k in offsets],
+        F.percentile("flips", F.lit(0.5), F.col("n_clips")).alias("median_flips"))
+    per_class = tally.groupBy(*by, "class_code").agg((F.sum("_end") / F.sum("n_clips")).alias("_a"))
+    return whole.join(per_class.groupBy(*by).agg(F.avg("_a").alias("end_macro_acc")), by)
 
 
 FAMILY = ["rmscd", "s_at_1", "s_at_3", "end_macro_acc", "median_flips"]
@@ -285,7 +284,7 @@ def length_gap(df: DataFrame, value: str, length: str, out: str) -> DataFrame:
     The cuts are one row per registered system, so sending them to all tasks is bounded.
     """
     ok = df.filter(F.col(value).isNotNull() & F.col(length).isNotNull())
-    cut = ok.groupBy("system_id").agg(F.percentile(length, F.lit(0.5)).alias("_cut"), F.count(F.lit(1)).alias("_n"))
+    cut = exact_quantiles(ok, ["system_id"], length, [0.5]).select("system_id", F.get("q", F.lit(0)).alias("_cut"), F.col("n").alias("_n"))
     long_, short = F.col(length) > F.col("_cut"), F.col(length) <= F.col("_cut")
     return ok.join(F.broadcast(cut), "system_id").groupBy("system_id").agg(
         F.when(F.max("_n") >= 4, F.avg(F.when(long_, F.col(value))) - F.avg(F.when(short, F.col(value)))).alias(out))

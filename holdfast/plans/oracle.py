@@ -31,7 +31,7 @@ man AS (SELECT * FROM raw WHERE lower(decode_ok) IN ('true','1','yes') AND post_
 sys(system_id, eta, slope) AS (VALUES {_SYSTEMS}),
 cell AS (SELECT s.system_id, p.video_id, p.pos - 3 AS j, p.seen, p.ts, r.class_code, s.eta, s.slope,
     'ans|'||s.system_id||'|'||p.video_id||'|'||(p.pos-3) AS k, 'commit|'||s.system_id||'|'||p.video_id AS pk
-    FROM ps p JOIN raw r USING (video_id), sys s WHERE p.pos < r.n_keep AND r.n_keep >= 4),
+    FROM ps p JOIN raw r USING (video_id), sys s),
 cell2 AS (SELECT *, system_id LIKE 'commit%' AS isc, {u('k', 1)} AS u1, {u('k', 2)} AS u2, {u('k', 3)} AS u3, 0.30::DOUBLE + 0.69::DOUBLE*{u('k', 4)} AS conf,
     (system_id LIKE 'commit%' AND j >= floor({u('pk', 1)}*8)) AS committed, {u('pk', 2)} AS up FROM cell),
 ans0 AS (SELECT system_id, video_id, j::INT AS j, ts, committed, conf,

@@ -48,7 +48,7 @@ def b06(spark, sf):
 
 @query("b07_split_restriction", with_base() + " SELECT split, count(*)::BIGINT AS n, round(sum(post_anchor_length_s),6) AS seconds FROM man WHERE split='test' GROUP BY ALL")
 def b07(spark, sf):
-    m = manifest(spark, sf, "test")
+    m = I.restrict_split(manifest(spark, sf), "test")
     return m.groupBy("split").agg(F.count(F.lit(1)).alias("n"), r6(F.sum("post_anchor_length_s")).alias("seconds"))
 
 

@@ -3,11 +3,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from holdfast.functions.exprs import BOT, TOL, r6, uniform
+from holdfast.functions.exprs import BOT, TOL, mean_ratio, r6, uniform
 from holdfast.operators import protocol as P
 from holdfast.operators import trajectory as T
 from holdfast.operators.asof import asof_hold
 from holdfast.operators.protocol import Protocol, eligible
+from holdfast.operators.ranking import exact_quantiles
 from holdfast.plans.common import answers, manifest, open_cells, packed, raw_manifest
 from holdfast.plans.oracle import grid, open_grid, pgrid, u, with_base
 from holdfast.plans.registry import query
@@ -66,13 +67,16 @@ def c06(spark, sf):
     return m.filter(eligible(F.col("post_anchor_length_s"), F.col("h_s"))).select("h_s", "video_id", (frames >= F.col("h_s") * 20).alias("by_frames"))
 
 
-@query("c07_cohort_summary", with_base() + ", h(h_s) AS (VALUES (2.0::DOUBLE),(3.0::DOUBLE),(4.0::DOUBLE)), e AS (SELECT h_s, man.*, (post_anchor_length_s>=h_s-1e-9) AS el FROM man, h WHERE split='test') SELECT h_s, sum(el::INT)::BIGINT AS n_h, count(DISTINCT CASE WHEN el THEN source_cluster_id END)::BIGINT AS n_clusters, sum((NOT el)::INT)::BIGINT AS attrition, " + ", ".join(f"sum((el AND class_code={c})::INT)::BIGINT AS class_{c}, round(sum((el AND class_code={c})::INT)::DOUBLE/sum(el::INT),6) AS fraction_{c}" for c in range(5)) + " FROM e GROUP BY h_s")
+@query("c07_cohort_summary", with_base() + """, h(h_s) AS (VALUES (2.0::DOUBLE),(3.0::DOUBLE),(4.0::DOUBLE)), e AS (SELECT h_s, man.*, (post_anchor_length_s>=h_s-1e-9) AS el FROM man, h WHERE split='test'),
+w AS (SELECT h_s, sum(el::INT)::BIGINT AS n_h, count(DISTINCT CASE WHEN el THEN source_cluster_id END)::BIGINT AS n_clusters, sum((NOT el)::INT)::BIGINT AS attrition FROM e GROUP BY h_s), k AS (SELECT h_s, class_code, sum(el::INT)::BIGINT AS n_class FROM e GROUP BY ALL)
+SELECT w.*, k.class_code, k.n_class, round(k.n_class::DOUBLE/nullif(w.n_h,0),6) AS fraction FROM w JOIN k USING (h_s)""")
 def c07(spark, sf):
+    """One row per horizon and class of the manifest, with the horizon's totals."""
     m = manifest(spark, sf, "test").withColumn("h_s", F.explode(F.array(*[F.lit(h) for h in D.HORIZONS])))
     el = eligible(F.col("post_anchor_length_s"), F.col("h_s")).cast("bigint")
-    per = m.groupBy("h_s", "source_cluster_id").agg(F.sum(el).alias("n"), F.sum(1 - el).alias("out"), *[F.sum(F.when(F.col("class_code") == c, el).otherwise(0)).alias(f"c{c}") for c in range(5)])
-    g = per.groupBy("h_s").agg(F.sum("n").alias("n_h"), F.sum((F.col("n") > 0).cast("bigint")).alias("n_clusters"), F.sum("out").alias("attrition"), *[F.sum(f"c{c}").alias(f"class_{c}") for c in range(5)])
-    return g.select("*", *[r6(F.col(f"class_{c}") / F.col("n_h")).alias(f"fraction_{c}") for c in range(5)])
+    per = m.groupBy("h_s", "source_cluster_id", "class_code").agg(F.sum(el).alias("n"), F.sum(1 - el).alias("out"))
+    whole = per.groupBy("h_s", "source_cluster_id").agg(F.sum("n").alias("n"), F.sum("out").alias("out")).groupBy("h_s").agg(F.sum("n").alias("n_h"), F.sum((F.col("n") > 0).cast("bigint")).alias("n_clusters"), F.sum("out").alias("attrition"))
+    return per.groupBy("h_s", "class_code").agg(F.sum("n").alias("n_class")).join(whole, "h_s").withColumn("fraction", r6(mean_ratio(F.col("n_class"), F.col("n_h"))))
 
 
 @query("c08_prefix_list", with_base(pgrid([Protocol(0.25, 0.25, 0.5, 2.0)], split=None)) + ", pj AS (SELECT *, unnest(range(0,9))::INT AS j FROM pge) SELECT video_id, j, j*0.5::DOUBLE AS offset_s, round(anchor_s_eff+j*0.5::DOUBLE,6) AS end_s, floor((anchor_s_eff+j*0.5::DOUBLE)*fps+1e-9)::BIGINT AS end_frame, round_even((anchor_s_eff+j*0.5::DOUBLE-anchor_s)/0.5::DOUBLE,0)::INT AS base_j, (leff>=2.0-1e-9) AS eligible_h2, (leff>=3.0-1e-9) AS eligible_h3, (leff>=4.0-1e-9) AS eligible_h4 FROM pj")
@@ -143,16 +147,16 @@ def c15(spark, sf):
     return p.groupBy("system_id", "j").agg(F.count(F.lit(1)).alias("n"), F.count("pred").alias("available"), F.sum(F.coalesce(F.col("pred") > BOT, F.lit(False)).cast("bigint")).alias("answered"))
 
 
-@query("c16_asof_hold", """WITH us AS (SELECT DISTINCT user_id FROM events), t AS (SELECT user_id, TIMESTAMP '2024-01-01 12:00:00' + INTERVAL (d) DAY AS ts FROM us, range(0,30) q(d))
+@query("c16_asof_hold", """WITH us AS (SELECT DISTINCT user_id FROM events), b AS (SELECT min(ts)::DATE AS lo, max(ts)::DATE AS hi FROM events), t AS (SELECT user_id, lo + INTERVAL (d) DAY + INTERVAL 12 HOUR AS ts FROM us, b, unnest(range(0, date_diff('day', lo, hi)+1)) q(d))
 SELECT t.user_id, t.ts::VARCHAR AS ts, e.value AS value, round((epoch_us(t.ts)-epoch_us(e.ts))/1e6::DOUBLE,3) AS staleness_s FROM t ASOF LEFT JOIN events e ON e.user_id=t.user_id AND t.ts>=e.ts""")
 def c16(spark, sf):
     """Value in force for every user at noon of each day, and how old it was."""
     e = D.table(spark, sf, "events").select("user_id", "ts", "value")
-    noon = F.expr("transform(sequence(0, 29), d -> timestampadd(DAY, d, TIMESTAMP_NTZ '2024-01-01 12:00:00'))")
-    targets = e.select("user_id").distinct().withColumn("ts", F.explode(noon))
+    days = e.agg(F.sequence(F.to_date(F.min("ts")), F.to_date(F.max("ts")))).scalar()
+    targets = e.select("user_id").distinct().withColumn("day", F.explode(days)).select("user_id", (F.col("day").cast("timestamp_ntz") + F.expr("interval 12 hours")).alias("ts"))
     h = asof_hold(targets, e, "user_id", "ts", F.substring(F.col("ts").cast("string"), 1, 10), ["value"])
-    age = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("held_at").cast("timestamp"))
-    return h.select("user_id", F.col("ts").cast("string").alias("ts"), "value", F.round(age / F.lit(1e6), 3).alias("staleness_s"))
+    age = F.expr("extract(DAY FROM ts - held_at) * 86400D + extract(HOUR FROM ts - held_at) * 3600D + extract(MINUTE FROM ts - held_at) * 60D + cast(extract(SECOND FROM ts - held_at) AS double)")
+    return h.select("user_id", F.col("ts").cast("string").alias("ts"), "value", F.round(age, 3).alias("staleness_s"))
 
 
 @query("c17_running_feature_mean", """WITH x AS (SELECT vec_id//10 AS clip, vec_id%10 AS i, unnest(embedding) AS v, unnest(range(1,65)) AS d FROM embeddings),
@@ -182,7 +186,7 @@ def c18(spark, sf):
 @query("c19_horizon_candidates", with_base() + ", q AS (SELECT unnest([0.25,0.5,0.75]::DOUBLE[]) AS p, unnest(quantile_cont(post_anchor_length_s, [0.25,0.5,0.75])) AS h FROM man WHERE split='dev') SELECT p AS quantile, round(h,6) AS horizon_s, sum((post_anchor_length_s>=h-1e-9 AND split='dev')::INT)::BIGINT AS n_dev, sum((post_anchor_length_s>=h-1e-9 AND split='test')::INT)::BIGINT AS n_test FROM q, man GROUP BY p, h")
 def c19(spark, sf):
     """Quantiles of development lengths only; each horizon's cohort is then counted."""
-    q = manifest(spark, sf, "dev").agg(F.percentile("post_anchor_length_s", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))).scalar()
+    q = exact_quantiles(manifest(spark, sf, "dev"), [], "post_anchor_length_s", [0.25, 0.5, 0.75]).select("q").scalar()
     tally = manifest(spark, sf).groupBy("split", "post_anchor_length_s").agg(F.count(F.lit(1)).alias("n"))
     j = tally.select("*", F.posexplode(q).alias("i", "h")).filter(F.col("post_anchor_length_s") >= F.col("h") - TOL)
     return j.groupBy("i", "h").agg(
@@ -193,11 +197,11 @@ def c19(spark, sf):
 @query("c20_length_shift", with_base() + ", q AS (SELECT split, quantile_cont(post_anchor_length_s, [0.25,0.5,0.75]) AS q, avg((post_anchor_length_s>=3.0-1e-9)::INT) AS e FROM man WHERE split IN ('dev','test') GROUP BY ALL) SELECT round(a.q[1]-b.q[1],6) AS d_q25, round(a.q[2]-b.q[2],6) AS d_median, round(a.q[3]-b.q[3],6) AS d_q75, round(a.e-b.e,6) AS d_eligible FROM q a, q b WHERE a.split='test' AND b.split='dev'")
 def c20(spark, sf):
     m = manifest(spark, sf).filter(F.col("split").isin("dev", "test"))
-    qs = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-    length = F.col("post_anchor_length_s")
-    test, dev = F.col("split") == "test", F.col("split") == "dev"
-    el = eligible(length, 3.0).cast("int")
-    g = m.agg(F.percentile(F.when(test, length), qs).alias("t"), F.percentile(F.when(dev, length), qs).alias("d"), F.avg(F.when(test, el)).alias("et"), F.avg(F.when(dev, el)).alias("ed"))
+    el = m.groupBy("split").agg(F.avg(eligible(F.col("post_anchor_length_s"), 3.0).cast("int")).alias("e"))
+    j = exact_quantiles(m, ["split"], "post_anchor_length_s", [0.25, 0.5, 0.75]).join(el, "split")
+    def of(split, c):
+        return F.max(F.when(F.col("split") == split, c))
+    g = j.agg(of("test", F.col("q")).alias("t"), of("dev", F.col("q")).alias("d"), of("test", F.col("e")).alias("et"), of("dev", F.col("e")).alias("ed"))
     return g.select(*[r6(F.get("t", F.lit(i)) - F.get("d", F.lit(i))).alias(n) for i, n in enumerate(("d_q25", "d_median", "d_q75"))], r6(F.col("et") - F.col("ed")).alias("d_eligible"))
 
 
@@ -222,8 +226,8 @@ def c21(spark, sf):
 
 @query("c22_descriptive_statistics", with_base() + " SELECT split, count(*)::BIGINT AS n, round(avg(post_anchor_length_s),6) AS mean, min(post_anchor_length_s) AS min, round(quantile_cont(post_anchor_length_s,0.25),6) AS q25, round(median(post_anchor_length_s),6) AS median, round(quantile_cont(post_anchor_length_s,0.75),6) AS q75, max(post_anchor_length_s) AS max, sum((post_anchor_length_s<=0)::INT)::BIGINT AS n_degenerate FROM man GROUP BY ALL")
 def c22(spark, sf):
-    """Exact quantiles keep one counter per distinct length, which is a whole number of frames."""
-    l = F.col("post_anchor_length_s")
-    return manifest(spark, sf).groupBy("split").agg(
-        F.count(F.lit(1)).alias("n"), r6(F.avg(l)).alias("mean"), F.min(l).alias("min"), r6(F.percentile(l, F.lit(0.25))).alias("q25"),
-        r6(F.percentile(l, F.lit(0.5))).alias("median"), r6(F.percentile(l, F.lit(0.75))).alias("q75"), F.max(l).alias("max"), F.sum((l <= 0).cast("bigint")).alias("n_degenerate"))
+    """Moments by one aggregation; exact quantiles from bucketed running counts."""
+    m, l = manifest(spark, sf), F.col("post_anchor_length_s")
+    q = exact_quantiles(m, ["split"], "post_anchor_length_s", [0.25, 0.5, 0.75]).select("split", "q")
+    g = m.groupBy("split").agg(F.count(F.lit(1)).alias("n"), r6(F.avg(l)).alias("mean"), F.min(l).alias("min"), F.max(l).alias("max"), F.sum((l <= 0).cast("bigint")).alias("n_degenerate"))
+    return g.join(q, "split").select("split", "n", "mean", "min", *[r6(F.get("q", F.lit(i))).alias(c) for i, c in enumerate(("q25", "median", "q75"))], "max", "n_degenerate")

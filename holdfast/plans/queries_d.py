@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from holdfast.functions.exprs import TOL, mean_ratio, r6, stable_delay
 from holdfast.operators import trajectory as T
 from holdfast.operators.protocol import Protocol, reference
-from holdfast.operators.ranking import salted_join
+from holdfast.operators.ranking import hot_join
 from holdfast.plans.common import answers, cells, clips, clips_for, manifest, open_cells, packed
 from holdfast.plans.oracle import grid, open_grid, pgrid, with_base
 from holdfast.plans.registry import query
@@ -370,7 +370,7 @@ def d28(spark, sf):
     """Means with clip weights (here one unit per source cluster) and with equal class mass."""
     c = clips(spark, sf)
     size = c.groupBy("system_id", "source_cluster_id").agg((1.0 / F.count(F.lit(1))).alias("wt"))
-    c = salted_join(c, size, ["system_id", "source_cluster_id"])
+    c = hot_join(c, size, ["system_id", "source_cluster_id"])
     d, e = T.weighted_mean(c, ["system_id"], "delay", "wt", "delay"), T.weighted_mean(c, ["system_id"], "end_ok", "wt", "end")
     j = d.join(e, "system_id")
     return j.select("system_id", *[r6(x).alias(x) for x in ("delay_micro", "delay_macro", "end_micro", "end_macro")],
@@ -410,21 +410,28 @@ def d30(spark, sf):
 @query("d31_per_class", H3 + """, s1 AS (SELECT system_id, y, avg(CASE WHEN j=0 THEN stable END) AS s0, avg(CASE WHEN j=2 THEN stable END) AS s1 FROM gs GROUP BY ALL),
 psh AS (SELECT system_id, endpred AS y, count(*)::DOUBLE AS np FROM gc GROUP BY ALL), tot AS (SELECT system_id, count(*) AS nt FROM gc GROUP BY ALL)
 SELECT c.system_id, c.y AS class_code, count(*)::BIGINT AS n, round(avg(endok),6) AS accuracy, round(avg(err),6) AS error_area, round(avg(retr),6) AS retracted_area, round(avg(delay),6) AS rmscd, round(any_value(s0),6) AS s_0, round(any_value(s1),6) AS s_1,
- round(coalesce(any_value(np),0)/any_value(nt),6) AS pred_share_end, """ + ", ".join(f"round(avg((endpred={k})::INT),6) AS confusion_to_{k}" for k in range(5)) + """
+ round(coalesce(any_value(np),0)/any_value(nt),6) AS pred_share_end
 FROM gc c JOIN s1 ON s1.system_id=c.system_id AND s1.y=c.y LEFT JOIN psh p ON p.system_id=c.system_id AND p.y=c.y JOIN tot ON tot.system_id=c.system_id GROUP BY c.system_id, c.y""")
 def d31(spark, sf):
     c = clips(spark, sf)
     per = c.groupBy("system_id", "class_code").agg(
         F.count(F.lit(1)).alias("n"), r6(F.avg("end_ok")).alias("accuracy"), r6(F.avg("err_area")).alias("error_area"),
         r6(F.avg("retr_area")).alias("retracted_area"), r6(F.avg("delay")).alias("rmscd"),
-        r6(F.avg((F.col("lw") < 0).cast("int"))).alias("s_0"), r6(F.avg((F.col("lw") < 2).cast("int"))).alias("s_1"),
-        *[r6(F.avg((F.col("end_pred") == k).cast("int"))).alias(f"confusion_to_{k}") for k in range(5)])
+        r6(F.avg((F.col("lw") < 0).cast("int"))).alias("s_0"), r6(F.avg((F.col("lw") < 2).cast("int"))).alias("s_1"))
     said = c.groupBy("system_id", F.col("end_pred").alias("class_code")).agg(F.count(F.lit(1)).alias("np"))
     total = c.groupBy("system_id").agg(F.count(F.lit(1)).alias("nt"))
     return per.join(said, ["system_id", "class_code"], "left").join(total, "system_id").withColumn(
         "pred_share_end", r6(F.coalesce(F.col("np"), F.lit(0)) / F.col("nt"))).drop("np", "nt")
 
 
+@query("d31_confusion", H3 + " SELECT system_id, y AS class_code, endpred AS end_pred, count(*)::BIGINT AS n, round(count(*)/sum(count(*)) OVER (PARTITION BY system_id, y),6) AS share FROM gc GROUP BY system_id, y, endpred")
+def d31_confusion(spark, sf):
+    """End answers of every class: one row per (system, class, answer), so any set of classes fits."""
+    n = clips(spark, sf).groupBy("system_id", "class_code", "end_pred").agg(F.count(F.lit(1)).alias("n"))
+    total = n.groupBy("system_id", "class_code").agg(F.sum("n").alias("_t"))
+    return n.join(total, ["system_id", "class_code"]).select("system_id", "class_code", "end_pred", "n", r6(F.col("n") / F.col("_t")).alias("share"))
+
+
 @query("d32_class_recall", H3 + " SELECT system_id, y AS class_code, round(avg(endok),6) AS recall FROM gc GROUP BY ALL")
 def d32(spark, sf):
     return clips(spark, sf).groupBy("system_id", "class_code").agg(r6(F.avg("end_ok")).alias("recall"))

@@ -15,14 +15,15 @@ from holdfast.plans.stages import stage
 from holdfast.sources import derive as D
 
 # Dense trajectories of the base systems: every stored step, argmax of the probabilities.
-_DENSE = """bs AS (SELECT DISTINCT system_id, video_id FROM ans WHERE system_id LIKE 'prefix%'),
-dn AS (SELECT b.system_id, b.video_id, x.j::INT AS j, a.probs, CASE WHEN a.probs IS NULL THEN -1 ELSE list_position(a.probs, list_max(a.probs))-1 END::INT AS base
+_DENSE = """bs AS (SELECT DISTINCT system_id, video_id FROM ans WHERE system_id LIKE 'prefix%' OR system_id LIKE 'clip%'),
+dn AS MATERIALIZED (SELECT b.system_id, b.video_id, x.j::INT AS j, a.probs, CASE WHEN a.probs IS NULL THEN -1 ELSE list_position(a.probs, list_max(a.probs))-1 END::INT AS base
  FROM bs b, range(-3,9) x(j) LEFT JOIN ans a ON a.system_id=b.system_id AND a.video_id=b.video_id AND a.j=x.j)"""
 BASE = with_base(_DENSE)
 
 
 def base_answers(spark, sf):
-    return answers(spark, sf).filter(F.col("system_id").startswith("prefix"))
+    """Answers of the systems that arms are put on: all that aren't arms themselves."""
+    return answers(spark, sf).filter(F.col("system_id").startswith("prefix") | F.col("system_id").startswith("clip"))
 
 
 def dense(spark, sf):
@@ -141,7 +142,7 @@ def f09(spark, sf):
 
 
 _ACC = """, ga AS (SELECT *, (base>=0 AND j>=0 AND list_max(probs)>=0.5::DOUBLE) AS good FROM dn), gb AS (SELECT *, CASE WHEN good AND lag(good) OVER w AND lag(base) OVER w=base THEN 0 ELSE 1 END AS fr FROM ga WINDOW w AS (PARTITION BY system_id, video_id ORDER BY j)),
-gi AS (SELECT *, sum(fr) OVER (PARTITION BY system_id, video_id ORDER BY j) AS isle FROM gb), gr AS (SELECT *, CASE WHEN good THEN row_number() OVER (PARTITION BY system_id, video_id, isle ORDER BY j) ELSE 0 END AS run FROM gi)"""
+gi AS (SELECT *, sum(fr) OVER (PARTITION BY system_id, video_id ORDER BY j) AS isle FROM gb), gr AS MATERIALIZED (SELECT *, CASE WHEN good THEN row_number() OVER (PARTITION BY system_id, video_id, isle ORDER BY j) ELSE 0 END AS run FROM gi)"""
 
 
 @query("f10_consecutive_accept", BASE + _ACC + _stop_sql("run >= 2", "gr"))

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from holdfast.functions.exprs import TOL, mean_ratio, r6
 from holdfast.operators import inference as G
 from holdfast.operators import trajectory as T
-from holdfast.operators.protocol import Protocol
+from holdfast.operators.protocol import Protocol, eligible
+from holdfast.operators.ranking import exact_quantiles
 from holdfast.plans.common import SEED, N_BOOT, clips, clips_for, draws, manifest, points, samples
 from holdfast.plans.oracle import grid, u, with_base
 from holdfast.plans.registry import query
@@ -42,10 +43,11 @@ def g01(spark, sf):
     return draws(spark, sf).select("b", "source_cluster_id", "w")
 
 
-@query("g02_supported_draws", with_base(grid(3.0), DRAWS) + ", cc AS (SELECT DISTINCT source_cluster_id, y FROM gc), sb AS (SELECT b, count(DISTINCT y) AS c FROM wt JOIN cc USING (source_cluster_id) GROUP BY ALL), so AS (SELECT b, c=(SELECT count(DISTINCT y) FROM cc) AS ok FROM sb), sr AS (SELECT b, ok, sum(ok::INT) OVER (ORDER BY b) AS r, sum((NOT ok)::INT) OVER (ORDER BY b) AS bad FROM so) SELECT b::INT AS b, (r-1)::BIGINT AS rep, bad::BIGINT AS rejected_before FROM sr WHERE ok AND r<=150")
+@query("g02_supported_draws", with_base(grid(3.0), DRAWS.replace(f"range(0,{N_BOOT}) q(b)", f"range(0,{8 * N_BOOT}) q(b)")) + ", cc AS (SELECT DISTINCT source_cluster_id, y FROM gc), sb AS (SELECT b, count(DISTINCT y) AS c FROM wt JOIN cc USING (source_cluster_id) GROUP BY ALL), so AS (SELECT b, c=(SELECT count(DISTINCT y) FROM cc) AS ok FROM sb), sr AS (SELECT b, ok, sum(ok::INT) OVER (ORDER BY b) AS r, sum((NOT ok)::INT) OVER (ORDER BY b) AS bad FROM so) SELECT b::INT AS b, (r-1)::BIGINT AS rep, bad::BIGINT AS rejected_before FROM sr WHERE ok AND r<="+str(N_BOOT))
 def g02(spark, sf):
     cc = clips(spark, sf).select("source_cluster_id", "class_code").distinct()
-    return G.supported_draws(draws(spark, sf), cc, 150)
+    pool = manifest(spark, sf, "test").filter(eligible(F.col("post_anchor_length_s"), D.H_REF))
+    return G.draw_supported(pool, cc, N_BOOT, SEED)
 
 
 @query("g03_bootstrap_means", S + " SELECT system_id, b::INT AS b, round(rmscd,6) AS rmscd, round(rmscd_macro,6) AS rmscd_macro, round(end_macro_acc,6) AS end_macro_acc FROM mm")
@@ -240,9 +242,8 @@ _STRATA = "sg AS (SELECT gc.*, CASE WHEN len<=c1 THEN 0 WHEN len<=c2 THEN 1 ELSE
 
 
 def cuts(spark, sf):
-    q = F.percentile("post_anchor_length_s", F.array(F.lit(1 / 3), F.lit(2 / 3)))
     d = manifest(spark, sf, "dev").filter(F.col("post_anchor_length_s") >= 2.0 - TOL)
-    return d.agg(q.alias("q")).select(F.get("q", F.lit(0)).alias("c1"), F.get("q", F.lit(1)).alias("c2"))
+    return exact_quantiles(d, [], "post_anchor_length_s", [1 / 3, 2 / 3]).select(F.get("q", F.lit(0)).alias("c1"), F.get("q", F.lit(1)).alias("c2"))
 
 
 def strata(spark, sf):
@@ -278,17 +279,28 @@ def g19(spark, sf):
 Z = 1.959963984540054
 
 
-@query("g21_sample_planning", with_base() + f", h(h_s) AS (VALUES (2.0::DOUBLE),(3.0::DOUBLE),(4.0::DOUBLE)), c AS (SELECT h_s, count(DISTINCT source_cluster_id) AS k, " + ", ".join(f"sum((class_code={c})::INT) AS c{c}" for c in range(5)) + f" FROM man, h WHERE split='test' AND post_anchor_length_s>=h_s-1e-9 GROUP BY ALL) SELECT h_s, k::BIGINT AS n_clusters, round({Z}*sqrt(0.25/k),6) AS half_width, round({Z}*sqrt(0.5/k),6) AS half_width_difference, ceil(0.5*({Z}/0.1)*({Z}/0.1))::BIGINT AS n_required, (k>=ceil(0.5*({Z}/0.1)*({Z}/0.1))) AS floor_met, concat_ws(',', " + ", ".join(f"CASE WHEN c{c}=0 THEN 'class_{c}' END" for c in range(5)) + ") AS empty_classes, concat_ws(',', " + ", ".join(f"CASE WHEN c{c}>0 AND c{c}<60 THEN 'class_{c}' END" for c in range(5)) + ") AS thin_classes FROM c")
+_THIN = "string_agg(CASE WHEN {0} THEN 'class_'||class_code END, ',' ORDER BY class_code)"
+
+
+@query("g21_sample_planning", with_base() + f""", h(h_s) AS (VALUES (2.0::DOUBLE),(3.0::DOUBLE),(4.0::DOUBLE)), v AS (SELECT DISTINCT class_code FROM man), e AS (SELECT h_s, man.* FROM man, h WHERE split='test' AND post_anchor_length_s>=h_s-1e-9),
+c AS (SELECT h_s, count(DISTINCT source_cluster_id) AS k FROM e GROUP BY ALL), n AS (SELECT h.h_s, v.class_code, count(e.video_id) AS n FROM h CROSS JOIN v LEFT JOIN e ON e.h_s=h.h_s AND e.class_code=v.class_code GROUP BY ALL),
+t AS (SELECT h_s, coalesce({_THIN.format('n=0')}, '') AS empty_classes, coalesce({_THIN.format('n>0 AND n<60')}, '') AS thin_classes FROM n GROUP BY ALL)
+SELECT h_s, k::BIGINT AS n_clusters, round({Z}*sqrt(0.25/k),6) AS half_width, round({Z}*sqrt(0.5/k),6) AS half_width_difference, ceil(0.5*({Z}/0.1)*({Z}/0.1))::BIGINT AS n_required, (k>=ceil(0.5*({Z}/0.1)*({Z}/0.1))) AS floor_met, empty_classes, thin_classes FROM c JOIN t USING (h_s)""")
 def g21(spark, sf):
-    """Clusters needed to resolve 0.1 in S_H, and classes below 60 clips, per horizon."""
-    m = manifest(spark, sf, "test").withColumn("h_s", F.explode(F.array(*[F.lit(h) for h in D.HORIZONS]))).filter(F.col("post_anchor_length_s") >= F.col("h_s") - TOL)
-    per = m.groupBy("h_s", "source_cluster_id").agg(*[F.sum((F.col("class_code") == c).cast("bigint")).alias(f"c{c}") for c in range(5)])
-    k = per.groupBy("h_s").agg(F.count(F.lit(1)).alias("n_clusters"), *[F.sum(f"c{c}").alias(f"c{c}") for c in range(5)])
-    need = F.ceil(F.lit(0.5 * (Z / 0.1) * (Z / 0.1)))
+    """Clusters needed to resolve 0.1 in S_H, and the manifest's classes below 60 clips, per horizon."""
+    horizons = F.explode(F.array(*[F.lit(h) for h in D.HORIZONS])).alias("h_s")
+    m = manifest(spark, sf, "test").select("*", horizons).filter(F.col("post_anchor_length_s") >= F.col("h_s") - TOL)
+    per = m.groupBy("h_s", "source_cluster_id", "class_code").agg(F.count(F.lit(1)).alias("n"))
+    k = per.groupBy("h_s", "source_cluster_id").agg(F.count(F.lit(1)).alias("n")).groupBy("h_s").agg(F.count(F.lit(1)).alias("n_clusters"))
+    every = manifest(spark, sf).select("class_code").distinct().select("*", horizons)
+    n = every.join(per.groupBy("h_s", "class_code").agg(F.sum("n").alias("n")), ["h_s", "class_code"], "left").fillna(0, ["n"])
     def names(test):
-        return F.array_join(F.array_compact(F.array(*[F.when(test(F.col(f"c{c}")), F.lit(f"class_{c}")) for c in range(5)])), ",")
-    return k.select("h_s", "n_clusters", r6(Z * F.sqrt(0.25 / F.col("n_clusters"))).alias("half_width"), r6(Z * F.sqrt(0.5 / F.col("n_clusters"))).alias("half_width_difference"),
-                    need.alias("n_required"), (F.col("n_clusters") >= need).alias("floor_met"), names(lambda x: x == 0).alias("empty_classes"), names(lambda x: (x > 0) & (x < 60)).alias("thin_classes"))
+        order = F.array_sort(F.collect_list(F.when(test, F.struct("class_code"))))
+        return F.array_join(F.transform(order, lambda c: F.concat(F.lit("class_"), c["class_code"].cast("string"))), ",")
+    t = n.groupBy("h_s").agg(names(F.col("n") == 0).alias("empty_classes"), names((F.col("n") > 0) & (F.col("n") < 60)).alias("thin_classes"))
+    need = F.ceil(F.lit(0.5 * (Z / 0.1) * (Z / 0.1)))
+    return k.join(t, "h_s").select("h_s", "n_clusters", r6(Z * F.sqrt(0.25 / F.col("n_clusters"))).alias("half_width"), r6(Z * F.sqrt(0.5 / F.col("n_clusters"))).alias("half_width_difference"),
+                                   need.alias("n_required"), (F.col("n_clusters") >= need).alias("floor_met"), "empty_classes", "thin_classes")
 
 
 @query("g22_contrast_support", PC + " SELECT system_a, system_b, " + ", ".join(f"count(DISTINCT CASE WHEN abs({c})>1e-12 THEN source_cluster_id END)::BIGINT AS {c}" for c in G.CONTRASTS) + " FROM pc GROUP BY ALL")

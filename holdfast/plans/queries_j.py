@@ -8,7 +8,7 @@ from holdfast.functions.exprs import r6
 from holdfast.operators import agreement as A
 from holdfast.operators import duplicates as U
 from holdfast.operators import inference as G
-from holdfast.operators.ranking import hash_rank, salted_join
+from holdfast.operators.ranking import hash_rank, hot_join
 from holdfast.plans.common import N_BOOT, SEED, clips
 from holdfast.plans.oracle import grid, u, with_base
 from holdfast.plans.registry import query
@@ -190,7 +190,7 @@ def ledger(spark, sf):
     p = prints(spark, sf)
     labels = D.table(spark, sf, "labels").withColumn("has", F.lit(True))
     dup = U.identical_groups(p, "doc_id", ["digest"]).select("digest", F.lit(True).alias("dup"))
-    j = salted_join(p.join(labels, "doc_id", "left"), dup, ["digest"], "left")
+    j = hot_join(p.join(labels, "doc_id", "left"), dup, ["digest"], "left")
     rules = {"not_labelled": F.col("has").isNull(), "low_quality": F.col("quality") == 0, "toxic": F.col("toxic") == 1, "too_short": F.col("n_chars") < 20, "shares_identical_content": F.col("dup").isNotNull()}
     return j.withColumn("why", F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in rules.items()])))
 
@@ -325,7 +325,7 @@ def j18(spark, sf):
     e = U.star_edges(p, "doc_id", ["fp_hi", "fp_lo"]).unionByName(n.select("a", "b"))
     for s in ("a", "b"):
         look = m.select(F.col("node").alias(s), F.struct("source", "split", "quality").alias(f"m{s}"))
-        e = salted_join(e, look, [s])
+        e = hot_join(e, look, [s])
     pair = F.concat(F.least("ma.source", "mb.source"), F.lit("/"), F.greatest("ma.source", "mb.source"))
     return e.groupBy(pair.alias("sources")).agg(
         F.count(F.lit(1)).alias("n_edges"), F.sum((F.col("ma.split") != F.col("mb.split")).cast("bigint")).alias("n_cross_split"),

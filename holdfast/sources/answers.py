@@ -45,8 +45,11 @@ def duplicate_cells(answers: DataFrame) -> DataFrame:
     return answers.groupBy("system_id", "video_id", "j").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 
 
-def conformance(answers: DataFrame, manifest_ids: DataFrame, j_min: int, j_max: int) -> DataFrame:
-    """One row per system with a count of violations for every rule of the answer contract."""
+def conformance(answers: DataFrame, manifest_ids: DataFrame, j_min: int, j_max: int, n_classes: int = N_CLASSES) -> DataFrame:
+    """One row per system with a count of violations for every rule of the answer contract.
+
+    A committing system must give no answer between the anchor and its commitment.
+    """
     known = manifest_ids.select("video_id", F.lit(True).alias("_known"))
     p, pred, j, com = F.col("probs"), F.col("pred"), F.col("j"), F.col("committed")
     total = F.aggregate(p, F.lit(0.0), lambda s, x: s + x)
@@ -55,12 +58,13 @@ def conformance(answers: DataFrame, manifest_ids: DataFrame, j_min: int, j_max:
     a = a.withColumn("_was", F.lag("committed").over(by_clip)).withColumn("_label", F.lag("pred").over(by_clip))
     bad = {
         "unknown_clip": F.col("_known").isNull(),
-        "pred_outside": ~pred.between(BOT, N_CLASSES - 1),
+        "pred_outside": ~pred.between(BOT, n_classes - 1),
         "partial_probs": p.isNotNull() & F.exists(p, lambda x: x.isNull()),
         "sum_off": p.isNotNull() & (F.abs(total - 1.0) > 1e-6),
         "prob_range": p.isNotNull() & F.exists(p, lambda x: (x < -1e-9) | (x > 1 + 1e-9)),
         "uncommitted_again": F.coalesce(F.col("_was"), F.lit(False)) & ~com,
         "committed_before_anchor": com & (j < 0),
+        "answer_before_commitment": F.col("system_id").startswith("commit") & (j >= 0) & ~com & (pred != BOT),
         "frozen_label_changed": F.coalesce(F.col("_was"), F.lit(False)) & com & (pred != F.col("_label")),
     }
     per_clip = a.groupBy("system_id", "video_id").agg(

@@ -127,15 +127,42 @@ def merge_annotators(first: DataFrame, second: DataFrame) -> DataFrame:
     return j.withColumn("status", status).withColumn("mapped_class", F.when(status == "unique", F.col("d1")))
 
 
-def file_digests(spark, glob: str, limit: int = 2**31 - 1) -> DataFrame:
-    """Digest of every file below the size Spark can hold in one value; larger ones are listed without."""
+def file_digests(spark, glob: str, limit: int = 2**31 - 1, step: int = 1 << 22) -> DataFrame:
+    """SHA-256 of every file; Spark does not list empty ones. One beyond what Spark holds in a value is streamed by its task."""
+    from collections.abc import Iterator
+
+    import pyarrow as pa
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import hashlib
+
+        from pyarrow import fs as pafs
+        for b in batches:
+            out = []
+            for path in b["path"].to_pylist():
+                source, inner = pafs.FileSystem.from_uri(path)
+                h = hashlib.sha256()
+                with source.open_input_stream(inner, compression=None) as f:
+                    while chunk := f.read(step):
+                        h.update(chunk)
+                out.append(h.hexdigest())
+            yield pa.RecordBatch.from_arrays([b["name"], b["length"], pa.array(out, pa.string())], ["name", "length", "digest"])
     files = spark.read.format("binaryFile").load(glob)
     name = F.substring_index("path", "/", -1).alias("name")
     small = files.filter(F.col("length") < limit).select(name, "length", F.sha2("content", 256).alias("digest"))
-    large = files.filter(F.col("length") >= limit).select(name, "length", F.lit(None).cast("string").alias("digest"))
+    large = files.filter(F.col("length") >= limit).select("path", name, "length").mapInArrow(stream, "name string, length long, digest string")
     return small.unionByName(large)
 
 
+def verify_digests(found: DataFrame, expected: DataFrame) -> DataFrame:
+    """Found files against the expected (name, length, digest): ok, missing, unexpected, length_differs or digest_differs."""
+    e = expected.select("name", F.col("length").alias("expected_length"), F.col("digest").alias("expected_digest"))
+    j = found.join(e, "name", "full_outer")
+    status = (F.when(F.col("digest").isNull(), "missing").when(F.col("expected_digest").isNull(), "unexpected")
+              .when(F.col("length") != F.col("expected_length"), "length_differs").when(F.col("digest") != F.col("expected_digest"), "digest_differs").otherwise("ok"))
+    return j.select("name", "length", "digest", status.alias("status"))
+
+
 def compare_runs(a: DataFrame, b: DataFrame, keys: list[str], numbers: list[str], texts: list[str]) -> DataFrame:
     """Largest difference, null mismatches, text mismatches and rows on one side only."""
     left = a.select(*keys, *[F.col(c).alias(f"{c}_1") for c in numbers + texts], F.lit(True).alias("_in1"))

@@ -6,6 +6,7 @@ shared folder, so a query resumes after a failure without repeating or losing ou
 """
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -16,7 +17,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from holdfast.functions.exprs import BOT, stable_delay
 from holdfast.session import fresh_path
 
-FEED = ("system_id string, video_id string, class_code int, j int, pred int, prev int, probs array<double>, "
+FEED = ("system_id string, video_id string, class_code int, j int, pred int, probs array<double>, "
         "event_time timestamp, close_time timestamp")
 KEYS = ["system_id", "video_id"]
 
@@ -28,10 +29,10 @@ def read_feed(spark: SparkSession, path: str, files_per_trigger: int | None = No
     return r.parquet(path)
 
 
-def run_available(df: DataFrame, label: str, mode: str = "append") -> DataFrame:
+def run_available(df: DataFrame, label: str, mode: str = "append", path: str | None = None) -> DataFrame:
     """Process what is there, write it to the shared folder, and read the result."""
     spark = df.sparkSession
-    path = fresh_path(spark, label)
+    path = path or fresh_path(spark, label)
     q = (df.writeStream.format("parquet").option("checkpointLocation", fresh_path(spark, f"{label}-checkpoint"))
          .outputMode(mode).trigger(availableNow=True).start(path))
     q.awaitTermination()
@@ -46,7 +47,11 @@ def top(probs) -> int:
 
 
 def smoothing(j_min: int, alpha: float, margin: float, n: int):
-    """Per-clip processor for smoothing, hysteresis and patience; a step that never came is an empty cell."""
+    """Per-clip processor: smoothing, hysteresis, patience, changes and gaps, in step order whatever the order of arrival.
+
+    A step waits in the state until the watermark passes its event time; then all steps before it have come or never will, and
+    one that never came is an empty cell. Only the watermark decides what is late. The state goes when the clip closes.
+    """
     def step(s, j, p):
         q, hyst, pat, cand, run, last = s
         k = top(p)
@@ -65,25 +70,42 @@ def smoothing(j_min: int, alpha: float, margin: float, n: int):
         return q, hyst, pat, cand, run, j
 
     def process(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        s = tuple(state.get) if state.exists else (None, BOT, BOT, BOT, 0, j_min - 1)
-        rows = pd.concat(list(batches)).sort_values("j")
-        out = []
-        for j, p in zip(rows["j"], rows["probs"]):
-            if j <= s[5]:
-                continue  # a repeated or late step cannot change what was already said
-            for missing in range(int(s[5]) + 1, int(j)):
+        held = json.loads(state.get[0]) if state.exists else {"s": [None, BOT, BOT, BOT, 0, j_min - 1], "said": None, "wait": {}, "close": 0}
+        for rows in batches:
+            times = rows["event_time"].astype("datetime64[us]").astype("int64") // 1000
+            ends = rows["close_time"].astype("datetime64[us]").astype("int64") // 1000
+            for j, pred, p, at, end in zip(rows["j"], rows["pred"], rows["probs"], times, ends):
+                held["close"] = max(held["close"], int(end))
+                if j > held["s"][5]:  # the first answer to a step counts
+                    held["wait"].setdefault(str(int(j)), [int(at), int(pred), None if p is None else [float(x) for x in p]])
+        mark, s, out = state.getCurrentWatermarkMs(), tuple(held["s"]), []
+        for j in sorted(map(int, held["wait"])):
+            at, pred, probs = held["wait"][str(j)]
+            if at > mark:
+                break
+            del held["wait"][str(j)]
+            gap = j - s[5] - 1
+            for missing in range(s[5] + 1, j):
                 s = step(s, missing, None)
-            s = step(s, int(j), None if p is None else [float(x) for x in p])
-            out.append((*key, int(j), top(s[0]), s[1], s[2]))
-        state.update(s)
-        yield pd.DataFrame(out, columns=[*KEYS, "j", "ema_pred", "hysteresis_pred", "patience_pred"])
+            s = step(s, j, probs)
+            out.append((*key, j, top(s[0]), s[1], s[2], pred, held["said"] is not None and held["said"] != pred, gap, pd.Timestamp(at, unit="ms")))
+            held["said"] = pred
+        held["s"] = list(s)
+        if not held["wait"] and held["close"] <= mark:
+            state.remove()
+        else:
+            state.update((json.dumps(held),))
+            state.setTimeoutTimestamp(max(min([w[0] for w in held["wait"].values()] or [held["close"]]), mark) + 1)
+        yield pd.DataFrame(out, columns=[*KEYS, "j", "ema_pred", "hysteresis_pred", "patience_pred", "pred", "changed", "n_missing", "event_time"])
     return process
 
 
-def live_smoothing(feed: DataFrame, j_min: int, alpha: float = 0.35, margin: float = 0.2, n: int = 2) -> DataFrame:
-    return feed.groupBy(*KEYS).applyInPandasWithState(
-        smoothing(j_min, alpha, margin, n), "system_id string, video_id string, j int, ema_pred int, hysteresis_pred int, patience_pred int",
-        "q array<double>, hyst int, pat int, cand int, run int, last int", "append", GroupStateTimeout.NoTimeout)
+STEPS = "system_id string, video_id string, j int, ema_pred int, hysteresis_pred int, patience_pred int, pred int, changed boolean, n_missing int, event_time timestamp"
+
+
+def live_smoothing(feed: DataFrame, j_min: int, alpha: float = 0.35, margin: float = 0.2, n: int = 2, delay: str = "10 minutes") -> DataFrame:
+    """Every step once, as the watermark passes it: smoothed answers, whether the answer changed, steps missing before it."""
+    return feed.withWatermark("event_time", delay).groupBy(*KEYS).applyInPandasWithState(smoothing(j_min, alpha, margin, n), STEPS, "held string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def live_commitment(feed: DataFrame, threshold: float, steps: int, delta: float, delay: str = "10 minutes") -> DataFrame:
@@ -114,10 +136,15 @@ def live_closure(feed: DataFrame, steps: int, delta: float, delay: str = "10 min
     return g.select(*KEYS, stable_delay(lw, F.lit(steps), F.lit(delta)).alias("delay"), flips.alias("flips"), missing.alias("n_missing"), (lw < steps).alias("end_ok"))
 
 
-def live_health(feed: DataFrame, width: str = "1 day", delay: str = "10 minutes") -> DataFrame:
-    """Tumbling counts of answers, empty answers and changes per system."""
-    w = feed.withWatermark("event_time", delay).groupBy("system_id", F.window("event_time", width).alias("w"))
-    return w.agg(
-        F.count(F.lit(1)).alias("n_answers"), F.sum((F.col("pred") == BOT).cast("bigint")).alias("n_bot"),
-        F.sum(F.coalesce(F.col("prev") != F.col("pred"), F.lit(False)).cast("bigint")).alias("n_flips"),
-    ).select("system_id", F.unix_seconds("w.start").alias("window_start"), "n_answers", "n_bot", "n_flips")
+def read_steps(spark: SparkSession, path: str) -> DataFrame:
+    """The output of ``live_smoothing`` as a stream again."""
+    return spark.readStream.schema(STEPS).parquet(path)
+
+
+def live_health(steps: DataFrame, width: str = "1 day", delay: str = "10 minutes") -> DataFrame:
+    """Tumbling counts per system of answers, empty answers, changes and missing steps, from the steps in order."""
+    w = steps.withWatermark("event_time", delay).groupBy("system_id", F.window("event_time", width).alias("w"))
+    def n(c):
+        return F.sum(c.cast("bigint"))
+    return w.agg(F.count(F.lit(1)).alias("n_answers"), n(F.col("pred") == BOT).alias("n_bot"), n(F.col("changed")).alias("n_flips"), n(F.col("n_missing")).alias("n_missing"),
+                 ).select("system_id", F.unix_seconds("w.start").alias("window_start"), "n_answers", "n_bot", "n_flips", "n_missing")

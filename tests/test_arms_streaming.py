@@ -98,13 +98,25 @@ def test_live_smoothing_over_many_batches_equals_batch(spark):
     a, truth = random_answers(spark, 6, 9)
     t0 = datetime(2024, 1, 1)
     rows = sorted((r.j, r.video_id, r.pred, r.probs) for r in a.collect())
-    feed = [("s", v, 0, j, p, None, pr, t0 + timedelta(seconds=j), t0) for j, v, p, pr in rows]
-    f = L.read_feed(spark, feed_files(spark, feed, 12), 1)
-    got = {(r.video_id, r.j): (r.ema_pred, r.hysteresis_pred, r.patience_pred) for r in L.run_available(L.live_smoothing(f, J[0], 0.35, 0.1, 3), "t").collect()}
-    assert len(got) == len(feed)
-    want = {v: loops(s) for v, s in truth.items()}
-    for (v, j), x in got.items():
-        assert x == tuple(want[v][k][j - J[0]] for k in ("ema", "hysteresis", "patience"))
+    feed = [("s", v, 0, j, p, pr, t0 + timedelta(seconds=j), t0 + timedelta(seconds=30)) for j, v, p, pr in rows]
+    far = [("", "", 0, k, 0, None, t0 + timedelta(days=k + 1), t0 + timedelta(days=k + 1)) for k in (0, 1)]
+    shuffled = list(feed)
+    random.Random(5).shuffle(shuffled)  # within the allowed delay the order of arrival must not matter
+    want, seen = {v: loops(s) for v, s in truth.items()}, []
+    for order, per_file in ((feed, 12), (shuffled, 7)):
+        f = L.read_feed(spark, feed_files(spark, order + far, per_file), 1)
+        out = [r for r in L.run_available(L.live_smoothing(f, J[0], 0.35, 0.1, 3), "t").collect() if r.system_id]
+        got = {(r.video_id, r.j): (r.ema_pred, r.hysteresis_pred, r.patience_pred) for r in out}
+        assert len(got) == len(out) == len(feed)
+        for (v, j), x in got.items():
+            assert x == tuple(want[v][k][j - J[0]] for k in ("ema", "hysteresis", "patience"))
+        seen.append(sorted((r.video_id, r.j, r.pred, r.changed, r.n_missing) for r in out))
+    assert seen[0] == seen[1]
+    for v in truth:
+        mine, said, last = [x for x in seen[0] if x[0] == v], None, J[0] - 1
+        for _, j, pred, changed, missing in mine:
+            assert changed == (said is not None and said != pred) and missing == j - last - 1
+            said, last = pred, j
 
 
 def test_late_answers_cannot_change_a_closed_clip(spark):
@@ -112,9 +124,9 @@ def test_late_answers_cannot_change_a_closed_clip(spark):
     t0 = datetime(2024, 1, 1)
     close = t0 + timedelta(seconds=3)
     p = [0.9, 0.025, 0.025, 0.025, 0.025]
-    row = lambda j, pred, pr, at: ("s", "v", 0, j, pred, None, pr, at, close)
+    row = lambda j, pred, pr, at: ("s", "v", 0, j, pred, pr, at, close)
     on_time = [row(j, 0 if j > 1 else 1, p if j == 3 else [0.2] * 5, t0 + timedelta(seconds=j / 2)) for j in range(7) if j != 4]
-    later = [("s", "w", 0, 0, 0, None, p, t0 + timedelta(hours=h), t0 + timedelta(hours=h, seconds=3)) for h in (1, 2, 3)]
+    later = [("s", "w", 0, 0, 0, p, t0 + timedelta(hours=h), t0 + timedelta(hours=h, seconds=3)) for h in (1, 2, 3)]
     late = [row(4, 0, p, t0 + timedelta(seconds=2)), row(1, 0, p, t0)]
     feed = on_time + later[:1] + later[1:2] + late + later[2:]
     path = fresh_path(spark, "feed-late")

@@ -136,8 +136,38 @@ def test_parse_and_root_with_cycle(spark):
     assert (r.family, r.arm_rule, r.arm_value, r.seed, r.parent) == ("postproc", "ema", "0p2", "7", "prefix__gru64__seed7")
     assert p["trivial__majority"].arm_rule == "trivial_majority" and p["block__lock__d0-1"].arm_rule == "block_lock"
     cards = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", None), ("x", "y"), ("y", "x")], "system_id string, parent string")
-    got = {r.system_id: r.root for r in I.root_of(cards, 4).collect()}
-    assert got == {"a": "c", "b": "c", "c": "c", "x": None, "y": None}
+    got = {r.system_id: (r.root, r.depth) for r in I.root_of(cards).collect()}
+    assert got == {"a": ("c", 2), "b": ("c", 1), "c": ("c", 0), "x": (None, None), "y": (None, None)}
+    chain = spark.createDataFrame([(f"n{i}", f"n{i + 1}" if i < 12 else None) for i in range(13)] + [("p", "q"), ("q", "r"), ("r", "p"), ("s", "p")], "system_id string, parent string")
+    got = {r.system_id: (r.root, r.depth) for r in I.root_of(chain).collect()}
+    assert got == {**{f"n{i}": ("n12", 12 - i) for i in range(13)}, **dict.fromkeys("pqrs", (None, None))}
+
+
+def test_split_restriction_refuses(spark):
+    m = spark.createDataFrame([("a", "dev"), ("b", "test")], "video_id string, split string")
+    assert I.restrict_split(m, "dev").count() == 1
+    with pytest.raises(ValueError, match="validation"):
+        I.restrict_split(m, "validation")
+
+
+def test_exact_quantiles(spark):
+    import random
+    from holdfast.operators.ranking import exact_quantiles
+    rng = random.Random(3)
+    rows = [(rng.choice("ab"), rng.choice([rng.random() * 9 - 3, 1.25, None])) for _ in range(200)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    got = {r.g: r.q for r in exact_quantiles(df, ["g"], "x", [0.0, 0.1, 0.5, 1.0]).collect()}
+    for r in df.groupBy("g").agg(F.percentile("x", F.array(*[F.lit(q) for q in (0.0, 0.1, 0.5, 1.0)])).alias("q")).collect():
+        assert got[r.g] == pytest.approx(r.q)
+
+
+def test_supported_draws_are_as_many_as_asked(spark):
+    from holdfast.operators import inference as G
+    clusters = spark.createDataFrame([(f"c{i}", 6 if i == 0 else 0) for i in range(9)], "source_cluster_id string, class_code int")
+    got = G.draw_supported(clusters, clusters, 40, 5).collect()
+    assert sorted(r.rep for r in got) == list(range(40)) and any(r.rejected_before for r in got)
+    with pytest.raises(ValueError):
+        G.draw_supported(clusters.where("class_code = 0"), clusters, 5, 5)
 
 
 def test_leak_repair_and_carve_out(spark):

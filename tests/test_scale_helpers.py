@@ -5,7 +5,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from holdfast.operators.asof import asof_hold
-from holdfast.operators.ranking import bucketed_running, hash_rank, salted_join
+from holdfast.operators.ranking import bucketed_running, hash_rank, hot_join
 
 
 def test_bucketed_rank_equals_window(spark):
@@ -28,11 +28,11 @@ def test_hash_rank_is_a_permutation_whatever_the_partitioning(spark):
     assert a.groupBy("g").agg(F.min("r").alias("lo"), F.max("r").alias("hi"), F.count_distinct("r").alias("n"), F.count("*").alias("c")).filter("lo <> 1 OR hi <> c OR n <> c").count() == 0
 
 
-def test_salted_join_equals_join(spark):
+def test_hot_join_equals_join(spark):
     rows = spark.range(300).select(F.when(F.col("id") < 200, 0).otherwise(F.col("id")).alias("k"), F.col("id").alias("v"))
     look = spark.range(0, 300, 2).select(F.col("id").alias("k"), (F.col("id") * 10).alias("x"))
     for how in ("inner", "left"):
-        got = salted_join(rows, look, ["k"], how, hot_rows=20, salts=8)
+        got = hot_join(rows, look, ["k"], how)
         want = rows.join(look, ["k"], how)
         assert got.count() == want.count() and got.select("k", "v", "x").exceptAll(want.select("k", "v", "x")).count() == 0
 
