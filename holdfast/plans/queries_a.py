@@ -73,9 +73,14 @@ def a04(spark, sf):
         F.sum("n").alias("n_cells"), F.count(F.lit(1)).alias("n_clips"), F.min("lo").alias("j_min"), F.max("hi").alias("j_max")).join(deltas, "system_id")
 
 
-@query("a05_system_discovery", with_base() + " SELECT split_part(system_id,'__',1) AS family, count(DISTINCT system_id)::BIGINT AS n_systems, count(*)::BIGINT AS n_cells, 0::BIGINT AS n_duplicate_cells FROM ans GROUP BY ALL")
+_TWICE = f"{u(chr(39)+'twice|'+chr(39)+'||system_id||chr(124)||video_id||chr(124)||j')}"
+
+
+@query("a05_system_discovery", with_base() + f" SELECT split_part(system_id,'__',1) AS family, count(DISTINCT system_id)::BIGINT AS n_systems, count(*)::BIGINT + sum(({_TWICE} < 0.01)::INT)::BIGINT AS n_cells, sum(({_TWICE} < 0.01)::INT)::BIGINT AS n_duplicate_cells FROM ans GROUP BY ALL")
 def a05(spark, sf):
-    a = answers(spark, sf)
+    """Systems found by family; one cell in a hundred is delivered twice here and must be counted as a duplicate."""
+    a = answers(spark, sf).select("system_id", "video_id", "j")
+    a = a.unionByName(a.filter(uniform(F.concat_ws("|", F.lit("twice"), "system_id", "video_id", "j")) < 0.01))
     per = a.groupBy("system_id", "video_id", "j").agg(F.count(F.lit(1)).alias("n")).groupBy("system_id").agg(
         F.sum("n").alias("n"), F.sum((F.col("n") > 1).cast("bigint")).alias("d"))
     return per.groupBy(F.split("system_id", "__")[0].alias("family")).agg(
@@ -241,17 +246,18 @@ def a17(spark, sf):
 _CACHED = f"{u(chr(39)+'cache|'+chr(39)+'||pi_hash||chr(124)||system_id')}"
 
 
-@query("a18_scan_coverage", with_base(pgrid(axis_scan(3.0))) + f", x AS (SELECT DISTINCT pi_hash, system_id FROM pgf) SELECT pi_hash, count(*)::BIGINT*5 AS expected, 5*sum(({_CACHED} >= 0.1)::INT)::BIGINT AS cached, 5*sum(({_CACHED} < 0.1)::INT)::BIGINT AS missing, 0::BIGINT AS unexpected FROM x GROUP BY ALL")
+@query("a18_scan_coverage", with_base(pgrid(axis_scan(3.0))) + f", x AS (SELECT DISTINCT pi_hash, system_id FROM pgf) SELECT pi_hash, count(*)::BIGINT*5 AS expected, 5*sum(({_CACHED} >= 0.1)::INT)::BIGINT + 1 AS cached, 5*sum(({_CACHED} < 0.1)::INT)::BIGINT AS missing, 1::BIGINT AS unexpected FROM x GROUP BY ALL")
 def a18(spark, sf):
-    """A stored scan must be the full product of systems, protocols and metrics, no more and no less."""
+    """A stored scan must be the full product of systems, protocols and metrics; missing rows and a stray one are put in."""
     pis = [p.pi_hash for p in axis_scan(3.0)]
     s = scan(spark, sf).filter(F.col("pi_hash").isin(pis) & F.col("system_id").isin(D.SYSTEM_IDS)).select("pi_hash", "system_id", "metric")
     cached = s.filter(uniform(F.concat_ws("|", F.lit("cache"), "pi_hash", "system_id")) >= 0.1)
     ids = s.select("system_id").distinct()
     expected = ids.withColumn("pi_hash", F.explode(F.array(*[F.lit(p) for p in pis]))).withColumn("metric", F.explode(F.array(*[F.lit(m) for m in T.FAMILY])))
     keys = ["pi_hash", "system_id", "metric"]
+    stray = spark.createDataFrame([(p, "block__unknown", "rmscd") for p in pis], "pi_hash string, system_id string, metric string")
     e = expected.select(*keys).withColumn("e", F.lit(1))
-    c = cached.select(*keys).withColumn("c", F.lit(1))
+    c = cached.select(*keys).unionByName(stray.select(*keys)).withColumn("c", F.lit(1))
     j = e.join(c, keys, "full_outer")
     return j.groupBy("pi_hash").agg(
         F.count("e").alias("expected"), F.count("c").alias("cached"), F.sum((F.col("c").isNull()).cast("bigint")).alias("missing"), F.sum((F.col("e").isNull()).cast("bigint")).alias("unexpected"))

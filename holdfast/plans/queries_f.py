@@ -191,8 +191,14 @@ def f13(spark, sf):
 
 
 @query("f14_control_closed_form", with_base(CONTROL_SQL) + """, s AS (SELECT *, min((pred=y)::INT) OVER (PARTITION BY system_id, video_id ORDER BY j ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS st, lag(pred) OVER (PARTITION BY system_id, video_id ORDER BY j) AS pv FROM ctl WHERE split='test' AND len>=3.0-1e-9 AND j BETWEEN 0 AND 6),
-c AS (SELECT system_id, video_id, sum((CASE WHEN j IN (0,6) THEN 0.25 ELSE 0.5 END)::DOUBLE*(1-st)) AS d, sum((pv IS NOT NULL AND pv<>pred)::INT) AS f FROM s GROUP BY ALL)
-SELECT system_id, count(*)::BIGINT AS n, round(avg(d),6) AS measured, round(CASE WHEN system_id NOT LIKE 'block__rand%' THEN avg(d) END,6) AS expected, CASE WHEN system_id NOT LIKE 'block__rand%' THEN 0.0::DOUBLE END AS max_abs_diff, CASE WHEN system_id NOT LIKE 'block__rand%' AND system_id NOT LIKE 'block__osc%' THEN 0::BIGINT END AS flip_mismatches FROM c GROUP BY system_id""")
+c AS (SELECT system_id, video_id, sum((CASE WHEN j IN (0,6) THEN 0.25 ELSE 0.5 END)::DOUBLE*(1-st)) AS d, sum((pv IS NOT NULL AND pv<>pred)::INT) AS f FROM s GROUP BY ALL),
+ph AS (SELECT k.*, CASE WHEN (ceil(d0/p-1e-9)-1)::BIGINT%2=0 THEN ceil(d0/p-1e-9)-1 ELSE ceil(d0/p-1e-9)-2 END AS q, floor(3.0/p+1e-9) AS closing FROM ks k WHERE family<>'rand'),
+ta AS (SELECT ph.system_id, m.video_id, ph.family, CASE family WHEN 'oracle' THEN '-inf'::DOUBLE WHEN 'lock' THEN d0 WHEN 'frac' THEN ph.c*m.duration_s-m.anchor_s
+ ELSE CASE WHEN d0<=3.0+1e-9 THEN (CASE WHEN d0<=0 OR q<0 THEN '-inf'::DOUBLE ELSE least((q+1)*p, d0) END) WHEN closing::BIGINT%2=1 THEN closing*p ELSE 'inf'::DOUBLE END END AS tau
+ FROM man m, ph WHERE m.split='test' AND m.post_anchor_length_s>=3.0-1e-9),
+mm AS (SELECT *, CASE WHEN tau='-inf'::DOUBLE THEN 0 WHEN tau='inf'::DOUBLE THEN 7 ELSE greatest(ceil(tau/0.5-1e-9),0) END AS m FROM ta),
+ex AS (SELECT system_id, video_id, (CASE WHEN m<=0 THEN 0 WHEN m>6 THEN 3.0 ELSE (m-0.5)*0.5 END)::DOUBLE AS ed, CASE WHEN family='oracle' THEN 0 WHEN family<>'osc' THEN (m>=1 AND m<=6)::INT END AS ef FROM mm)
+SELECT c.system_id, count(*)::BIGINT AS n, round(avg(d),6) AS measured, round(avg(ed),6) AS expected, round(max(abs(d-ed)),6) AS max_abs_diff, sum((f<>ef)::INT)::BIGINT AS flip_mismatches FROM c LEFT JOIN ex ON ex.system_id=c.system_id AND ex.video_id=c.video_id GROUP BY c.system_id""")
 def f14(spark, sf):
     """Measured controls against their closed form, clip by clip; every difference must be zero."""
     m = manifest(spark, sf, "test")
