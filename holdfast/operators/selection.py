@@ -12,10 +12,10 @@ from holdfast.functions.exprs import TIE, correlation, mean_ratio, sign_tol
 
 
 def sweep_choice(summary: DataFrame) -> DataFrame:
-    """Pick a swept value per base system: feasible first, then least delay; value 0 is the base itself."""
-    base = summary.filter("value = 0").select("system_id", F.col("acc").alias("_base"))
-    s = summary.filter("value > 0").join(base, "system_id").withColumn("feasible", F.col("acc") >= F.col("_base") - TIE).drop("_base")
-    order = Window.partitionBy("system_id").orderBy((~F.col("feasible")).cast("int"), F.round("rmscd", 9), "value")
+    """Pick a swept value per base system and arm: feasible first, then least delay; arm ``base`` is the system itself."""
+    base = summary.filter("arm = 'base'").select("system_id", F.col("acc").alias("_base"))
+    s = summary.filter("arm <> 'base'").join(base, "system_id").withColumn("feasible", F.col("acc") >= F.col("_base") - TIE).drop("_base")
+    order = Window.partitionBy("system_id", "arm").orderBy((~F.col("feasible")).cast("int"), F.round("rmscd", 9), "value")
     return s.withColumn("selected", F.row_number().over(order) == 1)
 
 

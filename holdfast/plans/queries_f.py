@@ -96,26 +96,31 @@ def _dev_summary(spark, sf, preds, keys):
     return per.groupBy(*keys).agg((F.sum("d") / F.sum("n")).alias("rmscd"), F.avg("a").alias("acc"))
 
 
-_MAJ = "mj AS (SELECT k, d.system_id, d.video_id, d.j, d.base, " + ", ".join(f"(SELECT count(*) FROM dn e WHERE e.system_id=d.system_id AND e.video_id=d.video_id AND e.j BETWEEN d.j-k+1 AND d.j AND e.base={c}) AS v{c}" for c in range(5)) + " FROM dn d, (VALUES (2),(3),(5)) q(k))"
-
-
-@query("f06_parameter_sweep", BASE + f""", {_MAJ}, ml AS (SELECT *, [v0,v1,v2,v3,v4] AS vs FROM mj),
-pr AS (SELECT k, system_id, video_id, j, (CASE WHEN base=-1 THEN -1 WHEN vs[base+1]=list_max(vs) THEN base ELSE list_position(vs, list_max(vs))-1 END)::INT AS pred FROM ml UNION ALL SELECT 0, system_id, video_id, j, base FROM dn),
-ds AS (SELECT p.*, m.class_code AS y, min((pred=class_code)::INT) OVER (PARTITION BY k, system_id, p.video_id ORDER BY j ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS st FROM pr p JOIN man m USING (video_id) WHERE m.split='dev' AND m.post_anchor_length_s>=3.0-1e-9 AND j BETWEEN 0 AND 6),
-dc AS (SELECT k, system_id, video_id, y, sum((CASE WHEN j IN (0,6) THEN 0.25 ELSE 0.5 END)::DOUBLE*(1-st)) AS d, max(CASE WHEN j=6 THEN st END) AS e FROM ds GROUP BY ALL),
-dy AS (SELECT k, system_id, y, sum(d) AS d, avg(e) AS a, count(*) AS n FROM dc GROUP BY ALL), sm AS (SELECT k, system_id, sum(d)/sum(n) AS rmscd, avg(a) AS acc FROM dy GROUP BY ALL),
-fz AS (SELECT s.k, s.system_id, s.rmscd, s.acc, (s.acc >= b.acc-1e-9) AS feasible FROM sm s JOIN sm b ON b.system_id=s.system_id AND b.k=0 WHERE s.k>0)
-SELECT system_id, k AS value, round(rmscd,6) AS rmscd, round(acc,6) AS acc, feasible, (row_number() OVER (PARTITION BY system_id ORDER BY (NOT feasible)::INT, round(rmscd,9), k)=1) AS selected FROM fz""")
+# The votes of every width at once; the recursive arms once for each value.
+_MAJ = ", mj AS MATERIALIZED (SELECT k, d.system_id, d.video_id, d.j, d.base, " + ", ".join(f"sum((e.base={c})::INT) AS v{c}" for c in range(5)) + f" FROM dn d JOIN dn e ON e.system_id=d.system_id AND e.video_id=d.video_id JOIN (VALUES {', '.join(f'({k})' for k in R.SWEEPS['majority'])}) q(k) ON e.j BETWEEN d.j-k+1 AND d.j GROUP BY ALL), ml AS (SELECT *, [v0,v1,v2,v3,v4] AS vs FROM mj)"
+_SWEPT = [("ema", v, ema_cte, "(CASE WHEN q IS NULL THEN -1 ELSE list_position(q, list_max(q))-1 END)::INT") for v in R.SWEEPS["ema"]]
+_SWEPT += [("hysteresis", v, hysteresis_cte, "cur") for v in R.SWEEPS["hysteresis"]] + [("patience", v, patience_cte, "cur") for v in R.SWEEPS["patience"]]
+_PRED = " UNION ALL ".join([
+    "SELECT 'majority' AS arm, k::DOUBLE AS value, system_id, video_id, j, (CASE WHEN base=-1 THEN -1 WHEN vs[base+1]=list_max(vs) THEN base ELSE list_position(vs, list_max(vs))-1 END)::INT AS pred FROM ml",
+    *[f"SELECT '{arm}', {v}::DOUBLE, system_id, video_id, j, {pred} FROM sw{n}" for n, (arm, v, _, pred) in enumerate(_SWEPT)], "SELECT 'base', 0::DOUBLE, system_id, video_id, j, base FROM dn"])
+
+
+@query("f06_parameter_sweep", RECURSIVE + _MAJ + "".join(cte(f"sw{n}", v) for n, (_, v, cte, _) in enumerate(_SWEPT)) + f""", pr AS ({_PRED}),
+ds AS (SELECT p.*, m.class_code AS y, min((pred=class_code)::INT) OVER (PARTITION BY arm, value, system_id, p.video_id ORDER BY j ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS st FROM pr p JOIN man m USING (video_id) WHERE m.split='dev' AND m.post_anchor_length_s>=3.0-1e-9 AND j BETWEEN 0 AND 6),
+dc AS (SELECT arm, value, system_id, video_id, y, sum((CASE WHEN j IN (0,6) THEN 0.25 ELSE 0.5 END)::DOUBLE*(1-st)) AS d, max(CASE WHEN j=6 THEN st END) AS e FROM ds GROUP BY ALL),
+dy AS (SELECT arm, value, system_id, y, sum(d) AS d, avg(e) AS a, count(*) AS n FROM dc GROUP BY ALL), sm AS (SELECT arm, value, system_id, sum(d)/sum(n) AS rmscd, avg(a) AS acc FROM dy GROUP BY ALL),
+fz AS (SELECT s.arm, s.value, s.system_id, s.rmscd, s.acc, (s.acc >= b.acc-1e-9) AS feasible FROM sm s JOIN sm b ON b.system_id=s.system_id AND b.arm='base' WHERE s.arm<>'base')
+SELECT system_id, arm, value, round(rmscd,6) AS rmscd, round(acc,6) AS acc, feasible, (row_number() OVER (PARTITION BY system_id, arm ORDER BY (NOT feasible)::INT, round(rmscd,9), value)=1) AS selected FROM fz""")
 def f06(spark, sf):
-    """Voting widths chosen on development data: least delay among those keeping the base's end accuracy."""
-    s = steps(spark, sf)
-    arms = None
-    for k in (2, 3, 5):
-        a = R.majority(s, k).select("system_id", F.lit(k).alias("value"), "video_id", "j", "pred")
-        arms = a if arms is None else arms.unionByName(a)
-    base = s.select("system_id", F.lit(0).alias("value"), "video_id", "j", F.col("base").alias("pred"))
-    m = _dev_summary(spark, sf, arms.unionByName(base), ["system_id", "value"])
-    return sweep_choice(m).select("system_id", "value", r6("rmscd").alias("rmscd"), r6("acc").alias("acc"), "feasible", "selected")
+    """Every swept value of every arm on development data: least delay among those keeping the base's end accuracy."""
+    d, s = dense(spark, sf), steps(spark, sf)
+    made = {"ema": lambda v: R.ema(d, v), "hysteresis": lambda v: R.hysteresis(d, v), "majority": lambda v: R.majority(s, v), "patience": lambda v: R.patience(s, v)}
+    every = s.select(F.lit("base").alias("arm"), F.lit(0.0).alias("value"), "system_id", "video_id", "j", F.col("base").alias("pred"))
+    for arm, values in R.SWEEPS.items():
+        for v in values:
+            every = every.unionByName(made[arm](v).select(F.lit(arm).alias("arm"), F.lit(float(v)).alias("value"), "system_id", "video_id", "j", "pred"))
+    m = _dev_summary(spark, sf, every, ["system_id", "arm", "value"])
+    return sweep_choice(m).select("system_id", "arm", "value", r6("rmscd").alias("rmscd"), r6("acc").alias("acc"), "feasible", "selected")
 
 
 @query("f07_commitment_score", BASE + " SELECT system_id, video_id, j, round(coalesce(list_max(probs),0),6) AS msp, round(coalesce(list_reverse_sort(probs)[1]-list_reverse_sort(probs)[2],0),6) AS margin FROM dn")
