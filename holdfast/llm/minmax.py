@@ -4,7 +4,8 @@ Each permutation gives two values, so 70 of them make 140 for 28 bands of 5: two
 chance of 1.5e-5, of 0.9 with 1e-11. Documents of equal shingle sets first become one. In each bucket the others are paired
 with its head; pairs are confirmed by exact intersection of the full sets, and links join components. In buckets that then
 still hold several components the pairs across them follow, so nothing in a bucket stays untested. Such a pair is
-tested in full only when at most ``far`` of 140 one-bit samples differ (14 are expected at 0.8; the chance of more
+tested in full only when exact bounds on what it can share (shingles that occur in any other document, counts by hash class)
+allow a link, and when at most ``far`` of 140 one-bit samples differ (14 are expected at 0.8; the chance of more
 than 34 is below 1e-7). A bucket whose members are all near its head costs one test per member.
 """
 from __future__ import annotations
@@ -70,6 +71,33 @@ def signatures(docs: DataFrame, k: int, bands: int, rows: int, seed: int) -> Dat
     return docs.mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, keys array<long>, bits array<long>")
 
 
+def each_shingle(texts: DataFrame, k: int) -> DataFrame:
+    """s, u: every distinct shingle of every text (id, text)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            raw, off = utf8(b["text"])
+            ids = b["id"].to_numpy()
+            for i, j in runs(off, 1 << 20):
+                h, _, _, woff = words(raw[off[i]:off[j]], off[i:j + 1] - off[i], True)
+                s, soff = shingles(h, woff, k)
+                yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(np.repeat(ids[i:j], np.diff(soff)))], ["s", "u"])
+    return texts.select("id", "text").mapInArrow(run, "s long, u long")
+
+
+def profiles(texts: DataFrame, k: int, classes: int = 64) -> DataFrame:
+    """u, profile: how many shingles of a text fall into each of 64 hash classes; sums of minima bound an intersection."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            raw, off = utf8(b["text"])
+            for i, j in runs(off, 1 << 20):
+                h, _, _, woff = words(raw[off[i]:off[j]], off[i:j + 1] - off[i], True)
+                s, soff = shingles(h, woff, k)
+                row = np.repeat(np.arange(j - i), np.diff(soff))
+                count = np.bincount(row * classes + (s % np.uint64(classes)).astype(np.int64), minlength=(j - i) * classes).reshape(j - i, classes)
+                yield pa.RecordBatch.from_arrays([b["id"][i:j], pa.array(list(count.astype(np.int32)), pa.list_(pa.int32()))], ["u", "profile"])
+    return texts.select("id", "text").mapInArrow(run, "u long, profile array<int>")
+
+
 def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """Pairs (a, b) whose full sets have 100 * intersection >= percent * union; ``texts`` is (id, text)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,12 +157,24 @@ def near_copies(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 28,
     open_ = bucket.select("key", "u").join(groups.withColumnRenamed("node", "u"), "u", "left").select("key", "u", F.coalesce("component", "u").alias("c"))
     open_ = cut(open_, "minmax-open")
     mixed = open_.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-    bits = named.where("bits is not null").select(F.col("doc_id").alias("u"), "bits")
+    bits = named.where("bits is not null").select(F.col("doc_id").alias("u"), "bits", "n_shingles", "keys")
     side = cut(open_.join(mixed, "key", "left_semi").join(bits, "u"), "minmax-mixed")
     if not side.isEmpty():
-        x, y = (side.select(F.col("key").alias(f"key_{t}"), *[F.col(c).alias(f"{c}_{t}") for c in ("u", "c", "bits")]) for t in "ab")
+        # What a document shares with any other is at most its shingles that occur elsewhere among these documents.
+        those = texts.join(side.select(F.col("u").alias("id")).distinct(), "id", "left_semi")
+        alone = each_shingle(those, k).groupBy("s").agg(F.count("*").alias("n"), F.max("u").alias("u")).where("n = 1").groupBy("u").agg(F.count("*").alias("alone"))
+        side = side.join(alone, "u", "left").select("*", (F.col("n_shingles") - F.coalesce("alone", F.lit(0))).alias("shared")).drop("alone").where(F.col("shared") * 100 >= F.col("n_shingles") * percent)
+        side = cut(side.join(profiles(those, k), "u"), "minmax-shared")
+        x, y = (side.select(F.col("key").alias(f"key_{t}"), *[F.col(c).alias(f"{c}_{t}") for c in ("u", "c", "bits", "n_shingles", "shared", "keys", "profile")]) for t in "ab")
         apart = sum((F.bit_count(F.element_at("bits_a", i + 1).bitwiseXOR(F.element_at("bits_b", i + 1))) for i in range(-(-bands * rows // 64))), F.lit(0))
-        pairs = x.join(y, (F.col("key_a") == F.col("key_b")) & (F.col("c_a") < F.col("c_b")) & (apart <= far)).select(F.col("u_a").alias("a"), F.col("u_b").alias("b"))
+        def enough(common):
+            return common * (100 + percent) >= (F.col("n_shingles_a") + F.col("n_shingles_b")) * percent
+        most = F.least("shared_a", "shared_b")
+        bound = F.aggregate(F.zip_with("profile_a", "profile_b", lambda p, q: F.least(p, q)), F.lit(0), lambda t, v: t + v)
+        # a pair comes once, from the first band in which its keys agree
+        agree = F.array_position(F.zip_with("keys_a", "keys_b", lambda p, q: p == q), True)
+        first = F.get("keys_a", (agree - 1).cast("int")) == F.col("key_a")
+        pairs = x.join(y, (F.col("key_a") == F.col("key_b")) & (F.col("c_a") < F.col("c_b")) & first & enough(most) & (apart <= far) & enough(bound)).select(F.col("u_a").alias("a"), F.col("u_b").alias("b"))
         more = cut(confirm(pairs, texts, k, percent), "minmax-links")
         # what is new joins components, so only their names and the new links are needed
         names = groups.select(F.col("node").alias("a"), F.col("component").alias("b"))
