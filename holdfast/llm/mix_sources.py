@@ -79,33 +79,35 @@ def targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0, weights: tu
 
 def _fly(landing: bool, seed: int):
     def run(group: pa.Table) -> pa.Table:
-        group = group.sort_by([("key", "ascending"), ("doc_id", "ascending")])
+        group = group.sort_by([("key", "ascending"), ("doc_id", "ascending"), ("row", "ascending")])
         name = f"{seed}|{group['source'][0]}|{group['level_block'][0]}|{landing}"
         p = flight(group["p"].to_pylist(), group["size"].to_pylist(), name, landing)
         return group.set_column(group.schema.get_field_index("p"), "p", pa.array(p, pa.float64()))
     return run
 
 
-def balanced_mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = WEIGHTS, seed: int = 1, block_rows: int = 4096, fan_in: int = 1024) -> DataFrame:
+def balanced_mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = WEIGHTS, seed: int = 1, block_rows: int = 4096, fan_in: int = 1024, row: str | None = None) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken of every row.
 
     Size is the number of words; ``copies`` is how often the mix holds the document, ``taken`` copies * size. A null or
     empty text has size 0 and takes nothing; a null source is a source of its own, last in order;
     repeated rows are rows of their own; an empty table gives an empty result; other columns are ignored. A source
     without words has target 0. Equal input and seed give equal results: all draws hang on hashes of the rows.
+    ``row`` names a column with a long key of each row: the output then has it as ``row``, and texts enter the hashes,
+    so rows without an id are dealt like others.
     """
-    row = [F.col("doc_id"), F.col("source"), F.col("size")]
-    base = cut(docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count().alias("size")), "mix-sizes")
+    given = [F.lit(None).cast("long").alias("row"), F.lit(None).cast("long").alias("th")] if row is None else [F.col(row).alias("row"), F.xxhash64("text").alias("th")]
+    base = cut(docs.select(F.col("doc_id"), F.col("source").cast("string").alias("source"), word_count().alias("size"), *given), "mix-sizes")
     goal = cut(targets(base, share, most, weights), "mix-targets")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     goal = goal.select("*", rate.alias("rate"), F.floor(rate).alias("whole"))
     goal = goal.select("*", (F.col("rate") - F.col("whole")).alias("part"))
     named = base.join(goal.withColumnRenamed("source", "goal_source"), F.col("source").eqNullSafe(F.col("goal_source"))).drop("goal_source")
-    spread = F.xxhash64(F.lit(seed), "doc_id", "size")
+    spread = F.xxhash64(F.lit(seed), "doc_id", "size", "th")  # a null adds nothing to a hash
     blocks = F.ceil(F.col("n_docs") / block_rows)
-    level = named.select(*row, "source_size", "target", "whole", F.col("part").alias("p"), spread.alias("key"), F.pmod(F.xxhash64(F.lit(seed + 1), spread), blocks).alias("level_block"))
-    kept = "doc_id long, source string, size long, source_size long, target double, whole long, p double, key long, level_block long"
-    level = level.select("doc_id", "source", "size", "source_size", F.col("target"), F.col("whole").cast("long").alias("whole"), "p", "key", "level_block").withColumn("doc_id", F.col("doc_id").cast("long"))
+    level = named.select("row", "doc_id", "source", "size", "source_size", "target", "whole", F.col("part").alias("p"), spread.alias("key"), F.pmod(F.xxhash64(F.lit(seed + 1), spread), blocks).alias("level_block"))
+    kept = "row long, doc_id long, source string, size long, source_size long, target double, whole long, p double, key long, level_block long"
+    level = level.select("row", "doc_id", "source", "size", "source_size", F.col("target"), F.col("whole").cast("long").alias("whole"), "p", "key", "level_block").withColumn("doc_id", F.col("doc_id").cast("long"))
     open_ = (F.col("p") > EPS) & (F.col("p") < 1 - EPS)
     done = [level.where(~open_).withColumn("p", F.round("p"))]
     level = level.where(open_)
@@ -122,4 +124,4 @@ def balanced_mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights
     for part in done[1:]:
         out = out.unionByName(part)
     copies = (F.col("whole") + F.col("p").cast("long")).cast("long")
-    return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return out.select(*["row"][:row is not None], "doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))

@@ -464,6 +464,35 @@ def test_pipeline_stages(spark, tmp_path):
     assert sorted(map(tuple, p.run(spark, str(tmp_path)).collect())) == sorted(map(tuple, last.collect()))
 
 
+def test_pipeline_null_and_repeated_ids(spark, tmp_path):
+    import corpus_pipeline as p
+    make = lambda seed: " ".join(f"w{seed}x{k}" for k in range(60))
+    rows = [(3, make(3)), (7, make(3)), (7, make(7)), (9, make(9)), (9, make(9) + " "), (None, make(11)), (None, make(11)), (None, make(12)), (None, make(9)), (None, make(14)), (14, make(14)), (None, None), (None, None)]
+    near = [(20, make(20)), (None, make(20) + " more"), (21, make(21)), (21, make(21) + " more"), (21, make(22)), (None, make(23)), (None, make(23) + " more")]
+
+    def through(stage, rows, name):
+        docs_of(spark, rows).select("doc_id", "text", "source", F.lit(5).alias("copies"), F.lit("k").alias("row_key"), F.lit(1).alias("_metadata")).repartition(3).write.parquet(f"{tmp_path}/{name}")
+        scan = spark.read.parquet(f"{tmp_path}/{name}")
+        for docs in (scan, scan.unionByName(scan.limit(0))):  # a scan of files, and any other frame
+            out = stage(spark, docs, str(tmp_path))
+            assert out.columns == docs.columns and not out.where("copies <> 5 or row_key <> 'k'").count()
+            yield sorted(((r.doc_id, r.text, r.source)[:2] for r in out.collect()), key=repr)
+    for out in through(p.exact, rows, "exact"):
+        assert out == sorted([(3, make(3)), (7, make(7)), (9, make(9) + " "), (None, make(11)), (None, make(12)), (14, make(14)), (None, None)], key=repr)
+    for out in through(p.near, rows[:1] + near, "near"):
+        assert [r for r in out if r[0] in (3, 20)] == sorted([(20, make(20)), (3, make(3))], key=repr) and (None, make(20) + " more") not in out
+        assert (21, make(22)) in out and sum(make(21) in r[1] for r in out) == 1 and sum(make(23) in r[1] for r in out) == 1 and len(out) == 5
+    many = [(None if i % 3 else i // 6, f"{make(100 + i)} " + "w " * (i % 9), f"s{i % 2}") for i in range(120)]
+    size = {s: sum(len(t.split()) for _, t, x in many if x == s) for s in ("s0", "s1")}
+    goal = brute_targets(size)
+    for out in through(p.mixing, many, "mix"):
+        taken = {t: sum(r[1] == t for r in out) for _, t, _ in many}
+        assert max(taken.values()) <= 2 and sum(taken.values()) == len(out)
+        for s in size:
+            got_ = sum(len(t.split()) * taken[t] for _, t, x in many if x == s)
+            assert abs(got_ - goal[s]) <= 80, (s, got_, goal[s])
+
+
 def test_oracles_on_smallest_tables(spark):
     import os
     import duckdb
