@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from holdfast.llm.text import mix, text_of, utf8
@@ -88,7 +88,7 @@ def _anchors(rule: Rule):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()  # texts of this task so far: copies are taken once
         for b in batches:
-            ids, th, th2 = (b[c].to_numpy(zero_copy_only=False) for c in ("doc_id", "th", "th2"))
+            th, th2 = (b[c].to_numpy() for c in ("th", "th2"))
             fresh = []
             for k, key in enumerate(zip(th.tolist(), th2.tolist())):
                 if key not in seen:
@@ -96,11 +96,11 @@ def _anchors(rule: Rule):
                     fresh.append(k)
             if not fresh:
                 continue
-            raw, off = utf8(b["text"].take(pa.array(fresh)) if len(fresh) < len(ids) else b["text"])
+            raw, off = utf8(b["text"].take(pa.array(fresh)) if len(fresh) < len(th) else b["text"])
             fresh = np.array(fresh)
             for doc, h, pos, lo, hi in anchors_of(raw, off, rule):
                 k = fresh[doc]
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids[k]), pa.array(th[k]), pa.array(pos.astype(np.int32)), pa.array(lo.astype(np.int16)), pa.array(hi.astype(np.int16))], ["h", "doc_id", "th", "pos", "lo", "hi"])
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(th[k]), pa.array(th2[k]), pa.array(pos.astype(np.int32)), pa.array(lo.astype(np.int16)), pa.array(hi.astype(np.int16))], ["h", "th", "th2", "pos", "lo", "hi"])
     return run
 
 
@@ -108,7 +108,7 @@ def _contexts(rule: Rule):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             raw, off = utf8(b["text"])
-            ids, th = b["doc_id"].to_pylist(), b["th"].to_pylist()
+            th, th2 = b["th"].to_pylist(), b["th2"].to_pylist()
             lists = b["anchors"]
             loff, flat = lists.offsets.to_numpy(), lists.values
             h, pos, lo, hi, n = (flat.field(x).to_numpy(zero_copy_only=False) for x in ("h", "pos", "lo", "hi", "n"))
@@ -121,8 +121,8 @@ def _contexts(rule: Rule):
                 a, z = pos[s].astype(np.int64) - hi[s], pos[s].astype(np.int64) - lo[s] + rule.length
                 fa, fz = (a, z) if first is None else (first[a], end[z - 1])
                 out[0] += h[s].tolist()
-                out[1] += [ids[k]] * len(a)
-                out[2] += [th[k]] * len(a)
+                out[1] += [th[k]] * len(a)
+                out[2] += [th2[k]] * len(a)
                 out[3] += a.tolist()
                 out[4] += hi[s].tolist()
                 out[5] += n[s].tolist()
@@ -134,12 +134,12 @@ def _contexts(rule: Rule):
     return run
 
 
-CONTEXT = "h long, doc_id long, th long, begin int, hi int, n int, ctx binary"
+CONTEXT = "h long, th long, th2 long, begin int, hi int, n int, ctx binary"
 
 
 def _rows(out: list[list]) -> pa.RecordBatch:
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds)], ["h", "doc_id", "th", "begin", "hi", "n", "ctx"])
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds)], ["h", "th", "th2", "begin", "hi", "n", "ctx"])
 
 
 def _groups(rule: Rule, chunk_bytes: int):
@@ -150,7 +150,7 @@ def _groups(rule: Rule, chunk_bytes: int):
         def done(rows: pa.Table) -> pa.RecordBatch:
             item, a, z = rule.kernel(rows)
             item = pa.array(item, pa.int64())
-            return pa.RecordBatch.from_arrays([rows["doc_id"].take(item).combine_chunks(), rows["th"].take(item).combine_chunks(), pa.array(a, pa.int32()), pa.array(z, pa.int32())], ["doc_id", "th", "a", "z"])
+            return pa.RecordBatch.from_arrays([rows["th"].take(item).combine_chunks(), rows["th2"].take(item).combine_chunks(), pa.array(a, pa.int32()), pa.array(z, pa.int32())], ["th", "th2", "a", "z"])
         for b in batches:
             if not b.num_rows:
                 continue
@@ -185,7 +185,7 @@ def _windows(rule: Rule):
                     at.append(begin + i)
                     keys.append(hashlib.blake2b(w if isinstance(w, bytes) else b" ".join(w), digest_size=16).digest())
             take = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([b["doc_id"].take(take), b["th"].take(take), pa.array(at, pa.int32()), pa.array(keys, pa.binary())], ["doc_id", "th", "a", "w"])
+            yield pa.RecordBatch.from_arrays([b["th"].take(take), b["th2"].take(take), pa.array(at, pa.int32()), pa.array(keys, pa.binary())], ["th", "th2", "a", "w"])
     return run
 
 
@@ -203,40 +203,47 @@ def _rebuilt(rule: Rule):
                 removed.append(sum(z - a for a, z in merged))
                 spans.append(len(merged))
                 sha.append(rule.rebuild(text.encode(), merged))
-            yield pa.RecordBatch.from_arrays([b["doc_id"], b["th"], pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "th", "n_removed", "n_spans", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([b["th"], b["th2"], pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha, pa.string())], ["th", "th2", "n_removed", "n_spans", "kept_sha256"])
     return run
 
 
 def spans(docs: DataFrame, rule: Rule, hot: int = 20_000, chunk_bytes: int = 1 << 21) -> tuple[DataFrame, DataFrame]:
-    """Spans (doc_id, th, a, z) of repeated windows between different texts, and the texts (doc_id, th, text) that they are in.
+    """Spans (th, th2, a, z) of repeated windows between different texts, and the texts (th, th2, text) that they are in.
 
-    ``docs`` is (doc_id, text) without nulls in text; th is a hash of the text. Copies of one text are taken once, under the smallest
-    doc_id: a text that occurs twice is repeated as a whole, which the caller knows from counting texts.
+    ``docs`` has texts without nulls; th and th2 are hashes of the text, ids have no part in the search. Copies of one text
+    are taken once: a text that occurs twice is repeated as a whole, which the caller knows from counting texts.
     """
-    docs = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
-    found = docs.select("*", F.xxhash64(F.lit(7), "text").alias("th2")).mapInArrow(_anchors(rule), "h long, doc_id long, th long, pos int, lo short, hi short")
+    docs = docs.select("text", *digests())
+    found = docs.mapInArrow(_anchors(rule), "h long, th long, th2 long, pos int, lo short, hi short")
     from pyspark.sql import Window
-    one = found.repartition("h").groupBy("h", "th", "pos", "lo", "hi").agg(F.min("doc_id").alias("doc_id"))
+    one = found.repartition("h").distinct()
     twice = one.select("*", F.count("*").over(Window.partitionBy("h")).cast("int").alias("n")).where("n > 1")
-    by_doc = twice.groupBy("doc_id", "th").agg(F.collect_list(F.struct("h", "pos", "lo", "hi", "n")).alias("anchors"))
-    texts = cut(docs.join(by_doc, ["doc_id", "th"]).select("doc_id", "th", "text", "anchors"), "repeat-texts")
+    by_text = twice.groupBy("th", "th2").agg(F.collect_list(F.struct("h", "pos", "lo", "hi", "n")).alias("anchors"))
+    # one row per text; copies are combined within tasks before the exchange
+    single = docs.groupBy("th", "th2").agg(F.first("text").alias("text"))
+    texts = cut(single.join(by_text, ["th", "th2"]).select("th", "th2", "text", "anchors"), "repeat-texts")
     def contexts(which) -> DataFrame:
-        chosen = texts.select("doc_id", "th", "text", F.filter("anchors", which).alias("anchors")).where(F.size("anchors") > 0)
+        chosen = texts.select("th", "th2", "text", F.filter("anchors", which).alias("anchors")).where(F.size("anchors") > 0)
         return chosen.mapInArrow(_contexts(rule), CONTEXT)
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    calm = contexts(lambda x: x["n"] <= hot).repartition(tasks, "h").sortWithinPartitions("h").mapInArrow(_groups(rule, chunk_bytes), "doc_id long, th long, a int, z int")
+    calm = contexts(lambda x: x["n"] <= hot).repartition(tasks, "h").sortWithinPartitions("h").mapInArrow(_groups(rule, chunk_bytes), "th long, th2 long, a int, z int")
     marks = cut(calm, "repeat-spans")
     if texts.where(F.exists("anchors", lambda x: x["n"] > hot)).limit(1).count():
-        each = cut(contexts(lambda x: x["n"] > hot).mapInArrow(_windows(rule), "doc_id long, th long, a int, w binary"), "repeat-windows")
+        each = cut(contexts(lambda x: x["n"] > hot).mapInArrow(_windows(rule), "th long, th2 long, a int, w binary"), "repeat-windows")
         again = each.groupBy("w").agg(F.count("*").alias("k")).where("k > 1").select("w")
-        marks = marks.union(cut(each.join(again, "w", "left_semi").select("doc_id", "th", "a", (F.col("a") + rule.length).cast("int").alias("z")), "repeat-hot"))
+        marks = marks.union(cut(each.join(again, "w", "left_semi").select("th", "th2", "a", (F.col("a") + rule.length).cast("int").alias("z")), "repeat-hot"))
     return marks, texts
 
 
 def cleaned(marks: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
-    """doc_id, th, n_removed, n_spans, kept_sha256 of the texts with spans."""
-    lists = marks.groupBy("doc_id", "th").agg(F.collect_set(F.struct("a", "z")).alias("spans"))
-    return texts.select("doc_id", "th", "text").join(lists, ["doc_id", "th"]).mapInArrow(_rebuilt(rule), "doc_id long, th long, n_removed long, n_spans long, kept_sha256 string")
+    """th, th2, n_removed, n_spans, kept_sha256 of the texts with spans."""
+    lists = marks.groupBy("th", "th2").agg(F.collect_set(F.struct("a", "z")).alias("spans"))
+    return texts.select("th", "th2", "text").join(lists, ["th", "th2"]).mapInArrow(_rebuilt(rule), "th long, th2 long, n_removed long, n_spans long, kept_sha256 string")
+
+
+def digests() -> tuple[Column, Column]:
+    """th, th2: two hashes that together stand for a text."""
+    return F.xxhash64("text").alias("th"), F.xxhash64(F.lit(7), "text").alias("th2")
 
 
 def base(docs: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from holdfast.llm.repeats import Rule, base, cleaned, spans
+from holdfast.llm.repeats import Rule, base, cleaned, digests, spans
 from holdfast.llm.text import mix, utf8
 from holdfast.llm.words import words
 from holdfast.session import cut
@@ -170,7 +170,7 @@ WORDS = Rule(LENGTH, GRAM, word_units, automaton_kernel, without_words)
 
 
 def whole_words(docs: DataFrame) -> DataFrame:
-    """doc_id, th, copy, n_words, whole: the number of words and the digest of all of them; copy is a digest of the text."""
+    """doc_id, th, th2, copy, n_words, whole: the number of words and the digest of all of them; copy is a digest of the text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             raw, off = utf8(b["text"])
@@ -180,23 +180,23 @@ def whole_words(docs: DataFrame) -> DataFrame:
                 w = raw[i:j].split()
                 n.append(len(w))
                 sha.append(hashlib.sha256(b" ".join(w)).hexdigest())
-            yield pa.RecordBatch.from_arrays([b["doc_id"], b["th"], b["copy"], pa.array(n, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "th", "copy", "n_words", "whole"])
-    return docs.select("doc_id", F.xxhash64("text").alias("th"), F.sha2("text", 256).alias("copy"), "text").mapInArrow(run, "doc_id long, th long, copy string, n_words long, whole string")
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["th"], b["th2"], b["copy"], pa.array(n, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "th", "th2", "copy", "n_words", "whole"])
+    return docs.select("doc_id", *digests(), F.sha2("text", 256).alias("copy"), "text").mapInArrow(run, "doc_id long, th long, th2 long, copy string, n_words long, whole string")
 
 
 def remove_repeated_words(docs: DataFrame, hot: int = 20_000) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every row: words in a window of 35 that also starts elsewhere go.
 
     Windows are judged on the input, all texts and the same one included; they don't cross texts. A null text has no words. Of
-    copies of a text of at least 35 words all is removed, in every copy; rows that repeat a doc_id are texts of their own; an
+    copies of a text of at least 35 words all is removed, in every copy; rows that repeat a doc_id or have none are texts of their own; an
     empty table gives an empty result; other columns are ignored.
     """
     docs = base(docs)
     rows = cut(whole_words(docs), "words-rows")
     copies = rows.groupBy("copy").agg(F.count("*").alias("copies")).where(F.col("copies") > 1)
     marks, texts = spans(docs, WORDS, hot)
-    part = cleaned(marks, texts, WORDS).distinct()
-    out = rows.join(copies, "copy", "left").join(part, ["doc_id", "th"], "left")
+    part = cleaned(marks, texts, WORDS)
+    out = rows.join(copies, "copy", "left").join(part, ["th", "th2"], "left")
     all_ = F.col("copies").isNotNull() & (F.col("n_words") >= LENGTH)
     return out.select("doc_id", "n_words", F.when(all_, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0).cast("long"))).alias("n_removed"),
                       F.when(all_, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept_sha256", "whole")).alias("kept_sha256"))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from holdfast.llm.repeats import Rule, base, cleaned, spans
+from holdfast.llm.repeats import Rule, base, cleaned, digests, spans
 from holdfast.llm.text import mix, utf8
 from holdfast.llm.words import powers, prefix_hash
 from holdfast.session import cut
@@ -219,16 +219,16 @@ def remove_repeated_bytes(docs: DataFrame, hot: int = 20_000) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row: bytes in a 200-byte string that also starts elsewhere go.
 
     Strings are judged on the input, all texts and the same one included; matches don't cross texts. A null text is empty. Of copies
-    of a text of at least 200 bytes all is removed, in every copy; rows that repeat a doc_id are texts of their own; an empty
+    of a text of at least 200 bytes all is removed, in every copy; rows that repeat a doc_id or have none are texts of their own; an empty
     table gives an empty result; other columns are ignored.
     """
     docs = base(docs)
-    rows = docs.select("doc_id", F.xxhash64("text").alias("th"), F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole"))
+    rows = docs.select("doc_id", *digests(), F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole"))
     rows = cut(rows, "bytes-rows")
     copies = rows.groupBy("whole", "n_bytes").agg(F.count("*").alias("copies")).where(F.col("copies") > 1)
     marks, texts = spans(docs, BYTES, hot)
-    part = cleaned(marks, texts, BYTES).distinct()
-    out = rows.join(copies, ["whole", "n_bytes"], "left").join(part, ["doc_id", "th"], "left")
+    part = cleaned(marks, texts, BYTES)
+    out = rows.join(copies, ["whole", "n_bytes"], "left").join(part, ["th", "th2"], "left")
     all_ = F.col("copies").isNotNull() & (F.col("n_bytes") >= LENGTH)
     zero = F.lit(0).cast("long")
     return out.select("doc_id", "n_bytes", F.when(all_, F.col("n_bytes")).otherwise(F.coalesce("n_removed", zero)).alias("n_removed"),

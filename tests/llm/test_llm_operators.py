@@ -261,6 +261,21 @@ def test_repeated_words(spark, hot):
     assert remove_repeated_words(docs_of(spark, rows).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("hot", [20_000, 1])
+def test_repeats_with_null_and_repeated_ids(spark, hot):
+    from holdfast.llm.suffix_automata import remove_repeated_words
+    from holdfast.llm.suffix_sort import remove_repeated_bytes
+    make = lambda a, n: " ".join(f"w{a}x{k}" for k in range(n))
+    line = make(0, 50)
+    rows = [(None, f"{make(1, 9)} {line}"), (2 ** 53 + 1, f"{line} {make(2, 9)}"), (None, f"{make(3, 5)} {line} {make(4, 5)}"), (None, make(5, 60)), (7, make(6, 60)), (7, f"{make(7, 3)} {line}"), (None, make(8, 40)), (None, make(8, 40)), (8, make(8, 40) + " z")]
+    raw = [t.encode() for _, t in rows]
+    want = sorted([(i, len(b), removed, runs, sha(bytes(b[k] for k in kept))) for (i, _), b, (kept, removed, runs) in zip(rows, raw, uncovered(raw, 200))], key=repr)
+    assert sorted(map(tuple, remove_repeated_bytes(docs_of(spark, rows), hot).collect()), key=repr) == want
+    items = [tuple(WORD.findall(t)) for _, t in rows]
+    want = sorted([(i, len(w), removed, sha(" ".join(w[k] for k in kept).encode())) for (i, _), w, (kept, removed, _) in zip(rows, items, uncovered(items, 35))], key=repr)
+    assert sorted(map(tuple, remove_repeated_words(docs_of(spark, rows), hot).collect()), key=repr) == want
+
+
 def test_extensions_and_merge_sort():
     from holdfast.llm.suffix_sort import Extensions, merge_sort
     rng = np.random.default_rng(5)
