@@ -120,3 +120,9 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(t.n_removed, 0) AS n_remo
 def op9(spark: SparkSession, sf: str) -> DataFrame:
     from holdfast.llm.suffix_automata import remove_repeated_words
     return remove_repeated_words(table(spark, sf, "documents"))
+
+
+@query("op11_backtrack_bpe")
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    from holdfast.llm.rank_bpe import rank_token_digests
+    return rank_token_digests(table(spark, sf, "documents"))
