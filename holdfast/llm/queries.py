@@ -126,3 +126,57 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
 def op11(spark: SparkSession, sf: str) -> DataFrame:
     from holdfast.llm.rank_bpe import rank_token_digests
     return rank_token_digests(table(spark, sf, "documents"))
+
+
+@query("op13_filter_audit", r"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY t) AS first FROM d),
+f AS (SELECT part, EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = w.doc_id AND quality = 1)::INT AS good, EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = w.doc_id AND toxic = 1)::INT AS toxic,
+  CASE WHEN len(w) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) THEN 'C' ELSE '' END
+  || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN coalesce(doc_id > first, false) THEN 'E' ELSE '' END AS fails FROM w),
+c AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, fails),
+o(o) AS (SELECT '' UNION ALL SELECT o || x FROM o, (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) v(x) WHERE NOT contains(o, x)),
+s AS (SELECT o, step, substr(o, step, 1) AS f, substr(o, 1, step - 1) AS before FROM o, range(1, 6) r(step) WHERE length(o) = 5),
+r AS (SELECT part, o, step, f, coalesce(sum(n) FILTER (hit AND NOT gone), 0) AS removed, coalesce(sum(n) FILTER (hit AND gone), 0) AS redundant, coalesce(sum(n) FILTER (fails = f), 0) AS unique_fails,
+  coalesce(sum(good) FILTER (hit AND NOT gone), 0) AS good_lost, coalesce(sum(toxic) FILTER (hit AND NOT gone), 0) AS toxic_lost, coalesce(sum(n) FILTER (NOT hit AND NOT gone), 0) AS kept
+  FROM (SELECT *, contains(fails, f) AS hit, translate(fails, before, '') <> fails AS gone FROM c, s) GROUP BY part, o, step, f)
+SELECT part, o AS filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley FROM r""")
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    from holdfast.llm.filter_audit import filter_audit
+    return filter_audit(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query("op12_lightest_repair", r"""
+WITH RECURSIVE k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role0, coalesce(text, ' ') AS text0, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+h AS (SELECT *, xor(list_reduce([4294967295::BIGINT] || list_transform(range(1, length(k) + 1), lambda i: ord(substr(k, i, 1))::BIGINT),
+  lambda c, b: list_reduce([xor(c, b)] || [0::BIGINT, 0, 0, 0, 0, 0, 0, 0], lambda y, z: xor(y >> 1, 3988292384::BIGINT * (y & 1)))), 4294967295::BIGINT) % 20 AS h FROM k),
+g AS (SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role0 END AS role, CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text0, '[.!?]', '', 'g') ELSE text0 END AS text, unnest(CASE h WHEN 0 THEN []::INT[] WHEN 3 THEN [0, 1] ELSE [0] END) AS copy FROM h),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i FROM g),
+x AS (SELECT *, substr(role, 1, 1) AS ini, lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS prev, i > min(i) OVER (PARTITION BY conv_id, role, text) AS seen, right(regexp_replace(text, '[\x20\x09-\x0D]+$', ''), 1) AS last FROM o),
+r AS (SELECT *, CASE WHEN last = '' THEN 'b' WHEN seen THEN 'd' WHEN last NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS f FROM x),
+z AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (f = 'b') AS blank, count(*) FILTER (f = 'd') AS duplicate, count(*) FILTER (f = 't') AS truncated,
+  count(*) FILTER (prev IS NOT NULL AND prev || ini NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM r GROUP BY conv_id),
+q AS (SELECT conv_id, i, ini, f, CASE f WHEN 't' THEN 3 ELSE 0 END AS more, f NOT IN ('b', 'd') AS may FROM r),
+p(conv_id, i, state, cost, audit) AS (
+  SELECT conv_id, 0::BIGINT, 0, 0, '' FROM z
+  UNION ALL
+  SELECT conv_id, i, state, cost, audit FROM (
+    SELECT e.conv_id, q.i, x.state, e.cost + x.cost AS cost, e.audit || x.letter AS audit, row_number() OVER (PARTITION BY e.conv_id, x.state ORDER BY e.cost + x.cost, e.audit || x.letter) AS k
+    FROM (SELECT conv_id, i, y.s AS state, cost + y.c AS cost, audit || y.a AS audit FROM (SELECT *, unnest(CASE state WHEN 0 THEN [{s: 0, c: 0, a: ''}, {s: 2, c: 3, a: 'I'}, {s: 3, c: 6, a: 'II'}] WHEN 1 THEN [{s: 1, c: 0, a: ''}, {s: 2, c: 3, a: 'I'}, {s: 3, c: 6, a: 'II'}]
+        WHEN 2 THEN [{s: 2, c: 0, a: ''}, {s: 3, c: 3, a: 'I'}] ELSE [{s: 3, c: 0, a: ''}, {s: 2, c: 3, a: 'I'}] END) AS y FROM p)) e
+    JOIN q ON q.conv_id IS NOT DISTINCT FROM e.conv_id AND q.i = e.i + 1,
+    LATERAL (SELECT e.state AS state, 4 AS cost, 'D' AS letter UNION ALL SELECT CASE e.state WHEN 2 THEN 3 ELSE 2 END, 3 + q.more, 'R' WHERE q.may
+      UNION ALL SELECT CASE q.ini WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END, q.more, 'K' WHERE q.may AND (e.state || q.ini) IN ('0s', '0u', '1u', '2a', '3u')) x) WHERE k = 1),
+b AS (SELECT p.conv_id, p.cost + CASE state WHEN 0 THEN 0 WHEN 3 THEN 0 WHEN 2 THEN 3 ELSE 6 END AS cost, p.audit || CASE state WHEN 0 THEN '' WHEN 3 THEN '' WHEN 2 THEN 'I' ELSE 'II' END AS audit FROM p JOIN z ON z.conv_id IS NOT DISTINCT FROM p.conv_id AND p.i = z.n),
+c AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY cost, audit) = 1),
+l AS (SELECT conv_id, j, substr(audit, j::INT, 1) AS letter, length(replace(substr(audit, 1, j::INT), 'I', '')) AS i FROM c, range(1, 100000) t(j) WHERE j <= length(audit)),
+m AS (SELECT l.conv_id, j, letter, r.ini, CASE WHEN letter = 'I' THEN '' ELSE r.text END AS text, CASE WHEN letter = 'K' THEN r.role END AS role FROM l LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM l.conv_id AND r.i = l.i WHERE letter <> 'D'),
+s AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY j) - coalesce(max(CASE WHEN role IS NOT NULL AND ini = 's' THEN 1 END) OVER (PARTITION BY conv_id), 0) AS k FROM m),
+t AS (SELECT conv_id, string_agg(coalesce(role, CASE WHEN k % 2 = 1 THEN 'user' ELSE 'assistant' END) || ':' || text, chr(10) ORDER BY j) AS text FROM s GROUP BY conv_id)
+SELECT d.conv_id, coalesce(z.gaps, 0)::BIGINT AS gaps, coalesce(z.blank, 0)::BIGINT AS blank, coalesce(z.duplicate, 0)::BIGINT AS duplicate, coalesce(z.truncated, 0)::BIGINT AS truncated, coalesce(z.illegal, 0)::BIGINT AS illegal,
+  coalesce(c.cost, 0)::BIGINT AS cost, coalesce(c.audit, '') AS audit, sha256(coalesce(t.text, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) d LEFT JOIN z ON z.conv_id IS NOT DISTINCT FROM d.conv_id LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM d.conv_id LEFT JOIN t ON t.conv_id IS NOT DISTINCT FROM d.conv_id""")
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    from holdfast.llm.turn_repair import repaired_conversations
+    return repaired_conversations(table(spark, sf, "conversations"))
