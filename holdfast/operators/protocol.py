@@ -131,9 +131,9 @@ def eligible(length: Column, h: Column | float) -> Column:
     return length >= (h if isinstance(h, Column) else F.lit(float(h))) - TOL
 
 
-def base_step(anchor_eff: Column, anchor: Column, j: Column, delta: Column, fine: float) -> Column:
+def base_step(anchor_eff: Column, anchor: Column, j: Column, delta: Column, fine: Column | float) -> Column:
     """Stored step read by grid point ``j``: absolute end time over the stored step, half to even."""
-    return F.rint((anchor_eff + j * delta - anchor) / F.lit(fine)).cast("int")
+    return F.rint((anchor_eff + j * delta - anchor) / (fine if isinstance(fine, Column) else F.lit(fine))).cast("int")
 
 
 def prefixes(perturbed: DataFrame, grid_max: float, horizons: list[float], fine: float) -> DataFrame:

@@ -63,7 +63,8 @@ def read_grid(
     """Answers of every system at every grid point of every protocol.
 
     A cell that was never stored reads as no answer, hence wrong; it stays in the denominator.
-    ``span`` reads a fixed range instead of the horizon; ``cohort=False`` keeps short clips.
+    ``span`` reads a fixed range instead of the horizon; ``cohort=False`` keeps short clips. Packed answers with ``reruns``
+    (see ``operators.reruns``) serve coarse steps of stateful arms from them.
     """
     packed = with_answers(with_draw(manifest, protocols), answers, systems, ["probs"] if probs else None, spread=len(protocols) > 2)
     p = with_protocols(packed, protocols)
@@ -71,15 +72,22 @@ def read_grid(
         p = p.filter(eligible(F.col("post_anchor_length_s_eff"), F.col("h_s")))
     p = p.withColumn("steps", grid_steps(F.col("h_s") if span is None else F.lit(float(span)), F.col("delta_s")))
     a_eff, a, d = F.col("anchor_s_eff"), F.col("anchor_s"), F.col("delta_s")
+    unit = F.lit(fine)
+    if "reruns" in p.columns:  # a coarse step of a stateful arm is read from its re-run, in the re-run's own steps
+        factor = F.rint(d / F.lit(fine)).cast("int")
+        p = p.withColumn("_use", F.when(factor > 1, F.try_element_at("reruns", factor)))
+        p = p.withColumn("_unit", F.when(F.col("_use").isNotNull(), factor * F.lit(fine)).otherwise(F.lit(fine)))
+        p = p.withColumns({"cells": F.coalesce("_use.cells", "cells"), "j0": F.coalesce("_use.j0", "j0")}).drop("_use", "reruns")
+        unit = F.col("_unit")
     def no_answer(c):
         return F.coalesce(c, F.lit(BOT))
 
-    term = no_answer(stored(base_step(a_eff, a, F.col("steps"), d, fine)).getField("pred"))
+    term = no_answer(stored(base_step(a_eff, a, F.col("steps"), d, unit)).getField("pred"))
     first_after = F.floor((F.col("duration_s") - a) / fine + TOL).cast("int")
     p = p.withColumn("term", term).withColumn("full_step", first_after)
     p = p.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("steps"))))
-    cell = stored(base_step(a_eff, a, F.col("j"), d, fine))
-    before = stored(base_step(a_eff, a, F.col("j") - 1, d, fine))
+    cell = stored(base_step(a_eff, a, F.col("j"), d, unit))
+    before = stored(base_step(a_eff, a, F.col("j") - 1, d, unit))
     p = p.withColumn("_c", cell).withColumn("prev", F.when(F.col("j") > 0, no_answer(before.getField("pred"))))
     cols = [
         "system_id", "video_id", *CLIP, *PI, "post_anchor_length_s_eff", "anchor_s", "duration_s", "steps", "j", "prev", "term",

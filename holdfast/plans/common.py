@@ -5,7 +5,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from holdfast.operators import arms as R
+from holdfast.operators import identity as I
 from holdfast.operators import inference as G
+from holdfast.operators import reruns as C
 from holdfast.operators import trajectory as T
 from holdfast.operators.protocol import Protocol, axis_scan, eligible, neighbour_grid, plausible_grid, reference
 from holdfast.plans.stages import stage
@@ -24,9 +26,21 @@ def answers(spark: SparkSession, sf: str) -> DataFrame:
     return stage(spark, sf, "answers", lambda: D.answers(spark, sf))
 
 
+def reruns(spark: SparkSession, sf: str) -> DataFrame:
+    """Answers of the stateful arms made again at the coarse step, under the names of re-runs."""
+    return stage(spark, sf, "reruns", lambda: C.rerun(answers(spark, sf), D.RERUNS, D.RERUN_STRIDE, D.J_MIN, D.J_MAX))
+
+
 def packed(spark: SparkSession, sf: str) -> DataFrame:
-    """Answers packed per (system, clip); every reading of the grid is then a lookup."""
-    return stage(spark, sf, "packed", lambda: T.pack(answers(spark, sf)))
+    """Answers packed per (system, clip), with their re-runs; every reading of the grid is then a lookup."""
+    return stage(spark, sf, "packed", lambda: C.attach(T.pack(answers(spark, sf)), T.pack(reruns(spark, sf))))
+
+
+def scan_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """system_id, table_used, note: which table serves the coarse step of a system."""
+    p = I.parse_system(answers(spark, sf).select("system_id").distinct())
+    p = p.withColumn("subsampling_equivalent", ~F.col("family").isin("postproc", "commit"))
+    return I.table_for_step(p, reruns(spark, sf).select("system_id").distinct(), D.RERUN_STRIDE)
 
 
 def cells(spark: SparkSession, sf: str, h: float = 3.0, split: str | None = "test", probs: bool = False) -> DataFrame:
@@ -77,7 +91,7 @@ def family(spark: SparkSession, sf: str) -> DataFrame:
         m = manifest(spark, sf, "test")
         ctl = T.pack(R.control_answers(m, R.CONTROLS, D.DELTA, D.J_MIN, D.J_MAX))
         ids = D.SYSTEM_IDS + [c.system_id for c in R.CONTROLS]
-        c = T.clips_at(m, packed(spark, sf).unionByName(ctl), ids, scan_protocols(), D.DELTA)
+        c = T.clips_at(m, packed(spark, sf).unionByName(ctl, allowMissingColumns=True), ids, scan_protocols(), D.DELTA)
         return T.frozen_family(c, ["system_id", *T.PI]).withColumn("is_block", F.col("system_id").startswith("block__"))
     return stage(spark, sf, "family", build)
 

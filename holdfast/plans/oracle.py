@@ -1,7 +1,7 @@
 """DuckDB text of the derived tables, written independently of the Spark code."""
 from __future__ import annotations
 
-from holdfast.sources.derive import SYSTEMS
+from holdfast.sources.derive import RERUNS, SYSTEMS
 
 
 def u(key: str, slot: int = 1) -> str:
@@ -87,6 +87,19 @@ def open_grid(split: str | None = "test", name: str = "o") -> str:
 """
 
 
+_RERUNS = ", ".join(f"('{s}', '{p}', '{rule}')" for s, p, rule, _ in RERUNS)
+# Re-runs at twice the step: smoothing (0.35) and commitment (0.8) of every second answer of the parents.
+RERUN_SQL = f"""
+rrs(system_id, parent, rule) AS (VALUES {_RERUNS}),
+rrd AS (SELECT s.system_id, s.rule, v.video_id, x.j, a.probs FROM rrs s JOIN (SELECT DISTINCT system_id, video_id FROM ans WHERE j%2=0) v ON v.system_id=s.parent, range(-1, 5) x(j)
+    LEFT JOIN ans a ON a.system_id=s.parent AND a.video_id=v.video_id AND a.j=2*x.j),
+rrl AS (SELECT system_id, video_id, list(probs ORDER BY j) AS ps FROM rrd WHERE rule='ema' GROUP BY ALL),
+rre AS (SELECT system_id, video_id, j, list_reduce(ps[1:j+2], lambda q, p: CASE WHEN p IS NULL THEN q WHEN q IS NULL THEN p ELSE list_transform(range(1, 6), lambda k: 0.35::DOUBLE*p[k] + 0.65::DOUBLE*q[k]) END) AS q FROM rrl, range(-1, 5) x(j)),
+rrf AS (SELECT system_id, video_id, min(j) AS fj, arg_min(list_position(probs, list_max(probs))-1, j) AS lab FROM rrd WHERE rule='msp' AND j>=0 AND list_max(probs) >= 0.8::DOUBLE GROUP BY ALL),
+rr AS (SELECT system_id, video_id, j::INT AS j, (CASE WHEN q IS NULL THEN -1 ELSE list_position(q, list_max(q))-1 END)::INT AS pred FROM rre
+    UNION ALL SELECT d.system_id, d.video_id, d.j::INT, (CASE WHEN d.j>=fj THEN lab WHEN d.j<0 AND probs IS NOT NULL THEN list_position(probs, list_max(probs))-1 ELSE -1 END)::INT FROM rrd d LEFT JOIN rrf USING (system_id, video_id) WHERE rule='msp')"""
+
+
 def pgrid(protocols, split: str | None = "test", name: str = "pg", systems: str = "sys", answers: str = "ans") -> str:
     """Cells and clip rows of every protocol, read by absolute time."""
     vals = ", ".join(
@@ -94,17 +107,20 @@ def pgrid(protocols, split: str | None = "test", name: str = "pg", systems: str
         for p in protocols)
     where = f"AND m.split = '{split}'" if split else ""
     draw = f"sqrt(-2.0::DOUBLE*ln({u('jit_seed||chr(124)||video_id', 1)}+1.0::DOUBLE/4294967296.0::DOUBLE))*cos(2.0::DOUBLE*pi()*{u('jit_seed||chr(124)||video_id', 2)})"
-    return f"""
+    return RERUN_SQL + f""",
 {name}p(pi_hash, eps_sys_s, eps_jit_sd_s, delta_s, h_s, jit_seed, in_plaus) AS (VALUES {vals}),
 {name}j AS (SELECT m.*, p.*, CASE WHEN eps_jit_sd_s > 0 THEN {draw}*eps_jit_sd_s ELSE 0.0::DOUBLE END AS jitter_s FROM man m, {name}p p WHERE true {where}),
 {name}e AS (SELECT *, least(greatest(anchor_s+eps_sys_s+jitter_s, 0.0::DOUBLE), duration_s) AS anchor_s_eff,
     abs(least(greatest(anchor_s+eps_sys_s+jitter_s, 0.0::DOUBLE), duration_s) - (anchor_s+eps_sys_s+jitter_s)) > 1e-9 AS anchor_clipped,
     duration_s - least(greatest(anchor_s+eps_sys_s+jitter_s, 0.0::DOUBLE), duration_s) AS leff FROM {name}j),
 {name}g AS (SELECT e.*, floor(h_s/delta_s+1e-9)::INT AS steps, unnest(range(0, floor(h_s/delta_s+1e-9)::BIGINT+1))::INT AS j FROM {name}e e WHERE leff >= h_s - 1e-9),
-{name}l AS (SELECT *, round_even((anchor_s_eff + j*delta_s - anchor_s)/0.5::DOUBLE, 0)::INT AS base_j FROM {name}g),
-{name} AS (SELECT s.system_id, g.*, g.class_code AS y, coalesce(a.pred,-1) AS pred, (a.pred IS NOT NULL) AS present, (coalesce(a.pred,-1)=g.class_code) AS ok,
+{name}l AS (SELECT *, round_even((anchor_s_eff + j*delta_s - anchor_s)/0.5::DOUBLE, 0)::INT AS base_j,
+    round_even((anchor_s_eff + j*delta_s - anchor_s)/1.0::DOUBLE, 0)::INT AS coarse_j, round_even(delta_s/0.5::DOUBLE, 0)=2 AS coarse FROM {name}g),
+{name}y AS (SELECT system_id, system_id IN (SELECT system_id FROM rrs) AS again FROM {systems}),
+{name} AS (SELECT s.system_id, g.*, g.class_code AS y, coalesce(a.pred,r.pred,-1) AS pred, (coalesce(a.pred,r.pred) IS NOT NULL) AS present, (coalesce(a.pred,r.pred,-1)=g.class_code) AS ok,
     CASE WHEN g.j IN (0, g.steps) THEN g.delta_s/2 ELSE g.delta_s END AS w
-    FROM {name}l g CROSS JOIN {systems} s LEFT JOIN {answers} a ON a.system_id=s.system_id AND a.video_id=g.video_id AND a.j=g.base_j),
+    FROM {name}l g CROSS JOIN {name}y s LEFT JOIN {answers} a ON NOT (s.again AND g.coarse) AND a.system_id=s.system_id AND a.video_id=g.video_id AND a.j=g.base_j
+    LEFT JOIN rr r ON (s.again AND g.coarse) AND r.system_id=s.system_id AND r.video_id=g.video_id AND r.j=g.coarse_j),
 {name}s AS (SELECT *, min(ok::INT) OVER (PARTITION BY pi_hash, system_id, video_id ORDER BY j ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS stable,
     lag(pred) OVER (PARTITION BY pi_hash, system_id, video_id ORDER BY j) AS prev FROM {name}),
 {name}c AS (SELECT pi_hash, system_id, video_id, any_value(eps_sys_s) AS eps_sys_s, any_value(eps_jit_sd_s) AS eps_jit_sd_s, any_value(delta_s) AS delta_s,

@@ -12,7 +12,7 @@ from holdfast.operators import trajectory as T
 from holdfast.operators.protocol import Protocol, axis_scan, neighbour_grid, plausible_grid, reference
 from holdfast.operators.selection import spearman
 from holdfast.plans import queries_g as QG
-from holdfast.plans.common import packed, N_BOOT, SEED, answers, clips, draws, family, manifest, open_cells, points, samples, scan
+from holdfast.plans.common import packed, N_BOOT, SEED, answers, clips, draws, family, manifest, open_cells, points, samples, scan, scan_tables
 from holdfast.plans.oracle import grid, pgrid, with_base
 from holdfast.plans.queries_f import CONTROL_SQL
 from holdfast.plans.registry import query
@@ -52,11 +52,14 @@ _LIB = CONTROL_SQL + """,
 ans2 AS (SELECT system_id, video_id, j, pred FROM ans UNION ALL SELECT system_id, video_id, j, pred FROM ctl), sys2 AS (SELECT system_id FROM sys UNION ALL SELECT system_id FROM ks)"""
 
 
-@query("h01_protocol_scan", with_base(_LIB, pgrid(axis_scan(3.0), systems="sys2", answers="ans2")) + " SELECT pi_hash, system_id, (system_id LIKE 'block%') AS is_block, eps_sys_s, eps_jit_sd_s, delta_s, h_s, in_plaus, n_clips, n_missing, round(rmscd,6) AS rmscd, round(s_at_1,6) AS s_at_1, round(s_at_3,6) AS s_at_3, round(end_macro_acc,6) AS end_macro_acc, median_flips FROM pgf")
+@query("h01_protocol_scan", with_base(_LIB, pgrid(axis_scan(3.0), systems="sys2", answers="ans2")) + " SELECT pi_hash, system_id, (system_id LIKE 'block%') AS is_block, eps_sys_s, eps_jit_sd_s, delta_s, h_s, in_plaus, n_clips, n_missing, round(rmscd,6) AS rmscd, round(s_at_1,6) AS s_at_1, round(s_at_3,6) AS s_at_3, round(end_macro_acc,6) AS end_macro_acc, median_flips, CASE WHEN delta_s = 1.0 AND system_id IN (SELECT system_id FROM rrs) THEN system_id||'__stride2' ELSE system_id END AS table_used, CASE WHEN delta_s = 1.0 AND (system_id LIKE 'postproc%' OR system_id LIKE 'commit%') AND system_id NOT IN (SELECT system_id FROM rrs) THEN 'no re-run supplied, sub-sampled the finest step' END AS note FROM pgf")
 def h01(spark, sf):
-    """All systems and controls at every protocol in one job."""
+    """All systems and controls at every protocol in one job, each with the table its answers were read from."""
     f = family(spark, sf).filter(F.col("pi_hash").isin([p.pi_hash for p in axis_scan(3.0)]))
-    return f.select("pi_hash", "system_id", "is_block", *T.PI[1:], "n_clips", "n_missing", *[r6(c).alias(c) for c in ("rmscd", "s_at_1", "s_at_3", "end_macro_acc")], "median_flips")
+    coarse = F.rint(F.col("delta_s") / D.DELTA) == D.RERUN_STRIDE
+    f = f.join(scan_tables(spark, sf).select("system_id", F.col("table_used").alias("_t"), F.col("note").alias("_n")), "system_id", "left")
+    f = f.withColumns({"table_used": F.when(coarse, F.coalesce("_t", "system_id")).otherwise(F.col("system_id")), "note": F.when(coarse, F.col("_n"))})
+    return f.select("pi_hash", "system_id", "is_block", *T.PI[1:], "n_clips", "n_missing", *[r6(c).alias(c) for c in ("rmscd", "s_at_1", "s_at_3", "end_macro_acc")], "median_flips", "table_used", "note")
 
 
 @query("h02_incremental_scan", with_base(pgrid(axis_scan(3.0))) + " SELECT CASE WHEN system_id LIKE 'commit%' THEN 'computed' ELSE 'reused' END AS origin, count(*)::BIGINT AS n_rows, round(sum(rmscd),6) AS rmscd_sum FROM pgf GROUP BY ALL")

@@ -37,6 +37,10 @@ SYSTEMS: list[tuple[str, float, float]] = [
     for name, parent, eta, slope in ARMS for k, s in enumerate(SEEDS)
 ]
 SYSTEM_IDS = [s for s, _, _ in SYSTEMS]
+# Stateful arms with a re-run at twice the step, for two of three seeds: (system, parent, rule, value).
+RERUN_STRIDE = 2
+RERUNS = [(f"{name}__{parent}__seed{s}", f"{parent}__seed{s}", rule, value)
+          for (name, parent, _, _), (rule, value) in zip(ARMS, (("ema", 0.35), ("msp", 0.8))) for s in SEEDS[:2]]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
