@@ -99,12 +99,13 @@ def read_grid(
     return p.select(*cols).withColumn("ok", F.col("pred") == F.col("class_code"))
 
 
-def clip_table(cells: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """One row per (system, protocol, clip) with everything the metrics need."""
+def clip_table(cells: DataFrame, keys: list[str] | None = None, delta: str = "delta_s", extra: list[Column] | None = None) -> DataFrame:
+    """One row per (system, protocol, clip) with everything the metrics need; areas are in the unit of the ``delta`` column."""
     keys = ["system_id", *PI, "video_id", *CLIP, "post_anchor_length_s_eff", "steps"] if keys is None else keys
     j, ok = F.col("j"), F.col("ok")
-    w = trapezoid_weight(j, F.col("steps"), F.col("delta_s"))
+    w = trapezoid_weight(j, F.col("steps"), F.col(delta))
     c = cells.groupBy(*keys).agg(
+        *(extra or []),
         F.max(F.when(~ok, j)).alias("lw"),
         F.min(F.when(ok, j)).alias("fc"),
         F.max(F.when(ok, j)).alias("lc"),
@@ -123,7 +124,7 @@ def clip_table(cells: DataFrame, keys: list[str] | None = None) -> DataFrame:
     lw = F.coalesce(F.col("lw"), F.lit(-1))
     return (
         c.withColumn("lw", lw)
-        .withColumn("delay", stable_delay(F.col("lw"), F.col("steps"), F.col("delta_s")))
+        .withColumn("delay", stable_delay(F.col("lw"), F.col("steps"), F.col(delta)))
         .withColumn("retr_area", F.col("delay") - F.col("err_area"))
         .withColumn("end_ok", (F.col("lw") < F.col("steps")).cast("int"))
         .withColumn("onset_j", F.when(F.col("lw") < F.col("steps"), F.col("lw") + 1))

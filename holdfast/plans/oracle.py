@@ -135,3 +135,33 @@ def pgrid(protocols, split: str | None = "test", name: str = "pg", systems: str
     any_value(in_plaus) AS in_plaus, count(*)::BIGINT AS n_clips, avg(delay) AS rmscd, avg(s1) AS s_at_1, avg(s3) AS s_at_3, median(flips)::DOUBLE AS median_flips,
     any_value(m.end_macro_acc) AS end_macro_acc, sum(missing)::BIGINT AS n_missing FROM {name}c c JOIN {name}m m ON m.pi_hash=c.pi_hash AND m.system_id=c.system_id GROUP BY c.pi_hash, c.system_id)
 """
+
+
+FRAMES = "fman AS (SELECT video_id, source_cluster_id, class_code, split, 0::BIGINT AS first_frame, (anchor_s*20)::BIGINT AS anchor_frame, (duration_s*20)::BIGINT AS last_frame FROM man)"
+
+
+def fgrid(protocols, split: str | None = "test") -> str:
+    """Cells and clip rows of protocols in frames: answers are stored every ten frames, anything between is missing."""
+    vals = ", ".join(f"('{p.pi_hash}', {p.eps_sys_f}::BIGINT, {p.eps_jit_sd_f}::DOUBLE, {p.delta_f}::BIGINT, {p.h_f}::BIGINT, {p.jit_seed}::BIGINT)" for p in protocols)
+    where = f"WHERE split = '{split}'" if split else ""
+    draw = f"sqrt(-2.0::DOUBLE*ln({u('jit_seed||chr(124)||video_id', 1)}+1.0::DOUBLE/4294967296.0::DOUBLE))*cos(2.0::DOUBLE*pi()*{u('jit_seed||chr(124)||video_id', 2)})"
+    return FRAMES + f""",
+fp(pi_hash, eps_sys_f, eps_jit_sd_f, delta_f, h_f, jit_seed) AS (VALUES {vals}),
+fj AS (SELECT m.*, p.*, CASE WHEN eps_jit_sd_f > 0 THEN {draw}*eps_jit_sd_f ELSE 0.0::DOUBLE END AS jitter_raw_f FROM fman m, fp p {where}),
+fk AS (SELECT *, round_even(jitter_raw_f, 0)::BIGINT AS jitter_f, anchor_frame + eps_sys_f + round_even(jitter_raw_f, 0)::BIGINT AS wanted FROM fj),
+fe AS (SELECT *, least(greatest(wanted, first_frame), last_frame) AS anchor_frame_eff, last_frame - least(greatest(wanted, first_frame), last_frame) AS leff FROM fk),
+fg AS (SELECT e.*, (h_f//delta_f)::INT AS steps, unnest(range(0, h_f//delta_f + 1))::INT AS j FROM fe e WHERE leff >= h_f),
+fl AS (SELECT *, anchor_frame_eff + j*delta_f - anchor_frame AS off FROM fg),
+fx AS (SELECT s.system_id, l.*, class_code AS y, coalesce(a.pred, -1) AS pred, a.pred IS NOT NULL AS present, off%10 <> 0 AS off_grid, coalesce(a.pred, -1) = class_code AS ok, coalesce(a.committed, false) AS committed
+    FROM fl l CROSS JOIN sys s LEFT JOIN ans a ON off%10 = 0 AND a.system_id=s.system_id AND a.video_id=l.video_id AND a.j=off//10),
+fs AS (SELECT *, min(ok::INT) OVER w1 AS stable, lag(pred) OVER w0 AS prev FROM fx WINDOW w0 AS (PARTITION BY pi_hash, system_id, video_id ORDER BY j),
+    w1 AS (PARTITION BY pi_hash, system_id, video_id ORDER BY j ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+fb AS (SELECT system_id, video_id, min(j) AS jmin, max(j) AS jmax FROM ans GROUP BY ALL),
+ft AS (SELECT b.system_id, m.video_id, coalesce(a.pred, -1) AS tail FROM fman m JOIN fb b USING (video_id) LEFT JOIN ans a ON a.system_id=b.system_id AND a.video_id=m.video_id AND a.j=greatest(least((last_frame-anchor_frame)//10, jmax), jmin)),
+fc AS (SELECT pi_hash, fs.system_id, fs.video_id, any_value(y) AS y, any_value(h_f) AS h_f, any_value(delta_f) AS delta_f, any_value(steps) AS steps,
+    sum((CASE WHEN j IN (0, steps) THEN delta_f/2.0::DOUBLE ELSE delta_f::DOUBLE END)*(1-stable)) AS delay, max(CASE WHEN j=steps THEN ok::INT END) AS endok,
+    sum(CASE WHEN prev IS NOT NULL AND prev<>pred THEN 1 ELSE 0 END)::BIGINT AS flips, sum((NOT present)::INT)::BIGINT AS missing, sum(off_grid::INT)::BIGINT AS off, count(*) AS cells,
+    min(CASE WHEN committed THEN j END) AS cj, arg_min(pred, j) FILTER (committed) AS cp, (coalesce(any_value(ft.tail), -1) = any_value(y))::INT AS tailok
+    FROM fs LEFT JOIN ft ON ft.system_id=fs.system_id AND ft.video_id=fs.video_id GROUP BY pi_hash, fs.system_id, fs.video_id),
+fm AS (SELECT pi_hash, system_id, avg(d) AS d, avg(e) AS e, avg(t) AS t FROM (SELECT pi_hash, system_id, y, avg(delay) AS d, avg(endok) AS e, avg(tailok) AS t FROM fc GROUP BY ALL) GROUP BY ALL)
+"""
