@@ -44,19 +44,24 @@ def long_steps(dense: DataFrame) -> DataFrame:
         *CLIP, "s.j", "s.probs", argmax(F.col("s.probs")).alias("base"))
 
 
-def ema(dense: DataFrame, alpha: float) -> DataFrame:
-    """Exponential smoothing of the probabilities; a cell without evidence holds the state."""
+def ema_fold(steps: Column, alpha: float) -> Column:
+    """Smoothed probabilities (j, probs) at every step of an array of steps (j, probs)."""
     def blend(state, x):
         both = F.zip_with(x["probs"], state["q"], lambda p, q: F.lit(alpha) * p + F.lit(1.0 - alpha) * q)
         q = F.when(x["probs"].isNull(), state["q"]).when(state["q"].isNull(), x["probs"]).otherwise(both)
         return F.struct(q.alias("q"), F.concat(state["out"], F.array(F.struct(x["j"].alias("j"), q.alias("probs")))).alias("out"))
     zero = F.expr("struct(cast(null as array<double>) as q, cast(array() as array<struct<j:int,probs:array<double>>>) as out)")
-    out = dense.select(*CLIP, F.explode(F.aggregate("steps", zero, blend, lambda s: s["out"])).alias("s"))
+    return F.aggregate(steps, zero, blend, lambda s: s["out"])
+
+
+def ema(dense: DataFrame, alpha: float) -> DataFrame:
+    """Exponential smoothing of the probabilities; a cell without evidence holds the state."""
+    out = dense.select(*CLIP, F.explode(ema_fold(F.col("steps"), alpha)).alias("s"))
     return out.select(*CLIP, "s.j", "s.probs", argmax(F.col("s.probs")).alias("pred"))
 
 
-def hysteresis(dense: DataFrame, margin: float) -> DataFrame:
-    """Switch only when the new label leads the held one by more than ``margin``."""
+def hysteresis_fold(steps: Column, margin: float) -> Column:
+    """Held label (j, pred) at every step."""
     def move(state, x):
         k = argmax(x["probs"])
         def p(c):
@@ -67,10 +72,29 @@ def hysteresis(dense: DataFrame, margin: float) -> DataFrame:
         cur = F.when(first | switch | adopt, k).otherwise(state["cur"])
         return F.struct(cur.alias("cur"), F.concat(state["out"], F.array(F.struct(x["j"].alias("j"), cur.alias("pred")))).alias("out"))
     zero = F.expr(f"struct({BOT} as cur, cast(array() as array<struct<j:int,pred:int>>) as out)")
-    out = dense.select(*CLIP, F.explode(F.aggregate("steps", zero, move, lambda s: s["out"])).alias("s"))
+    return F.aggregate(steps, zero, move, lambda s: s["out"])
+
+
+def hysteresis(dense: DataFrame, margin: float) -> DataFrame:
+    """Switch only when the new label leads the held one by more than ``margin``."""
+    out = dense.select(*CLIP, F.explode(hysteresis_fold(F.col("steps"), margin)).alias("s"))
     return out.select(*CLIP, "s.j", "s.pred")
 
 
+def patience_fold(steps: Column, n: int) -> Column:
+    """Label (j, pred) that switches after ``n`` agreeing steps, at every step; the first step starts no run."""
+    def move(state, x):
+        k = argmax(x["probs"])
+        first = F.size(state["out"]) == 0
+        run = F.when(first, 0).when(k == state["cand"], state["run"] + 1).otherwise(1)
+        switch = (k != BOT) & ((state["cur"] == BOT) | ((k != state["cur"]) & (run >= n)))
+        cur = F.when(first | switch, k).otherwise(state["cur"])
+        cand = F.when(first, F.lit(BOT)).otherwise(k)
+        return F.struct(cur.alias("cur"), cand.alias("cand"), run.alias("run"), F.concat(state["out"], F.array(F.struct(x["j"].alias("j"), cur.alias("pred")))).alias("out"))
+    zero = F.expr(f"struct({BOT} as cur, {BOT} as cand, 0 as run, cast(array() as array<struct<j:int,pred:int>>) as out)")
+    return F.aggregate(steps, zero, move, lambda s: s["out"])
+
+
 def majority(steps: DataFrame, width: int, n_classes: int = N_CLASSES) -> DataFrame:
     """Vote over the last ``width`` steps; a tie goes to the current label, else to the lowest class.
 

@@ -6,15 +6,11 @@ shared folder, so a query resumes after a failure without repeating or losing ou
 """
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from holdfast.functions.exprs import BOT, stable_delay
+from holdfast.operators import arms as R
 from holdfast.session import fresh_path
 
 FEED = ("system_id string, video_id string, class_code int, j int, pred int, probs array<double>, "
@@ -39,73 +35,34 @@ def run_available(df: DataFrame, label: str, mode: str = "append", path: str | N
     return spark.read.schema(df.schema).parquet(path)
 
 
-def top(probs) -> int:
-    """Most probable class, lowest index on ties; no answer without probabilities."""
-    if probs is None:
-        return BOT
-    return max(range(len(probs)), key=lambda c: (probs[c], -c))
-
-
-def smoothing(j_min: int, alpha: float, margin: float, n: int):
-    """Per-clip processor: smoothing, hysteresis, patience, changes and gaps, in step order whatever the order of arrival.
-
-    A step waits in the state until the watermark passes its event time; then all steps before it have come or never will, and
-    one that never came is an empty cell. Only the watermark decides what is late. The state goes when the clip closes.
-    """
-    def step(s, j, p):
-        q, hyst, pat, cand, run, last = s
-        k = top(p)
-        if p is not None:
-            q = list(p) if q is None else [alpha * x + (1.0 - alpha) * y for x, y in zip(p, q)]
-        if last < j_min:
-            hyst = pat = k
-        else:
-            lead = 0.0 if p is None or k == BOT else p[k] - p[max(hyst, 0)]
-            if k != BOT and (hyst == BOT or (k != hyst and lead > margin)):
-                hyst = k
-            run = run + 1 if k == cand else 1
-            cand = k
-            if k != BOT and (pat == BOT or (k != pat and run >= n)):
-                pat = k
-        return q, hyst, pat, cand, run, j
-
-    def process(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = json.loads(state.get[0]) if state.exists else {"s": [None, BOT, BOT, BOT, 0, j_min - 1], "said": None, "wait": {}, "close": 0}
-        for rows in batches:
-            times = rows["event_time"].astype("datetime64[us]").astype("int64") // 1000
-            ends = rows["close_time"].astype("datetime64[us]").astype("int64") // 1000
-            for j, pred, p, at, end in zip(rows["j"], rows["pred"], rows["probs"], times, ends):
-                held["close"] = max(held["close"], int(end))
-                if j > held["s"][5]:  # the first answer to a step counts
-                    held["wait"].setdefault(str(int(j)), [int(at), int(pred), None if p is None else [float(x) for x in p]])
-        mark, s, out = state.getCurrentWatermarkMs(), tuple(held["s"]), []
-        for j in sorted(map(int, held["wait"])):
-            at, pred, probs = held["wait"][str(j)]
-            if at > mark:
-                break
-            del held["wait"][str(j)]
-            gap = j - s[5] - 1
-            for missing in range(s[5] + 1, j):
-                s = step(s, missing, None)
-            s = step(s, j, probs)
-            out.append((*key, j, top(s[0]), s[1], s[2], pred, held["said"] is not None and held["said"] != pred, gap, pd.Timestamp(at, unit="ms")))
-            held["said"] = pred
-        held["s"] = list(s)
-        if not held["wait"] and held["close"] <= mark:
-            state.remove()
-        else:
-            state.update((json.dumps(held),))
-            state.setTimeoutTimestamp(max(min([w[0] for w in held["wait"].values()] or [held["close"]]), mark) + 1)
-        yield pd.DataFrame(out, columns=[*KEYS, "j", "ema_pred", "hysteresis_pred", "patience_pred", "pred", "changed", "n_missing", "event_time"])
-    return process
-
-
 STEPS = "system_id string, video_id string, j int, ema_pred int, hysteresis_pred int, patience_pred int, pred int, changed boolean, n_missing int, event_time timestamp"
 
 
 def live_smoothing(feed: DataFrame, j_min: int, alpha: float = 0.35, margin: float = 0.2, n: int = 2, delay: str = "10 minutes") -> DataFrame:
-    """Every step once, as the watermark passes it: smoothed answers, whether the answer changed, steps missing before it."""
-    return feed.withWatermark("event_time", delay).groupBy(*KEYS).applyInPandasWithState(smoothing(j_min, alpha, margin, n), STEPS, "held string", "append", GroupStateTimeout.EventTimeTimeout)
+    """Every answered step once, when its clip closes: smoothed answers, whether the answer changed, steps missing before it.
+
+    The state of a clip is the list of its answers, at most the stored steps and repeats of them, kept by a built-in aggregation.
+    When the watermark on close times passes the clip, the steps are folded in order: the earliest answer to a step counts, a step
+    that never came is an empty cell. So neither the order of arrival nor the cut into files changes a row, and no Python runs.
+    """
+    g = feed.filter(F.col("j") >= j_min).withWatermark("close_time", delay).groupBy(*KEYS, "close_time").agg(
+        F.array_sort(F.collect_list(F.struct("j", "event_time", "pred", "probs"))).alias("_all"))
+    first = F.filter("_all", lambda x, i: (i == 0) | (F.get("_all", i - 1)["j"] != x["j"]))
+    g = g.select(*KEYS, first.alias("_said"))
+    at = F.map_from_entries(F.transform("_said", lambda x: F.struct(x["j"], x["probs"])))
+    g = g.withColumn("_at", at).withColumn("_last", F.element_at("_said", -1)["j"])
+    dense = F.transform(F.sequence(F.lit(j_min), F.col("_last")), lambda j: F.struct(j.alias("j"), F.try_element_at("_at", j).alias("probs")))
+    g = g.withColumn("_steps", dense)
+    g = g.withColumns({"_ema": R.ema_fold(F.col("_steps"), alpha), "_hyst": R.hysteresis_fold(F.col("_steps"), margin), "_pat": R.patience_fold(F.col("_steps"), n)})
+
+    def row(x, i):
+        before = F.get("_said", i - 1)
+        k = x["j"] - j_min
+        return F.struct(
+            x["j"].alias("j"), R.argmax(F.get("_ema", k)["probs"]).alias("ema_pred"), F.get("_hyst", k)["pred"].alias("hysteresis_pred"), F.get("_pat", k)["pred"].alias("patience_pred"),
+            x["pred"].alias("pred"), ((i > 0) & F.coalesce(before["pred"] != x["pred"], F.lit(False))).alias("changed"),
+            (x["j"] - F.when(i > 0, before["j"]).otherwise(j_min - 1) - 1).alias("n_missing"), x["event_time"].alias("event_time"))
+    return g.select(*KEYS, F.explode(F.transform("_said", row)).alias("_r")).select(*KEYS, "_r.*")
 
 
 def live_commitment(feed: DataFrame, threshold: float, steps: int, delta: float, delay: str = "10 minutes") -> DataFrame:
