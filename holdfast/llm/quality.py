@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from holdfast.llm.text import runs, text_of, utf8
+from holdfast.llm.text import runs, small_batches, text_of, utf8
 from holdfast.session import cut
 
 FEATURES = ("log_bytes", "log_words", "log_word_len", "letters", "upper", "digits", "stops", "bangs", "quotes", "symbols", "spaces", "newlines", "wide", "distinct_words", "distinct_lines", "long_words", "entropy", "most_common")
@@ -160,10 +160,11 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """The rows of ``docs`` whose score reaches the threshold, with all their columns; rejected rows go.
 
-    The model is fitted first (statistics of labelled rows only), then texts are scored where they lie, without a shuffle.
+    Texts are read twice where they lie, once for the statistics that the model is fitted on and once to be scored. Only
+    (doc_id, statistics) are shuffled, to meet their labels.
     """
-    known = docs.select("doc_id", text_of().alias("text")).join(labels.select("doc_id").distinct(), "doc_id", "left_semi")
-    model = train(cut(features(known), "quality-features"), labels)
+    small_batches(docs.sparkSession)
+    model = train(cut(features(docs), "quality-features"), labels)
 
     @F.pandas_udf("double")
     def score(texts):

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from holdfast.llm.repeats import Rule, base, cleaned, digests, spans
-from holdfast.llm.text import mix, utf8
+from holdfast.llm.text import mix, small_batches, utf8
 from holdfast.llm.words import powers, prefix_hash
 from holdfast.session import cut
 
@@ -222,6 +222,7 @@ def remove_repeated_bytes(docs: DataFrame, hot: int = 20_000) -> DataFrame:
     of a text of at least 200 bytes all is removed, in every copy; rows that repeat a doc_id or have none are texts of their own; an empty
     table gives an empty result; other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     docs = base(docs)
     rows = docs.select("doc_id", *digests(), F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole"))
     rows = cut(rows, "bytes-rows")
