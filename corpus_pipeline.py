@@ -10,7 +10,7 @@ from holdfast.llm.minmax import near_copies
 from holdfast.llm.mix_sources import balanced_mix
 from holdfast.llm.quality import accepted
 from holdfast.llm.row_keys import free_name, keyed
-from holdfast.llm.text import table, text_of
+from holdfast.llm.text import small_batches, table, text_of
 from holdfast.session import cut, fresh_path, ship_package
 
 
@@ -40,6 +40,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five words, similarity 0.8) stays, that with the smallest doc_id. Ids may be null or repeated."""
     ship_package(spark)
+    small_batches(spark)
     rows, key = keyed(docs)
     groups = near_copies(rows.select(F.col(key).alias("doc_id"), "text"))
     return _one_of_each(rows, key, groups.select(F.col("doc_id").alias(key), F.col("component_id").alias("group_")))
