@@ -158,6 +158,28 @@ def negative_control(own: Column, fixed: Column, ruler: Column) -> Column:
     return F.coalesce((ruler >= 0) & (F.abs(own) <= ruler) & (F.abs(fixed) <= ruler), F.lit(False))
 
 
+def group_gate(rows: DataFrame) -> DataFrame:
+    """Verdict over groups of systems, one row per role: n, n_consequence, n_undefined and the verdict of all.
+
+    rows: system_id, role, consequence, control_passed (null but for controls that are always right). The computation is valid only if
+    there is such a control and none reacts. With any undefined random control or real system the gate is undefined; it passes if every random
+    control and at least half of the real systems show the consequence. The table has one row per system.
+    """
+    g = rows.groupBy("role").agg(
+        F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("consequence"), 1)).alias("n_consequence"), F.count(F.when(F.col("consequence").isNull(), 1)).alias("n_undefined"),
+        F.count("control_passed").alias("_c"), F.count(F.when(~F.col("control_passed"), 1)).alias("_f"))
+
+    def of(role, c):
+        return F.coalesce(F.sum(F.when(F.col("role") == role, F.col(c))), F.lit(0))
+    v = g.agg(F.sum("_c").alias("_c"), F.sum("_f").alias("_f"), *[of(r, c).alias(f"{r}_{c}") for r in ("random_block", "real") for c in ("n", "n_consequence", "n_undefined")])
+    valid = (F.col("_c") > 0) & (F.col("_f") == 0)
+    known = (F.col("random_block_n_undefined") == 0) & (F.col("real_n_undefined") == 0)
+    passed = (F.col("random_block_n") > 0) & (F.col("random_block_n_consequence") == F.col("random_block_n")) & (F.col("real_n") > 0) & (2 * F.col("real_n_consequence") >= F.col("real_n"))
+    status = F.when(~valid, "invalid_computation").when(~known, "undefined").when(passed, "passed").otherwise("failed")
+    v = v.select(valid.alias("computation_valid"), status.alias("status"), F.when(valid & known, passed).alias("pass_gate"))
+    return g.drop("_c", "_f").crossJoin(F.broadcast(v))  # one row
+
+
 def seed_replicated(pairs: DataFrame) -> DataFrame:
     """Variant pairs whose significant difference has one direction in at least two seeds.
 

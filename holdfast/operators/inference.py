@@ -53,6 +53,14 @@ def draw_supported(clusters: DataFrame, cluster_classes: DataFrame, n_boot: int,
             return got
 
 
+def supported_weights(clusters: DataFrame, cluster_classes: DataFrame, n_boot: int, seed: int | str) -> tuple[DataFrame, DataFrame]:
+    """Draws of exactly ``n_boot`` replicates that support every class, numbered from 0, and one row with the number passed over."""
+    chosen = draw_supported(clusters, cluster_classes, n_boot, seed)
+    last = chosen.agg(F.max("b")).first()[0]
+    w = cluster_draws(clusters, last + 1, seed).join(chosen.select("b", "rep"), "b")
+    return w.select(F.col("rep").alias("b"), "source_cluster_id", "w"), chosen.agg(F.max("rejected_before").alias("n_rejected"))
+
+
 def cluster_sums(clips: DataFrame, keys: list[str], values: dict[str, Column]) -> DataFrame:
     return clips.groupBy(*keys, "source_cluster_id", "class_code").agg(
         F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(k) for k, c in values.items()])

@@ -211,6 +211,32 @@ def g16t(spark, sf):
     return b.select("system_a", "system_b", "contrast", "value", "se", "bootstrap_critical", "guard", "critical", "lower", "upper", "zero_variance")
 
 
+_CLASSWISE = ", ".join(f"sum({c})::DOUBLE AS {c}" for c in G.CONTRASTS)
+_MACRO = with_base(grid(3.0), DRAWS.replace(f"range(0,{N_BOOT}) q(b)", f"range(0,{8 * N_BOOT}) q(b)")) + _PC + f""", cc AS (SELECT DISTINCT source_cluster_id, y FROM gc), sb AS (SELECT b, count(DISTINCT y) AS c FROM wt JOIN cc USING (source_cluster_id) GROUP BY ALL), so AS (SELECT b, c=(SELECT count(DISTINCT y) FROM cc) AS ok FROM sb),
+sr AS (SELECT b, ok, sum(ok::INT) OVER (ORDER BY b) AS r, sum((NOT ok)::INT) OVER (ORDER BY b) AS bad FROM so), ws AS (SELECT b, source_cluster_id, w FROM wt JOIN (SELECT b FROM sr WHERE ok AND r<={N_BOOT}) USING (b)), rj AS (SELECT max(bad)::BIGINT AS n_rejected FROM sr WHERE ok AND r<={N_BOOT}),
+py AS (SELECT system_a, system_b, y, source_cluster_id, count(*) AS n, {_CLASSWISE} FROM pc GROUP BY ALL),
+pl AS (SELECT system_a, system_b, contrast, avg(v) AS point FROM (SELECT system_a, system_b, y, """ + ", ".join(f"sum({c})/sum(n) AS {c}" for c in G.CONTRASTS) + f""" FROM py GROUP BY ALL) UNPIVOT (v FOR contrast IN ({', '.join(G.CONTRASTS)})) GROUP BY ALL),
+ry AS (SELECT system_a, system_b, b, y, """ + ", ".join(f"sum(w*{c})/sum(w*n) AS {c}" for c in G.CONTRASTS) + f""" FROM py JOIN ws USING (source_cluster_id) GROUP BY ALL),
+rl AS (SELECT system_a, system_b, b, contrast, avg(v) AS v FROM ry UNPIVOT (v FOR contrast IN ({', '.join(G.CONTRASTS)})) GROUP BY ALL),
+se AS (SELECT system_a, system_b, contrast, stddev_samp(v) AS se FROM rl GROUP BY ALL),
+zz AS (SELECT b, max(abs(v-point)/(CASE WHEN se<1e-12 THEN 1 ELSE se END)) AS z FROM rl JOIN pl USING (system_a, system_b, contrast) JOIN se USING (system_a, system_b, contrast) GROUP BY ALL), cr AS (SELECT quantile_cont(z,0.95) AS c FROM zz)"""
+
+
+@query("g16_macro_band", _MACRO + " SELECT system_a, system_b, contrast, round(point,6) AS point, round(se,6) AS se, round(c,4) AS critical, round(point-c*(CASE WHEN se<1e-12 THEN 0 ELSE se END),5) AS lower, round(point+c*(CASE WHEN se<1e-12 THEN 0 ELSE se END),5) AS upper, (se<1e-12) AS zero_variance, n_rejected FROM pl JOIN se USING (system_a, system_b, contrast), cr, rj")
+def g16m(spark, sf):
+    """The band of class averages, on replicates that support every class; those passed over are counted."""
+    keys = ["system_a", "system_b"]
+    c = contrasts(spark, sf)
+    per = c.groupBy(*keys, "class_code").agg(*[F.avg(k).alias(k) for k in G.CONTRASTS]).groupBy(*keys).agg(*[F.avg(k).alias(k) for k in G.CONTRASTS])
+    pts = G.melt(per, keys, {k: k for k in G.CONTRASTS}, "contrast", "value")
+    cc = clips(spark, sf).select("source_cluster_id", "class_code").distinct()
+    w, rejected = G.supported_weights(cc.select("source_cluster_id").distinct(), cc, N_BOOT, SEED)
+    reps = G.replicate_means(G.cluster_sums(c, keys, {k: F.col(k) for k in G.CONTRASTS}), w, keys, G.CONTRASTS)
+    reps = G.melt(reps, [*keys, "b"], {k: f"{k}_macro" for k in G.CONTRASTS}, "contrast", "value")
+    b = G.simultaneous_band(pts, reps, [*keys, "contrast"]).withColumn("n_rejected", rejected.scalar())
+    return b.select(*keys, "contrast", r6("value").alias("point"), r6("se").alias("se"), F.round("critical", 4).alias("critical"), F.round("lower", 5).alias("lower"), F.round("upper", 5).alias("upper"), "zero_variance", "n_rejected")
+
+
 READS = [Protocol(s, 0.0, d, 2.0) for s in (-0.5, 0.0, 0.5) for d in (0.5, 1.0)]
 
 

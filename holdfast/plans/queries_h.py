@@ -1,6 +1,8 @@
 """Characterisation over the protocol scan (survey section 2.H)."""
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from holdfast.functions.exprs import TOL, ZERO, correlation, mean_ratio, r6
@@ -16,6 +18,7 @@ from holdfast.plans.common import packed, N_BOOT, SEED, answers, clips, draws, f
 from holdfast.plans.oracle import grid, pgrid, with_base
 from holdfast.plans.queries_f import CONTROL_SQL
 from holdfast.plans.registry import query
+from holdfast.plans.stages import stage
 from holdfast.sources import derive as D
 
 REF = reference(3.0)
@@ -240,20 +243,63 @@ def h15(spark, sf):
     return agree.join(corr, by).select(*by, "n", r6("sign_agreement").alias("sign_agreement"), r6("active_sign_agreement").alias("active_sign_agreement"), "n_both_zero", "pearson")
 
 
+_AVGRANK = "rank() OVER (PARTITION BY axis, metric, fam ORDER BY round({0},12)) + (count(*) OVER (PARTITION BY axis, metric, fam, round({0},12))-1)/2.0::DOUBLE"
+_FAM = with_base(_LIB, pgrid(axis_scan(3.0), systems="sys2", answers="ans2")) + _LONG + _SHIFT + f""", ax(axis, n) AS (VALUES {_AX}),
+fa AS (SELECT *, regexp_extract(system_id, '^block__([a-z]+)__', 1) AS f0 FROM sh), fr AS (SELECT pi_hash, eps_sys_s, eps_jit_sd_s, delta_s, h_s, metric, avg(shift) AS br FROM fa WHERE f0='' GROUP BY ALL),
+fb AS (SELECT pi_hash, metric, coalesce(f0,'all_blocks') AS fam, avg(shift) AS bc FROM fa WHERE f0<>'' GROUP BY GROUPING SETS ((pi_hash, metric), (pi_hash, metric, f0))),
+fj AS (SELECT axis, fam, fr.metric, fr.pi_hash, br, bc, CASE WHEN br>1e-12 THEN 1 WHEN br<-1e-12 THEN -1 ELSE 0 END AS a, CASE WHEN bc>1e-12 THEN 1 WHEN bc<-1e-12 THEN -1 ELSE 0 END AS b, fr.pi_hash<>'{REF.pi_hash}' AS off
+ FROM fr JOIN fb ON fb.pi_hash=fr.pi_hash AND fb.metric=fr.metric, ax WHERE (n=1 OR eps_sys_s=0) AND (n=2 OR eps_jit_sd_s=0) AND (n=3 OR delta_s=0.5) AND (n=4 OR h_s=3.0) AND br IS NOT NULL AND bc IS NOT NULL),
+fk AS (SELECT *, {_AVGRANK.format('br')} AS xr, {_AVGRANK.format('bc')} AS xc FROM fj)"""
+
+
+@query("h15_response_by_family", _FAM + " SELECT axis, metric, fam AS block_family, sum(off::INT)::BIGINT AS n, round(avg(CASE WHEN off THEN (a=b)::INT END),6) AS sign_agreement, round(avg(CASE WHEN off AND (a<>0 OR b<>0) THEN (a=b)::INT END),6) AS active_sign_agreement, sum((off AND a=0 AND b=0)::INT)::BIGINT AS n_both_zero, round(CASE WHEN count(*)>1 AND max(br)-min(br)>1e-12 AND max(bc)-min(bc)>1e-12 THEN corr(br,bc) END,4) AS pearson, round(CASE WHEN count(*)>1 AND max(xr)>min(xr) AND max(xc)>min(xc) THEN corr(xr,xc) END,4) AS spearman FROM fk GROUP BY ALL")
+def h15f(spark, sf):
+    """Mean response of systems against each family of controls and all of them: signs, linear and rank correlation of the curves."""
+    s = H.shifts(scanned(spark, sf, axis_scan(3.0), blocks=True), REF.pi_hash).withColumn("_f", F.regexp_extract("system_id", "^block__([a-z]+)__", 1))
+    real = s.filter("_f = ''").groupBy(*T.PI, "metric").agg(F.avg("shift").alias("b_real"))
+    fam = s.filter("_f <> ''").withColumn("block_family", F.explode(F.array(F.lit("all_blocks"), F.col("_f")))).groupBy("pi_hash", "metric", "block_family").agg(F.avg("shift").alias("b_control"))
+    b = real.join(fam, ["pi_hash", "metric"])
+    curves = None
+    for axis in ("eps_sys_s", "eps_jit_sd_s", "delta_s", "h_s"):
+        c = H.on_axis(b, REF, axis).withColumn("axis", F.lit(axis))
+        curves = c if curves is None else curves.unionByName(c)
+    curves = curves.filter("b_real IS NOT NULL AND b_control IS NOT NULL").select("axis", "metric", "block_family", "pi_hash", "b_real", "b_control")
+    by = ["axis", "metric", "block_family"]
+    agree = H.response_agreement(curves.drop("b_control"), curves.drop("b_real"), by, REF.pi_hash)
+    varies = (F.count(F.lit(1)) > 1) & (F.max("b_real") - F.min("b_real") > ZERO) & (F.max("b_control") - F.min("b_control") > ZERO)
+    linear = curves.groupBy(*by).agg(F.round(F.when(varies, correlation(F.col("b_real"), F.col("b_control"))), 4).alias("pearson"))
+    out = agree.join(linear, by).join(spearman(curves, by, "b_real", "b_control", "_s"), by)
+    return out.select(*by, "n", r6("sign_agreement").alias("sign_agreement"), r6("active_sign_agreement").alias("active_sign_agreement"), "n_both_zero", "pearson", F.round("_s", 4).alias("spearman"))
+
+
+# Gaps of systems and controls: own visible end (at most 3.5 s) against the fixed horizon of 2 s, long against short clips.
+_G2 = re.sub(r"\b(gc|ix|kn|pk|wt)\b", r"\g<1>2", QG.DRAWS)
+GATE_SQL = pair_sql(BOTH) + _CAL + ", " + QG._CUTS + ", " + _LIB + f""", gc2 AS (SELECT DISTINCT source_cluster_id FROM man WHERE split='test' AND post_anchor_length_s>=2.0-1e-9), {_G2},
+gl AS (SELECT s.system_id, m.video_id, m.source_cluster_id, m.post_anchor_length_s AS len, x.j, coalesce(a.pred,-1)=m.class_code AS ok, least(m.post_anchor_length_s, 3.5) AS vis FROM man m CROSS JOIN sys2 s, range(0, 9) x(j) LEFT JOIN ans2 a ON a.system_id=s.system_id AND a.video_id=m.video_id AND a.j=x.j WHERE m.split='test' AND m.post_anchor_length_s>=2.0-1e-9),
+gw AS (SELECT system_id, video_id, any_value(source_cluster_id) AS source_cluster_id, any_value(len) AS len, any_value(vis) AS vis, any_value(floor(vis/0.5::DOUBLE+1e-9)::INT) AS last, coalesce(max(CASE WHEN NOT ok AND j<=floor(vis/0.5::DOUBLE+1e-9) THEN j END),-1) AS lo, coalesce(max(CASE WHEN NOT ok AND j<=4 THEN j END),-1) AS lf FROM gl GROUP BY ALL),
+gk AS (SELECT system_id, source_cluster_id, len, 'own' AS kind, (CASE WHEN lo<last THEN least((lo+1)*0.5::DOUBLE, vis) ELSE vis END)::DOUBLE AS delay FROM gw UNION ALL SELECT system_id, source_cluster_id, len, 'fixed', (CASE WHEN lf<0 THEN 0 WHEN lf>=4 THEN 2.0 ELSE (lf+0.5)*0.5 END)::DOUBLE FROM gw),
+gq AS (SELECT *, CASE WHEN len<=c1 THEN 0 WHEN len<=c2 THEN 1 ELSE 2 END AS st FROM gk, ct),
+gx AS (SELECT system_id, kind, avg(CASE WHEN st=2 THEN delay END)-avg(CASE WHEN st=0 THEN delay END) AS gap FROM gq GROUP BY ALL),
+gy AS (SELECT system_id, kind, source_cluster_id, sum((st=2)::INT) AS nl, sum(CASE WHEN st=2 THEN delay ELSE 0 END) AS dl, sum((st=0)::INT) AS ns, sum(CASE WHEN st=0 THEN delay ELSE 0 END) AS ds FROM gq GROUP BY ALL),
+gz AS (SELECT system_id, kind, b, sum(w*dl)/nullif(sum(w*nl),0)-sum(w*ds)/nullif(sum(w*ns),0) AS v FROM gy JOIN wt2 USING (source_cluster_id) GROUP BY ALL),
+gi AS (SELECT system_id, kind, quantile_cont(v,0.025) AS lo, quantile_cont(v,0.975) AS hi FROM gz GROUP BY ALL),
+gt AS (SELECT *, ((own_lo>0 OR own_hi<0) AND abs(own_gap)>mrd) AND ((fixed_lo<=0 AND fixed_hi>=0) OR abs(fixed_gap)<ruler) AS consequence, CASE WHEN system_id LIKE 'block__rand%' THEN 'random_block' WHEN system_id LIKE 'block%' THEN 'other_block' ELSE 'real' END AS role
+ FROM (SELECT x.system_id, x.gap AS own_gap, i.lo AS own_lo, i.hi AS own_hi, y.gap AS fixed_gap, k.lo AS fixed_lo, k.hi AS fixed_hi, mrd, ruler FROM gx x JOIN gi i ON i.system_id=x.system_id AND i.kind='own' JOIN gx y ON y.system_id=x.system_id AND y.kind='fixed' JOIN gi k ON k.system_id=x.system_id AND k.kind='fixed', ca WHERE x.kind='own' AND ca.metric='rmscd'))"""
+
+
 @query("h16_metric_gate", pair_sql(BOTH) + _CAL + " SELECT metric, CASE WHEN metric<>'median_flips' THEN min_r<0.9 END AS rank_arm, CASE WHEN metric<>'median_flips' AND ruler>0 THEN mrd>=ruler END AS mrd_arm, (ruler IS NULL OR ruler<=0) AS ruler_degenerate FROM ca")
 def h16(spark, sf):
     return H.metric_gate(calibrated(spark, sf))
 
 
-@query("h16_consequence_gate")
-def h16c(spark, sf):
-    """Own-end gap against fixed-cohort gap, with shared cluster replicates, per system."""
+def consequences(spark, sf, open_, fixed):
+    """Own-end gap against fixed-cohort gap of every system in ``open_`` and ``fixed``, with shared cluster replicates."""
     vis = F.least(F.col("post_anchor_length_s"), F.lit(3.5))
     cut = QG.cuts(spark, sf)
-    own = T.own_end(open_cells(spark, sf).filter(F.col("post_anchor_length_s") >= 2.0 - TOL), F.floor(vis / F.col("delta_s") + TOL).cast("int"))
+    own = T.own_end(open_.filter(F.col("post_anchor_length_s") >= 2.0 - TOL), F.floor(vis / F.col("delta_s") + TOL).cast("int"))
     own = own.withColumn("delay", F.coalesce(F.least(F.col("onset_j") * F.col("delta_s"), vis), vis)).join(
         manifest(spark, sf, "test").select("video_id", "source_cluster_id"), "video_id").select("system_id", "source_cluster_id", "post_anchor_length_s", "delay", F.lit("own").alias("kind"))
-    fixed = clips(spark, sf, 2.0).select("system_id", "source_cluster_id", "post_anchor_length_s", "delay", F.lit("fixed").alias("kind"))
+    fixed = fixed.select("system_id", "source_cluster_id", "post_anchor_length_s", "delay", F.lit("fixed").alias("kind"))
     c = G.with_terciles(own.unionByName(fixed), cut, "post_anchor_length_s")
     long_, short = F.col("stratum") == 2, F.col("stratum") == 0
     s = c.groupBy("kind", "system_id", "source_cluster_id").agg(
@@ -269,7 +315,38 @@ def h16c(spark, sf):
     cal = calibrated(spark, sf).filter("metric = 'rmscd'").select(F.struct("mrd", "ruler")).scalar()
     j = side("own").join(side("fixed"), "system_id").withColumn("_cal", cal).select("*", "_cal.mrd", "_cal.ruler").drop("_cal")
     cons = H.consequence(*[F.col(x) for x in ("own_gap", "own_lo", "own_hi", "fixed_gap", "fixed_lo", "fixed_hi", "mrd", "ruler")])
-    return j.withColumn("consequence", cons).withColumn("negative_control", H.negative_control(F.col("own_gap"), F.col("fixed_gap"), F.col("ruler")))
+    return j.withColumn("consequence", cons)
+
+
+@query("h16_consequence_gate", GATE_SQL + " SELECT system_id, round(own_gap,6) AS own_gap, round(own_lo,6) AS own_lo, round(own_hi,6) AS own_hi, round(fixed_gap,6) AS fixed_gap, round(fixed_lo,6) AS fixed_lo, round(fixed_hi,6) AS fixed_hi, round(mrd,6) AS mrd, round(ruler,6) AS ruler, consequence FROM gt WHERE system_id NOT LIKE 'block%'")
+def h16c(spark, sf):
+    """Own-end gap against fixed-cohort gap, per system."""
+    c = consequences(spark, sf, open_cells(spark, sf), clips(spark, sf, 2.0))
+    return c.select("system_id", *[r6(x).alias(x) for x in ("own_gap", "own_lo", "own_hi", "fixed_gap", "fixed_lo", "fixed_hi", "mrd", "ruler")], "consequence")
+
+
+def gate_rows(spark, sf):
+    """Systems and controls through one gate: roles, consequences, and whether the controls that are always right stay quiet."""
+    def build():
+        m = manifest(spark, sf, "test")
+        ids = [k.system_id for k in R.CONTROLS]
+        ctl = T.pack(R.control_answers(m, R.CONTROLS, D.DELTA, D.J_MIN, D.J_MAX))
+        open_ = open_cells(spark, sf).unionByName(T.read_grid(m, ctl, ids, [reference(3.0)], D.DELTA, cohort=False, span=D.GRID_MAX), allowMissingColumns=True)
+        fixed = clips(spark, sf, 2.0).unionByName(T.clips_at(m, ctl, ids, [reference(2.0)], D.DELTA), allowMissingColumns=True)
+        rows = consequences(spark, sf, open_, fixed)
+        block = F.regexp_extract("system_id", "^block__([a-z]+)__", 1)
+        role = F.when(block == "rand", "random_block").when(block != "", "other_block").otherwise("real")
+        return rows.withColumns({"role": role, "control_passed": F.when(block == "oracle", H.negative_control(F.col("own_gap"), F.col("fixed_gap"), F.col("ruler")))})
+    return stage(spark, sf, "gate_rows", build)
+
+
+@query("h16_group_gate", GATE_SQL + """, gr AS (SELECT role, count(*)::BIGINT AS n, count(CASE WHEN consequence THEN 1 END)::BIGINT AS n_consequence, count(CASE WHEN consequence IS NULL THEN 1 END)::BIGINT AS n_undefined FROM gt GROUP BY ALL),
+gv AS (SELECT count(*)>0 AND bool_and(abs(own_gap)<=ruler AND abs(fixed_gap)<=ruler AND ruler>=0) AS ok FROM gt WHERE system_id LIKE 'block__oracle%'), gu AS (SELECT sum(n_undefined)=0 AS known FROM gr WHERE role IN ('random_block','real')),
+gp AS (SELECT (SELECT n=n_consequence FROM gr WHERE role='random_block') AND (SELECT 2*n_consequence>=n FROM gr WHERE role='real') AS p)
+SELECT role, n, n_consequence, n_undefined, ok AS computation_valid, CASE WHEN NOT ok THEN 'invalid_computation' WHEN NOT known THEN 'undefined' WHEN p THEN 'passed' ELSE 'failed' END AS status, CASE WHEN ok AND known THEN p END AS pass_gate FROM gr, gv, gu, gp""")
+def h16g(spark, sf):
+    """Verdict over the groups, valid only while the always-right control shows no gap."""
+    return H.group_gate(gate_rows(spark, sf))
 
 
 def heterogeneous(spark, sf):
