@@ -102,7 +102,7 @@ def scan(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # Replicates and seed of the registered bootstrap queries.
-N_BOOT = 200
+N_BOOT = 2000
 SEED = 20260903
 
 

@@ -66,9 +66,9 @@ def b08(spark, sf):
 _FIRST = "fc AS (SELECT source_cluster_id, arg_min(class_code, video_id) AS class_code, count(*)::BIGINT AS n_clips FROM man WHERE split='test' GROUP BY ALL)"
 
 
-@query("b09_stratified_halves", with_base(_FIRST) + ", r AS (SELECT rep, fc.*, row_number() OVER (PARTITION BY rep, class_code ORDER BY md5('half5|'||rep||'|'||source_cluster_id), source_cluster_id) AS rn, count(*) OVER (PARTITION BY rep, class_code) AS n FROM fc, range(0,50) q(rep)) SELECT rep::INT AS rep, class_code, source_cluster_id, (rn <= n//2)::INT AS half FROM r")
+@query("b09_stratified_halves", with_base(_FIRST) + ", r AS (SELECT rep, fc.*, row_number() OVER (PARTITION BY rep, class_code ORDER BY md5('half5|'||rep||'|'||source_cluster_id), source_cluster_id) AS rn, count(*) OVER (PARTITION BY rep, class_code) AS n FROM fc, range(0,500) q(rep)) SELECT rep::INT AS rep, class_code, source_cluster_id, (rn <= n//2)::INT AS half FROM r")
 def b09(spark, sf):
-    h = I.stratified_halves(I.cluster_class(manifest(spark, sf, "test")), 50, 5)
+    h = I.stratified_halves(I.cluster_class(manifest(spark, sf, "test")), 500, 5)
     return h.select("rep", "class_code", "source_cluster_id", "half")
 
 

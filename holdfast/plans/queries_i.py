@@ -79,14 +79,14 @@ def i04(spark, sf):
                  q("delay_regret", 0.025).alias("regret_lo"), q("delay_regret", 0.975).alias("regret_hi"), q("accuracy_change", 0.5).alias("accuracy_change_median"), r6(F.avg("overlap")).alias("top5_overlap"))
 
 
-_HALF = with_base(grid(3.0), _FIRST) + """, hv AS (SELECT rep, source_cluster_id, (rn <= n//2)::INT AS half FROM (SELECT rep, fc.*, row_number() OVER (PARTITION BY rep, class_code ORDER BY md5('half5|'||rep||'|'||source_cluster_id), source_cluster_id) AS rn, count(*) OVER (PARTITION BY rep, class_code) AS n FROM fc, range(0,50) q(rep))),
+_HALF = with_base(grid(3.0), _FIRST) + """, hv AS (SELECT rep, source_cluster_id, (rn <= n//2)::INT AS half FROM (SELECT rep, fc.*, row_number() OVER (PARTITION BY rep, class_code ORDER BY md5('half5|'||rep||'|'||source_cluster_id), source_cluster_id) AS rn, count(*) OVER (PARTITION BY rep, class_code) AS n FROM fc, range(0,500) q(rep))),
 hs AS (SELECT rep, half, system_id, avg(endok) AS accuracy, avg(delay) AS delay FROM gc JOIN hv USING (source_cluster_id) GROUP BY ALL), hk AS (SELECT rep*2+half AS k, system_id, accuracy, delay FROM hs)""" + choice_sql("k", "hk")
 
 
 @query("i05_split_half_selection", _HALF + ", evs AS (SELECT ch.k, p.delay-q.delay AS dd, q.accuracy-p.accuracy AS da, same_choice FROM ch JOIN hk p ON p.k=(CASE WHEN ch.k%2=0 THEN ch.k+1 ELSE ch.k-1 END) AND p.system_id=by_accuracy JOIN hk q ON q.k=p.k AND q.system_id=by_delay) SELECT count(*)::BIGINT AS evaluations, round(avg((NOT same_choice)::INT),6) AS frequency_different, round(median(dd),6) AS delta_delay_median, round(avg(dd),6) AS delta_delay_mean, round(median(da),6) AS delta_accuracy_median FROM evs")
 def i05(spark, sf):
     """Choose on one half of the clusters, evaluate on the other, both ways, fifty splits."""
-    halves = I.stratified_halves(I.cluster_class(manifest(spark, sf, "test")), 50, 5).select("rep", "source_cluster_id", "half")
+    halves = I.stratified_halves(I.cluster_class(manifest(spark, sf, "test")), 500, 5).select("rep", "source_cluster_id", "half")
     sums = clips(spark, sf).groupBy("system_id", "source_cluster_id").agg(F.count(F.lit(1)).alias("n"), F.sum("end_ok").alias("e"), F.sum("delay").alias("d"))
     s = sums.join(halves, "source_cluster_id").groupBy("rep", "half", "system_id").agg((F.sum("e") / F.sum("n")).alias("accuracy"), (F.sum("d") / F.sum("n")).alias("delay"))
     c = S.regret(s, ["rep", "half"]).select("rep", (1 - F.col("half")).alias("half"), "by_accuracy", "by_delay", "same_choice")
