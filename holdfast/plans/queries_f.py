@@ -146,11 +146,11 @@ def f09(spark, sf):
     return R.scheduled_stop(steps(spark, sf), THRESHOLDS, 6)
 
 
-_ACC = """, ga AS (SELECT *, (base>=0 AND j>=0 AND list_max(probs)>=0.5::DOUBLE) AS good FROM dn), gb AS (SELECT *, CASE WHEN good AND lag(good) OVER w AND lag(base) OVER w=base THEN 0 ELSE 1 END AS fr FROM ga WINDOW w AS (PARTITION BY system_id, video_id ORDER BY j)),
-gi AS (SELECT *, sum(fr) OVER (PARTITION BY system_id, video_id ORDER BY j) AS isle FROM gb), gr AS MATERIALIZED (SELECT *, CASE WHEN good THEN row_number() OVER (PARTITION BY system_id, video_id, isle ORDER BY j) ELSE 0 END AS run FROM gi)"""
+_ACC = f""", gr(system_id, video_id, j, base, probs, run) AS (SELECT system_id, video_id, j, base, probs, 0 FROM dn WHERE j=-3 UNION ALL
+ SELECT d.system_id, d.video_id, d.j, d.base, d.probs, CASE WHEN d.base>=0 AND d.j>=0 AND list_max(d.probs)>=0.5::DOUBLE THEN (CASE WHEN e.run>0 AND e.base=d.base THEN e.run+1 ELSE 1 END) ELSE 0 END FROM gr e {_NEXT})"""
 
 
-@query("f10_consecutive_accept", BASE + _ACC + _stop_sql("run >= 2", "gr"))
+@query("f10_consecutive_accept", RECURSIVE + _ACC + _stop_sql("run >= 2", "gr"))
 def f10(spark, sf):
     reliable = R.commitment_score(F.col("probs"), "msp") >= 0.5
     return R.consecutive_accept(steps(spark, sf), reliable, 2)
