@@ -210,16 +210,18 @@ CONTROLS = [
 ]
 
 
-def control_answers(manifest: DataFrame, controls: list[Control], fine: float, j_min: int, j_max: int) -> DataFrame:
-    """Control answers on real anchors and durations; a control knows absolute time, not the protocol."""
+def _with_controls(manifest: DataFrame, controls: list[Control]) -> DataFrame:
     spec = F.array(*[F.struct(
         F.lit(k.system_id).alias("system_id"), F.lit(k.family).alias("family"), F.lit(k.d0).alias("d0"), F.lit(k.p).alias("p"), F.lit(k.c).alias("c"),
         F.lit(k.eta).alias("eta"), F.lit(k.commit_after).cast("double").alias("commit")) for k in controls])
-    g = manifest.select("video_id", "class_code", "anchor_s", "duration_s", F.explode(spec).alias("k")).select("*", "k.*")
-    g = g.withColumn("j", F.explode(F.sequence(F.lit(j_min), F.lit(j_max))))
+    return manifest.select("video_id", "class_code", "anchor_s", "duration_s", F.explode(spec).alias("k")).select("*", "k.*")
+
+
+def _control_cell(j: Column, fine: float) -> tuple[Column, Column]:
+    """Answer and commitment of a control at a stored step; it knows absolute time, not the protocol."""
     y, w = F.col("class_code"), wrong_class(F.col("class_code"))
-    end = F.col("anchor_s") + F.col("j") * fine
-    d = F.col("j") * F.lit(fine)
+    end = F.col("anchor_s") + j * fine
+    d = j * F.lit(fine)
     odd_phase = F.pmod(F.floor(d / F.col("p") + TOL), F.lit(2)) == 1
     key = F.concat_ws("|", F.lit("rand"), "video_id", F.col("eta").cast("string"), F.rint(end * 1000).cast("bigint").cast("string"))
     other = F.floor(uniform(key, 2) * (N_CLASSES - 1))
@@ -229,11 +231,24 @@ def control_answers(manifest: DataFrame, controls: list[Control], fine: float, j
             .when(F.col("family") == "osc", F.when((d >= F.col("d0") - TOL) | odd_phase, y).otherwise(w))
             .when(F.col("family") == "frac", F.when(end >= F.col("c") * F.col("duration_s") - TOL, y).otherwise(w))
             .otherwise(F.when(uniform(key, 1) < F.col("eta"), y).otherwise(other)).cast("int"))
+    return pred, F.coalesce(d >= F.col("commit") - TOL, F.lit(False))
+
+
+def control_answers(manifest: DataFrame, controls: list[Control], fine: float, j_min: int, j_max: int) -> DataFrame:
+    """Control answers on real anchors and durations, as a long answer table."""
+    g = _with_controls(manifest, controls).withColumn("j", F.explode(F.sequence(F.lit(j_min), F.lit(j_max))))
+    pred, committed = _control_cell(F.col("j"), fine)
     rest = (1.0 - CONTROL_CONFIDENCE) / (N_CLASSES - 1)
-    return g.select(
-        "system_id", "video_id", "j", F.lit(fine).alias("delta_s"), pred.alias("pred"),
-        F.coalesce(d >= F.col("commit") - TOL, F.lit(False)).alias("committed"),
-    ).withColumn("probs", F.array(*[F.when(F.col("pred") == c, CONTROL_CONFIDENCE).otherwise(rest) for c in range(N_CLASSES)]))
+    return g.select("system_id", "video_id", "j", F.lit(fine).alias("delta_s"), pred.alias("pred"), committed.alias("committed")).withColumn(
+        "probs", F.array(*[F.when(F.col("pred") == c, CONTROL_CONFIDENCE).otherwise(rest) for c in range(N_CLASSES)]))
+
+
+def packed_controls(manifest: DataFrame, controls: list[Control], fine: float, j_min: int, j_max: int) -> DataFrame:
+    """The same answers packed per (system, clip): arrays made in place, nothing is shuffled."""
+    def cell(j):
+        pred, committed = _control_cell(j, fine)
+        return F.struct(pred.alias("pred"), committed.alias("committed"))
+    return _with_controls(manifest, controls).select("system_id", "video_id", F.lit(j_min).alias("j0"), F.transform(F.sequence(F.lit(j_min), F.lit(j_max)), cell).alias("cells"))
 
 
 def control_expectation(cohort: DataFrame, controls: list[Control], h: float, delta: float, eps: float = 0.0) -> DataFrame:

@@ -25,15 +25,19 @@ def token_fingerprint(docs: DataFrame, key: str, text: str) -> DataFrame:
     t = docs.select(key, F.explode(F.split(F.col(text), r"\s+")).alias("_t")).filter("_t <> ''")
     h = F.md5("_t")
     t = t.withColumn("_hi", F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint")).withColumn("_lo", F.conv(F.substring(h, 9, 8), 16, 10).cast("bigint"))
-    def votes(c):
-        return [F.sum(F.shiftright(c, k).bitwiseAND(F.lit(1)) * 2 - 1).alias(f"{c}{k}") for k in range(32)]
-    v = t.groupBy(key).agg(*votes("_hi"), *votes("_lo"))
+    # Three counters of 21 bits in one sum: the aggregation stays small enough to be compiled. Rows of a document are counted in
+    # parts of at most a million tokens, so that no counter runs over.
+    t = t.withColumn("_part", F.floor(F.monotonically_increasing_id() / 1000000))
+
+    def lanes(c, k):
+        return sum((F.shiftleft(F.shiftright(c, bit).bitwiseAND(F.lit(1)), 21 * lane) for lane, bit in enumerate(range(k, 32, 11))), F.lit(0).cast("bigint"))
+    names = [(c, k) for c in ("_hi", "_lo") for k in range(11)]
+    v = t.groupBy(key, "_part").agg(F.count(F.lit(1)).alias("_n"), *[F.sum(lanes(F.col(c), k)).alias(f"{c}{k}") for c, k in names])
+    ones = {(c, bit): F.sum(F.shiftright(f"{c}{k}", 21 * lane).bitwiseAND(F.lit(0x1FFFFF))) for c, k in names for lane, bit in enumerate(range(k, 32, 11))}
+
     def word(c):
-        out = F.lit(0).cast("bigint")
-        for k in range(32):
-            out = out + F.when(F.col(f"{c}{k}") > 0, F.lit(1 << k)).otherwise(F.lit(0))
-        return out
-    return v.select(key, word("_hi").alias("fp_hi"), word("_lo").alias("fp_lo"))
+        return sum((F.when(2 * ones[c, k] > F.sum("_n"), F.lit(1 << k)).otherwise(F.lit(0)) for k in range(32)), F.lit(0).cast("bigint"))
+    return v.groupBy(key).agg(word("_hi").alias("fp_hi"), word("_lo").alias("fp_lo"))
 
 
 def distance(a_hi: Column, a_lo: Column, b_hi: Column, b_lo: Column) -> Column:

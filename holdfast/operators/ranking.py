@@ -52,14 +52,18 @@ def hash_rank(df: DataFrame, group: list[str], key: Column, tie: list[Column], o
     ).drop("_h")
 
 
-def exact_quantiles(df: DataFrame, by: list[str], value: str, qs: list[float], width: float = 1.0) -> DataFrame:
+def exact_quantiles(df: DataFrame, by: list[str], value: str, qs: list[float], buckets: int = 4096) -> DataFrame:
     """Exact interpolated quantiles per group: ``by``, the array ``q`` in the order of ``qs``, and the number ``n`` of values.
 
-    Values are tallied first and the tally's running counts are taken in buckets of ``width``, so neither a group nor its
-    distinct values meet in one task; the values at the two ranks around each quantile are then plain minima. Nulls don't count.
+    Values are tallied first and the tally's running counts are taken in ``buckets`` of equal width between the least and the largest
+    value there is, so neither a group nor its distinct values meet in one task, whatever their scale; the values at the two ranks around each quantile are then plain minima. Nulls don't count.
     """
     tally = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
-    run = bucketed_running(tally, by, F.floor(F.col(value) / width), [F.col(value)], "_cum", F.col("_c"))
+    ends = tally.agg(F.struct(F.min(value).cast("double").alias("lo"), F.max(value).cast("double").alias("hi"))).scalar()
+    tally = tally.withColumn("_ends", ends)
+    place = (F.col(value) - F.col("_ends.lo")) / F.nullif(F.col("_ends.hi") - F.col("_ends.lo"), F.lit(0.0))
+    tally = tally.withColumn("_at", F.floor(F.coalesce(place, F.lit(0.0)) * buckets)).drop("_ends")
+    run = bucketed_running(tally, by, F.col("_at"), [F.col(value)], "_cum", F.col("_c")).drop("_at")
     total = tally.groupBy(*by).agg(F.sum("_c").alias("n"))
     run = run.join(total, by) if by else run.crossJoin(F.broadcast(total))  # one row without groups
     def at(rank):

@@ -89,7 +89,7 @@ def family(spark: SparkSession, sf: str) -> DataFrame:
     """The frozen metric family of every (system, protocol) on the test split, controls included."""
     def build():
         m = manifest(spark, sf, "test")
-        ctl = T.pack(R.control_answers(m, R.CONTROLS, D.DELTA, D.J_MIN, D.J_MAX))
+        ctl = R.packed_controls(m, R.CONTROLS, D.DELTA, D.J_MIN, D.J_MAX)
         ids = D.SYSTEM_IDS + [c.system_id for c in R.CONTROLS]
         c = T.clips_at(m, packed(spark, sf).unionByName(ctl, allowMissingColumns=True), ids, scan_protocols(), D.DELTA)
         return T.frozen_family(c, ["system_id", *T.PI]).withColumn("is_block", F.col("system_id").startswith("block__"))

@@ -208,7 +208,7 @@ def f14(spark, sf):
     """Measured controls against their closed form, clip by clip; every difference must be zero."""
     m = manifest(spark, sf, "test")
     ids = [k.system_id for k in R.CONTROLS]
-    measured = T.clips_at(m, R.control_answers(m, R.CONTROLS, D.DELTA, D.J_MIN, D.J_MAX), ids, [reference(3.0)], D.DELTA)
+    measured = T.clips_at(m, R.packed_controls(m, R.CONTROLS, D.DELTA, D.J_MIN, D.J_MAX), ids, [reference(3.0)], D.DELTA)
     cohort = m.filter(eligible(F.col("post_anchor_length_s"), 3.0)).select("video_id", "anchor_s", "duration_s")
     e = R.control_expectation(cohort, R.CONTROLS, 3.0, D.DELTA).select("system_id", "video_id", "expected_delay", "expected_flips")
     j = measured.select("system_id", "video_id", "delay", "flips").join(e, ["system_id", "video_id"], "full_outer")

@@ -330,7 +330,7 @@ def gate_rows(spark, sf):
     def build():
         m = manifest(spark, sf, "test")
         ids = [k.system_id for k in R.CONTROLS]
-        ctl = T.pack(R.control_answers(m, R.CONTROLS, D.DELTA, D.J_MIN, D.J_MAX))
+        ctl = R.packed_controls(m, R.CONTROLS, D.DELTA, D.J_MIN, D.J_MAX)
         open_ = open_cells(spark, sf).unionByName(T.read_grid(m, ctl, ids, [reference(3.0)], D.DELTA, cohort=False, span=D.GRID_MAX), allowMissingColumns=True)
         fixed = clips(spark, sf, 2.0).unionByName(T.clips_at(m, ctl, ids, [reference(2.0)], D.DELTA), allowMissingColumns=True)
         rows = consequences(spark, sf, open_, fixed)
