@@ -38,10 +38,23 @@ def family_differences(values: DataFrame, by: list[str]) -> DataFrame:
     return p.groupBy(*by, "family_a", "family_b").agg(F.percentile(F.col("va") - F.col("vb"), F.lit(0.5)).alias("diff"), F.count(F.lit(1)).alias("n_seeds"))
 
 
-def outcome(diff_a: Column, diff_b: Column, lo_b: Column, hi_b: Column) -> Column:
-    """Agree, reverse, tie or uncertain: no reading on the second track is not the same as a tie."""
-    return (F.when(diff_a.isNull() | (diff_a == 0) | diff_b.isNull() | lo_b.isNull() | hi_b.isNull() | (lo_b > hi_b), "uncertain")
-            .when((diff_b == 0) | ((lo_b <= 0) & (hi_b >= 0)), "tie").when((diff_a > 0) == (diff_b > 0), "agree").otherwise("reverse"))
+def outcome(diff_a: Column, diff_b: Column, lo_b: Column, hi_b: Column, ruler_b: Column | None = None) -> Column:
+    """Agree, reverse, tie or uncertain: no reading on the second track is not the same as a tie.
+
+    With a ruler, the second track's smallest resolvable difference, what lies below it is a tie; a null ruler resolves nothing away, a
+    negative one is an error.
+    """
+    out = (F.when(diff_a.isNull() | F.isnan(diff_a) | (diff_a == 0) | diff_b.isNull() | F.isnan(diff_b) | lo_b.isNull() | hi_b.isNull() | (lo_b > hi_b), "uncertain")
+           .when((diff_b == 0) | ((lo_b <= 0) & (hi_b >= 0)), "tie"))
+    if ruler_b is not None:
+        out = out.when(ruler_b < 0, F.raise_error(F.lit("a ruler must not be negative")).cast("string")).when(F.abs(diff_b) < ruler_b, "tie")
+    return out.when((diff_a > 0) == (diff_b > 0), "agree").otherwise("reverse")
+
+
+def track_ruler(readings: DataFrame) -> Column:
+    """Smallest difference that a track resolves: the median absolute difference of its pairs that aren't told apart, null without any."""
+    apart = (F.col("ci_lo") > 0) | (F.col("ci_hi") < 0)
+    return readings.agg(F.percentile(F.when(~apart, F.abs("diff")), F.lit(0.5)).alias("ruler")).scalar()
 
 
 def agreement_rates(outcomes: DataFrame) -> DataFrame:

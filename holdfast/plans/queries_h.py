@@ -16,6 +16,7 @@ from holdfast.operators.selection import spearman
 from holdfast.plans import queries_g as QG
 from holdfast.plans.common import packed, N_BOOT, SEED, answers, clips, draws, family, manifest, open_cells, points, samples, scan, scan_tables
 from holdfast.plans.oracle import grid, pgrid, with_base
+from holdfast.plans.queries_b import _PARSE
 from holdfast.plans.queries_f import CONTROL_SQL
 from holdfast.plans.registry import query
 from holdfast.plans.stages import stage
@@ -361,12 +362,21 @@ def heterogeneous(spark, sf):
     return h.withColumn("cross_base", F.col("base_a") != F.col("base_b"))
 
 
-@query("h17_heterogeneous_ties")
+# Significance without quantiles: an interval at a level is clear of zero exactly when the two-sided p is below that level.
+_HET = QG.ST + QG.TIED + ", " + _PARSE + ", hn AS (SELECT t.*, CASE WHEN se>0 THEN " + QG.TAIL.format(z="abs(diff)/se") + """ WHEN abs(diff)>0 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS pn FROM ts t JOIN td USING (system_a, system_b) WHERE t.metric='rmscd'),
+ho AS (SELECT *, row_number() OVER (ORDER BY pn, system_a, system_b) AS r, count(*) OVER () AS m FROM hn), hp AS (SELECT *, least(1.0::DOUBLE, max((m-r+1)*pn) OVER (ORDER BY r)) AS p_adjusted FROM ho),
+hv AS (SELECT system_id, seed, regexp_replace(coalesce(parent, system_id), '__seed[0-9]+', '') AS base, regexp_replace(coalesce(parent, system_id), '__seed[0-9]+', '')||'|'||arm_rule AS variant FROM pq),
+hs AS (SELECT p.*, (p_adjusted<=0.05 AND (ci_lo>0 OR ci_hi<0) AND pn < 0.05::DOUBLE/(m-r+1)) AS significant, x.base AS base_a, y.base AS base_b, x.seed AS seed_a, y.seed AS seed_b, x.variant AS variant_a, y.variant AS variant_b, x.base<>y.base AS cross_base FROM hp p JOIN hv x ON x.system_id=system_a JOIN hv y ON y.system_id=system_b)"""
+
+
+@query("h17_heterogeneous_ties", _HET + " SELECT system_a, system_b, round(diff,6) AS diff, round(p_adjusted,4) AS p_adjusted, significant, base_a, base_b, cross_base FROM hs")
 def h17(spark, sf):
-    return heterogeneous(spark, sf).select("system_a", "system_b", "diff", "p_adjusted", "significant", "base_a", "base_b", "cross_base")
+    return heterogeneous(spark, sf).select("system_a", "system_b", r6("diff").alias("diff"), F.round("p_adjusted", 4).alias("p_adjusted"), "significant", "base_a", "base_b", "cross_base")
 
 
-@query("h18_seed_replication")
+@query("h18_seed_replication", _HET + """, hy AS (SELECT least(variant_a,variant_b) AS variant_1, greatest(variant_a,variant_b) AS variant_2, seed_a AS seed, CASE WHEN variant_a=least(variant_a,variant_b) THEN diff ELSE -diff END AS o, significant, cross_base FROM hs WHERE seed_a=seed_b AND variant_a<>variant_b),
+hz AS (SELECT variant_1, variant_2, bool_or(cross_base) AS cross_base, count(DISTINCT seed)::BIGINT AS n_seeds, count(DISTINCT CASE WHEN significant AND o>0 THEN seed END) AS p, count(DISTINCT CASE WHEN significant AND o<0 THEN seed END) AS n FROM hy GROUP BY ALL)
+SELECT variant_1, variant_2, cross_base, n_seeds, greatest(p,n)::BIGINT AS n_same_direction, (cross_base AND greatest(p,n)>=2) AS passed FROM hz""")
 def h18(spark, sf):
     return H.seed_replicated(heterogeneous(spark, sf))
 

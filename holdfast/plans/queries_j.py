@@ -11,6 +11,7 @@ from holdfast.operators import inference as G
 from holdfast.operators.ranking import hash_rank, hot_join
 from holdfast.plans.common import N_BOOT, SEED, clips
 from holdfast.plans.oracle import grid, u, with_base
+from holdfast.plans.queries_g import TAIL
 from holdfast.plans.registry import query
 from holdfast.plans.stages import stage
 from holdfast.sources import derive as D
@@ -80,16 +81,36 @@ def compared(selected, b):
     return j.withColumn("outcome", A.outcome(F.col("diff"), F.col("diff_b"), F.col("lo_b"), F.col("hi_b")))
 
 
-@query("j04_direction_outcome")
-def j04(spark, sf):
-    """Pairs chosen on track a alone by corrected normal p, then read on track b."""
+_CHOSEN = TRACKS + ", " + readings_sql("ta", "a") + ", " + readings_sql("tb", "b") + """, jp AS (SELECT f.*, CASE WHEN se>0 THEN """ + TAIL.format(z="abs(diff)/se") + """ WHEN abs(diff)>0 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS p FROM tao f JOIN (SELECT family_a, family_b, stddev_samp(d) AS se FROM tad GROUP BY ALL) USING (family_a, family_b) WHERE n_seeds>=2),
+jr AS (SELECT *, row_number() OVER (ORDER BY p, family_a, family_b) AS r, count(*) OVER () AS m FROM jp), jh AS (SELECT *, least(1.0::DOUBLE, max((m-r+1)*p) OVER (ORDER BY r)) AS p_adjusted FROM jr),
+jb AS (SELECT * FROM tbo WHERE n_seeds>=2), ju AS (SELECT median(abs(diff)) AS ruler FROM jb WHERE ci_lo<=0 AND ci_hi>=0),
+jo AS (SELECT a.family_a, a.family_b, a.diff, a.p_adjusted, b.diff AS diff_b, b.ci_lo AS lo_b, b.ci_hi AS hi_b, ruler, CASE WHEN a.diff=0 OR b.diff IS NULL THEN 'uncertain' WHEN b.diff=0 OR (b.ci_lo<=0 AND b.ci_hi>=0) THEN 'tie' WHEN (a.diff>0)=(b.diff>0) THEN 'agree' ELSE 'reverse' END AS outcome
+ FROM jh a LEFT JOIN jb b USING (family_a, family_b), ju WHERE p_adjusted<=0.05 AND a.ci_lo*a.ci_hi>0)"""
+
+
+def chosen_pairs(spark, sf):
+    """Pairs chosen on track a alone by corrected normal p and an interval clear of zero."""
     from holdfast.functions.tails import normal_two_sided
     a = family_readings(spark, sf, "a").filter("n_seeds >= 2")
     flat = F.when(F.abs("diff") > 0, 0.0).otherwise(1.0)
-    a = a.withColumn("p", F.when(F.col("se") > 0, normal_two_sided(F.col("diff") / F.col("se"))).otherwise(flat)).withColumn("k", F.lit(1))
-    h = G.holm(a, ["k"], "p", order=["family_a", "family_b"])
-    chosen = h.filter(F.col("reject") & (F.col("ci_lo") * F.col("ci_hi") > 0))
-    return compared(chosen, family_readings(spark, sf, "b")).select("family_a", "family_b", "diff", "p_adjusted", "diff_b", "lo_b", "hi_b", "outcome")
+    a = a.withColumn("p", F.when(F.col("se") > 0, normal_two_sided(F.abs("diff") / F.col("se"))).otherwise(flat)).withColumn("k", F.lit(1))
+    return G.holm(a, ["k"], "p", order=["family_a", "family_b"]).filter(F.col("reject") & (F.col("ci_lo") * F.col("ci_hi") > 0))
+
+
+@query("j04_direction_outcome", _CHOSEN + " SELECT family_a, family_b, round(diff,6) AS diff, round(p_adjusted,4) AS p_adjusted, round(diff_b,6) AS diff_b, round(lo_b,6) AS lo_b, round(hi_b,6) AS hi_b, outcome FROM jo")
+def j04(spark, sf):
+    """Pairs chosen on track a alone, then read on track b."""
+    c = compared(chosen_pairs(spark, sf), family_readings(spark, sf, "b"))
+    return c.select("family_a", "family_b", r6("diff").alias("diff"), F.round("p_adjusted", 4).alias("p_adjusted"), *[r6(x).alias(x) for x in ("diff_b", "lo_b", "hi_b")], "outcome")
+
+
+@query("j04_resolvable_outcome", _CHOSEN + " SELECT family_a, family_b, round(diff_b,6) AS diff_b, round(ruler,6) AS ruler_b, CASE WHEN outcome IN ('agree','reverse') AND abs(diff_b)<ruler THEN 'tie' ELSE outcome END AS outcome FROM jo")
+def j04r(spark, sf):
+    """The same, where a difference below what track b resolves is a tie."""
+    b = family_readings(spark, sf, "b")
+    c = compared(chosen_pairs(spark, sf), b).withColumn("ruler_b", A.track_ruler(b.filter("n_seeds >= 2")))
+    o = A.outcome(F.col("diff"), F.col("diff_b"), F.col("lo_b"), F.col("hi_b"), F.col("ruler_b"))
+    return c.select("family_a", "family_b", r6("diff_b").alias("diff_b"), r6("ruler_b").alias("ruler_b"), o.alias("outcome"))
 
 
 _OUT = TRACKS + ", " + readings_sql("ta", "a") + ", " + readings_sql("tb", "b") + """, oc AS (SELECT a.family_a, a.family_b, a.diff, b.diff AS diff_b, CASE WHEN a.diff=0 OR b.diff IS NULL THEN 'uncertain' WHEN b.diff=0 OR (b.ci_lo<=0 AND b.ci_hi>=0) THEN 'tie' WHEN (a.diff>0)=(b.diff>0) THEN 'agree' ELSE 'reverse' END AS outcome
