@@ -517,9 +517,9 @@ def test_oracles_on_smallest_tables(spark):
     if not os.path.isdir(sf):
         pytest.skip("supplied tables are not here")
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "pages"):
+    for t in ("documents", "embeddings", "pages", "labels", "conversations"):
         con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 11)} and {*QUERIES, "pipeline"} <= set(entry.queries())
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 14)} and {*QUERIES, "pipeline"} <= set(entry.queries())
     for name in ORACLES:
         df = entry.queries()[name](spark, sf)
         res = con.execute(ORACLES[name])
