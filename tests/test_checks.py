@@ -77,6 +77,35 @@ def test_macro_draws_support_every_class(spark):
     assert all(sum(r.w for r in got if r.b == b) == 8 for b in range(40)) and rejected.first()[0] > 0
 
 
+def test_outcomes_below_the_resolvable_difference_are_ties(spark):
+    from pyspark.sql import functions as F
+    from holdfast.operators import agreement as A
+    rows = [("agree", 1.0, 2.0, 1.0, 3.0, 0.5), ("reverse", 1.0, -2.0, -3.0, -1.0, 0.5), ("tie", 1.0, 0.4, 0.1, 0.7, 0.5), ("agree", 1.0, 0.4, 0.1, 0.7, None), ("tie", 1.0, 2.0, -1.0, 3.0, None),
+            ("uncertain", 1.0, None, None, None, 0.5), ("uncertain", 0.0, 2.0, 1.0, 3.0, 0.5), ("uncertain", 1.0, 2.0, 3.0, 1.0, 0.5), ("agree", 1.0, 0.5, 0.1, 0.7, 0.5)]
+    df = spark.createDataFrame(rows, "want string, a double, b double, lo double, hi double, ruler double")
+    got = df.select("want", A.outcome(*map(F.col, ("a", "b", "lo", "hi", "ruler"))).alias("o")).collect()
+    assert [r.o for r in got] == [r.want for r in got]
+    readings = spark.createDataFrame([(0.4, -0.1, 0.9), (-0.2, -0.5, 0.1), (5.0, 4.0, 6.0)], "diff double, ci_lo double, ci_hi double")
+    assert abs(spark.range(1).select(A.track_ruler(readings)).first()[0] - 0.3) < 1e-12
+
+
+def test_the_earliest_answer_to_a_step_counts(spark):
+    from datetime import datetime, timedelta
+    from holdfast.session import fresh_path
+    from holdfast.streaming import live as L
+    t0, p = datetime(2024, 1, 1), [0.9, 0.1]
+    row = lambda j, pred, s: ("s", "v", 0, j, pred, p if pred == 0 else p[::-1], t0 + timedelta(seconds=s), t0 + timedelta(seconds=60))
+    far = [("", "", 0, k, 0, None, t0 + timedelta(days=k + 1), t0 + timedelta(days=k + 1)) for k in (0, 1)]
+    seen = []
+    for order in ([row(0, 1, 5), row(0, 0, 2), row(2, 1, 9), row(2, 0, 8)], [row(2, 0, 8), row(2, 1, 9), row(0, 0, 2), row(0, 1, 5)]):
+        path = fresh_path(spark, "feed-twice")
+        for r in order + far:
+            spark.createDataFrame([r], L.FEED).coalesce(1).write.mode("append").parquet(path)
+        out = L.run_available(L.live_smoothing(L.read_feed(spark, path, 1), 0), "t").filter("system_id <> ''")
+        seen.append(sorted((r.j, r.pred, r.ema_pred, r.changed, r.n_missing) for r in out.collect()))
+    assert seen[0] == seen[1] == [(0, 0, 0, False, 0), (2, 0, 0, False, 1)]
+
+
 def folder(files):
     import tempfile
     root = tempfile.mkdtemp(prefix="text-")
