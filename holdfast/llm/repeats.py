@@ -4,10 +4,13 @@ Every window of L units is assigned to its anchor, the k-unit gram of the smalle
 anchors at equal offsets, so a window can only repeat within the group of its anchor's hash. An anchor stands for a run of
 windows and the few units around it (its context), about one in L / 2 positions is an anchor, and only anchors whose hash occurs twice among
 different texts go on: their contexts are shuffled by hash and handed to the kernel of the operator, group by group. Groups of more
-than ``hot`` contexts are not given to one task: their windows are counted one by one with map-side combining.
+than ``hot`` contexts are not given to one task: they are split by offset and by neighbouring units, equal parts are combined, and the
+kernel takes the parts.
 """
 from __future__ import annotations
 
+import hashlib
+import struct
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -22,6 +25,8 @@ from holdfast.session import cut
 CHUNK = 1 << 20
 POS_BITS = 22
 MASK = np.uint64((1 << POS_BITS) - 1)
+HEAVY = 2000
+SPREAD = 16
 
 
 @dataclass(frozen=True)
@@ -170,25 +175,77 @@ def _groups(rule: Rule, chunk_bytes: int):
     return run
 
 
-def _windows(rule: Rule):
-    """Contexts -> one row per window with a 128-bit digest; only for groups that are too large for one task."""
-    import hashlib
+def _parts(rule: Rule, width: int):
+    """Contexts -> their parts by blocks of ``width`` offsets of the window before the anchor, in the columns of a context.
 
+    All windows of a block hold the units from the block's smallest offset before the anchor to the end of the window of its largest one
+    (the core). Equal windows have equal offsets, so equal cores: anchor, block and core are the part's new group.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole_bytes = rule.units.__name__ == "byte_units"
         for b in (whole.slice(i, 256) for whole in batches for i in range(0, whole.num_rows, 256)):
-            rows, keys, at = [], [], []
-            for k, (ctx, begin) in enumerate(zip(b["ctx"].to_pylist(), b["begin"].to_pylist())):
-                units = ctx if rule.units.__name__ == "byte_units" else ctx.split()
-                for i in range(len(units) - rule.length + 1):
-                    w = units[i:i + rule.length]
-                    rows.append(k)
-                    at.append(begin + i)
-                    keys.append(hashlib.blake2b(w if isinstance(w, bytes) else b" ".join(w), digest_size=16).digest())
-            take = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([b["th"].take(take), b["th2"].take(take), pa.array(at, pa.int32()), pa.array(keys, pa.binary())], ["th", "th2", "a", "w"])
+            out: list[list] = [[] for _ in range(7)]
+            for h, th, th2, begin, hi, ctx in zip(*(b[c].to_pylist() for c in ("h", "th", "th2", "begin", "hi", "ctx"))):
+                units = ctx if whole_bytes else ctx.split()
+                lo = hi - (len(units) - rule.length)
+                for block in range(lo // width, hi // width + 1):
+                    least, most = block * width, block * width + width - 1
+                    a, z = max(lo, least), min(hi, most)
+                    core, part = units[hi - least:hi - most + rule.length], units[hi - z:hi - a + rule.length]
+                    if not whole_bytes:
+                        core, part = b" ".join(core), b" ".join(part)
+                    key = hashlib.blake2b(core, digest_size=8, key=struct.pack("<qi", h, block)).digest()
+                    for column, value in zip(out, (int.from_bytes(key, "little", signed=True), th, th2, begin + hi - z, z, 0, part)):
+                        column.append(value)
+            yield _rows(out)
     return run
 
 
+def _split_marks(contexts: DataFrame, rule: Rule, hot: int, tasks: int, chunk_bytes: int) -> list[DataFrame]:
+    """Spans of groups with more contexts than one task should hold, by the same kernel.
+
+    The contexts are split into parts (``_parts``), and equal parts are counted with map-side combining: the kernel gets each kind of a group
+    once, or twice where it occurs more often. A group of still too many different kinds is split by narrower blocks; with
+    blocks of one offset a part is one window, so a group has one kind.
+    """
+    marks = []
+    kind = [F.xxhash64("h", "hi", "ctx").alias("k1"), F.xxhash64(F.lit(7), "h", "hi", "ctx").alias("k2")]
+    for width in sorted({max(1, rule.length // 6), max(1, rule.length // 24), 1}, reverse=True):
+        parts = cut(contexts.mapInArrow(_parts(rule, width), CONTEXT), "repeat-parts")
+        kinds = cut(parts.groupBy("h", "hi", "ctx").agg(F.count("*").alias("n")), "repeat-kinds")
+        sizes = cut(kinds.groupBy("h").agg(F.count("*").alias("kinds"), F.sum("n").alias("parts")).where("parts > 1").select("h", "kinds"), "repeat-sizes")
+        calm = sizes if width == 1 else sizes.where(F.col("kinds") <= hot)
+        twins = kinds.join(calm.select("h"), "h", "left_semi").select(
+            *kind, "h", "hi", "ctx", F.lit(0).alias("begin"), F.explode(F.array_repeat(F.lit(0), F.least("n", F.lit(2)).cast("int"))).alias("twin"))
+        twins = twins.withColumnsRenamed({"k1": "th", "k2": "th2"}).repartition(tasks, "h").sortWithinPartitions("h")
+        found = cut(twins.mapInArrow(_groups(rule, chunk_bytes), "th long, th2 long, a int, z int").distinct(), "repeat-found")
+        # a kind may be part of a third of all texts: its rows are dealt over several tasks
+        found = found.select(F.col("th").alias("k1"), F.col("th2").alias("k2"), "a", "z", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("salt"))
+        rows = parts.select("th", "th2", "begin", *kind, F.pmod(F.xxhash64("th", "begin"), F.lit(SPREAD)).cast("int").alias("salt"))
+        marks.append(cut(rows.join(found, ["k1", "k2", "salt"]).select("th", "th2", (F.col("begin") + F.col("a")).alias("a"), (F.col("begin") + F.col("z")).alias("z")), "repeat-hot"))
+        more = sizes.where(F.col("kinds") > hot).select("h")
+        if width == 1 or not more.limit(1).count():
+            return marks
+        contexts = parts.join(more, "h", "left_semi").select(*parts.columns)
+    return marks
+
+
+def _repeated(found: DataFrame, hot: int, tasks: int) -> DataFrame:
+    """Anchors whose hash occurs at different places, with the number ``n`` of its rows; copies of a text in other tasks are no other place.
+
+    Hashes are counted with map-side combining. Those with more than 1/2,000 of the rows that go on are at most 2,000; they are broadcast
+    and their rows dealt over all tasks of the join.
+    """
+    place = F.xxhash64("th", "th2", "pos")
+    counts = cut(found.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("n")).where("first <> last").select("h", F.col("n").cast("int").alias("n")), "repeat-anchors")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    heavy = F.col("n") > max(hot, total // HEAVY)
+    dealt = found.join(F.broadcast(counts.where(heavy).select("h", F.lit(True).alias("heavy"))), "h", "left")
+    dealt = dealt.withColumn("salt", F.when(F.col("heavy"), F.pmod(place, F.lit(tasks)).cast("int")).otherwise(0)).drop("heavy")
+    lookup = counts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.when(heavy, F.lit(tasks - 1)).otherwise(0))))
+    return dealt.join(lookup, ["h", "salt"]).drop("salt")
+
+
 def _rebuilt(rule: Rule):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (whole.slice(i, 64) for whole in batches for i in range(0, whole.num_rows, 64)):
@@ -215,23 +272,20 @@ def spans(docs: DataFrame, rule: Rule, hot: int = 20_000, chunk_bytes: int = 1 <
     """
     docs = docs.select("text", *digests())
     found = docs.mapInArrow(_anchors(rule), "h long, th long, th2 long, pos int, lo short, hi short")
-    from pyspark.sql import Window
-    one = found.repartition("h").distinct()
-    twice = one.select("*", F.count("*").over(Window.partitionBy("h")).cast("int").alias("n")).where("n > 1")
-    by_text = twice.groupBy("th", "th2").agg(F.collect_list(F.struct("h", "pos", "lo", "hi", "n")).alias("anchors"))
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by_text = _repeated(found, hot, tasks).groupBy("th", "th2").agg(F.collect_set(F.struct("h", "pos", "lo", "hi", "n")).alias("anchors"))
     # one row per text; copies are combined within tasks before the exchange
     single = docs.groupBy("th", "th2").agg(F.first("text").alias("text"))
     texts = cut(single.join(by_text, ["th", "th2"]).select("th", "th2", "text", "anchors"), "repeat-texts")
+
     def contexts(which) -> DataFrame:
         chosen = texts.select("th", "th2", "text", F.filter("anchors", which).alias("anchors")).where(F.size("anchors") > 0)
         return chosen.mapInArrow(_contexts(rule), CONTEXT)
-    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     calm = contexts(lambda x: x["n"] <= hot).repartition(tasks, "h").sortWithinPartitions("h").mapInArrow(_groups(rule, chunk_bytes), "th long, th2 long, a int, z int")
     marks = cut(calm, "repeat-spans")
     if texts.where(F.exists("anchors", lambda x: x["n"] > hot)).limit(1).count():
-        each = cut(contexts(lambda x: x["n"] > hot).mapInArrow(_windows(rule), "th long, th2 long, a int, w binary"), "repeat-windows")
-        again = each.groupBy("w").agg(F.count("*").alias("k")).where("k > 1").select("w")
-        marks = marks.union(cut(each.join(again, "w", "left_semi").select("th", "th2", "a", (F.col("a") + rule.length).cast("int").alias("z")), "repeat-hot"))
+        for part in _split_marks(contexts(lambda x: x["n"] > hot), rule, hot, tasks, chunk_bytes):
+            marks = marks.union(part)
     return marks, texts
 
 
