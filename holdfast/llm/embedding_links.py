@@ -130,8 +130,8 @@ def embedding_links(vectors: DataFrame, threshold: float = 0.93, cell_rows: int
 
     Vectors that are null, empty, zero or hold null or non-finite components, and those of a null label, link with
     nothing and are groups of their own; vectors of different lengths don't link; equal vectors link with each
-    other; rows that repeat a vec_id count as vectors; a null vec_id links and counts but can't name a group and is
-    given its group's id; an empty table gives an empty result; other columns are ignored. The centroids are
+    other; rows that repeat a vec_id are vectors of their own; a null vec_id links and counts but can't name a group and is
+    given its group's id, a number below -2**62 where no row of the group has one (ids of the input lie above that); an empty table gives an empty result; other columns are ignored. The centroids are
     fitted on about ``sample_rows`` vectors of a label; all else covers every vector.
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").alias("vec"))
@@ -140,9 +140,11 @@ def embedding_links(vectors: DataFrame, threshold: float = 0.93, cell_rows: int
     valid = F.col("label").isNotNull() & F.col("vec").isNotNull() & F.coalesce(~bad, F.lit(False)) & F.coalesce(F.exists("vec", lambda v: v.cast("double") != 0.0), F.lit(False))
     rows = rows.select("vec_id", "label", "vec", valid.alias("valid"))
     good = rows.where("valid").select("vec_id", "label", F.size("vec").alias("dim"), "vec")
-    # Copies become one row; its id is the smallest, for an all-null group a negative hash.
-    reps = good.groupBy("label", "dim", "vec").agg(F.count("*").alias("mult"), F.coalesce(F.min("vec_id"), -F.abs(F.xxhash64(F.first("label"), F.first("vec"))) - 2 ** 61).alias("rep"))
-    reps = cut(reps, "vectors")
+    # Copies become one node, named by their smallest id; where that is null or other vectors have it too, by a hash below -2**62.
+    reps = cut(good.groupBy("label", "dim", "vec").agg(F.count("*").alias("mult"), F.min("vec_id").alias("first_id")), "vectors")
+    taken = cut(reps.groupBy("first_id").agg(F.count("*").alias("n")).where("n > 1 and first_id is not null").select("first_id", F.lit(True).alias("taken")), "taken-ids")
+    named = F.col("first_id").isNotNull() & F.col("taken").isNull()
+    reps = reps.join(taken, "first_id", "left").withColumn("rep", F.when(named, F.col("first_id")).otherwise(F.lit(-2 ** 62) - F.pmod(F.xxhash64("label", "dim", "vec"), F.lit(2 ** 62)))).drop("taken")
     sizes = reps.groupBy("label", "dim").agg(F.count("*").alias("n_label"))
     draw = F.pmod(F.xxhash64(F.lit(seed), "rep"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     sample = reps.join(sizes, ["label", "dim"]).where(draw * F.col("n_label") < sample_rows).select("label", "dim", "rep", "vec", "n_label")
@@ -164,7 +166,10 @@ def embedding_links(vectors: DataFrame, threshold: float = 0.93, cell_rows: int
     n_links = found.where("b is null").groupBy("a").agg(F.sum("n").alias("linked"))
     groups = components(found.where("b is not null").select("a", "b"))
     known = reps.join(n_links, reps["rep"] == n_links["a"], "left").join(groups, reps["rep"] == groups["node"], "left")
-    known = known.select("label", "dim", "vec", (F.coalesce("linked", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    known = known.select("label", "dim", "vec", "first_id", (F.coalesce("linked", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("component", "rep").alias("group_"))
+    # a group is named by its smallest id; only where a node's name is a hash can that differ from the smallest node
+    hashed = known.where(F.col("group_") <= -2 ** 62).groupBy("group_").agg(F.min("first_id").alias("least"))
+    known = known.join(hashed, "group_", "left").withColumn("component_id", F.coalesce("least", "group_")).drop("group_", "least", "first_id")
     out = rows.where("valid").withColumn("dim", F.size("vec")).join(known, ["label", "dim", "vec"]).select("vec_id", "n_links", "component_id")
     out = out.unionByName(rows.where("not valid").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))
     return out.select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))

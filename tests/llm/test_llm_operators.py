@@ -98,6 +98,25 @@ def test_components(spark):
     assert out == {**{i: 0 for i in range(31)}, 40: 40, 70: 40, 100: 40, 41: 41, 42: 41}
 
 
+def test_embedding_links_of_repeated_and_null_ids(spark):
+    """Rows that share a vec_id with other vectors are vectors of their own; null ids never overflow and take their group's smallest id."""
+    from holdfast.llm.embedding_links import embedding_links
+    rng = np.random.default_rng(11)
+    one, two, far, other = np.eye(8)[:4]
+    rows = [(5, 1, far), (5, 2, one), (6, 2, one + 0.01 * two), (7, 3, one), (7, 3, one + 0.1 * two), (3, 4, one), (9, 4, one + 0.2 * two), (9, 4, other)]
+    rows += [(None, 10 + k, rng.normal(size=8)) for k in range(20)]  # alone, each in its label
+    rows += [(None, 50, one), (8, 50, one + 0.05 * two), (None, 51, one), (None, 51, one + 0.05 * two)]
+    df = spark.createDataFrame([(i, label, v.tolist()) for i, label, v in rows], "vec_id long, label long, embedding array<double>")
+    out = [tuple(r) for r in embedding_links(df).collect()]
+    assert len(out) == len(rows)
+    some = sorted(r for r in out if r[0] is not None)
+    assert some == sorted([(5, 0, 5, True), (5, 1, 5, True), (6, 1, 5, False), (7, 1, 7, True), (7, 1, 7, True), (3, 1, 3, True), (9, 1, 3, False), (9, 0, 9, True), (8, 1, 8, True)])
+    null = [r for r in out if r[0] is None]
+    assert sum(r[1] == 0 for r in null) == 20 and len({r[2] for r in null if r[1] == 0}) == 20
+    assert [r[2] for r in null if r[1] == 1].count(8) == 1 and len({r[2] for r in null if r[1] == 1}) == 2
+    assert not any(r[3] for r in null)
+
+
 # --- 2 WARC -----------------------------------------------------------------------------------------------------------
 
 def test_archive_pages(spark):
