@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from holdfast.functions.exprs import source_cluster
-from holdfast.operators.ranking import bucketed_running, hash_rank, hot_join
+from holdfast.operators.ranking import bucketed_running, hash_rank, hot_join, spread
 from holdfast.session import cut
 
 
@@ -59,7 +59,7 @@ def stratified_halves(clusters: DataFrame, repeats: int, seed: int) -> DataFrame
 
     Ranks are taken bucket by bucket, so a class holding most clusters is still spread out.
     """
-    c = clusters.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    c = spread(clusters, "source_cluster_id").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
     n = clusters.groupBy("class_code").agg(F.count(F.lit(1)).alias("_n"))
     key = F.concat_ws("|", F.lit(f"half{seed}"), F.col("rep"), F.col("source_cluster_id"))
     r = hash_rank(c, ["rep", "class_code"], key, [F.col("source_cluster_id")], "_r").join(n, "class_code")
