@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from holdfast.operators.ranking import hot_join
+from holdfast.operators.ranking import grown, hot_join, spread
 from holdfast.session import cut
 
 NEAR = 8
@@ -83,17 +83,17 @@ def near_fingerprints(prints: DataFrame, radius: int = NEAR) -> DataFrame:
         (F.shiftleft(hi.bitwiseAND(F.lit(0x7FF)), 10).bitwiseOR(F.shiftright(lo, 22)), 21),
         (lo.bitwiseAND(F.lit(0x3FFFFF)), 22),
     ]
-    def spread(i, block, width):
+    def one_off(i, block, width):
         flips = F.array(*[F.lit(v).cast("bigint") for v in [0, *[1 << k for k in range(width)]]])
         return F.transform(flips, lambda flip: F.struct(F.lit(i).alias("block"), block.bitwiseXOR(flip).alias("value")))
 
-    keys = F.concat(*[spread(i, block, width) for i, (block, width) in enumerate(blocks)])
-    p = prints.select("fp_hi", "fp_lo").distinct().withColumn("_k", F.explode(keys)).select("fp_hi", "fp_lo", "_k.block", "_k.value")
+    keys = F.concat(*[one_off(i, block, width) for i, (block, width) in enumerate(blocks)])
+    p = spread(prints.select("fp_hi", "fp_lo").distinct(), "fp_hi", "fp_lo").withColumn("_k", F.explode(keys)).select("fp_hi", "fp_lo", "_k.block", "_k.value")
     a = p.select("block", "value", F.col("fp_hi").alias("a_hi"), F.col("fp_lo").alias("a_lo"))
     b = p.select("block", "value", F.col("fp_hi").alias("b_hi"), F.col("fp_lo").alias("b_lo"))
     before = (F.col("a_hi") < F.col("b_hi")) | ((F.col("a_hi") == F.col("b_hi")) & (F.col("a_lo") < F.col("b_lo")))
     d = distance(F.col("a_hi"), F.col("a_lo"), F.col("b_hi"), F.col("b_lo"))
-    return a.join(b, ["block", "value"]).filter(before & (d <= radius)).select("a_hi", "a_lo", "b_hi", "b_lo", d.cast("int").alias("distance")).distinct()
+    return grown(a).join(b, ["block", "value"]).filter(before & (d <= radius)).select("a_hi", "a_lo", "b_hi", "b_lo", d.cast("int").alias("distance")).distinct()
 
 
 def cross_source(items: DataFrame, digest: list[str], source: str) -> DataFrame:
