@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from holdfast.functions.exprs import BOT, CLASS_NAMES, r6, uniform
 from holdfast.operators import trajectory as T
 from holdfast.operators.protocol import axis_scan
-from holdfast.plans.common import answers, clips, manifest, raw_manifest, scan
+from holdfast.plans.common import answers, clips, manifest, raw_manifest, scan, system_ids
 from holdfast.plans.oracle import grid, pgrid, u, with_base
 from holdfast.plans.registry import query
 from holdfast.session import fresh_path
@@ -268,7 +268,7 @@ l AS (SELECT *, 'old' AS registry FROM o UNION ALL SELECT *, 'new' FROM n), h(h_
 SELECT system_id, registry, h_s, split_part(system_id,'__',1) AS family, regexp_extract(system_id,'seed([0-9]+)',1) AS seed, (split_part(system_id,'__',1) IN ('postproc','commit')) AS needs_stand_in FROM l, h""")
 def a19(spark, sf):
     """Old and new registries joined, with card fields per horizon; stateful arms need coarse-step stand-ins."""
-    ids = answers(spark, sf).select("system_id").distinct()
+    ids = system_ids(spark, sf)
     is_new = F.col("system_id").startswith("commit")
     both = ids.filter(~is_new).withColumn("registry", F.lit("old")).unionByName(ids.filter(is_new).withColumn("registry", F.lit("new")))
     family = F.split("system_id", "__")[0]

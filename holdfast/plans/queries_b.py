@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from holdfast.functions.exprs import class_code, normal_class, r6, source_cluster, uniform, wrong_class
 from holdfast.operators import identity as I
-from holdfast.plans.common import answers, clips, manifest, raw_manifest
+from holdfast.plans.common import answers, clips, manifest, raw_manifest, system_ids
 from holdfast.plans.oracle import grid, u, with_base
 from holdfast.plans.registry import query
 from holdfast.sources import derive as D
@@ -105,7 +105,7 @@ def b13(spark, sf):
 
 
 def systems(spark, sf):
-    return answers(spark, sf).select("system_id").distinct()
+    return system_ids(spark, sf)
 
 
 _PARSE = """pa AS (SELECT DISTINCT system_id, split_part(system_id,'__',1) AS family, split_part(system_id,'__',2) AS arm, regexp_extract(system_id,'seed([0-9]+)',1) AS seed FROM ans),
