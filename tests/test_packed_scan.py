@@ -46,3 +46,23 @@ def test_rerun_cells_equal_the_long_rule(spark, clips, rule, value):
     def rows(df):
         return sorted(map(tuple, df.select("video_id", F.to_json("cells")).collect()))
     assert rows(here) == rows(made)
+
+
+def test_scan_tally_equals_the_clip_table(spark, clips):
+    from holdfast.operators.scan import scan_tally
+    protocols = list({p.pi_hash: p for p in axis_scan(3.0) + neighbour_grid(2.0)}.values())
+    m, packed = D.clean(D.raw_manifest(clips), "test"), D.packed_answers(clips).filter("system_id <> 'clip__mean__seed13' OR video_id < 'u2'")
+    by = ["system_id", *T.PI]
+    tally = scan_tally(m, packed, D.SYSTEM_IDS, protocols, D.DELTA)
+    new = T.family_of_tally(T.merged(tally, by), by)
+    old = T.frozen_family(T.clips_at(m, packed, D.SYSTEM_IDS, protocols, D.DELTA), by)
+    def rows(df):
+        return {tuple(r[:7]): [x if x is None else round(x, 12) for x in r[7:]] for r in df.select(*by, *[c for c in old.columns if c not in by]).collect()}
+    assert rows(new) == rows(old) and len(rows(new)) > 100
+    # the rows that the protocols multiply are never laid out, and what made the tally is read once
+    assert plan(new).count("MapInArrow") == 1 and plan(new).count("Generate explode") == plan(m.withColumn("s", F.explode(F.array(F.lit(1))))).count("Generate explode") + plan(packed).count("Generate explode")
+
+
+def test_family_reads_its_clips_once(spark, clips):
+    c = T.clips_at(D.clean(D.raw_manifest(clips), "test"), D.packed_answers(clips), D.SYSTEM_IDS, axis_scan(3.0)[:1], D.DELTA)
+    assert plan(T.frozen_family(c, ["system_id", "h_s"])).count("Scan parquet") == plan(c).count("Scan parquet")
