@@ -66,3 +66,8 @@ def test_scan_tally_equals_the_clip_table(spark, clips):
 def test_family_reads_its_clips_once(spark, clips):
     c = T.clips_at(D.clean(D.raw_manifest(clips), "test"), D.packed_answers(clips), D.SYSTEM_IDS, axis_scan(3.0)[:1], D.DELTA)
     assert plan(T.frozen_family(c, ["system_id", "h_s"])).count("Scan parquet") == plan(c).count("Scan parquet")
+
+
+def test_next_observed_point_needs_no_list(spark, tmp_path):
+    from holdfast.plans.catalog import QUERIES
+    assert "collect_list" not in plan(QUERIES["d18_coarse_vs_fine"](spark, "/root/testdata/sf0.001"))
