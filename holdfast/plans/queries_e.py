@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from holdfast.functions.exprs import TOL, mean_ratio, r6
 from holdfast.operators import trajectory as T
-from holdfast.plans.common import answers, cells, clips, manifest
+from holdfast.plans.common import cells, clips, event_clips, manifest
 from holdfast.plans.oracle import grid, with_base
 from holdfast.plans.registry import query
 from holdfast.sources import derive as D
@@ -80,7 +80,7 @@ pv AS (SELECT system_id, video_id, any_value(endok) AS e, max(coalesce(pred>=0,f
 
 def pre_anchor(spark, sf):
     """Per (system, clip): answered before the anchor, confident cells, available cells, and the final outcome."""
-    a = answers(spark, sf).filter((F.col("j") < 0) & (F.col("j") * D.DELTA >= -PRE - TOL))
+    a = D.answers(D.before_anchor(event_clips(spark, sf))).filter(F.col("j") * D.DELTA >= -PRE - TOL)
     hit = (F.col("pred") >= 0) & (F.array_max("probs") >= CONF)
     per = a.groupBy("system_id", "video_id").agg(
         F.max((F.col("pred") >= 0).cast("int")).alias("answered"), F.sum(F.coalesce(hit, F.lit(False)).cast("int")).alias("hi"), F.count(F.lit(1)).alias("av"))
