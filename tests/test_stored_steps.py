@@ -28,3 +28,11 @@ def test_track_readings_are_drawn_once_per_track(spark, monkeypatch):
 def test_calibration_is_stored(spark):
     cal = {r.metric: r for r in queries_h.calibrated(spark, SF).collect()}
     assert "calibration" in stored(spark) and {r.metric for r in queries_h.h16(spark, SF).collect()} == set(cal)
+
+
+def test_seed_replication_reads_its_few_pairs(spark):
+    df = queries_h.h18(spark, SF)
+    df.collect()
+    assert {"system_ids", "pair_tests", "tied", "heterogeneous"} <= stored(spark)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "heterogeneous" in plan and "Join" not in plan.split("Initial Plan")[0]
