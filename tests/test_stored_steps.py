@@ -36,3 +36,22 @@ def test_seed_replication_reads_its_few_pairs(spark):
     assert {"system_ids", "pair_tests", "tied", "heterogeneous"} <= stored(spark)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "heterogeneous" in plan and "Join" not in plan.split("Initial Plan")[0]
+
+
+def test_clip_table_is_read_without_a_join(spark):
+    from holdfast.operators import trajectory as T
+    from holdfast.operators.protocol import reference
+    made = common._all_clips(spark, SF)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 1
+    m, refs = common.manifest(spark, SF), [reference(h) for h in D.HORIZONS]
+    joined = T.clip_table(T.read_grid(m, common.packed(spark, SF), D.SYSTEM_IDS, refs, D.DELTA, keep=["split"]), keep=["split"])
+    assert made.count() > 100 and made.exceptAll(joined.select(made.columns)).count() == joined.select(made.columns).exceptAll(made).count() == 0
+
+
+def test_answers_are_drawn_in_batches_from_dealt_clips(spark):
+    c = D.event_clips(D.table(spark, SF, "events"))
+    n = spark.conf.get("spark.sql.shuffle.partitions")
+    assert f", {n}), REPARTITION_BY_NUM" in c._jdf.queryExecution().executedPlan().toString()
+    plan = D.packed_answers(common.event_clips(spark, SF))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "md5(" not in plan
