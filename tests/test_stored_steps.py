@@ -1,4 +1,6 @@
 """What a query reads twice is made once; answers before the anchor are read without the long table."""
+import datetime as dt
+
 from holdfast.plans import common, queries_e, queries_h, queries_j, stages
 from holdfast.sources import derive as D
 
@@ -55,3 +57,18 @@ def test_answers_are_drawn_in_batches_from_dealt_clips(spark):
     assert f", {n}), REPARTITION_BY_NUM" in c._jdf.queryExecution().executedPlan().toString()
     plan = D.packed_answers(common.event_clips(spark, SF))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1 and "md5(" not in plan
+
+
+def test_clip_table_makes_no_reruns(spark):
+    sf = SF + "/."
+    common.clips(spark, sf).count()
+    made = {k[2] for k in stages._PATHS if k[:2] == (spark.sparkContext.applicationId, sf)}
+    assert "clips" in made and "packed" not in made
+
+
+def test_only_hot_users_are_cut_into_buckets(spark):
+    rows = [(k, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=50 * k), None if k == 7 else 1 if k % 3 else k, "view") for k in range(300)] + [(999, None, 1, "view")]
+    e = spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string")
+    one, few, every = (sorted(map(str, D.event_clips(e, hot=n).collect())) for n in (10 ** 6, 150, 0))
+    assert one == few == every and len(one) > 100
+    assert "_hot" in D.event_clips(e)._jdf.queryExecution().optimizedPlan().toString()
