@@ -12,6 +12,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -62,13 +63,15 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def directory(entries: DataFrame, capacity: int, step: int = 10) -> list[tuple[int, int]]:
     """Buckets (depth, leading bits) of an extendible-hash directory: none above capacity unless 60 bits don't part it.
 
-    Counts are taken for ``step`` further bits of the overfull buckets only, so the driver sees at most
-    2 ** step counts for each of them; it never sees keys.
+    Counts are taken for up to ``step`` further bits of the overfull buckets only, fewer where these are many, so the driver sees
+    about 2 ** 16 counts at a time; it never sees keys. Entries of one key lie in one bucket, however many they are.
     """
     buckets: list[tuple[int, int]] = []
     overfull: list[tuple[int, int]] | None = None
     depth = 0
     while True:
+        if overfull is not None:
+            step = max(1, min(step, 16 - len(overfull).bit_length(), 60 - depth))
         depth += step
         bits = F.shiftrightunsigned(F.col("key"), 64 - depth)
         rows = entries.select(bits.alias("cell"))
@@ -149,8 +152,6 @@ def exact_copies(docs: DataFrame, capacity: int = 1024) -> DataFrame:
 
 
 def _bucket_of(bounds: np.ndarray):
-    import pandas as pd
-
     @F.pandas_udf("int")
     def bucket(key: pd.Series) -> pd.Series:
         return pd.Series((np.searchsorted(bounds, key.to_numpy(), "right") - 1).astype(np.int32))

@@ -456,6 +456,25 @@ def test_exact_copies(spark, capacity):
     assert exact_copies(docs_of(spark, rows).limit(0)).count() == 0
 
 
+def test_exact_copies_with_more_entries_of_one_text_than_a_bucket_holds(spark):
+    from holdfast.llm.exact_copies import exact_copies
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "1")  # every row is an entry, as the copies in thousands of batches are
+    try:
+        out, all_ = got(exact_copies(docs_of(spark, [(k, "same text") for k in range(12)] + [(20 + k, f"text {k}") for k in range(8)]).repartition(4), 2))
+    finally:
+        spark.conf.set(name, before)
+    assert len(all_) == 20 and all(out[k][1:4] == (0, 12, k == 0) for k in range(12)) and all(out[20 + k][1:4] == (20 + k, 1, True) for k in range(8))
+
+
+def test_directory_is_the_same_in_other_steps(spark):
+    from holdfast.llm import exact_copies as E
+    rng = random.Random(2)
+    rows = spark.createDataFrame([(rng.getrandbits(64) - 2 ** 63,) for _ in range(6000)], "key long").cache()
+    assert E.directory(rows, 1) == E.directory(rows, 1, 3)  # however many bits are counted at a time, the buckets are the same
+
+
 def test_directory_splits_only_overfull_buckets(spark):
     from holdfast.llm.exact_copies import directory
     rng = random.Random(1)
