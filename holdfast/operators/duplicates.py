@@ -10,30 +10,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from holdfast.operators.ranking import grown, hot_join, spread
+from holdfast.operators.fingerprints import LANES, TALLY, tallies
+from holdfast.operators.near import near_forest, near_pairs
+from holdfast.operators.ranking import hot_join
 from holdfast.session import cut
 
 NEAR = 8
-WORD = 4294967296
 
 
 def token_fingerprint(docs: DataFrame, key: str, text: str) -> DataFrame:
     """64-bit vote of token hashes over the whole text, as two 32-bit halves.
 
-    Tokens of one row stay in its task and are summed there before anything is shuffled.
+    Tokens of one row are summed in its task, so a row is shuffled as its counters; rows of one key vote together.
     """
-    t = docs.select(key, F.explode(F.split(F.col(text), r"\s+")).alias("_t")).filter("_t <> ''")
-    h = F.md5("_t")
-    t = t.withColumn("_hi", F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint")).withColumn("_lo", F.conv(F.substring(h, 9, 8), 16, 10).cast("bigint"))
-    # Three counters of 21 bits in one sum: the aggregation stays small enough to be compiled. Rows of a document are counted in
-    # parts of at most a million tokens, so that no counter runs over.
-    t = t.withColumn("_part", F.floor(F.monotonically_increasing_id() / 1000000))
-
-    def lanes(c, k):
-        return sum((F.shiftleft(F.shiftright(c, bit).bitwiseAND(F.lit(1)), 21 * lane) for lane, bit in enumerate(range(k, 32, 11))), F.lit(0).cast("bigint"))
-    names = [(c, k) for c in ("_hi", "_lo") for k in range(11)]
-    v = t.groupBy(key, "_part").agg(F.count(F.lit(1)).alias("_n"), *[F.sum(lanes(F.col(c), k)).alias(f"{c}{k}") for c, k in names])
-    ones = {(c, bit): F.sum(F.shiftright(f"{c}{k}", 21 * lane).bitwiseAND(F.lit(0x1FFFFF))) for c, k in names for lane, bit in enumerate(range(k, 32, 11))}
+    v = docs.select(key, text).mapInArrow(tallies(key, text), f"`{key}` {docs.schema[key].dataType.simpleString()}, {TALLY}")
+    ones = {(c, bit): F.sum(F.shiftright(f"{c}{k}", 21 * lane).bitwiseAND(F.lit(0x1FFFFF))) for c, k in LANES for lane, bit in enumerate(range(k, 32, 11))}
 
     def word(c):
         return sum((F.when(2 * ones[c, k] > F.sum("_n"), F.lit(1 << k)).otherwise(F.lit(0)) for k in range(32)), F.lit(0).cast("bigint"))
@@ -68,32 +59,14 @@ def same_fingerprint(items: DataFrame, key: str, digest: str) -> DataFrame:
 
 
 def near_fingerprints(prints: DataFrame, radius: int = NEAR) -> DataFrame:
-    """All pairs of distinct fingerprints within ``radius`` (at most 8) differing bits, exactly.
+    """All pairs of distinct fingerprints within ``radius`` (at most 8) differing bits, exactly; listed as they are found, never stored."""
+    return near_pairs(prints, radius)
 
-    The 64 bits are cut into three blocks. Eight differing bits leave some block with at most two,
-    and two block values at most two apart share a neighbour at most one bit from both. Each
-    fingerprint therefore joins on its block values and their one-bit neighbours: 67 keys, each
-    sparse (21 bits wide), and nothing within the radius can be missed.
-    """
-    if radius > 8:
-        raise ValueError("three blocks find every pair up to radius 8 only")
-    hi, lo = F.col("fp_hi"), F.col("fp_lo")
-    blocks = [
-        (F.shiftright(hi, 11), 21),
-        (F.shiftleft(hi.bitwiseAND(F.lit(0x7FF)), 10).bitwiseOR(F.shiftright(lo, 22)), 21),
-        (lo.bitwiseAND(F.lit(0x3FFFFF)), 22),
-    ]
-    def one_off(i, block, width):
-        flips = F.array(*[F.lit(v).cast("bigint") for v in [0, *[1 << k for k in range(width)]]])
-        return F.transform(flips, lambda flip: F.struct(F.lit(i).alias("block"), block.bitwiseXOR(flip).alias("value")))
-
-    keys = F.concat(*[one_off(i, block, width) for i, (block, width) in enumerate(blocks)])
-    p = spread(prints.select("fp_hi", "fp_lo").distinct(), "fp_hi", "fp_lo").withColumn("_k", F.explode(keys)).select("fp_hi", "fp_lo", "_k.block", "_k.value")
-    a = p.select("block", "value", F.col("fp_hi").alias("a_hi"), F.col("fp_lo").alias("a_lo"))
-    b = p.select("block", "value", F.col("fp_hi").alias("b_hi"), F.col("fp_lo").alias("b_lo"))
-    before = (F.col("a_hi") < F.col("b_hi")) | ((F.col("a_hi") == F.col("b_hi")) & (F.col("a_lo") < F.col("b_lo")))
-    d = distance(F.col("a_hi"), F.col("a_lo"), F.col("b_hi"), F.col("b_lo"))
-    return grown(a).join(b, ["block", "value"]).filter(before & (d <= radius)).select("a_hi", "a_lo", "b_hi", "b_lo", d.cast("int").alias("distance")).distinct()
+
+def near_links(items: DataFrame, key: str, radius: int = NEAR) -> DataFrame:
+    """Edges (a, b) that span what identical and near fingerprints link: members to their representative, a forest over representatives."""
+    rep = items.groupBy("fp_hi", "fp_lo").agg(F.min(key).alias("val"))
+    return star_edges(items, key, ["fp_hi", "fp_lo"]).unionByName(near_forest(rep, radius))
 
 
 def cross_source(items: DataFrame, digest: list[str], source: str) -> DataFrame:
