@@ -120,8 +120,8 @@ def components(edges: DataFrame) -> DataFrame:
     travel in doubling steps. A round ends in a table in the shared folder; the loop stops when no
     label has changed, which the number of nodes bounds.
     """
-    both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct()
-    both = cut(both, "edges")
+    ways = F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))
+    both = cut(edges.select(F.explode(ways).alias("e")).select("e.u", "e.v").distinct(), "edges")  # the edges are made once
     labels = both.select(F.col("u").alias("node")).distinct().withColumn("label", F.col("node"))
     while True:
         near = hot_join(both.withColumnRenamed("v", "node"), labels, ["node"]).groupBy(F.col("u").alias("node")).agg(F.min("label").alias("_near"))

@@ -101,6 +101,8 @@ def test_readings_of_near_fingerprints(spark, monkeypatch):
     number = {v: (v >> 32) * 7 + (v & 0xFFFFFFFF) for v in x}
     edges = spark.createDataFrame([(number[a], number[b]) for a, b in want], "a long, b long")
     assert sorted(map(tuple, U.components(N.near_forest(ids, 8)).collect())) == sorted(map(tuple, U.components(edges).collect()))
+    again = ids.repartition(7).orderBy(F.desc("fp_lo"))
+    assert sorted(map(tuple, N.near_forest(ids, 8).collect())) == sorted(map(tuple, N.near_forest(again, 8).collect()))
     assert N.near_forest(ids, 8).count() < 9 * 40 * len(x)
 
 
@@ -115,3 +117,15 @@ def test_near_search_shuffles_a_fingerprint_nine_times_and_stores_no_pair(spark)
 def _batch(x):
     import pyarrow as pa
     return pa.RecordBatch.from_arrays([pa.array(np.array(x, np.uint64).view(np.int64)), pa.array(np.zeros(len(x), np.int64))], ["fp", "val"])
+
+
+def test_components_make_their_edges_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def noted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+    edges = spark.createDataFrame([(1, 2), (2, 3), (7, 8)], "a long, b long").coalesce(1).mapInArrow(noted, "a long, b long")
+    assert sorted(map(tuple, U.components(edges).collect())) == [(1, 1), (2, 1), (3, 1), (7, 7), (8, 7)]
+    assert seen.value == 3  # a forest made twice may be two different ones
