@@ -128,7 +128,10 @@ def merge_annotators(first: DataFrame, second: DataFrame) -> DataFrame:
 
 
 def file_digests(spark, glob: str, limit: int = 2**31 - 1, step: int = 1 << 22) -> DataFrame:
-    """SHA-256 of every file; Spark does not list empty ones. One beyond what Spark holds in a value is streamed by its task."""
+    """SHA-256 of every file; Spark does not list empty ones. Files of the local scheme are streamed by their tasks, ``step`` bytes at a time.
+
+    Those of another store are read by Spark as values, except beyond ``limit``, as not every store can be opened here.
+    """
     from collections.abc import Iterator
 
     import pyarrow as pa
@@ -149,9 +152,13 @@ def file_digests(spark, glob: str, limit: int = 2**31 - 1, step: int = 1 << 22)
             yield pa.RecordBatch.from_arrays([b["name"], b["length"], pa.array(out, pa.string())], ["name", "length", "digest"])
     files = spark.read.format("binaryFile").load(glob)
     name = F.substring_index("path", "/", -1).alias("name")
-    small = files.filter(F.col("length") < limit).select(name, "length", F.sha2("content", 256).alias("digest"))
+    first = files.select("path").first()  # all files of a glob are in one store
+    if first is None or first["path"].startswith("file:"):
+        limit = 0
     large = files.filter(F.col("length") >= limit).select("path", name, "length").mapInArrow(stream, "name string, length long, digest string")
-    return small.unionByName(large)
+    if not limit:
+        return large
+    return files.filter(F.col("length") < limit).select(name, "length", F.sha2("content", 256).alias("digest")).unionByName(large)
 
 
 def verify_digests(found: DataFrame, expected: DataFrame) -> DataFrame:

@@ -68,6 +68,16 @@ def test_file_digests_and_expected_list(spark, tmp_path):
     assert status == {"a.bin": "digest_differs", "b.bin": "length_differs", "c.bin": "unexpected", "d.bin": "missing"}
 
 
+def test_file_digests_hold_no_file_as_a_value(spark, tmp_path):
+    import hashlib
+    from holdfast.sources.manifest import file_digests
+    (tmp_path / "x.bin").write_bytes(b"abc" * 70_000)
+    found = file_digests(spark, f"{tmp_path}/*.bin", step=1000)
+    assert [tuple(r) for r in found.collect()] == [("x.bin", 210_000, hashlib.sha256(b"abc" * 70_000).hexdigest())]
+    assert "content" not in found._jdf.queryExecution().executedPlan().toString()
+    assert file_digests(spark, str(tmp_path)).count() == 1
+
+
 def test_components_add_up_and_counterexample(spark):
     for r in clips(spark, PATHS, 2).collect():
         assert abs(r.delay - r.err_area - r.retr_area) < 1e-12
