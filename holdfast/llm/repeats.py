@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from holdfast.llm.text import mix, text_of, utf8
 from holdfast.session import cut
 
-CHUNK = 1 << 20
+CHUNK = 1 << 15  # bytes hashed at a time: what is made of them stays in a core's cache
 POS_BITS = 22
 MASK = np.uint64((1 << POS_BITS) - 1)
 HEAVY = 2000

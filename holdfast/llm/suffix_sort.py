@@ -20,7 +20,7 @@ from holdfast.llm.text import mix, small_batches, utf8
 from holdfast.llm.words import powers, prefix_hash
 from holdfast.session import cut
 
-LENGTH, GRAM = 200, 32
+LENGTH, GRAM, CORE = 200, 32, 25
 
 
 def byte_units(raw: np.ndarray, off: np.ndarray):
@@ -118,6 +118,24 @@ def merge_sort(ext: Extensions, pos: np.ndarray, end: np.ndarray, seg_start: np.
     return order
 
 
+def repeating_cores(ext: Extensions, anchor: np.ndarray, lo: np.ndarray, hi: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Whether another context of the group has the same bytes that all windows of some block of offsets hold.
+
+    Windows of ``CORE`` neighbouring offsets share all but ``CORE`` - 1 of their bytes. Contexts without such a partner repeat nowhere, so they
+    need no sorting; a common gram in different surroundings is mostly that. Colliding hashes only keep a context more.
+    """
+    keep = np.zeros(len(anchor), bool)
+    for least in range(0, LENGTH, CORE):
+        at = np.flatnonzero((lo < least + CORE) & (hi >= least))
+        p = anchor[at] - least
+        key = mix((ext.h[p + LENGTH - CORE + 1] - ext.h[p]) * ext.down[p]) ^ (group[at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        order = np.argsort(key)
+        same = key[order][1:] == key[order][:-1]
+        keep[at[order[1:][same]]] = True
+        keep[at[order[:-1][same]]] = True
+    return keep
+
+
 def suffix_kernel(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Contexts sorted by anchor hash -> (row, first byte, end byte) of repeated bytes, in positions of the texts."""
     raw, off = utf8(rows["ctx"])
@@ -143,6 +161,7 @@ def suffix_kernel(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     item = np.sort(by[head])
     size = np.bincount(group[item], minlength=group[-1] + 1)
     item = item[size[group[item]] > 1]
+    item = item[repeating_cores(ext, anchor[item], lo[item], hi[item], group[item])]
     g = group[item]
     g_first = np.searchsorted(g, np.arange(group[-1] + 2))
     active = item[~many[item]]

@@ -313,6 +313,25 @@ def test_extensions_and_merge_sort():
         assert sorted(order[a:a + n]) == list(range(a, a + n)) and have == sorted(have)
 
 
+def test_contexts_without_a_repeated_core_are_not_sorted(monkeypatch):
+    import pyarrow as pa
+    from holdfast.llm import suffix_sort as s
+    rng = random.Random(8)
+    gram = b"a gram of thirty-two bytes here."
+    noise = lambda n: bytes(rng.randrange(97, 123) for _ in range(n))
+    shared = noise(120)
+    ctx = [noise(168) + gram + noise(168) for _ in range(40)]
+    ctx += [noise(48) + shared + gram + shared[:60] + noise(108) for _ in range(4)]  # windows of 200 bytes repeat in these
+    rows = pa.table({"h": pa.array([5] * 44, pa.int64()), "begin": pa.array([0] * 44), "hi": pa.array([168] * 44), "ctx": pa.array(ctx, pa.binary())})
+    sorted_, sort = [], s.merge_sort
+    monkeypatch.setattr(s, "merge_sort", lambda ext, pos, *a: sorted_.append(len(pos)) or sort(ext, pos, *a))
+    marks = [set() for _ in ctx]
+    for k, a, z in zip(*s.suffix_kernel(rows)):
+        marks[k].update(range(a, z))
+    assert marks == [set().union(*(range(i, i + 200) for i in range(169) if sum(c[i:i + 200] == t[i:i + 200] for t in ctx) > 1)) for c in ctx]
+    assert any(marks) and sorted_ and sorted_[0] == 4  # all 44 were
+
+
 def test_collision_falls_back_to_bytes(monkeypatch):
     import pyarrow as pa
     from holdfast.llm import suffix_sort as s
